@@ -4,19 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op7_bpe": op7_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _op1_sql() -> str:
+    """Places come from a running sum over the pieces between matches, companions from a plain range join."""
+    # RE2 folds case beyond ASCII, so the letters are spelled out
+    words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    cased = lambda ws: "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ws.split("|")) + ")"
+    account = rf"""{cased("access|client|account|app|user|key")}[_-]?(?:[Kk][Ee][Yy][_-]?)?{cased("id|name")}["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{{4,}}"""
+    endpoint = rf"""{cased("https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3")}://[^\x00-\x20"'<>]+"""
+    kinds = [("stop", -1, secrets.BREAK, "true"), ("assign", 0, assign, f"length(regexp_extract(m, {_quoted(assign)}, 2)) >= 6"), ("access", 1, secrets.ACCESS, "length(m) >= 20"), ("hex", 2, secrets.HEX, "length(m) >= 24"), ("account", 3, account, "true"), ("random", 4, secrets.RANDOM, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"), ("endpoint", 5, endpoint, "true")]
+    parts = " UNION ALL ".join(f"SELECT rid, '{k}' AS kind, {n} AS kind_no, regexp_extract_all(text, {_quoted(p)}) AS ms, string_split_regex(text, {_quoted(p)}) AS gs FROM d" for k, n, p, _ in kinds)
+    keep = " OR ".join(f"(kind = '{k}' AND {c})" for k, _, _, c in kinds)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, kind, kind_no, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM ({parts}) WHERE len(ms) > 0),
+e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM m),
+p AS (SELECT rid, kind, kind_no, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM e WHERE {keep}),
+c AS (SELECT *, count(*) FILTER (kind = 'stop') OVER (PARTITION BY rid ORDER BY s, kind_no, e ROWS UNBOUNDED PRECEDING) AS scope, kind IN ('assign', 'hex', 'random') AS secret FROM p),
+r AS (SELECT rid, kind, kind_no, s, e FROM c WHERE kind_no BETWEEN 0 AND 2
+  UNION ALL SELECT rid, kind, kind_no, s, e FROM c w WHERE kind_no > 2 AND EXISTS (SELECT 1 FROM c o WHERE o.kind_no >= 0 AND o.rid = w.rid AND o.scope = w.scope AND o.secret <> w.secret AND abs(o.s - w.s) <= 400)),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind_no > 2) AS n_linked,
+  string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) FILTER (kind_no <= 2) AS base, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) AS spans FROM r GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN g USING (rid)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": _op1_sql(),
+}
