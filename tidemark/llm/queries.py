@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, secrets
+from tidemark.llm import bpe, chat, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,12 +16,28 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+#: Fixed value: the text of both turns of conversation -7.
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in their layouts, formatted, and read back from the formatted strings."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    raw = chat.to_layouts(chat.gather(rows.unionByName(more)))
+    made = chat.render(chat.canonical(raw)).select("conv_id", "layout", "formatted", "loss_spans")
+    back = made.withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "layout")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op5_chat": op5_chat,
     "op7_bpe": op7_bpe,
 }
 
@@ -53,6 +70,20 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN g USING (rid)"""
 
 
+def _op5_sql() -> str:
+    escaped = "replace(replace(replace({}, '\\', '\\b'), '#', '\\h'), '<', '\\l')"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
+  (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}'))),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS told, coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss,
+  sum(length(replace({escaped.format("role")}, ':', '\\c')) + length({escaped.format("text")}) + {len(chat.OPEN + chat.BETWEEN + chat.CLOSE)}) AS chars, string_agg(role, ',' {order}) AS roles, bool_and(role IN ('system', 'user', 'assistant')) AS known FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+  CASE WHEN roles = 'user,assistant' AND n_turns = 2 THEN 'prompt' WHEN roles = 'system,user,assistant' AND n_turns = 3 THEN 'instruction' WHEN known AND conv_id % 2 <> 0 THEN 'conversations' ELSE 'messages' END AS layout
+FROM g"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat": _op5_sql(),
     "op1_secrets": _op1_sql(),
 }
