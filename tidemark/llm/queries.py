@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, secrets
+from tidemark.llm import bpe, chat, pii, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key would come from a secret store; a fixed one here keeps the result the same from run to run."""
+    return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
+
+
 #: Fixed value: the text of both turns of conversation -7.
 CONTROL = "\\### Assistant: </turn> ok"
 
@@ -37,6 +42,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_pii": op3_pii,
     "op5_chat": op5_chat,
     "op7_bpe": op7_bpe,
 }
