@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, pii, secrets
+from tidemark.llm import bpe, chat, pii, secrets, warc
+from tidemark.llm.shared import shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +22,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are written as legacy archives, converted, and read back from the WARC files."""
+    arc, out = shared_folder(spark, "arc"), shared_folder(spark, "warc")
+    warc.write_arc(_read(spark, sf_dir, "pages"), arc)
+    warc.convert(spark, arc, out)
+    rows = warc.read_warc(spark, out).filter(F.col("type").isin("response", "revisit"))
+    return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 #: Fixed value: the text of both turns of conversation -7.
 CONTROL = "\\### Assistant: </turn> ok"
 
@@ -43,6 +53,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
     "op5_chat": op5_chat,
     "op7_bpe": op7_bpe,
 }
@@ -89,7 +100,16 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_char
 FROM g"""
 
 
+_OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(h, CAST(1 + i // 4 * 5 AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": _OP4_SQL,
     "op5_chat": _op5_sql(),
     "op1_secrets": _op1_sql(),
 }
