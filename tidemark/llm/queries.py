@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, pii, secrets, warc
+from tidemark.llm import bpe, chat, minhash, pii, secrets, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -38,7 +38,8 @@ CONTROL = "\\### Assistant: </turn> ok"
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations in their layouts, formatted, and read back from the formatted strings."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], rows.schema)
+    turns = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(CONTROL).alias("text")) for k, role in enumerate(("user", "assistant"))])
+    more = spark.range(1).select(F.inline(turns))
     raw = chat.to_layouts(chat.gather(rows.unionByName(more)))
     made = chat.render(chat.canonical(raw)).select("conv_id", "layout", "formatted", "loss_spans")
     back = made.withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
@@ -46,6 +47,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "layout")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edited(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_chat": op5_chat,
+    "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
 }
 
