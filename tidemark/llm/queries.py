@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, minhash, pii, secrets, warc
+from tidemark.llm import bpe, chat, langid, minhash, pii, secrets, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -55,6 +55,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out()))
+    rows = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_pii": op3_pii,
@@ -62,6 +69,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
+    "op9_langid": op9_langid,
 }
 
 def _quoted(pattern: str) -> str:
