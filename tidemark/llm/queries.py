@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, langid, minhash, pii, secrets, warc
+from tidemark.llm import bpe, chat, html, langid, minhash, pii, secrets, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -17,6 +17,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key would come from a secret store; a fixed one here keeps the result the same from run to run."""
     return pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), key="an example key")
@@ -64,6 +68,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_html": op2_html,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_chat": op5_chat,
