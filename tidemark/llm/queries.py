@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, html, langid, minhash, pii, secrets, warc
+from tidemark.llm import bpe, chat, decontam, html, langid, minhash, pii, secrets, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -59,6 +59,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.filter(~langid.held_out()))
@@ -74,6 +78,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_minhash": op6_minhash,
     "op7_bpe": op7_bpe,
+    "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
 }
 
@@ -127,7 +132,22 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM b"""
 
+def _op8_sql(stretch: int = 13, share: float = 0.75) -> str:
+    span, words = decontam.SPAN, r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    joined = " UNION ALL ".join("SELECT * FROM dp JOIN bp ON " + " AND ".join(f"w[k + {x}] = b[p + {x}]" for x in mask) for mask in decontam.MASKS)
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT b, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {words} AS b FROM benchmark) WHERE len(b) >= {span} GROUP BY b),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {span} + 2)) AS k FROM d WHERE len(w) >= {span}),
+bp AS (SELECT item_id, n_items, b, unnest(range(1, len(b) - {span} + 2)) AS p FROM b),
+h AS (SELECT doc_id, item_id, n_items, w, b, k, p, least(len(b), {stretch}) AS width, least(p - 1, k - 1, {stretch}) AS l, least(len(w) - k + 1, len(b) - p + 1, greatest({stretch} - p + 1, 0) + {stretch} + {span}) AS r FROM ({joined})),
+s AS (SELECT doc_id, item_id, n_items, width, list_transform(range(l + r), lambda i: CAST(w[k - l + i] = b[p - l + i] AS INT)) AS same FROM h),
+v AS (SELECT doc_id, item_id, n_items, width, list_max(list_transform(range(1, len(same) - width + 2), lambda i: list_sum(same[i:i + width - 1]))) AS n FROM s WHERE len(same) >= width)
+SELECT doc_id, item_id, CAST(max(n_items) AS BIGINT) AS n_items, CAST(max(n) AS BIGINT) AS n_tokens FROM v WHERE n >= ceil(width * {share} - 1e-9) GROUP BY doc_id, item_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_decontam": _op8_sql(),
     "op4_warc": _OP4_SQL,
     "op5_chat": _op5_sql(),
     "op1_secrets": _op1_sql(),
