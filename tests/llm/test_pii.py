@@ -9,14 +9,13 @@ KEY = "k"
 
 def feistel(values, moduli, tag):
     half = len(values) // 2
-    parts = [list(values[:half]), list(values[half:])]
-    mods = [moduli[:half], moduli[half:]]
+    to, by, m_to, m_by = list(values[:half]), list(values[half:]), moduli[:half], moduli[half:]
     for n in range(pii.ROUNDS):
-        to = 1 if n % 2 == 0 else 0
-        said = "|".join(map(str, (KEY, tag, n, len(values), ",".join(map(str, parts[1 - to])))))
+        to, by, m_to, m_by = by, to, m_by, m_to
+        said = "|".join(map(str, (KEY, tag, n, len(values), ",".join(map(str, by)))))
         draw = lambda i, said=said: int(hashlib.sha256(f"{said}|{i // 8}".encode()).hexdigest()[i % 8 * 8 :][:8], 16)
-        parts[to] = [(v + draw(i)) % m for i, (v, m) in enumerate(zip(parts[to], mods[to], strict=True))]
-    return parts[0] + parts[1]
+        to = [(v + draw(i)) % m for i, (v, m) in enumerate(zip(to, m_to, strict=True))]
+    return to + by
 
 
 def by_class(s, tag):

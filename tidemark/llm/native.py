@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a column that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _running(values: Column) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("sums"))
     step = lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["sums"], F.array(acc["total"] + x)).alias("sums"))

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.native import let
+
 #: What is looked for. Lookbehinds make each pattern start only where a run starts.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z])"
@@ -25,20 +27,25 @@ ROUNDS = 8
 FIRST_DAY, YEARS, DAYS = "1800-01-01", 400, 365
 
 
-def feistel(values: Column, moduli: Column, tag: Column, key: str) -> Column:
-    """array<bigint> of residues -> the permuted residues. ``tag`` keeps formats apart."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    m_left, m_right = F.slice(moduli, F.lit(1), half), F.slice(moduli, half + 1, rest)
+def feistel(residues: Column, key: str) -> Column:
+    """struct<values, moduli, tag> -> the permuted values. ``tag`` keeps formats apart."""
+
+    def rounds(x: Column) -> Column:
+        n = F.size(x["values"])
+        half = F.floor(n / 2).cast("int")
+
+        def added(to: Column, by: Column, mods: Column, round_no: Column) -> Column:
+            said = F.concat_ws("|", F.lit(key), x["tag"], round_no, n, F.array_join(by.cast("array<string>"), ","))
+            # eight residues are drawn from each hash
+            hashes = F.transform(F.sequence(F.lit(0), F.floor(F.size(to) / 8)), lambda k: F.sha2(F.concat_ws("|", said, k), 256))
+            return let(hashes, lambda h: F.transform(F.zip_with(to, mods, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda y, i: F.pmod(y["v"] + F.conv(F.substring(h[F.floor(i / 8).cast("int")], F.pmod(i, F.lit(8)) * 8 + 1, F.lit(8)), 16, 10).cast("bigint"), y["m"])))
 
-    def added(to: Column, by: Column, mods: Column, round_no: Column) -> Column:
-        said = F.concat_ws("|", F.lit(key), tag, round_no, F.size(values), F.array_join(by.cast("array<string>"), ","))
-        drawn = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", said, F.floor(i / 8)), 256), F.pmod(i, F.lit(8)) * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
-        return F.transform(F.zip_with(to, mods, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda x, i: F.pmod(x["v"] + drawn(i), x["m"]))
+        zero = F.struct(F.slice(x["values"], F.lit(1), half).alias("to"), F.slice(x["values"], half + 1, n - half).alias("by"), F.slice(x["moduli"], F.lit(1), half).alias("m_to"), F.slice(x["moduli"], half + 1, n - half).alias("m_by"))
+        # the half that changes and the one that drives change places before each round
+        step = lambda acc, k: F.struct(added(acc["by"], acc["to"], acc["m_by"], k).alias("to"), acc["to"].alias("by"), acc["m_by"].alias("m_to"), acc["m_to"].alias("m_by"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), zero, step, lambda acc: F.concat(acc["to"], acc["by"]))
 
-    zero = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, rest).alias("r"))
-    step = lambda acc, n: F.when(n % 2 == 0, F.struct(acc["l"].alias("l"), added(acc["r"], acc["l"], m_right, n).alias("r"))).otherwise(F.struct(added(acc["l"], acc["r"], m_left, n).alias("l"), acc["r"].alias("r")))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), zero, step, lambda acc: F.concat(acc["l"], acc["r"]))
+    return let(residues, rounds)
 
 
 def _characters(s: Column) -> Column:
@@ -53,11 +60,14 @@ def _modulus(c: Column) -> Column:
     return F.when(c.between(48, 57), 10).when(c.between(65, 90), 26).when(c.between(97, 122), 26).otherwise(1).cast("bigint")
 
 
-def _by_class(s: Column, tag: Column, key: str) -> Column:
-    """Digits stay digits, letters letters of their case, other characters themselves."""
-    codes = _characters(s)
-    new = feistel(F.transform(codes, lambda c: c - _base(c)), F.transform(codes, _modulus), F.concat_ws(":", tag, F.array_join(F.transform(codes, lambda c: F.when(c.between(48, 57), F.lit("0")).otherwise(F.chr(_base(c)))), "")), key)
-    return F.when(F.length(s) > 0, F.array_join(F.zip_with(codes, new, lambda c, v: F.chr(_base(c) + v)), "")).otherwise(s)
+def _by_class(s: Column, tag: Column) -> Column:
+    """Residues of a string: digits stay digits, letters letters of their case, other characters themselves."""
+    form = lambda codes: F.array_join(F.transform(codes, lambda c: F.when(c.between(48, 57), F.lit("0")).otherwise(F.chr(_base(c)))), "")
+    return let(_characters(s), lambda codes: F.struct(F.transform(codes, lambda c: c - _base(c)).alias("values"), F.transform(codes, _modulus).alias("moduli"), F.concat_ws(":", tag, form(codes)).alias("tag")))
+
+
+def _classed(s: Column, new: Column) -> Column:
+    return F.array_join(F.zip_with(_characters(s), new, lambda c, v: F.chr(_base(c) + v)), "")
 
 
 def luhn(digits: Column) -> Column:
@@ -66,42 +76,36 @@ def luhn(digits: Column) -> Column:
     return F.when(F.length(digits) > 0, F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
 
 
-def _number(s: Column, key: str) -> Column:
-    """All but the last digit are permuted; the last keeps its distance from the Luhn check digit, so valid numbers stay
-    valid and others stay not."""
-    body, last = F.substring(s, F.lit(1), F.length(s) - 1), F.substring(s, F.length(s), F.lit(1)).cast("bigint")
-    plain = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    new = _by_class(body, F.lit("number"), key)
-    return F.concat(new, F.pmod(last + luhn(plain(body)) - luhn(plain(new)), F.lit(10)).cast("string"))
-
-
-def _address(s: Column, key: str) -> Column:
-    values = F.transform(F.split(s, r"\."), lambda x: x.cast("bigint"))
-    return F.array_join(feistel(values, F.array_repeat(F.lit(256).cast("bigint"), 4), F.lit("address"), key).cast("array<string>"), ".")
-
-
 def _date_parts(s: Column) -> Column:
     """array of year, month, day; with / or . the day comes first unless only the month can."""
     n = F.transform(F.split(s, "[-/.]"), lambda x: x.cast("int"))
     return F.when(F.substring(s, 5, 1) == "-", n).when((n[1] > 12) & (n[0] <= 12), F.array(n[2], n[0], n[1])).otherwise(F.array(n[2], n[1], n[0]))
 
 
-def _date(s: Column, key: str) -> Column:
-    parts = _date_parts(s)
-    day = F.datediff(F.make_date(parts[0], parts[1], parts[2]), F.lit(FIRST_DAY).cast("date"))
-    new = feistel(F.array(F.floor(day / DAYS), F.pmod(day, F.lit(DAYS)).cast("bigint")), F.array(F.lit(YEARS), F.lit(DAYS)).cast("array<bigint>"), F.lit("date"), key)
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), (new[0] * DAYS + new[1]).cast("int"))
-    n = F.transform(F.split(s, "[-/.]"), lambda x: x.cast("int"))
+def _day(parts: Column) -> Column:
+    return F.datediff(F.make_date(parts[0], parts[1], parts[2]), F.lit(FIRST_DAY).cast("date"))
+
+
+def _dated(s: Column, new: Column) -> Column:
+    """The date of the new residues in the format of the old one."""
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (new[0] * DAYS + new[1]).cast("int"))
     mark = F.regexp_extract(s, "[/.]", 0)
-    american = (n[1] > 12) & (n[0] <= 12)
-    dd, mm, yyyy = (F.date_format(to, f) for f in ("dd", "MM", "yyyy"))
-    return F.when(F.substring(s, 5, 1) == "-", F.date_format(to, "yyyy-MM-dd")).when(american, F.concat(mm, mark, dd, mark, yyyy)).otherwise(F.concat(dd, mark, mm, mark, yyyy))
+    american = F.split(s, "[/.]")
+
+    def formatted(d: Column) -> Column:
+        dd, mm, yyyy = (F.date_format(d, f) for f in ("dd", "MM", "yyyy"))
+        return F.when(mark == "", F.date_format(d, "yyyy-MM-dd")).when((american[1].cast("int") > 12) & (american[0].cast("int") <= 12), F.concat(mm, mark, dd, mark, yyyy)).otherwise(F.concat(dd, mark, mm, mark, yyyy))
+
+    return let(day, formatted)
 
 
 def _is_date(s: Column) -> Column:
-    parts = _date_parts(s)
-    good = (parts[1].between(1, 12)) & (parts[2] >= 1) & (parts[0].between(1800, 2199))
-    return s.rlike(f"^{DATE}$") & F.when(good, parts[2] <= F.dayofmonth(F.last_day(F.make_date(parts[0], parts[1], F.lit(1))))).otherwise(False) & F.when(good, F.datediff(F.make_date(parts[0], parts[1], F.least(parts[2], F.lit(28))), F.lit(FIRST_DAY).cast("date")) < YEARS * DAYS - 4).otherwise(False)
+    def exists(parts: Column) -> Column:
+        good = (parts[1].between(1, 12)) & (parts[2] >= 1) & (parts[0].between(1800, 2199))
+        last = F.dayofmonth(F.last_day(F.make_date(parts[0], parts[1], F.lit(1))))
+        return F.when(good, F.when(parts[2] <= last, _day(parts) < YEARS * DAYS).otherwise(False)).otherwise(False)
+
+    return let(_date_parts(s), exists)
 
 
 def kind(s: Column) -> Column:
@@ -116,16 +120,29 @@ def kind(s: Column) -> Column:
     )
 
 
-def pseudonym(s: Column, what: Column, key: str) -> Column:
-    code = F.regexp_extract(s, r"^\+[0-9]{1,3}", 0)
-    local = F.substring_index(s, "@", 1)
+def _part(s: Column, what: Column) -> Column:
+    """The part of a value whose characters are permuted by class."""
+    code = F.length(F.regexp_extract(s, r"^\+[0-9]{1,3}", 0))
+    return F.when(what == "email", F.substring_index(s, "@", 1)).when(what == "number", F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(F.substring(s, code + 1, F.length(s)))
+
+
+def _residues(s: Column, what: Column, part: Column) -> Column:
+    day = lambda d: F.struct(F.array(F.floor(d / DAYS), F.pmod(d, F.lit(DAYS)).cast("bigint")).alias("values"), F.array(F.lit(YEARS), F.lit(DAYS)).cast("array<bigint>").alias("moduli"), F.lit("date").alias("tag"))
+    address = F.struct(F.transform(F.split(s, r"\."), lambda x: x.cast("bigint")).alias("values"), F.array_repeat(F.lit(256).cast("bigint"), 4).alias("moduli"), F.lit("address").alias("tag"))
+    return F.when(what == "date", let(let(_date_parts(s), _day), day)).when(what == "address", address).otherwise(_by_class(part, what))
+
+
+def _written(s: Column, what: Column, part: Column, new: Column) -> Column:
+    """The pseudonym. The last digit of a number keeps its distance from the Luhn check digit, so valid numbers stay
+    valid and others stay not."""
+    plain = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    checked = let(_classed(part, new), lambda body: F.concat(body, F.pmod(F.substring(s, F.length(s), F.lit(1)).cast("bigint") + luhn(plain(part)) - luhn(plain(body)), F.lit(10)).cast("string")))
     return (
-        F.when(what == "email", F.concat(_by_class(local, F.lit("email"), key), F.substring(s, F.length(local) + 1, F.length(s))))
-        .when(what == "date", _date(s, key))
-        .when(what == "address", _address(s, key))
-        .when(what == "number", _number(s, key))
-        .when(what == "phone", F.concat(code, _by_class(F.substring(s, F.length(code) + 1, F.length(s)), F.lit("phone"), key)))
-        .otherwise(s)
+        F.when(what == "date", _dated(s, new))
+        .when(what == "address", F.array_join(new.cast("array<string>"), "."))
+        .when(what == "number", checked)
+        .when(what == "email", F.concat(_classed(part, new), F.substring(s, F.length(part) + 1, F.length(s))))
+        .otherwise(F.concat(F.substring(s, F.lit(1), F.length(s) - F.length(part)), _classed(part, new)))
     )
 
 
@@ -144,7 +161,12 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     found = F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_found", F.transform(found, lambda s: F.struct(s.alias("s"), kind(s).alias("kind"))))
-    df = df.withColumn("_new", F.transform("_found", lambda x: pseudonym(x["s"], x["kind"], key)))
+    # one column a step, so that no step is worked out twice
+    df = df.withColumn("_part", F.transform("_found", lambda x: F.when(x["kind"].isNotNull(), _part(x["s"], x["kind"]))))
+    df = df.withColumn("_res", F.zip_with("_found", "_part", lambda x, p: F.when(x["kind"].isNotNull(), _residues(x["s"], x["kind"], p))))
+    df = df.withColumn("_res", F.transform("_res", lambda r: F.when(r.isNotNull(), feistel(r, key))))
+    both = F.zip_with("_part", "_res", lambda p, r: F.struct(p.alias("part"), r.alias("new")))
+    df = df.withColumn("_new", F.zip_with("_found", both, lambda x, y: F.when(x["kind"].isNotNull(), _written(x["s"], x["kind"], y["part"], y["new"])).otherwise(x["s"])))
     pieces = F.transform(F.split(t, ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit(""))))
     counts = {f"n_{k}": _count(k) for k in KINDS}
-    return df.withColumns(counts | {text: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(t)}).drop("_found", "_new")
+    return df.withColumns(counts | {text: F.when(F.size("_found") > 0, F.array_join(pieces, "")).otherwise(t)}).drop("_found", "_part", "_res", "_new")
