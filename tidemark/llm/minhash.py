@@ -16,10 +16,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.shingles import bites, shingle_hashes
+from tidemark.llm import neardup
+from tidemark.llm.shingles import bites, mix, shingle_hashes
 
 PERMUTATIONS = 128
+#: Bands of near_classes: a pair of similarity 0.8 shares one with probability 0.99995.
+BANDS, ROWS = 25, 5
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -130,3 +134,45 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
                     held, size, ended = held[-1:], len(text), guest
 
     return ordered.select("doc_id", "text", "range", "guest").mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+class ShingleSets:
+    """The likeness that verification uses: the Jaccard similarity of the sets of word shingles."""
+
+    def vector(self, text: str) -> np.ndarray:
+        return np.unique(shingle_hashes([text])[0])
+
+    def node(self, text: str, vector: np.ndarray) -> bytes:
+        """Texts of equal shingles are equal; texts without shingles are if they are the same."""
+        return hashlib.md5(vector.tobytes() if len(vector) else b"plain:" + text.encode()).digest()
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> float:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common / max(len(a) + len(b) - common, 1)
+
+
+def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: one row per row, by banded fingerprints; see neardup.classes.
+
+    Bands of ROWS values are joined in Spark, candidates verified by the Jaccard similarity of the whole texts. A null
+    text counts as empty, and texts without words are near only their equals.
+    """
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    how = ShingleSets()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in bites(batch.column(1).to_pylist(), lambda t: len(t or "")):
+                sig, some = signatures(part)
+                key = np.zeros((len(part), BANDS), np.uint64)
+                for r in range(ROWS):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64))
+                values, first = shingle_hashes(part)
+                nodes = [how.node(t or "", np.unique(values[a:b])) for t, a, b in zip(part, first[:-1], first[1:], strict=True)]
+                bands = [k if x else [] for k, x in zip(key.view(np.int64), some, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                at += len(part)
+
+    keys = docs.mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())))
+    return neardup.classes(docs, keys, how, least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, html, langid, minhash, pii, secrets, warc
+from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -70,6 +70,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op10_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return icws.near_classes(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
@@ -80,6 +84,7 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
+    "op10_icws": op10_icws,
 }
 
 def _quoted(pattern: str) -> str:
