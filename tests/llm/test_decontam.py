@@ -14,14 +14,16 @@ def brute(docs, items, stretch=13, share=0.75):
     classes = {}
     for i, t in items:
         classes.setdefault(tuple(words(t)), []).append(i)
-    out = {}
+    out, seeds = {}, {}
+    for b, ids in classes.items():
+        for p in range(len(b) - decontam.SPAN + 1):
+            for m in decontam.MASKS:
+                seeds.setdefault((m, *(b[p + x] for x in m)), []).append((b, ids, p))
     for d, t in docs:
         w = words(t)
-        for b, ids in classes.items():
-            for k in range(len(w) - decontam.SPAN + 1):
-                for p in range(len(b) - decontam.SPAN + 1):
-                    if not any(all(w[k + x] == b[p + x] for x in m) for m in decontam.MASKS):
-                        continue
+        for k in range(len(w) - decontam.SPAN + 1):
+            for m in decontam.MASKS:
+                for b, ids, p in seeds.get((m, *(w[k + x] for x in m)), ()):
                     start = max(p - stretch, 0)
                     near = b[start : start + 2 * stretch + decontam.SPAN]
                     lead = p - start
