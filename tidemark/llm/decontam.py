@@ -76,9 +76,9 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     right = F.least(F.size("near") - F.col("lead"), F.size("w") - k)
     a, b = F.slice(w, k - left + 1, left + right), F.slice("near", F.col("lead") - left + 1, left + right)
     width = F.least(F.col("m"), F.lit(stretch))
-    found = hits.select("doc_id", "item_id", "n_items", width.alias("width"), _best(a, b, width).alias("n_tokens"))
-    found = found.filter(F.col("n_tokens") >= F.ceil(F.col("width") * F.lit(share) - 1e-9))
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_items").alias("n_items"), F.max("n_tokens").cast("long").alias("n_tokens"))
+    # the check comes after the sum: as a filter below it, it would move into the join and take the whole texts along
+    found = hits.groupBy("doc_id", "item_id", width.alias("width")).agg(F.max("n_items").alias("n_items"), F.max(_best(a, b, width)).cast("long").alias("n_tokens"))
+    return found.filter(F.col("n_tokens") >= F.ceil(F.col("width") * F.lit(share) - 1e-9)).select("doc_id", "item_id", "n_items", "n_tokens")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
