@@ -128,3 +128,34 @@ def test_components(spark):
         x, y = sorted((top(a), top(b)))
         parent[y] = x
     assert got == {n: top(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def numbers():
+    class Numbers:  # made here, so that it travels to the workers whole
+        """Texts are numbers; those less than 10 apart are near."""
+
+        def vector(self, text):
+            return int(text)
+
+        def node(self, text, vector):
+            return vector.to_bytes(16, "big")
+
+        def alike(self, a, b):
+            return 1.0 if abs(a - b) < 10 else 0.0
+
+    return Numbers()
+
+
+@pytest.mark.parametrize("size", [3, 500])
+def test_large_bucket_of_many_clusters(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "GROUP", size)
+    values = [c * 1000 + i for c in range(12) for i in range(8)]
+    random.Random(1).shuffle(values)
+    rows = [(i, str(v), numbers().node("", v), [7]) for i, v in enumerate(values)]
+    keys = spark.createDataFrame([(i, n, b) for i, _, n, b in rows], "doc_id long, node binary, bands array<bigint>")
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs, keys, numbers()).collect()}
+    least = {}
+    for i, v in enumerate(values):
+        least.setdefault(v // 1000, i)
+    assert got == {i: least[v // 1000] for i, v in enumerate(values)}
