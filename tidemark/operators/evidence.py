@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,7 @@ def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block:
     ``questions`` has question_id, video_id and options (arrays of equal size).
     """
     spark = questions.sparkSession
-    means = frames.groupBy("video_id").agg(*[F.avg(F.col("emb")[i].cast("double")).alias(f"m{i}") for i in range(len(frames.select("emb").first()[0]))])
-    means = means.select("video_id", F.array(*[c for c in means.columns if c != "video_id"]).alias("mean"))
+    means = frames.groupBy("video_id").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("emb").cast("array<double>")))).alias("mean"))
     rows = frames.join(means, "video_id").select("video_id", "emb", "mean")
     listed = questions.select("question_id", "video_id", "options").orderBy("question_id")
     parts = []

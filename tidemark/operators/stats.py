@@ -12,11 +12,15 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation; null where a side is constant."""
+    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: list[str], out: str = "spearman") -> DataFrame:
     """Rank correlation of two columns within each group; null where one is constant."""
     ranked = df.withColumns({"_a": average_rank(a, *by), "_b": average_rank(b, *by)})
-    spread = (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0)
-    return ranked.groupBy(*by).agg(F.when(spread, F.corr("_a", "_b")).alias(out))
+    return ranked.groupBy(*by).agg(_corr("_a", "_b").alias(out))
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +29,7 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     long = long.select("_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias("c", "x"))
     ranked = long.select("_id", "c", average_rank("x", "c").alias("r"))
     both = ranked.join(ranked.toDF("_id", "d", "q"), "_id")
-    return both.groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.corr("r", "q").alias("spearman"))
+    return both.groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(_corr("r", "q").alias("spearman"))
 
 
 def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:

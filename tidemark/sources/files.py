@@ -77,7 +77,7 @@ def read_subtitles(manifest: DataFrame, partitions: int | None = None) -> DataFr
     paths = [r.subtitle_path for r in manifest.select("subtitle_path").distinct().toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], schemas.CUES)
-    texts = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("content"))
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("content"))
     key = lambda c: F.regexp_replace(c, "^file:/*", "/")
     rows = manifest.join(texts, key(F.col("subtitle_path")) == key(F.col("_path"))).select("video_id", "content")
     return parse_subtitles(rows.repartition(partitions, "video_id") if partitions else rows)
