@@ -41,6 +41,11 @@ def test_what_stands_around(before, after, outer):
     assert html.main_text(page).split("\n\n") == ["Head & line", LONG.strip(), "Short.", LONG.strip() + " more <b>", "one", "two"]
 
 
+def test_classes_that_speak_of_others():
+    page = f'<body class="x"><div class="wrap has-sidebar"><div class="site-header"><p>{LONG}</p></div><article class="post no-comments"><div class="post-header"><h1>Title</h1></div><p>{LONG}</p><div class="cookiebar"><p>We use cookies, yes.</p></div></article></div>'
+    assert html.main_text(page).split("\n\n") == ["Title", LONG.strip()]
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("plain", "plain"), ("<", "<"), ("<p", ""), ("<p>a<p>b", "a\n\nb"), ("<article></article>", ""), ("a < b", "a < b"), ("<p>&#x41;&bogus;</p>", "A&bogus;"), ("<script>x", ""), ("<!-- x", ""), ('<div title="a>b">x. y</div>', "x. y"), ("</p></div>x", "x")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text

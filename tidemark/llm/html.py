@@ -32,9 +32,13 @@ NEVER_HINTED = set("html body article main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|disclaimer|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|respond|reply|replies|discussion|disqus|footer|foot|header|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|form|search|toolbar|pagination|pager|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|container|wrapper)|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|disclaimer|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|responses?|respond|reply|replies|discussion|disqus|footer|foot|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|form|search|toolbar|pagination|pager|copyright|legal|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Of a page's header, but not of an article's.
+HEAD_HINT = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+#: What a class says of its surroundings: "has-sidebar" is no sidebar.
+AROUND = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[-_][\w-]+", re.I)
 TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，！？¿¡]")
@@ -115,7 +119,8 @@ class _Page:
                 self.pop(other)
         if tag in VOID:
             return
-        dropped = self.stack[-1][2] or tag in DROPPED or (tag == "header" and not any(self.open.get(t) for t in ARTICLE))
+        in_article = any(self.open.get(t) for t in ARTICLE)
+        dropped = self.stack[-1][2] or tag in DROPPED or (tag == "header" and not in_article)
         if attributes and not dropped and tag not in NEVER_HINTED:
             for name, value in NAMED.findall(attributes):
                 value = value.strip("\"'")
@@ -125,7 +130,8 @@ class _Page:
                 elif name in ("hidden", "aria-hidden"):
                     dropped = dropped or value.lower() in ("", "hidden", "true")
                 else:
-                    dropped = dropped or bool(HINT.search(value))
+                    value = AROUND.sub("", value)
+                    dropped = dropped or bool(HINT.search(value)) or (not in_article and bool(HEAD_HINT.search(value)))
         self.parent.append(self.stack[-1][1])
         self.tag.append(tag)
         self.stack.append((tag, len(self.tag) - 1, dropped))
