@@ -5,8 +5,8 @@ exchanged. The masked hashes of all token positions of the texts are joined with
 hit the two texts are laid side by side, and the pair counts as an overlap if some stretch of ``stretch`` tokens (or
 the whole item, if shorter) agrees in at least ``share`` of its places.
 
-The benchmark's seeds are sent to all tasks if they are at most ``broadcast_rows`` (then the texts are never
-shuffled), else both sides are shuffled by hash. All masks keep the first and last place, so pairs of these are looked
+The benchmark's seeds are counted and sent to all tasks, in blocks of about ``broadcast_rows`` (some 100 MB), so the
+texts are never shuffled: a larger benchmark takes more passes over them, not more memory. All masks keep the first and last place, so pairs of these are looked
 up first, and only what passes is hashed under every mask.
 """
 
@@ -49,7 +49,7 @@ def _best(a: Column, b: Column, width: Column) -> Column:
     return let(sums, lambda s: F.when(F.size(s) > width, F.array_max(F.transform(F.sequence(F.lit(0), F.size(s) - 1 - width), lambda i: s[i + width] - s[i]))))
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 2_000_000) -> DataFrame:
+def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per doc_id and overlapping benchmark text: doc_id, item_id, n_items, n_tokens.
 
     Benchmark items with the same tokens are one text, named by its smallest id (null first), with n_items copies.
@@ -58,20 +58,27 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).filter(F.size("b") >= SPAN)
     items = items.groupBy("b").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    seeds = items.agg(F.coalesce(F.sum(F.size("b") - SPAN + 1), F.lit(0))).first()[0] * len(MASKS)
+    blocks = max(1, math.ceil(seeds / broadcast_rows))
+    docs = df.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).filter(F.size("w") >= SPAN)
+    found = _block(docs, items if blocks == 1 else items.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == 0), stretch, share)
+    for i in range(1, blocks):
+        found = found.union(_block(docs, items.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i), stretch, share))
+    return found
+
+
+def _block(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> DataFrame:
+    """Overlaps of the texts with a block of the benchmark whose seeds fit in every task."""
     placed = items.select("b", "item_id", "n_items", F.explode(_positions(F.col("b"))).alias("p"))
     # what lies within reach of a hit, and where in it the hit begins
     start = F.greatest(F.col("p") - stretch, F.lit(0))
     seeds = placed.select("item_id", "n_items", F.size("b").alias("m"), F.slice("b", start + 1, F.lit(2 * stretch + SPAN)).alias("near"), (F.col("p") - start).alias("lead"), F.explode(_seeds(F.col("b"), F.col("p"))).alias("seed"))
     ends = placed.select(_ends(F.col("b"), F.col("p")).alias("pair")).distinct()
 
-    at_most = placed.limit(broadcast_rows + 1).count() * len(MASKS)
-    sent = F.broadcast if at_most <= broadcast_rows else (lambda x: x)
-
-    docs = df.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).filter(F.size("w") >= SPAN)
     places = docs.select("doc_id", "w", F.explode(_positions(F.col("w"))).alias("k"))
     w, k = F.col("w"), F.col("k")
-    likely = places.withColumn("pair", _ends(w, k)).join(sent(ends), "pair", "left_semi")
-    hits = likely.select("doc_id", "w", "k", F.explode(_seeds(w, k)).alias("seed")).join(sent(seeds), "seed")
+    likely = places.withColumn("pair", _ends(w, k)).join(F.broadcast(ends), "pair", "left_semi")
+    hits = likely.select("doc_id", "w", "k", F.explode(_seeds(w, k)).alias("seed")).join(F.broadcast(seeds), "seed")
     left = F.least("lead", "k")
     right = F.least(F.size("near") - F.col("lead"), F.size("w") - k)
     a, b = F.slice(w, k - left + 1, left + right), F.slice("near", F.col("lead") - left + 1, left + right)
