@@ -26,7 +26,7 @@ UNDETERMINED = "und"
 #: Languages up to which all distinct splits of them make the code; more get RANDOM_BITS random ones.
 EXHAUSTIVE, RANDOM_BITS = 5, 63
 #: A text whose best codeword loses only so little less than the second (per bit) is flagged.
-MARGIN = 0.02
+MARGIN = 0.2
 
 
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
