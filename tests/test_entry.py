@@ -4,7 +4,7 @@ import subprocess
 import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-CODE = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 40; print(any(k.startswith('op') or k == 'pipeline' for k in q))"
+CODE = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 40; import re; print(any(re.match(r'op[0-9]+_|pipeline', k) for k in q))"
 
 
 def run(folder):
