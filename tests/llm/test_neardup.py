@@ -92,8 +92,8 @@ def test_idf_counts_documents(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     cells = icws.idf_cells(df)
     of = lambda t: cells[icws._cells(icws.counted([t])[0][0])][0]
-    want = lambda n: 1 + np.log(9 / n) / np.log(1 << icws.CELL_BITS)
-    assert abs(of("a b c d e") - want(7)) < 1e-6 and abs(of("f g h i j") - want(1)) < 1e-6 and cells.max() <= 2 and cells.min() >= 1
+    want = lambda n: 1 + icws.IDF_SPAN * np.log(9 / n) / np.log(1 << icws.CELL_BITS)
+    assert abs(of("a b c d e") - want(7)) < 1e-6 and abs(of("f g h i j") - want(1)) < 1e-6 and cells.max() <= 1 + icws.IDF_SPAN and cells.min() >= 1
 
 
 def test_samples_agree_as_often_as_the_sets_do():
