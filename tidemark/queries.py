@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.config import BoundaryConfig
 from tidemark.functions import options, vectors
 from tidemark.operators import encode, events, evidence, intervals, matching, sampling, signals, stats
+from tidemark.sources import files
 
 DAY = 86400.0
 VISUAL = ("view", "click")
@@ -639,3 +640,55 @@ def encoded_texts(spark, sf_dir):
     """Texts encoded by the hashing stand-in; held against the encoder itself in the tests."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return encode.encode(rows, "text", encode.HashingEncoder).select("conv_id", "turn", "emb")
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+def _stamp(x: Column) -> Column:
+    """hh:mm:ss,mmm of whole milliseconds."""
+    part = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    hours = F.floor(x / 3600000).cast("string")
+    return F.concat(F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), F.lit(":"), part(F.floor(x / 60000) % 60, 2), F.lit(":"), part(F.floor(x / 1000) % 60, 2), F.lit(","), part(x % 1000, 3))
+
+
+@query("subtitle_cues", f"""WITH {_CUES}, m AS (SELECT video_id, cue_idx, CAST(round(s * 1000) AS BIGINT) AS s, CAST(round(e * 1000) AS BIGINT) AS e, text FROM cues)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY s, cue_idx) - 1 AS cue_idx, round(s / 1000.0::DOUBLE, 3) AS start, round(e / 1000.0::DOUBLE, 3) AS "end", text FROM m WHERE e > s""")
+def subtitle_cues(spark, sf_dir):
+    """Events written as one SRT text per user, and parsed."""
+    c = cues(spark, sf_dir).withColumns({"s": F.round(F.col("start") * 1000).cast("long"), "e": F.round(F.col("end") * 1000).cast("long")})
+    block = F.concat(F.col("cue_idx").cast("string"), F.lit("\r\n"), _stamp(F.col("s")), F.lit(" --> "), _stamp(F.col("e")), F.lit("\r\n<i>"), F.col("text"), F.lit("</i>\r\n"))
+    texts = c.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "cue_idx", block.alias("b")))), lambda x: x["b"]), "\r\n").alias("content"))
+    rows = files.parse_subtitles(texts)
+    return rows.select("video_id", "cue_idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+
+
+@query("unique_ids", "SELECT p_partkey AS id, CASE WHEN n > 1 THEN p_name || '_' || n ELSE p_name END AS video_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+def unique_ids(spark, sf_dir):
+    """Names that repeat get a number."""
+    return files.unique_ids(catalogue(spark, sf_dir), "name", "id").select("id", "video_id")
+
+
+@query("media_manifest", "SELECT CAST(p_partkey AS VARCHAR) AS video_id, '/v/' || p_name || '.mp4' AS video_path, '/v/' || p_name || '.srt' AS subtitle_path, p_name AS asset_id, p_type AS domain, p_brand AS sub_category FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 45)")
+def media_manifest(spark, sf_dir):
+    """The media pair of each selected asset, those without one left out. Large parts stand for what is on disk."""
+    p = catalogue(spark, sf_dir)
+    selection = p.select(F.col("id").cast("string").alias("video_id"), F.col("name").alias("videoID"), "domain", F.col("sub").alias("sub_category"))
+    there = p.filter("mb > 45").select(F.col("name").alias("video_id")).distinct()
+    path = lambda ending: F.concat(F.lit("/v/"), F.col("video_id"), F.lit(ending))
+    return files.manifest(selection, there.select("video_id", path(".mp4").alias("video_path"), path(".srt").alias("subtitle_path")), require_all=False)
+
+
+@query("embedded_questions", f"WITH {_QUESTIONS} SELECT question_id, video_id FROM questions WHERE video_id IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 50)")
+def embedded_questions(spark, sf_dir):
+    """Questions on videos with 50 frames or more."""
+    long = frames(spark, sf_dir).groupBy("video_id").count().filter("count >= 50")
+    return questions(spark, sf_dir).join(long, "video_id", "left_semi").select("question_id", "video_id")
+
+
+@query("question_constants", f"WITH {_SCORES}, {_vote_sql('scores', 'question_id')}, od AS (SELECT a.question_id, a.o, round(sum(1 - {_dot('a.x', 'b.x')}), 9) AS d FROM opts a JOIN opts b ON a.question_id = b.question_id AND a.o <> b.o GROUP BY ALL), odd AS (SELECT question_id, o AS odd FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d DESC, o) AS rn FROM od) WHERE rn = 1) SELECT count(*) AS n, round(avg(correct::INT), 6) AS whole_video_accuracy, round(avg((odd = answer_idx)::INT), 6) AS odd_is_answer FROM voted JOIN odd USING (question_id) JOIN questions USING (question_id)")
+def question_constants(spark, sf_dir):
+    """Accuracy of the vote of all frames, and how often the odd option is the answer."""
+    votes = evidence.vote(_scores(spark, sf_dir), _answers(spark, sf_dir), ["question_id"])
+    odd = questions(spark, sf_dir).select("question_id", (vectors.odd_one_out(F.col("options")) == F.col("answer_idx")).alias("hit"))
+    return votes.join(odd, "question_id").agg(F.count("*").alias("n"), six(F.avg(F.col("correct").cast("double"))).alias("whole_video_accuracy"), six(F.avg(F.col("hit").cast("double"))).alias("odd_is_answer"))
