@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.native import let
+from tidemark.llm.shared import sent_if_small
 
 SPAN = 9
 #: Places of a window that count, six under each mask.
@@ -90,7 +91,8 @@ def _block(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> Dat
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """``df`` without the rows whose doc_id overlaps a benchmark text; see overlaps()."""
-    bad = overlaps(df, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("_bad")).distinct()
+    # few documents overlap: their ids are counted, and the texts stay where they lie if the ids can be sent
+    bad = sent_if_small(overlaps(df, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("_bad")).distinct(), "overlaps")
     return df.join(bad, df[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -17,7 +18,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoints_here(spark: SparkSession) -> None:
-    """Make checkpoint() write to the shared folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; this also cuts its lineage."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame, name: str, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (rows of an id or so) written, counted, and sent to all tasks of a join if it has at most ``rows``."""
+    out = written(df, name)
+    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
