@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import neardup
 from tidemark.llm.shared import sent_if_small
-from tidemark.llm.shingles import bites, mix, shingle_hashes
+from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9992 at 0.8.
 BANDS, ROWS = 10, 3
@@ -103,6 +103,9 @@ class WeightedShingles:
         shingles, counts = vector[:2]
         return hashlib.md5(shingles.tobytes() + counts.astype(np.int64).tobytes() if len(shingles) else b"plain:" + text.encode()).digest()
 
+    def sketch(self, vector) -> np.ndarray:
+        return np.bincount((vector[0] & np.uint64(CELLS - 1)).astype(np.int64), vector[2], CELLS).astype(np.float32)
+
     def alike(self, a, b) -> float:
         """Weighted Jaccard similarity."""
         if not len(a[0]) or not len(b[0]):

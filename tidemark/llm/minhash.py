@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import neardup
-from tidemark.llm.shingles import bites, mix, shingle_hashes
+from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
 PERMUTATIONS = 128
 #: Bands of near_classes: a pair of similarity 0.8 shares one with probability 0.99995.
@@ -146,6 +146,9 @@ class ShingleSets:
         """Texts of equal shingles are equal; texts without shingles are if they are the same."""
         return hashlib.md5(vector.tobytes() if len(vector) else b"plain:" + text.encode()).digest()
 
+    def sketch(self, vector: np.ndarray) -> np.ndarray:
+        return np.bincount((vector & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.float32)
+
     def alike(self, a: np.ndarray, b: np.ndarray) -> float:
         common = len(np.intersect1d(a, b, assume_unique=True))
         return common / max(len(a) + len(b) - common, 1)

@@ -1,9 +1,9 @@
 """Classes of near-duplicate texts from band keys, in Spark joins.
 
-Equal texts are one node from the start, so copies never meet in pairs. Nodes that share a band key form a bucket. A
-bucket is not expanded into pairs: each of its nodes is compared with the bucket's first and last node; what is near
-neither is compared among itself, each node with the leaders found so far, in parts of bounded size whose leaders meet
-again. Verified links make a graph, whose components come from least labels with pointer jumping. All that grows stays
+Equal texts are one node from the start, so copies never meet in pairs. Nodes that share a band key form a bucket. Each
+node of a bucket is compared with the bucket's first and last node; all others are compared with each other in parts of
+bounded size, every two of which meet, unless they are of one component by then or a bound shows that they cannot be
+near. Verified links make a graph, whose components come from least labels with pointer jumping. All that grows stays
 in Spark; intermediate tables are written to the shared folder, which also cuts the lineage.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,11 @@ from tidemark.llm.shared import written
 
 
 class Likeness(Protocol):
-    """How two texts are compared; sent to the executors."""
+    """How two texts are compared; sent to the executors.
+
+    It may also have ``sketch(vector)``: float32 sums of a vector's weights by cell. What two vectors have in common is
+    at most the sum of the lesser cells, which bounds their similarity.
+    """
 
     def vector(self, text: str) -> Any: ...
 
@@ -49,41 +54,134 @@ def _verified(links: DataFrame, texts: DataFrame, how: Likeness, least: float) -
     return both.mapInArrow(run, "a binary, b binary, near double").withColumn("linked", F.col("near") >= least)
 
 
-#: Nodes of a bucket that one task compares with each other; larger buckets are dealt out in parts of this size.
+#: Nodes of a part. A task compares one part within itself, or two parts with each other.
 GROUP = 500
-
-
-def _led(rows: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
-    """Rows (bucket, part, node) compared within their part: each node with the part's leaders until one is near.
-
-    Gives (bucket, a, b, near): a link if b is set, else the leader a, which was near none before it.
+#: Passes in which the parts of a large bucket are compared only within themselves, dealt anew each time, so that a
+#: large group is mostly one component before parts meet each other.
+DEALS = 2
+#: Room for rounding in the bound by sketches.
+_SLACK = 1e-3
+
+
+class _Held:
+    """Nodes that later ones are compared with, and which components turned out to be one."""
+
+    def __init__(self, how: Likeness, least: float):
+        self.how, self.least, self.sketch = how, least, getattr(how, "sketch", None)
+        self.nodes: list[tuple[bytes, bytes, Any]] = []
+        self.number: dict[bytes, int] = {}
+        self.root, self.of = np.arange(8), np.zeros(8, np.int64)  # by component; component by node
+        self.cells, self.sums = np.zeros((8, 0), np.float32), np.zeros(8)
+
+    def component(self, name: bytes) -> int:
+        got = self.number.setdefault(name, len(self.number))
+        if got == len(self.root):
+            self.root = np.concatenate([self.root, np.arange(got, 2 * got)])
+        return got
+
+    def links(self, name: bytes, vector: Any, cells: np.ndarray | None) -> list[tuple[bytes, bytes, float]]:
+        """(node, component, similarity) of a held node of each other component that the node is near."""
+        own, n, out = self.component(name), len(self.nodes), []
+        open_ = np.flatnonzero(self.root[self.of[:n]] != self.root[own])
+        if cells is not None and len(open_):
+            common = np.concatenate([np.minimum(self.cells[at], cells).sum(axis=1, dtype=np.float64) for at in np.array_split(open_, len(open_) // 512 + 1)])
+            bound = common / np.maximum(self.sums[open_] + cells.sum(dtype=np.float64) - common, 1e-9)
+            order = np.argsort(-bound, kind="stable")
+            open_ = open_[order][bound[order] >= self.least - _SLACK]
+        for k in open_:
+            if self.root[self.of[k]] != self.root[own] and (near := self.how.alike(self.nodes[k][2], vector)) >= self.least:
+                out.append((self.nodes[k][0], self.nodes[k][1], near))
+                self.root[self.root == self.root[self.of[k]]] = self.root[own]
+        return out
+
+    def hold(self, node: bytes, name: bytes, vector: Any, cells: np.ndarray | None) -> None:
+        n = len(self.nodes)
+        if n == len(self.of):
+            self.of, self.sums = np.concatenate([self.of, self.of]), np.concatenate([self.sums, self.sums])
+            self.cells = np.concatenate([self.cells, self.cells])
+        if cells is not None:
+            if not self.cells.shape[1]:
+                self.cells = np.zeros((len(self.of), len(cells)), np.float32)
+            self.cells[n], self.sums[n] = cells, cells.sum(dtype=np.float64)
+        self.of[n] = self.component(name)
+        self.nodes.append((node, name, vector))
+
+
+def _compared(rows: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
+    """Rows (bucket, i, j, second, node, component): all pairs within part i (i = j), or of part i with j (``second``).
+
+    A pair is left out only where its nodes are in one component, as given or by links of the same task, or where
+    their sketches show that it cannot reach ``least``. Gives links: a, b, near, component_a, component_b.
     """
-    spread = rows.join(texts, "node").select("bucket", "part", "node", "text")
-    ordered = spread.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node")
+    spread = rows.join(texts, "node").select("bucket", "i", "j", "second", "node", "component", "text")
+    ordered = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "second", "node")
+    names = ["a", "b", "near", "component_a", "component_b"]
+    kinds = [pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []
+        group, held = None, None
         for batch in batches:
-            bucket, part, node = (batch.column(i).to_pylist() for i in range(3))
-            a, b, near = [], [], []
-            for i in range(batch.num_rows):
-                if (bucket[i], part[i]) != group:
-                    group, leaders = (bucket[i], part[i]), []
-                vector = how.vector(batch.column(3)[i].as_py())
-                hit = next(((n, x) for n, v in leaders if (x := how.alike(v, vector)) >= least), None)
-                if hit is None:
-                    leaders.append((node[i], vector))
-                a.append(min(node[i], hit[0]) if hit else node[i])
-                b.append(max(node[i], hit[0]) if hit else None)
-                near.append(hit[1] if hit else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near, pa.float64())], names=["bucket", "a", "b", "near"])
-
-    return ordered.mapInArrow(run, "bucket long, a binary, b binary, near double")
-
-
-def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> DataFrame:
-    """Verified links (a, b, near) between different nodes.
-
+            bucket, i, j, second, node, component = (batch.column(c).to_pylist() for c in range(6))
+            out: list[tuple] = []
+            for r in range(batch.num_rows):
+                if (bucket[r], i[r], j[r]) != group:
+                    group, held = (bucket[r], i[r], j[r]), _Held(how, least)
+                vector = how.vector(batch.column(6)[r].as_py())
+                cells = held.sketch(vector) if held.sketch else None
+                if i[r] == j[r] or second[r]:
+                    for other, of_other, near in held.links(component[r], vector, cells):
+                        ends = sorted([(node[r], component[r]), (other, of_other)])
+                        out.append((ends[0][0], ends[1][0], near, ends[0][1], ends[1][1]))
+                if not second[r]:
+                    held.hold(node[r], component[r], vector, cells)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds[c]) for c in range(5)], names=names)
+
+    return ordered.mapInArrow(run, "a binary, b binary, near double, component_a binary, component_b binary")
+
+
+def _within(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows (bucket, n, node, component) dealt to parts, each to be compared within itself."""
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
+    return rows.select("bucket", part.alias("i"), part.alias("j"), F.lit(False).alias("second"), "node", "component")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, node, component) dealt to parts, and every two parts that are not of one component put together."""
+    of = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    # a large component has parts of its own, small ones share theirs
+    whole = F.when(F.col("m") >= GROUP / 2, F.col("component"))
+    of = of.withColumn("whole", whole).withColumn("shared", F.coalesce("whole", F.lit(b"")))
+    sizes = of.groupBy("bucket", "shared").agg(F.ceil(F.sum("m") / GROUP).alias("k"))
+    of = of.join(sizes, ["bucket", "shared"]).select("bucket", "component", "whole", "shared", "k")
+    part = F.xxhash64("shared", F.pmod(F.xxhash64("node"), F.col("k")))
+    dealt = written(rows.join(of, ["bucket", "component"]).select("bucket", "node", "component", "whole", part.alias("part")), "dealt")
+    parts = written(dealt.groupBy("bucket", "part").agg(F.first("whole").alias("whole")), "parts")
+    one, two = parts.toDF("bucket", "i", "whole_i"), parts.toDF("bucket", "j", "whole_j")
+    met = one.join(two, "bucket").filter("i <= j AND (whole_i IS NULL OR whole_j IS NULL OR whole_i <> whole_j)").select("bucket", "i", "j")
+    sides = met.select("bucket", "i", "j", F.col("i").alias("part"), F.lit(False).alias("second"))
+    sides = sides.union(met.filter("i < j").select("bucket", "i", "j", F.col("j").alias("part"), F.lit(True).alias("second")))
+    return dealt.join(sides, ["bucket", "part"]).select("bucket", "i", "j", "second", "node", "component")
+
+
+def _unsettled(inner: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, n, node, component) of the buckets whose nodes are of more than one component; equal buckets once."""
+    rows = inner.join(labels, "node")
+    total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), total.alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
+    buckets = buckets.filter("low <> high").groupBy("n", "total", "low", "high").agg(F.min("bucket").alias("bucket"))
+    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component"), "unsettled")
+
+
+def _merged(labels: DataFrame, made: DataFrame) -> DataFrame:
+    """Labels (node, component) after the links of ``made``."""
+    merged = components(made.select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))).toDF("component", "into")
+    return written(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+
+
+def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, near) between different nodes, and the component (node, component) of all that share a bucket.
+
+    Of two nodes of a bucket that end in different components each was compared with the other, or could not be near.
     ``docs`` has doc_id and text, ``keys`` doc_id, node and bands (an array of band keys).
     """
     ids = F.struct(F.col("doc_id").isNull(), "doc_id")
@@ -112,28 +210,22 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> Data
     # every node with the first and the last of its bucket
     pair = lambda end: met.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
     found = written(_verified(pair("first").union(pair("last")).distinct(), texts, how, least).filter("linked").select("a", "b", "near"), "links")
-    left = met.filter("node <> first AND node <> last").select("bucket", "node", "first", "last")
-    for end in ("first", "last"):
-        near = found.select(F.col("a").alias("ya"), F.col("b").alias("yb"))
-        left = left.join(near, (F.least("node", end) == F.col("ya")) & (F.greatest("node", end) == F.col("yb")), "left_anti")
-    left, size, before = written(left.select("bucket", "node"), "left"), GROUP, None
-
-    # what is near neither: among itself, by leaders, until each bucket's leaders fit in one part
-    while True:
-        counts = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rows, largest = counts.agg(F.sum("n"), F.max("n")).first()
-        if not rows:
-            return found
-        if rows == before:
-            size *= 2
-        before = rows
-        parts = left.join(counts, "bucket").select("bucket", "node", F.pmod(F.xxhash64("node", F.lit(size)), F.ceil(F.col("n") / size)).alias("part"))
-        made = written(_led(parts, texts, how, least), "led")
-        found = found.union(made.filter("b IS NOT NULL").select("a", "b", "near"))
-        if largest <= size:
-            return found
-        large = counts.filter(F.col("n") > size).select("bucket")
-        left = made.filter("b IS NULL").select("bucket", F.col("a").alias("node")).join(large, "bucket", "left_semi")
+    labels = met.select("node").distinct().join(components(found), "node", "left")
+    labels = written(labels.select("node", F.coalesce("component", "node").alias("component")), "labels")
+
+    # the first and the last met all others; those between meet each other unless they are of one component
+    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node"), "inner")
+    for turn in range(DEALS + 1):
+        rows = _unsettled(inner, labels)
+        largest = rows.agg(F.max("n")).first()[0]
+        if not largest:
+            break
+        made = written(_compared(_across(rows) if turn == DEALS else _within(rows, turn), texts, how, least), "made")
+        found, labels = found.union(made.select("a", "b", "near")), _merged(labels, made)
+        if largest <= GROUP:
+            break
+        inner = rows.filter(F.col("n") > GROUP).select("bucket", "node")  # the others are done
+    return found.groupBy("a", "b").agg(F.max("near").alias("near")), labels
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,9 +256,10 @@ def classes(docs: DataFrame, keys: DataFrame, how: Likeness, least: float = 0.8)
     with an equal text.
     """
     keys = written(keys, "keys")
-    linked = written(links(docs, keys, how, least), "links")
+    linked, labels = links(docs, keys, how, least)
+    linked = written(linked, "links")
     each = linked.select(F.col("a").alias("node")).union(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    inside = components(linked).join(each, "node")
+    inside = labels.join(each, "node", "left")
     nodes = keys.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     nodes = nodes.join(inside, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = nodes.groupBy("component").agg(F.min("least").alias("class_id"))

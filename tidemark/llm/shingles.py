@@ -9,6 +9,8 @@ import numpy as np
 WIDTH = 5
 #: Bytes of text that are hashed in one go; a longer text is cut between words and its parts put together.
 BITE = 1 << 20
+#: Cells of the sketches that bound the similarity of two texts.
+CELLS = 256
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
