@@ -89,11 +89,12 @@ def _block(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> Dat
     return found.filter(F.col("n_tokens") >= F.ceil(F.col("width") * F.lit(share) - 1e-9)).select("doc_id", "item_id", "n_items", "n_tokens")
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``df`` without the rows whose doc_id overlaps a benchmark text; see overlaps()."""
-    # few documents overlap: their ids are counted, and the texts stay where they lie if the ids can be sent
-    bad = sent_if_small(overlaps(df, benchmark, doc_id=doc_id, **how).select(F.col("doc_id").alias("_bad")).distinct(), "overlaps")
-    return df.join(bad, df[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``df`` without the rows whose text overlaps a benchmark text; see overlaps(). Rows may share an id or have none."""
+    # a text is known by its hash; few overlap: the hashes are counted, and the texts stay where they lie if they can be sent
+    keyed = df.withColumn("_of_text", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
+    bad = sent_if_small(overlaps(keyed, benchmark, doc_id="_of_text", text=text, **how).select(F.col("doc_id").alias("_bad")).distinct(), "overlaps")
+    return keyed.join(bad, keyed["_of_text"] == bad["_bad"], "left_anti").drop("_of_text")
 
 
 def least(width: int, share: float) -> int:

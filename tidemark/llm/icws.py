@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import neardup
-from tidemark.llm.shared import sent_if_small
+from tidemark.llm.shared import sent_if_small, written
 from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9992 at 0.8.
@@ -169,22 +169,30 @@ def keys(docs: DataFrame, how: WeightedShingles) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())))
 
 
+def _by_row(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
+    """neardup.classes of the rows, each named by its id and text (see neardup.row_key): ids need not differ."""
+    docs = df.select(neardup.row_key(df[doc_id], df[text]).alias("doc_id"), df[text].alias("text"))
+    how = WeightedShingles(df.sparkSession.sparkContext.broadcast(idf_cells(docs)))
+    return neardup.classes(docs, keys(docs, how), how, least)
+
+
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, class_id, n_links, n_copies: one row per row; see neardup.classes.
 
     Equal texts are in one class; a null text counts as empty, and texts without words are near only their equals.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    how = WeightedShingles(df.sparkSession.sparkContext.broadcast(idf_cells(docs)))
-    return neardup.classes(docs, keys(docs, how), how, least)
+    return _by_row(df, doc_id, text, least).select("doc_id.doc_id", F.col("class_id.doc_id").alias("class_id"), "n_links", "n_copies")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """``df`` with one row of each class: that with the smallest doc_id (of rows that share it, one)."""
-    rows = near_classes(df, doc_id, text, least)
-    if df.groupBy(doc_id).count().filter("count > 1").limit(1).count():
-        heads = rows.select(F.col("class_id").alias("_head")).distinct()
-        return df.join(heads, df[doc_id].eqNullSafe(heads["_head"]), "left_semi").dropDuplicates([doc_id])
-    # ids are unique: fewer rows go than stay
-    gone = sent_if_small(rows.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")), "gone")
-    return df.join(gone, df[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    """``df`` with one row of each class: that with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Rows are told apart by id and text, so different texts that share an id, or have none, each stay.
+    """
+    rows = written(_by_row(df, doc_id, text, least).select("doc_id", "class_id"), "rows")
+    gone = sent_if_small(rows.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = df.withColumn("_row", neardup.row_key(df[doc_id], df[text]))
+    kept = kept.join(gone, kept["_row"] == gone["_gone"], "left_anti")
+    if rows.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_row"])  # the same text under the same id
+    return kept.drop("_row")

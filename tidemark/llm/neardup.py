@@ -14,7 +14,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import written
@@ -35,6 +35,11 @@ class Likeness(Protocol):
     def alike(self, a: Any, b: Any) -> float: ...
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Names a row by its id and text; never null, in order of doc_id (null last)."""
+    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("of_text"))
+
+
 def _verified(links: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
     """Links (a, b) with their similarity, of which texts (node, text) holds both."""
     left = links.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
