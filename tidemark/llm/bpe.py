@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.shingles import bites
+
 #: Fixed value: the pattern by which the byte-level tokenizers cut a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers before it starts anew.
-MEMORY = 400_000
+#: Bytes of remembered pre-tokens and ids a worker keeps (about), and pairs of its pair table; the rest is worked out anew.
+MEMORY, PAIRS = 24_000_000, 150_000
+#: Characters of a text that are cut into pre-tokens at once, and of texts that make one batch of rows.
+STRETCH = 1 << 18
 
 OUTPUTS = {
     "n_tokens": T.LongType(),
@@ -53,20 +57,20 @@ class Seams:
     """The pair-compatibility table: may token y stand right of token x in an encoding?"""
 
     def __init__(self, merges: list[tuple[int, int, int]], size: int):
-        self.joined = {(a, b): rank for rank, (a, b, _) in enumerate(merges)}
+        self.joined = {a << 32 | b: rank for rank, (a, b, _) in enumerate(merges)}
         self.made = [-1] * size
         self.parts: list[tuple[int, int] | None] = [None] * size
         for rank, (a, b, c) in enumerate(merges):
             if self.made[c] < 0 and self.parts[c] is None:
                 self.made[c], self.parts[c] = rank, (a, b)
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def holds(self, x: int, y: int) -> bool:
-        found = self.known.get((x, y))
+        found = self.known.get(x << 32 | y)
         if found is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) >= PAIRS:
                 self.known.clear()
-            found = self.known[x, y] = self._walk(x, y)
+            found = self.known[x << 32 | y] = self._walk(x, y)
         return found
 
     def _walk(self, x: int, y: int) -> bool:
@@ -74,7 +78,7 @@ class Seams:
         time have a merge of their own that comes before either piece is used up."""
         until_x = until_y = float("inf")
         while True:
-            rank = self.joined.get((x, y))
+            rank = self.joined.get(x << 32 | y)
             if rank is not None and rank < until_x and rank <= until_y:
                 return False
             made_x, made_y = self.made[x], self.made[y]
@@ -126,7 +130,10 @@ class Tokenizer:
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pieces = regex.compile(PRE_TOKEN).findall
-        self.packed, self.decimal = _Memory(self._pack), _Memory(self._decimal)
+        #: A blank between two other characters starts a pre-token, so a text may be cut before it.
+        self.seam = regex.compile(r"(?<=\S) (?=\S)").search
+        self.packed = _Memory(self._pack)
+        self.said = [str(i) for i in range(size)]
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
@@ -164,51 +171,60 @@ class Tokenizer:
     def _pack(self, piece: str) -> bytes:
         return np.array(self.encode_piece(piece), np.int32).tobytes()
 
-    def _decimal(self, piece: str) -> str:
-        return ",".join(map(str, np.frombuffer(self.packed[piece], np.int32).tolist()))
-
-    def parts(self, text: str) -> Iterator[tuple[bool, list[str]]]:
-        """Special tokens, and the pre-tokens of what lies between."""
-        if self.cut is None or not any(s in text for s in self.special):
-            yield False, self.pieces(text)
-            return
-        for k, part in enumerate(self.cut.split(text)):
-            if part:
-                yield (True, [part]) if k % 2 else (False, self.pieces(part))
+    def parts(self, text: str) -> Iterator[tuple[bool, str]]:
+        """Special tokens, and stretches of what lies between that can be encoded apart."""
+        between = self.cut.split(text) if self.cut is not None and any(x in text for x in self.special) else [text]
+        for k, part in enumerate(between):
+            if k % 2:
+                yield True, part
+                continue
+            at = 0
+            while len(part) - at > STRETCH and (m := self.seam(part, at + STRETCH)) is not None:
+                yield False, part[at : m.start()]
+                at = m.start()
+            if at < len(part):
+                yield False, part[at:]
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids, and the same in decimal with commas between."""
-        packed, decimal = [], []
-        for special, pieces in self.parts(text):
+        """Ids of a whole text, and the same in decimal with commas between."""
+        packed = []
+        for special, part in self.parts(text):
             if special:
-                packed.append(np.array([self.special[pieces[0]]], np.int32).tobytes())
-                decimal.append(str(self.special[pieces[0]]))
-            elif pieces:
-                packed.append(b"".join(map(self.packed.__getitem__, pieces)))
-                decimal.append(",".join(map(self.decimal.__getitem__, pieces)))
-        return np.frombuffer(b"".join(packed), np.int32), ",".join(decimal)
+                packed.append(np.array([self.special[part]], np.int32).tobytes())
+            else:
+                packed.append(b"".join(map(self.packed.__getitem__, self.pieces(part))))
+        ids, said = np.frombuffer(b"".join(packed), np.int32), self.said.__getitem__
+        return ids, ",".join([",".join(map(said, ids[at : at + STRETCH].tolist())) for at in range(0, len(ids), STRETCH)])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens' bytes one after the other, gathered from one blob."""
-        if not len(ids):
-            return b""
-        first = self.offsets[ids]
-        size = self.offsets[ids + 1] - first
-        ends = np.cumsum(size)
-        return self.blob[np.repeat(first - ends + size, size) + np.arange(ends[-1])].tobytes()
+        """The tokens' bytes one after the other, gathered from one blob, a stretch at a time."""
+        out = []
+        for at in range(0, len(ids), STRETCH):
+            some = ids[at : at + STRETCH]
+            first = self.offsets[some]
+            size = self.offsets[some + 1] - first
+            ends = np.cumsum(size)
+            out.append(self.blob[np.repeat(first - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 class _Memory(dict):
+    """Values by pre-token, in a younger and an older half; when the younger is full, the older goes."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older, self.size = make, {}, 0
 
     def __missing__(self, key: str):
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 100:
+            if self.size > MEMORY // 2:
+                self.older, self.size = dict(self), 0
+                self.clear()
             self[key] = value
+            self.size += 250 + 2 * len(key) + len(value)
         return value
 
 
@@ -232,21 +248,25 @@ def tokenize(df: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            made: dict[str, list] = {c: [] for c in outputs}
-            for value in batch.column(len(keep)):
-                ids, decimal = t.encode(value.as_py() or "")
-                if "n_tokens" in made:
-                    made["n_tokens"].append(len(ids))
-                if "ids" in made:
-                    made["ids"].append(ids)
-                if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
-                if "decoded" in made or "decoded_sha256" in made:
-                    raw = t.decode(ids)
-                    if "decoded" in made:
-                        made["decoded"].append(raw.decode("utf-8", "replace"))
-                    if "decoded_sha256" in made:
-                        made["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(v, _ARROW[c]) for c, v in made.items()], names=keep + outputs)
+            at = 0
+            for part in bites(batch.column(len(keep)), lambda v: len(v.as_py() or ""), STRETCH):
+                made: dict[str, list] = {c: [] for c in outputs}
+                for value in part:
+                    ids, decimal = t.encode(value.as_py() or "")
+                    if "n_tokens" in made:
+                        made["n_tokens"].append(len(ids))
+                    if "ids" in made:
+                        made["ids"].append(ids)
+                    if "ids_sha256" in made:
+                        made["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
+                    if "decoded" in made or "decoded_sha256" in made:
+                        raw = t.decode(ids)
+                        if "decoded" in made:
+                            made["decoded"].append(raw.decode("utf-8", "replace"))
+                        if "decoded_sha256" in made:
+                            made["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
+                rows = batch.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(v, _ARROW[c]) for c, v in made.items()], names=keep + outputs)
 
     return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)
