@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import found
+from tidemark.llm.native import cut_out, found, let, running_max
 
 #: The base patterns and the least length of each (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -106,20 +106,19 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int =
 
 def _redacted(text: Column, spans: Column, mark: str) -> Column:
     """The text with each group of overlapping spans replaced by ``mark``."""
-    # spans in order of start; one that begins inside an earlier one is joined to it
-    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    joined = F.aggregate(
-        F.array_sort(spans),
-        zero,
-        lambda acc, s: F.when(
-            F.get(acc, F.size(acc) - 1)["end"] >= s["start"],
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(joined, lambda s: s["end"]))
-    ends = F.concat(F.transform(joined, lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    kept = F.zip_with(begins, ends, lambda b, e: F.substring(text, (b + 1).cast("int"), (e - b).cast("int")))
-    return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
+    def kept(ordered: Column) -> Column:
+        """Parts between groups: each begins where all spans before have ended, and ends where the next span begins."""
+        n = F.length(text).cast("long")
+
+        def between(reached: Column) -> Column:
+            gaps = F.transform(F.concat(F.transform(ordered, lambda s: s["start"]), F.array(n)), lambda s, i: F.struct(F.coalesce(F.get(reached, i - 1), F.lit(0).cast("long")).alias("start"), s.alias("end"), (i == 0).alias("first"), (i == F.size(ordered)).alias("last")))
+            # a span that begins inside an earlier one, or at its end, is joined to it
+            gaps = F.filter(gaps, lambda g: g["first"] | g["last"] | (g["end"] > g["start"]))
+            return let(gaps, lambda g: F.array_join(cut_out(text, F.transform(g, lambda x: x["start"]), F.transform(g, lambda x: x["end"])), mark))
+
+        return let(running_max(F.transform(ordered, lambda s: s["end"])), between)
+
+    return F.when(F.size(spans) > 0, let(F.array_sort(spans), kept)).otherwise(text)
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "<SECRET>", reach: int = 400) -> DataFrame:
