@@ -1,4 +1,8 @@
+import functools
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -55,6 +59,74 @@ def test_edges(spark):
     assert {r.lang_pred for r in langid.predict(df.filter("doc_id = 1"), one).collect()} == {"en"}
 
 
+def plain_features(text):
+    """Feature lists by order, by plain arithmetic."""
+    out, kept = [], []
+    for c in (text or "").lower() + " ":
+        c = c if c.isalpha() else " "
+        if c != " " or (kept and kept[-1] != " "):
+            kept.append(c)
+    for n in langid.ORDERS:
+        row = []
+        for i in range(len(kept) - n + 1):
+            h = 0
+            for c in kept[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+            row.append((h * 0x9E3779B1 + n * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - langid.BITS))
+        out.append(row)
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(3)
+    words = {"a": "lo la li lu mo ma", "b": "lo kar ker kor ma", "c": "zup zep li zap kor", "d": "la zup ñi ñu"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randrange(1, 12))) + rng.choice(["", " 7", "!", " -- Lo"]), k) for i in range(160) for k in [rng.choice("abcd")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langs, size = sorted(words), 1 << langid.BITS
+    counts = {k: [Counter() for _ in langid.ORDERS] for k in langs}
+    for _, t, k in rows:
+        for c, f in zip(counts[k], plain_features(t), strict=True):
+            c.update(f)
+    code = [list(x) for x in langid.codewords(4)]
+    bits = range(len(code[0]))
+    share = lambda k, o, f: (counts[k][o][f] + 0.5) / (sum(counts[k][o].values()) + 0.5 * size)
+
+    @functools.cache
+    def odds(o, f, bit):
+        mean = lambda sign: np.mean([share(k, o, f) for k, c in zip(langs, code, strict=True) if c[bit] == sign])
+        return math.log(mean(1)) - math.log(mean(-1))
+
+    def scores(text):
+        return [sum(sum(odds(o, f, bit) for f in fs) / max(len(fs), 1) for o, fs in enumerate(plain_features(text))) / len(langid.ORDERS) for bit in bits]
+
+    trust = []
+    for k, c in zip(langs, code, strict=True):
+        own = [scores(t) for _, t, x in rows if x == k]
+        better = [max(2 * (sum(s[bit] * c[bit] > 0 for s in own) + 1) / (len(own) + 2) - 1, 1e-3) for bit in bits]
+        trust.append([b / sum(better) for b in better])
+    assert max(map(max, trust)) > 1.05 * min(map(min, trust))  # the weights do differ
+    want = {}
+    texts = [t for _, t, _ in rows] + ["zap", "lo ma kar", "Ñu la", "q", ""]
+    for t in texts:
+        s = scores(t)
+        loss = [sum(w * math.log1p(math.exp(-8 * c[b] * s[b])) for b, w in enumerate(ws)) for c, ws in zip(code, trust, strict=True)]
+        likely = [math.exp(-(x - min(loss)) * len(bits)) for x in loss]
+        want[t] = (langs[loss.index(min(loss))], max(likely) / sum(likely)) if any(map(str.isalpha, t)) else ("und", 0.0)
+    model = langid.train(df)
+    assert np.allclose(model.trust, trust)
+    ask = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = langid.predict(ask, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.lang_pred == want[r.text][0] and abs(r.score - want[r.text][1]) < 1e-4
+
+
+def test_codes_of_many_languages_lie_apart():
+    for n in (6, 20, 60, 200):
+        code = langid.codewords(n)
+        assert code.shape == (n, langid.RANDOM_BITS) and langid.distance(code) >= langid.RANDOM_BITS // 4
+
+
 def test_prediction_takes_the_text_alone(spark):
     df = spark.createDataFrame([(1, "the cat", "en"), (2, "der hund", "de")], "doc_id long, text string, lang string")
     model = langid.train(df)
