@@ -49,6 +49,21 @@ def test_versions_errors_and_types(spark, arc):
     assert bytes(rows["http://b/"].payload) == b"abc" and bytes(rows["http://d/"].payload) == b"a\n\nb"
     assert sorted(r.kind for r in rows.values()) == ["error", "error", "filedesc", "filedesc", "record", "record", "record"]
     out = shared.shared_folder(spark, "warc")
-    warc.convert(spark, path, out)
+    assert warc.convert(spark, path, out) == 2  # error rows, which are not converted
     back = {r.uri: r for r in warc.read_warc(spark, out, payload=True).collect() if r.type != "warcinfo"}
     assert {u: (r.type, bytes(r.payload), r.date, r.whole) for u, r in back.items()} == {"http://a/": ("response", b"hello\nworld", "2001-02-03T04:05:06Z", True), "http://b/": ("resource", b"abc", "2001-02-03T04:05:06Z", True), "http://d/": ("resource", b"a\n\nb", "2001-02-03T04:05:06Z", True)}
+
+
+def test_plain_files_are_refused(spark, tmp_path):
+    (tmp_path / "a.arc").write_bytes(V1)
+    with pytest.raises(Exception, match="not a gzip file"):
+        warc.read_arc(spark, f"file://{tmp_path}").collect()
+
+
+def test_ids_differ_with_the_payload(spark):
+    arc, out = shared.shared_folder(spark, "arc"), shared.shared_folder(spark, "warc")
+    rows = [(None, "http://a/", "one"), (None, "http://a/", "two"), (3, "http://a/", "one"), (3, "http://a/", "two"), (3, "http://a/", "two"), (None, None, None)]
+    warc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), arc)
+    assert warc.convert(spark, arc, out) == 0
+    back = [r for r in warc.read_warc(spark, out, payload=True).collect() if r.type != "warcinfo"]
+    assert len(back) == 6 and len({r.record_id for r in back}) == 5

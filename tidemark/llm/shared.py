@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the session's spark.checkpoint.dir; a local temporary folder only where that is unset, as in tests."""
+    """A new path in the session's spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster it is an error, since no
+    folder of one machine is shared. What is written there stays until the caller or the cluster clears the folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The fields of a header line by the version of its file.
@@ -39,7 +39,11 @@ def _options(writer):
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000") -> None:
-    """Legacy archives of HTTP responses, for the converter to read: even tasks write version 1, odd ones version 2."""
+    """Legacy archives of HTTP responses, for the converter to read: even tasks write version 1, odd ones version 2.
+
+    A null page counts as empty, a null or empty address becomes "-" and white space in one is written as %XX; a null
+    key is left out of the header. Repeated rows are records of their own, an empty table gives version blocks alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -64,7 +68,10 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    """Lines of gzip files, each file whole and in order. Spark splits plain files inside records, so they are an error."""
+    name = F.col("_metadata.file_path")
+    whole = F.when(name.endswith(".gz"), name).otherwise(F.raise_error(F.concat(F.lit("not a gzip file, so it might be split inside a record: "), name)).cast("string"))
+    return spark.read.option("lineSep", "\n").text(path).select(whole.alias("file"), F.col("value").cast("binary"))
 
 
 class _Reader:
@@ -157,17 +164,17 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def _record_id() -> Column:
-    h = F.sha1(F.concat_ws("|", "kind", "url", "ip", "date", "mime", F.col("key").cast("string")).cast("binary"))
+    h = F.sha1(F.concat_ws("|", "kind", "url", "ip", "date", "mime", F.col("key").cast("string"), "payload_digest").cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
-    """WARC files in ``warc`` of the ARC files in ``arc``.
+def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> int:
+    """WARC files in ``warc`` of the ARC files in ``arc``; returns the number of error rows, which are not converted.
 
     Version blocks become warcinfo records, HTTP responses response records, other records resources. Of responses
     with equal payloads of ``least`` bytes or more, the one with the smallest key (null last) is the response, the
-    others are revisits of it that keep the HTTP header alone; rows that repeat its key are responses too. Error
-    rows are not converted.
+    others are revisits of it that keep the HTTP header alone; rows that repeat its key are responses too. An id is
+    made from a record's header and payload digest, so only records equal in all of these share one.
     """
     is_http = (F.col("kind") == "record") & (F.octet_length("head") > 0)
     order = F.struct(F.col("key").isNull().alias("no"), F.col("key").alias("key"), F.col("id").alias("id"))
@@ -175,7 +182,9 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
     # the smallest key of each payload that occurs twice: partial sums first, so copies never travel one by one
     first = seen.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.col("payload_digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    rows = read_arc(spark, arc).filter(F.col("kind") != "error").withColumns({"id": _record_id(), "salt": F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")})
+    lost = Observation()
+    read = read_arc(spark, arc).observe(lost, F.count_if(F.col("kind") == "error").alias("n"))
+    rows = read.filter(F.col("kind") != "error").withColumns({"id": _record_id(), "salt": F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")})
     rows = rows.join(first, (F.col("payload_digest") == F.col("d")) & (F.col("salt") == F.col("s")) & is_http & (F.col("payload_bytes") >= least), "left")
     revisit = F.col("first").isNotNull() & ~F.col("first.key").eqNullSafe(F.col("key"))
     kind = F.when(F.col("kind") == "filedesc", F.lit("warcinfo")).when(~is_http, F.lit("resource")).when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
@@ -200,6 +209,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
     )
     rows = rows.withColumn("block", block).withColumn("size", F.octet_length("block"))
     _options(rows.select(made.alias("value")).write).text(warc)
+    return lost.get["n"]
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
