@@ -1,6 +1,8 @@
 import random
 import re
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from tidemark.llm import decontam
@@ -11,29 +13,23 @@ def words(t):
 
 
 def brute(docs, items, stretch=13, share=0.75):
-    classes = {}
+    """Every text against every item at every shift, without seeds."""
+    classes, number = {}, {}
     for i, t in items:
         classes.setdefault(tuple(words(t)), []).append(i)
-    out, seeds = {}, {}
-    for b, ids in classes.items():
-        for p in range(len(b) - decontam.SPAN + 1):
-            for m in decontam.MASKS:
-                seeds.setdefault((m, *(b[p + x] for x in m)), []).append((b, ids, p))
+    code = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], np.int32)
+    out = {}
     for d, t in docs:
-        w = words(t)
-        for k in range(len(w) - decontam.SPAN + 1):
-            for m in decontam.MASKS:
-                for b, ids, p in seeds.get((m, *(w[k + x] for x in m)), ()):
-                    start = max(p - stretch, 0)
-                    near = b[start : start + 2 * stretch + decontam.SPAN]
-                    lead = p - start
-                    left, right = min(lead, k), min(len(near) - lead, len(w) - k)
-                    same = [x == y for x, y in zip(w[k - left : k + right], near[lead - left : lead + right], strict=True)]
-                    width = min(len(b), stretch)
-                    best = max((sum(same[i : i + width]) for i in range(len(same) - width + 1)), default=0)
-                    if best >= decontam.least(width, share):
-                        key = (d, min(ids))
-                        out[key] = (len(ids), max(best, out.get(key, (0, 0))[1]))
+        w = code(words(t))
+        for b, ids in classes.items():
+            width = min(len(b), stretch)
+            if not width or len(w) < width:
+                continue
+            same = w[:, None] == code(b)[None]
+            best = int(sum(same[x : len(w) - width + 1 + x, x : len(b) - width + 1 + x].astype(np.int16) for x in range(width)).max())
+            if best >= (width if len(b) < decontam.SHORT else decontam.least(width, share)):
+                key = (d, min(ids))
+                out[key] = (len(ids), max(best, out.get(key, (0, 0))[1]))
     return sorted(((*k, *v) for k, v in out.items()), key=repr)
 
 
@@ -41,7 +37,7 @@ def cases():
     rng = random.Random(3)
     vocab = [f"w{i}é" if i % 9 == 0 else f"w{i}" for i in range(60)]
     item = lambda n: [rng.choice(vocab) for _ in range(n)]
-    items = [(i, item(n)) for i, n in enumerate([8, 9, 12, 15, 30, 40, 60])]
+    items = [(i, item(n)) for i, n in enumerate([8, 9, 12, 15, 30, 40, 60, 1, 3, 10, 11, 13])]
     items.append((20, items[4][1]))
     docs = []
     for d in range(60):
@@ -56,7 +52,7 @@ def cases():
     return docs, [(i, " ".join(x)) for i, x in items] + [(50, None), (51, "")]
 
 
-@pytest.mark.parametrize("rows", [100_000, 150])
+@pytest.mark.parametrize("rows", [200_000, 5])
 def test_against_brute_force(spark, rows):
     docs, items = cases()
     got = decontam.overlaps(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_items int"), spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, seed int"), broadcast_rows=rows)
@@ -80,3 +76,32 @@ def test_empty_tables(spark):
     assert decontam.overlaps(df, bench).count() == 1
     assert decontam.overlaps(df.limit(0), bench).count() == 0 and decontam.overlaps(df, bench.limit(0)).count() == 0
     assert decontam.decontaminate(df, bench.limit(0)).count() == 1
+
+
+def test_no_pattern_is_lost():
+    assert all(decontam.recall(width, 0.75) == 1 for width in range(9, 14))
+
+
+@pytest.mark.parametrize("rows", [200_000, 5])
+def test_every_pattern_of_exchanged_tokens(spark, rows):
+    docs, items = [], []
+    for width, misses in ((9, 2), (10, 2), (11, 2), (12, 3), (13, 3)):
+        item = [f"i{width}w{i}" for i in range(width)]
+        items.append((width, " ".join(item)))
+        for n, bad in enumerate(combinations(range(width), misses)):
+            docs.append((width * 1000 + n, "x y " + " ".join("z" if i in bad else w for i, w in enumerate(item)) + " x"))
+        docs.append((-width, " ".join("z" if i <= misses else w for i, w in enumerate(item))))
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted((d, d // 1000) for d, _ in docs if d > 0)
+
+
+def test_short_items(spark):
+    df = spark.createDataFrame([(1, "so: what is the capital of France?"), (2, "what is the capital"), (3, "Paris"), (4, ""), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of France"), (2, "paris"), (3, ""), (4, None)], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontam.overlaps(df, bench).collect()) == [(1, 1, 1, 6), (3, 2, 1, 1)]
+
+
+def test_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    df = spark.createDataFrame([(1, "a b " * 200_000 + item + " c d" * 100_000)], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.overlaps(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 1, 13)]

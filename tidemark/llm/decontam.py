@@ -1,18 +1,22 @@
 """Benchmark decontamination by spaced seeds, in DataFrame operations only.
 
-A mask is a window of SPAN tokens of which only some places count, so a seed still matches where ignored tokens were
+A mask is a window of tokens of which only some places count, so a seed still matches where ignored tokens were
 exchanged. The masked hashes of all token positions of the texts are joined with those of the benchmark. Around each
 hit the two texts are laid side by side, and the pair counts as an overlap if some stretch of ``stretch`` tokens (or
 the whole item, if shorter) agrees in at least ``share`` of its places.
 
-The benchmark's seeds are counted and sent to all tasks, in blocks of about ``broadcast_rows`` (some 100 MB), so the
-texts are never shuffled: a larger benchmark takes more passes over them, not more memory. All masks keep the first and last place, so pairs of these are looked
-up first, and only what passes is hashed under every mask.
+The masks are chosen so that, with the given stretch and share, every pattern of exchanged tokens that still counts
+leaves some mask whole: nothing that the rule finds is lost (see ``recall``). Items of fewer than SHORT tokens have no
+room for them; these are looked up whole, by a hash of all their tokens.
+
+A benchmark whose seeds fit in every task is sent there, and the texts never move. A larger one is joined by seed, for
+which only positions and hashes are shuffled, and the texts that have a hit are then joined with their hits.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +24,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.native import let
 from tidemark.llm.shared import sent_if_small
 
-SPAN = 9
-#: Places of a window that count, six under each mask.
-MASKS = [(0, 1, 3, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 5, 7, 8)]
+#: Places of a window that count. Found by a search for few masks that leave no pattern of at most 2 of 9, 10 or 11, or
+#: 3 of 12 or 13 exchanged tokens without a hit.
+MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 3, 4, 5, 6), (0, 3, 4, 6, 8)]
+#: Places that several masks share, and those masks: looked up first, so that few positions are hashed under every mask.
+STEMS = [((0, 1), (0, 1, 2)), ((0, 3, 4), (3, 4))]
+#: Items of fewer tokens are looked up whole.
+SHORT = 9
+_LEAST_SPAN = min(m[-1] + 1 for m in MASKS)
+_SPAN = max(m[-1] + 1 for m in MASKS)
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -31,16 +41,38 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD), "")
 
 
-def _ends(w: Column, k: Column) -> Column:
-    return F.xxhash64(w[k], w[k + SPAN - 1])
+def least(width: int, share: float) -> int:
+    """Agreeing places that a stretch of ``width`` needs."""
+    return math.ceil(width * share - 1e-9)
+
+
+def recall(width: int, share: float) -> float:
+    """Share of the patterns of exchanged tokens, as many as the rule allows, that leave a mask whole."""
+    patterns = list(combinations(range(width), width - least(width, share)))
+    hit = sum(any(all(at + p not in bad for p in mask) for mask in MASKS for at in range(width - mask[-1])) for bad in map(set, patterns))
+    return hit / len(patterns)
+
+
+def _hashed(w: Column, k: Column, places: tuple[int, ...], salt: int) -> Column:
+    """Hash of the tokens at k plus each place; null where the text ends before."""
+    return F.when(k + places[-1] < F.size(w), F.xxhash64(F.lit(salt), *[F.get(w, k + p) for p in places]))
 
 
-def _seeds(w: Column, k: Column) -> Column:
-    return F.array(*[F.xxhash64(F.lit(i), *[w[k + p] for p in mask]) for i, mask in enumerate(MASKS)])
+def _stems(w: Column, k: Column) -> Column:
+    return F.array(*[_hashed(w, k, places, -1 - i) for i, (places, _) in enumerate(STEMS)])
+
+
+def _seeds(w: Column, k: Column, stem: Column) -> Column:
+    """Hashes under the masks of the stem of that number."""
+    of = [F.array(*[_hashed(w, k, MASKS[m], m) for m in masks]) for _, masks in STEMS]
+    out = of[-1]
+    for i in reversed(range(len(of) - 1)):
+        out = F.when(stem == i, of[i]).otherwise(out)
+    return out
 
 
 def _positions(w: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(w) - SPAN)
+    return F.sequence(F.lit(0), F.size(w) - _LEAST_SPAN)
 
 
 def _best(a: Column, b: Column, width: Column) -> Column:
@@ -50,43 +82,91 @@ def _best(a: Column, b: Column, width: Column) -> Column:
     return let(sums, lambda s: F.when(F.size(s) > width, F.array_max(F.transform(F.sequence(F.lit(0), F.size(s) - 1 - width), lambda i: s[i + width] - s[i]))))
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 100_000) -> DataFrame:
+def _agreeing(w: Column, k: Column, near: Column, lead: Column, width: Column) -> Column:
+    """The best stretch of a text and ``near``, laid so that position k of the one meets ``lead`` of the other."""
+    left = F.least(lead, k)
+    right = F.least(F.size(near) - lead, F.size(w) - k)
+    return _best(F.slice(w, k - left + 1, left + right), F.slice(near, lead - left + 1, left + right), width).cast("long")
+
+
+def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 200_000) -> DataFrame:
     """One row per doc_id and overlapping benchmark text: doc_id, item_id, n_items, n_tokens.
 
-    Benchmark items with the same tokens are one text, named by its smallest id (null first), with n_items copies.
-    n_tokens is the number of agreeing places of the best stretch. Null texts are empty; texts and items of fewer than
-    SPAN tokens have no seed and no row; repeated rows give one row; other columns are not read.
+    Benchmark items with the same tokens are one text, named by its smallest id (null only if none has one), with
+    n_items copies. n_tokens is the number of agreeing places of the best stretch; items of fewer than SHORT tokens
+    must occur whole. Null texts are empty; texts and items without tokens have no row; repeated rows give one row;
+    other columns are not read.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).filter(F.size("b") >= SPAN)
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).filter(F.size("b") > 0)
     items = items.groupBy("b").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
-    seeds = items.agg(F.coalesce(F.sum(F.size("b") - SPAN + 1), F.lit(0))).first()[0] * len(MASKS)
-    blocks = max(1, math.ceil(seeds / broadcast_rows))
-    docs = df.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).filter(F.size("w") >= SPAN)
-    found = _block(docs, items if blocks == 1 else items.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == 0), stretch, share)
-    for i in range(1, blocks):
-        found = found.union(_block(docs, items.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == i), stretch, share))
+    long = items.filter(F.size("b") >= SHORT)
+    # a few numbers: how many seeds there are, and which lengths short items have
+    m = F.size("b")
+    seeds, lengths, short = items.agg(F.coalesce(F.sum(F.when(m >= SHORT, m - _LEAST_SPAN + 1)), F.lit(0)) * len(MASKS), F.collect_set(F.when(m < SHORT, m)), F.count_if(m < SHORT)).first()
+    docs = df.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
+    found = _sent(docs.filter(F.size("w") >= SHORT), long, stretch, share) if seeds <= broadcast_rows else _dealt(docs.filter(F.size("w") >= SHORT), long, stretch, share)
+    if lengths:
+        found = found.union(_whole(docs, items.filter(m < SHORT), sorted(lengths), short <= broadcast_rows))
     return found
 
 
-def _block(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> DataFrame:
-    """Overlaps of the texts with a block of the benchmark whose seeds fit in every task."""
-    placed = items.select("b", "item_id", "n_items", F.explode(_positions(F.col("b"))).alias("p"))
+def _passed(hits: DataFrame, agreeing: Column, width: Column, share: float) -> DataFrame:
+    # the check comes after the sum: as a filter below it, it would move into the join and take the whole texts along
+    found = hits.groupBy("doc_id", "item_id", "b_key", width.alias("width")).agg(F.max("n_items").alias("n_items"), F.max(agreeing).alias("n_tokens"))
+    return found.filter(F.col("n_tokens") >= F.ceil(F.col("width") * F.lit(share) - 1e-9)).select("doc_id", "item_id", "n_items", "n_tokens")
+
+
+def _placed(items: DataFrame) -> DataFrame:
+    """Items by position and stem; items without an id are told apart by ``b_key``."""
+    at = items.withColumn("b_key", F.xxhash64("b")).select("b", "b_key", "item_id", "n_items", F.explode(_positions(F.col("b"))).alias("p"))
+    return at.select("*", F.posexplode(_stems(F.col("b"), F.col("p"))).alias("stem", "stem_hash")).filter("stem_hash IS NOT NULL")
+
+
+def _sent(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> DataFrame:
+    """Overlaps with a benchmark whose seeds fit in every task."""
+    placed = _placed(items)
     # what lies within reach of a hit, and where in it the hit begins
     start = F.greatest(F.col("p") - stretch, F.lit(0))
-    seeds = placed.select("item_id", "n_items", F.size("b").alias("m"), F.slice("b", start + 1, F.lit(2 * stretch + SPAN)).alias("near"), (F.col("p") - start).alias("lead"), F.explode(_seeds(F.col("b"), F.col("p"))).alias("seed"))
-    ends = placed.select(_ends(F.col("b"), F.col("p")).alias("pair")).distinct()
+    seeds = placed.select("item_id", "b_key", "n_items", F.size("b").alias("m"), F.slice("b", start + 1, F.lit(2 * stretch + _SPAN)).alias("near"), (F.col("p") - start).alias("lead"), F.explode(_seeds(F.col("b"), F.col("p"), F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
+    stems = placed.select("stem_hash").distinct()
 
     places = docs.select("doc_id", "w", F.explode(_positions(F.col("w"))).alias("k"))
     w, k = F.col("w"), F.col("k")
-    likely = places.withColumn("pair", _ends(w, k)).join(F.broadcast(ends), "pair", "left_semi")
-    hits = likely.select("doc_id", "w", "k", F.explode(_seeds(w, k)).alias("seed")).join(F.broadcast(seeds), "seed")
-    left = F.least("lead", "k")
-    right = F.least(F.size("near") - F.col("lead"), F.size("w") - k)
-    a, b = F.slice(w, k - left + 1, left + right), F.slice("near", F.col("lead") - left + 1, left + right)
+    likely = places.select("doc_id", "w", "k", F.posexplode(_stems(w, k)).alias("stem", "stem_hash")).join(F.broadcast(stems), "stem_hash", "left_semi")
+    hits = likely.select("doc_id", "w", "k", F.explode(_seeds(w, k, F.col("stem"))).alias("seed")).join(F.broadcast(seeds), "seed")
     width = F.least(F.col("m"), F.lit(stretch))
-    # the check comes after the sum: as a filter below it, it would move into the join and take the whole texts along
-    found = hits.groupBy("doc_id", "item_id", width.alias("width")).agg(F.max("n_items").alias("n_items"), F.max(_best(a, b, width)).cast("long").alias("n_tokens"))
-    return found.filter(F.col("n_tokens") >= F.ceil(F.col("width") * F.lit(share) - 1e-9)).select("doc_id", "item_id", "n_items", "n_tokens")
+    return _passed(hits, _agreeing(w, k, F.col("near"), F.col("lead"), width), width, share)
+
+
+def _dealt(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> DataFrame:
+    """The same for a benchmark of any size: positions are shuffled by seed, then hits by text."""
+    placed = _placed(items)
+    seeds = placed.select("b_key", "p", F.explode(_seeds(F.col("b"), F.col("p"), F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
+    w, k = F.col("w"), F.col("k")
+    key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), w)))
+    named = docs.withColumn("key", key)
+    places = named.select("key", "w", F.explode(_positions(w)).alias("k"))
+    stemmed = places.select("key", "w", "k", F.explode(F.sequence(F.lit(0), F.lit(len(STEMS) - 1))).alias("stem"))
+    asked = stemmed.select("key", "k", F.explode(_seeds(w, k, F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
+    hits = asked.join(seeds, "seed").select("key", "b_key", "k", "p").distinct()
+    full = named.join(hits, "key").join(items.withColumn("b_key", F.xxhash64("b")), "b_key")
+    start = F.greatest(F.col("p") - stretch, F.lit(0))
+    near, lead = F.slice("b", start + 1, F.lit(2 * stretch + _SPAN)), F.col("p") - start
+    width = F.least(F.size("b"), F.lit(stretch))
+    return _passed(full, _agreeing(w, k, near, lead, width), width, share)
+
+
+def _whole(docs: DataFrame, items: DataFrame, lengths: list[int], send: bool) -> DataFrame:
+    """Texts that hold all tokens of a short item in a row; ``lengths`` are those of the items."""
+    run = lambda a, k, n: F.when(k + n <= F.size(a), F.xxhash64(F.lit(n), F.slice(a, k + 1, F.lit(n))))
+    w, k = F.col("w"), F.col("k")
+    asked = items.select("item_id", "n_items", "b", F.xxhash64(F.size("b"), "b").alias("seed"))
+    places = docs.filter(F.size(w) > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size(w) - 1)).alias("k"))
+    hashed = places.select("doc_id", "w", "k", F.explode(F.array(*[run(w, k, n) for n in lengths])).alias("seed"))
+    hits = hashed.join(F.broadcast(asked) if send else asked, "seed")
+    same = F.slice(w, k + 1, F.size("b")) == F.col("b")
+    found = hits.groupBy("doc_id", "item_id", "b", "n_items").agg(F.max(same).alias("same")).filter("same")
+    return found.select("doc_id", "item_id", "n_items", F.size("b").cast("long").alias("n_tokens"))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -95,8 +175,3 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     keyed = df.withColumn("_of_text", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
     bad = sent_if_small(overlaps(keyed, benchmark, doc_id="_of_text", text=text, **how).select(F.col("doc_id").alias("_bad")).distinct(), "overlaps")
     return keyed.join(bad, keyed["_of_text"] == bad["_bad"], "left_anti").drop("_of_text")
-
-
-def least(width: int, share: float) -> int:
-    """Agreeing places that a stretch of ``width`` needs."""
-    return math.ceil(width * share - 1e-9)

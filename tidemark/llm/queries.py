@@ -138,17 +138,18 @@ SELECT page_id, payload_bytes,
 FROM b"""
 
 def _op8_sql(stretch: int = 13, share: float = 0.75) -> str:
-    span, words = decontam.SPAN, r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-    joined = " UNION ALL ".join("SELECT * FROM dp JOIN bp ON " + " AND ".join(f"w[k + {x}] = b[p + {x}]" for x in mask) for mask in decontam.MASKS)
+    """No mask is used: every stretch that counts has three agreeing tokens in a row, so these are joined."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
-b AS (SELECT b, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {words} AS b FROM benchmark) WHERE len(b) >= {span} GROUP BY b),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {span} + 2)) AS k FROM d WHERE len(w) >= {span}),
-bp AS (SELECT item_id, n_items, b, unnest(range(1, len(b) - {span} + 2)) AS p FROM b),
-h AS (SELECT doc_id, item_id, n_items, w, b, k, p, least(len(b), {stretch}) AS width, least(p - 1, k - 1, {stretch}) AS l, least(len(w) - k + 1, len(b) - p + 1, greatest({stretch} - p + 1, 0) + {stretch} + {span}) AS r FROM ({joined})),
+b AS (SELECT b, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {words} AS b FROM benchmark) WHERE len(b) > 0 GROUP BY b),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= {decontam.SHORT}),
+bp AS (SELECT item_id, n_items, b, unnest(range(1, len(b) - 1)) AS p FROM b WHERE len(b) >= {decontam.SHORT}),
+h AS (SELECT doc_id, item_id, n_items, w, b, k, p, least(len(b), {stretch}) AS width, least(p - 1, k - 1, {stretch}) AS l, least(len(w) - k + 1, len(b) - p + 1, {2 * stretch}) AS r FROM dp JOIN bp ON w[k] = b[p] AND w[k + 1] = b[p + 1] AND w[k + 2] = b[p + 2]),
 s AS (SELECT doc_id, item_id, n_items, width, list_transform(range(l + r), lambda i: CAST(w[k - l + i] = b[p - l + i] AS INT)) AS same FROM h),
 v AS (SELECT doc_id, item_id, n_items, width, list_max(list_transform(range(1, len(same) - width + 2), lambda i: list_sum(same[i:i + width - 1]))) AS n FROM s WHERE len(same) >= width)
-SELECT doc_id, item_id, CAST(max(n_items) AS BIGINT) AS n_items, CAST(max(n) AS BIGINT) AS n_tokens FROM v WHERE n >= ceil(width * {share} - 1e-9) GROUP BY doc_id, item_id"""
+SELECT doc_id, item_id, CAST(max(n_items) AS BIGINT) AS n_items, CAST(max(n) AS BIGINT) AS n_tokens FROM v WHERE n >= ceil(width * {share} - 1e-9) GROUP BY doc_id, item_id
+UNION ALL SELECT DISTINCT doc_id, item_id, n_items, len(b) FROM d JOIN b ON len(b) < {decontam.SHORT} AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ')"""
 
 
 ORACLE_SQL: dict[str, str] = {
