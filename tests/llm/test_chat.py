@@ -43,10 +43,33 @@ def test_fingerprint_takes_paths_not_types(spark):
     same = ['{"messages":[{"role":"a","content":null}]}', '{"messages":[{"content":"x","role":1.5},{"role":true}]}', '{"messages":[{"role":"a","content":"b"}]}']
     other = ['{"messages":[{"role":"a"}]}', '{"messages":{"role":"a","content":"b"}}', '{"message":[{"role":"a","content":"b"}]}', "{}", "[1]"]
     df = spark.createDataFrame([(s,) for s in same + other], "raw string")
-    got = [r[0] for r in df.select(chat.fingerprint(F.parse_json("raw"))).collect()]
+    got = [r[0] for r in df.select(chat.fingerprint(F.col("raw"))).collect()]
     assert len(set(got[: len(same)])) == 1 and len(set(got[len(same) :])) == len(other) and got[0] not in got[len(same) :]
 
 
+def test_fingerprint_of_odd_names(spark):
+    same = ['{"a1":"x","b c":[1]}', '{"a1":5,"b c":["q","r"]}', '{"b c":[null],"a1":{"STRING":1}}', '{"b c":[null],"a1":{"STRING":"DOUBLE"}}']
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in same], "raw string").select(chat.fingerprint(F.col("raw"))).collect()]
+    assert got[0] == got[1] != got[2] == got[3]
+
+
+def test_very_long_texts_and_many_turns(spark):
+    unit, n = 'x"\\n# </turn>é ', 1_500_000
+    turn = lambda k, role, text: F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role"), text.alias("text"))
+    long = spark.range(1).select(F.lit(1).alias("conv_id"), F.array(turn(0, "user", F.repeat(F.lit(unit), n)), turn(1, "assistant", F.lit("b"))).alias("turns"))
+    many = spark.range(1).select(F.lit(2).alias("conv_id"), F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.struct(i.alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("té"), i.cast("string")).alias("text"))).alias("turns"))
+    made = chat.render(chat.canonical(chat.to_layouts(long.union(many))))
+    back = made.withColumns({"t": chat.parse(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    got = {r.conv_id: r for r in back.select("conv_id", F.size("t").alias("n"), F.sha2(F.array_join(F.transform("t", lambda t: t["text"]), ""), 256).alias("h"), F.sha2("loss", 256).alias("loss")).collect()}
+    told = sha("".join(f"té{i}" for i in range(1, 50_001)))
+    assert (got[1].n, got[1].h, got[1].loss) == (2, sha(unit * n + "b"), sha("b")) and (got[2].n, got[2].h, got[2].loss) == (50_000, told, told)
+
+
+def test_layout_counts(spark):
+    df = spark.createDataFrame([('{"x":1}',), ('{"x":"a"}',), (None,), ('{"prompt":"a","completion":"b"}',)], "raw string")
+    assert sorted((r.layout or "", r.n) for r in chat.layout_counts(chat.canonical(df)).collect()) == [("", 1), ("", 2), ("prompt", 1)]
+
+
 def test_unknown_and_null(spark):
     df = spark.createDataFrame([(1, None, "c"), (2, "no json", "c"), (3, '{"x":1}', "c"), (4, '{"prompt":null,"completion":"b"}', "c")], "id long, raw string, layout string")
     got = {r.id: r for r in chat.render(chat.canonical(df)).collect()}

@@ -1,7 +1,8 @@
 """Chat formatting: layouts known by the fingerprint of their nested field paths become canonical turns and one string.
 
-A record's field paths are read from its JSON value (types left out), hashed, and looked up among declared mappings.
-Each mapping says where the turns lie. Turns are written as
+A record's nested field paths are read from its skeleton: its JSON with the strings emptied and runs of equal items
+made one, which stays small however long the texts are. Their hash is looked up among declared mappings, each of which
+says where the turns lie; the record is then read by the mapping's own schema. Turns are written as
 
     ### role: text </turn>
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.native import running_sum
+from tidemark.llm.native import cut_out, let, running_sum
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", " </turn>\n"
 #: Character -> what stands for it. The backslash comes first here and last when reading.
@@ -33,35 +34,61 @@ LAYOUTS: dict[str, dict] = {
 }
 
 
-def fingerprint(value: Column) -> Column:
-    """Hash of a variant's nested field paths, whatever the types of the leaves."""
-    shape = F.regexp_replace(F.schema_of_variant(value), r": (?!OBJECT<|ARRAY<)[A-Z][A-Z0-9_(), ]*?(?=, `?[A-Za-z_]+`?: |>|$)", ":")
-    return F.sha2(shape, 256)
+#: A JSON string, read without recursion.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+#: Names of leaf types in a schema; a name of a field is followed by a colon, or stands between backquotes.
+_LEAF = r"(`(?:[^`]|``)*+`)|\b(?:BOOLEAN|TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|STRING|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
 
 
-def _turns(value: Column, mapping: dict) -> Column:
+def skeleton(raw: Column) -> Column:
+    """The JSON text with every string that is a value emptied, and runs of equal flat items made one."""
+    empty = F.regexp_replace(raw, rf'({_STRING}\s*+:)|(")(?:[^"\\]|\\.)*+(")', "$1$2$3")
+    return F.regexp_replace(empty, r"(\{[^{}]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def fingerprint(raw: Column) -> Column:
+    """Hash of the nested field paths of a JSON text, whatever the types and values of the leaves; null if it is none."""
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(raw)))
+    return F.sha2(F.regexp_replace(shape, _LEAF, "$1"), 256)
+
+
+#: Room for strings of any length.
+_JSON = {"maxStringLen": str((1 << 31) - 1), "mode": "PERMISSIVE"}
+
+
+def _turns(raw: Column, mapping: dict) -> Column:
+    """Turns of a record whose layout is known. Paths are one field below the top."""
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
     if "fields" in mapping:
-        return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(value, path, "string"), F.lit("")).alias("text")) for role, path in mapping["fields"]])
+        names = [path.removeprefix("$.") for _, path in mapping["fields"]]
+        read = F.from_json(raw, ", ".join(f"{quoted(n)} string" for n in dict.fromkeys(names)), _JSON)
+        return let(read, lambda v: F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(v[n], F.lit("")).alias("text")) for (role, _), n in zip(mapping["fields"], names, strict=True)]))
     path, role, text, names = mapping["list"]
+    path = path.removeprefix("$.")
     named = lambda r: F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[r], r) if names else r
-    items = F.try_variant_get(value, path, f"array<struct<`{role}`:string,`{text}`:string>>")
-    return F.transform(items, lambda x: F.struct(F.coalesce(named(x[role]), F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+    read = F.from_json(raw, f"{quoted(path)} array<struct<{quoted(role)}:string,{quoted(text)}:string>>", _JSON)
+    return F.transform(read[path], lambda x: F.struct(F.coalesce(named(x[role]), F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
 
 
 def canonical(df: DataFrame, raw: str = "raw", layouts: dict[str, dict] | None = None) -> DataFrame:
     """``df`` with ``fingerprint``, ``layout`` and ``turns`` (array of role and text) of the JSON records in ``raw``.
 
-    A record that is null, no JSON or of an unknown layout keeps its row; layout is then null and turns empty.
-    Missing roles and texts are empty strings. Columns with the names of the three are replaced.
+    A record that is null, no JSON or of an unknown layout keeps its row; layout is then null and turns empty
+    (layout_counts tells how many). Texts of any length are read. Missing roles and texts are empty strings. Columns with the names of the three are replaced.
     """
     layouts = layouts or LAYOUTS
-    df = df.withColumn("_v", F.try_parse_json(raw)).withColumn("fingerprint", fingerprint(F.col("_v")))
+    df = df.withColumn("fingerprint", fingerprint(F.col(raw)))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for name, mapping in layouts.items():
-        same = F.col("fingerprint") == fingerprint(F.parse_json(F.lit(mapping["example"])))
+        same = F.col("fingerprint") == fingerprint(F.lit(mapping["example"]))
         layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, F.coalesce(_turns(F.col("_v"), mapping), F.array().cast(TURNS))).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("_v")
+        turns = F.when(same, F.coalesce(_turns(F.col(raw), mapping), F.array().cast(TURNS))).otherwise(turns)
+    return df.withColumns({"layout": layout, "turns": turns})
+
+
+def layout_counts(made: DataFrame) -> DataFrame:
+    """fingerprint, layout and n of the records that ``canonical`` made: what no mapping knows has a null layout."""
+    return made.groupBy("fingerprint", "layout").agg(F.count("*").alias("n"))
 
 
 def _escaped(s: Column, escapes) -> Column:
@@ -77,7 +104,11 @@ def _plain(s: Column, escapes) -> Column:
 
 
 def render(df: DataFrame, turns: str = "turns", loss_role: str = "assistant") -> DataFrame:
-    """``df`` with ``formatted`` and ``loss_spans``: the places (code points, end exclusive) of the texts of ``loss_role``."""
+    """``df`` with ``formatted`` and ``loss_spans``: the places (code points, end exclusive) of the texts of ``loss_role``.
+
+    No turns give an empty string without spans, null turns nulls; repeated rows stay, other columns too, but for those
+    with the names of the two, which are replaced. Empty texts have empty spans.
+    """
     written = F.transform(turns, lambda t: F.struct(_escaped(t["role"], ROLE_ESCAPES).alias("role"), _escaped(t["text"], ESCAPES).alias("text"), (t["role"] == loss_role).alias("loss")))
     df = df.withColumn("_w", written)
     strings = F.transform("_w", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(BETWEEN), t["text"], F.lit(CLOSE)))
@@ -88,7 +119,7 @@ def render(df: DataFrame, turns: str = "turns", loss_role: str = "assistant") ->
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted string."""
+    """The turns of a formatted string: array of role and text; null of a null, empty of an empty string."""
     parts = F.split(formatted, CLOSE)
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
     pattern = f"(?s)^{OPEN}([^:]*){BETWEEN}(.*)$"
@@ -97,7 +128,8 @@ def parse(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: _plain(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), ESCAPES)), "")
+    parts = cut_out(formatted, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))
+    return F.array_join(F.transform(parts, lambda p: _plain(p, ESCAPES)), "")
 
 
 def gather(turns: DataFrame, key: str = "conv_id") -> DataFrame:
