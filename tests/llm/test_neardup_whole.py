@@ -39,7 +39,7 @@ def texts(seed=4):
 def test_one_bucket_against_all_pairs(spark, monkeypatch, op, size):
     monkeypatch.setattr(neardup, "GROUP", size)
     rows = list(enumerate(texts()))
-    how = minhash.ShingleSets() if op == "minhash" else icws.WeightedShingles(SimpleNamespace(value=np.full(1 << icws.CELL_BITS, 1.25, np.float32)))
+    how = minhash.ShingleSets() if op == "minhash" else icws.WeightedShingles(SimpleNamespace(value=SimpleNamespace(of=lambda shingles: np.full(len(shingles), 1.25, np.float32))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     keys = spark.createDataFrame([(i, how.node(t, how.vector(t)), [7, 8]) for i, t in rows], "doc_id long, node binary, bands array<bigint>")
     got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in neardup.classes(docs, keys, how).collect()), key=repr)

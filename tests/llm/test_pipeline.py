@@ -22,7 +22,7 @@ def test_run_against_brute_force(spark, tmp_path):
     rows = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
     rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     df = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
-    how = icws.WeightedShingles(SimpleNamespace(value=icws.idf_cells(df)))
+    how = icws.WeightedShingles(SimpleNamespace(value=icws.idf(df)))
     heads = {c for _, c, _ in test_neardup.brute([(r[0], r[1]) for r in rows], how)}
     rows = [r for r in rows if r[0] in heads]
     bad = {d for d, *_ in test_decontam.brute([(r[0], r[1]) for r in rows], [tuple(r) for r in bench.collect()])}

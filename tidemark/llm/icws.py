@@ -1,8 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-Each text is a weighted set of word shingles: (1 + ln of the count) times an inverse document frequency between 1 and
-1 + IDF_SPAN. Document frequencies are counted over all documents in a fixed number of hashed cells, whose noise is a fixed
-share of the corpus, so the weights mean the same at every size. A sample picks one shingle and one level of its
+Each text is a weighted set of word shingles: (1 + ln of the count) times an inverse document frequency, which is 1 for a
+shingle of every document and 1 + IDF_SPAN for one of a share of RAREST or less, and follows the logarithm of the share
+between. Document frequencies are counted over all documents in a sketch of DEPTH rows of hashed cells; a shingle's
+count is the median of its cells less what is in a middling cell. The sketch's size and error are fixed shares of
+the corpus, so the weights mean the same at every size. A sample picks one shingle and one level of its
 weight such that two texts pick the same with the probability of their weighted Jaccard similarity. Samples are
 banded, and candidates are verified by the weighted Jaccard similarity of the whole texts.
 """
@@ -24,11 +26,12 @@ from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9992 at 0.8.
 BANDS, ROWS = 10, 3
-#: Document frequencies are kept in 2 ** CELL_BITS cells.
-CELL_BITS = 18
-#: How much more than a shingle of every document one of a single document weighs. Kept small, so that what a large
-#: group of near copies shares does not weigh too little against the few shingles in which they differ.
-IDF_SPAN = 0.5
+#: Document frequencies are kept in DEPTH rows of 2 ** CELL_BITS cells, sent between tasks in pieces of CHUNK cells.
+CELL_BITS, DEPTH, CHUNK = 18, 3, 4096
+#: The share of documents below which shingles count as equally rare, and how much more such a shingle weighs than one
+#: of every document. With 1 it weighs twice as much: more, and a few edits would part the members of a group of near
+#: copies that makes up a third of the corpus, whose common shingles are then frequent ones.
+RAREST, IDF_SPAN = 1 / 4096, 1.0
 _LEVELS = 4096
 
 
@@ -57,42 +60,73 @@ def counted(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(values[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+_ROW = np.random.default_rng(43).integers(0, 1 << 63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def idf_cells(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of every cell, from the texts of all rows: float32[2 ** CELL_BITS]."""
+def _cells(shingles: np.ndarray, row: int) -> np.ndarray:
+    return ((shingles * _ROW[row]) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(1 << CELL_BITS, np.int64), 0
+
+class Idf:
+    """Inverse document frequencies from the sketch: counts by row and cell, and the number of documents."""
+
+    def __init__(self, counts: np.ndarray, documents: int, span: float = IDF_SPAN):
+        self.span = span
+        # half of all cells hold no more than the median, which a few frequent shingles do not move
+        self.counts, self.documents = (counts - np.median(counts, axis=1, keepdims=True)).astype(np.float32), max(documents, 1)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        a, b, c = (self.counts[r][_cells(shingles, r)] for r in range(DEPTH))
+        n = np.rint(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)))  # the median of three
+        share = np.clip(n, 1, self.documents) / self.documents
+        return (1 + self.span * np.log(np.maximum(share, RAREST)) / np.log(RAREST)).astype(np.float32)
+
+
+def idf(docs: DataFrame) -> Idf:
+    """From the texts of all rows of ``docs``. Tasks sum their own counts; the sums are added piece by piece in Spark."""
+    width = 1 << CELL_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros((DEPTH, width), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for part in bites(batch.column(0).to_pylist(), lambda t: len(t or "")):
-                for shingles, _ in counted(part):
-                    seen += np.bincount(_cells(shingles), minlength=1 << CELL_BITS) if len(shingles) > 20_000 else 0
-                    if 0 < len(shingles) <= 20_000:
-                        np.add.at(seen, _cells(shingles), 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], rows), pa.int64())], names=["cell", "n"])
-
-    # at most 2 ** CELL_BITS rows and the number of documents
-    got = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-    table, total = np.zeros(1 << CELL_BITS), int(n[cell == -1].sum())
-    table[cell[cell >= 0]] = n[cell >= 0]
-    share = np.log(max(total, 1) / np.clip(table, 1, max(total, 1))) / np.log(1 << CELL_BITS)
-    return (1 + IDF_SPAN * np.minimum(share, 1)).astype(np.float32)
+            for part in bites((t.as_py() for t in batch.column(0)), lambda t: len(t or "")):
+                shingles = np.concatenate([s for s, _ in counted(part)])
+                for row in range(DEPTH):
+                    seen[row] += np.bincount(_cells(shingles, row), minlength=width)
+        pieces = seen.reshape(-1, CHUNK)
+        some = np.flatnonzero(pieces.any(1))
+        # four bytes a cell: a task has fewer than 2 ** 31 rows
+        packed = [pieces[i].astype(np.int32).tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1], pa.int32()), pa.array([*packed, np.int32(rows).tobytes()], pa.binary())], names=["piece", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(n.as_py(), np.int32).astype(np.int64)
+                sums[i] = sums[i] + got if i in sums else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "n"])
+
+    # DEPTH x 2 ** CELL_BITS numbers reach the driver, whatever the corpus
+    got = docs.select("text").mapInArrow(count, "piece int, n binary").repartition("piece").mapInArrow(add, "piece int, n binary").toArrow()
+    table, documents = np.zeros((DEPTH * width // CHUNK, CHUNK), np.int64), 0
+    for i, n in zip(got.column("piece").to_pylist(), got.column("n").to_pylist(), strict=True):
+        if i < 0:
+            documents = int(np.frombuffer(n, np.int64)[0])
+        else:
+            table[i] = np.frombuffer(n, np.int64)
+    return Idf(table.reshape(DEPTH, width), documents)
 
 
 class WeightedShingles:
-    """The likeness that verification uses; carries the idf cells to the executors."""
+    """The likeness that verification uses; carries the idf to the executors."""
 
     def __init__(self, idf):
-        self.idf = idf  # a broadcast variable
+        self.idf = idf  # a broadcast variable of an Idf
 
     def weights(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)).astype(np.float32) * self.idf.value[_cells(shingles)]
+        return (1 + np.log(counts)).astype(np.float32) * self.idf.value.of(shingles)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shingles, counts = counted([text])[0]
@@ -172,7 +206,7 @@ def keys(docs: DataFrame, how: WeightedShingles) -> DataFrame:
 def _by_row(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """neardup.classes of the rows, each named by its id and text (see neardup.row_key): ids need not differ."""
     docs = df.select(neardup.row_key(df[doc_id], df[text]).alias("doc_id"), df[text].alias("text"))
-    how = WeightedShingles(df.sparkSession.sparkContext.broadcast(idf_cells(docs)))
+    how = WeightedShingles(df.sparkSession.sparkContext.broadcast(idf(docs)))
     return neardup.classes(docs, keys(docs, how), how, least)
 
 

@@ -40,27 +40,9 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("of_text"))
 
 
-def _verified(links: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
-    """Links (a, b) with their similarity, of which texts (node, text) holds both."""
-    left = links.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
-    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("b", "text_b", "a", "text_a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_vector = None, None
-        for batch in batches:
-            b, a = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            near = []
-            for i in range(batch.num_rows):
-                if b[i] != last:  # the rows of one node come together
-                    last, last_vector = b[i], how.vector(batch.column(1)[i].as_py())
-                near.append(how.alike(last_vector, how.vector(batch.column(3)[i].as_py())))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(near, pa.float64())], names=["a", "b", "near"])
-
-    return both.mapInArrow(run, "a binary, b binary, near double").withColumn("linked", F.col("near") >= least)
-
-
-#: Nodes of a part. A task compares one part within itself, or two parts with each other.
-GROUP = 500
+#: Nodes of a part, a long text counting as one for each UNIT of its characters. A task compares one part within itself,
+#: or two parts with each other.
+GROUP, UNIT = 500, 20_000
 #: Passes in which the parts of a large bucket are compared only within themselves, dealt anew each time, so that a
 #: large group is mostly one component before parts meet each other.
 DEALS = 2
@@ -115,10 +97,12 @@ class _Held:
 def _compared(rows: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
     """Rows (bucket, i, j, second, node, component): all pairs within part i (i = j), or of part i with j (``second``).
 
+    Vectors of one part are held at a time, those of the other stream past.
+
     A pair is left out only where its nodes are in one component, as given or by links of the same task, or where
     their sketches show that it cannot reach ``least``. Gives links: a, b, near, component_a, component_b.
     """
-    spread = rows.join(texts, "node").select("bucket", "i", "j", "second", "node", "component", "text")
+    spread = rows.join(texts.select("node", "text"), "node").select("bucket", "i", "j", "second", "node", "component", "text")
     ordered = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "second", "node")
     names = ["a", "b", "near", "component_a", "component_b"]
     kinds = [pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()]
@@ -144,6 +128,21 @@ def _compared(rows: DataFrame, texts: DataFrame, how: Likeness, least: float) ->
     return ordered.mapInArrow(run, "a binary, b binary, near double, component_a binary, component_b binary")
 
 
+def _ends(met: DataFrame) -> DataFrame:
+    """Rows (bucket, n, first, last, node) as groups for _compared: the first and the last node of a bucket with all others.
+
+    The others are dealt to parts, so an end's text is copied once a part; a pair that shares several buckets is
+    compared once.
+    """
+    k = F.ceil(F.col("n") / GROUP)
+    pairs = met.filter("node <> first").select(F.col("first").alias("hub"), "node", k.alias("k"))
+    pairs = pairs.union(met.filter("node <> last AND node <> first").select(F.col("last").alias("hub"), "node", k.alias("k")))
+    pairs = pairs.groupBy("hub", "node").agg(F.max("k").alias("k"))
+    dealt = pairs.select("hub", "node", F.xxhash64("k", F.pmod(F.xxhash64("node"), F.col("k"))).alias("i"))
+    rows = dealt.select("hub", "i", F.lit(True).alias("second"), "node").union(dealt.select("hub", "i", F.lit(False).alias("second"), F.col("hub").alias("node")).distinct())
+    return rows.select(F.col("hub").alias("bucket"), "i", (F.col("i") + 1).alias("j"), "second", "node", F.col("node").alias("component"))
+
+
 def _within(rows: DataFrame, turn: int) -> DataFrame:
     """Rows (bucket, n, node, component) dealt to parts, each to be compared within itself."""
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
@@ -151,8 +150,8 @@ def _within(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component) dealt to parts, and every two parts that are not of one component put together."""
-    of = rows.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    """Rows (bucket, node, component, units) dealt to parts, and every two parts that are not of one component put together."""
+    of = rows.groupBy("bucket", "component").agg(F.sum("units").alias("m"))
     # a large component has parts of its own, small ones share theirs
     whole = F.when(F.col("m") >= GROUP / 2, F.col("component"))
     of = of.withColumn("whole", whole).withColumn("shared", F.coalesce("whole", F.lit(b"")))
@@ -169,12 +168,12 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _unsettled(inner: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, n, node, component) of the buckets whose nodes are of more than one component; equal buckets once."""
+    """Rows (bucket, n, node, component, units) of the buckets whose nodes are of more than one component; equal buckets once."""
     rows = inner.join(labels, "node")
     total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), total.alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
+    buckets = rows.groupBy("bucket").agg(F.sum("units").alias("n"), total.alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
     buckets = buckets.filter("low <> high").groupBy("n", "total", "low", "high").agg(F.min("bucket").alias("bucket"))
-    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component"), "unsettled")
+    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component", "units"), "unsettled")
 
 
 def _merged(labels: DataFrame, made: DataFrame) -> DataFrame:
@@ -193,7 +192,7 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
     nodes = keys.groupBy("node").agg(F.min_by("bands", ids).alias("bands"), F.min_by("doc_id", ids).alias("doc_id"))
     spread = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
     spread = spread.select("node", "doc_id", F.xxhash64("band", "key").alias("bucket"))
-    ends = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1").drop("n")
+    ends = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1")
     met = written(spread.join(ends, "bucket"), "buckets")
 
     # the texts of all nodes that meet any other
@@ -210,16 +209,16 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
 
     if (most or 0) > 1:
         rows = rows.mapInArrow(own, rows.schema).groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(rows, "texts")
+    texts = written(rows.withColumn("units", F.ceil((F.length("text") + 1) / UNIT)), "texts")
 
     # every node with the first and the last of its bucket
-    pair = lambda end: met.filter(F.col("node") != F.col(end)).select(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))
-    found = written(_verified(pair("first").union(pair("last")).distinct(), texts, how, least).filter("linked").select("a", "b", "near"), "links")
+    found = written(_compared(_ends(met), texts, how, least).select("a", "b", "near"), "links")
     labels = met.select("node").distinct().join(components(found), "node", "left")
     labels = written(labels.select("node", F.coalesce("component", "node").alias("component")), "labels")
 
     # the first and the last met all others; those between meet each other unless they are of one component
-    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node"), "inner")
+    sizes = texts.select("node", "units")
+    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node").join(sizes, "node"), "inner")
     for turn in range(DEALS + 1):
         rows = _unsettled(inner, labels)
         largest = rows.agg(F.max("n")).first()[0]
@@ -229,7 +228,7 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
         found, labels = found.union(made.select("a", "b", "near")), _merged(labels, made)
         if largest <= GROUP:
             break
-        inner = rows.filter(F.col("n") > GROUP).select("bucket", "node")  # the others are done
+        inner = rows.filter(F.col("n") > GROUP).select("bucket", "node", "units")  # the others are done
     return found.groupBy("a", "b").agg(F.max("near").alias("near")), labels
 
 
