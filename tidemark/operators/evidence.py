@@ -16,17 +16,23 @@ from tidemark.functions import vectors
 SELECTORS = ["Uniform", "Relevance", "Variance", "Blend"]
 
 
+def centroids(frames: DataFrame) -> DataFrame:
+    """video_id and the mean vector of its frames."""
+    mean = Summarizer.mean(array_to_vector(F.col("emb").cast("array<double>")))
+    return frames.groupBy("video_id").agg(vector_to_array(mean).alias("mean"))
+
+
 def frame_scores(questions: DataFrame, frames: DataFrame, add: float = 1e-8) -> DataFrame:
     """question_id, video_id, frame_idx, t, r, s, sc, v, b of every frame of a question's video.
 
     r is the frame's product with the question, s with each option, sc is s less its mean over the video's frames, v
     the variance of sc across options, b the mean of the z-scores of r and v. Vectors stay on their row.
     """
-    q = questions.select("question_id", "video_id", "q_emb", "options")
-    rows = frames.join(q, "video_id").select("question_id", "video_id", "frame_idx", "t", vectors.dot(F.col("emb"), F.col("q_emb")).alias("r"), F.transform("options", lambda o: vectors.dot(F.col("emb"), o)).alias("s"))
-    means = rows.select("question_id", F.posexplode("s").alias("k", "x")).groupBy("question_id", "k").agg(F.avg("x").alias("m"))
-    means = means.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("means"))
-    rows = rows.join(means, "question_id").withColumn("sc", F.zip_with("s", "means", lambda x, m: x - m)).drop("means")
+    # the mean of an option's products is its product with the mean frame, so the frames are read once more, not scored twice
+    q = questions.select("question_id", "video_id", "q_emb", "options").join(centroids(frames), "video_id")
+    q = q.withColumn("means", F.transform("options", lambda o: vectors.dot(o, F.col("mean")))).drop("mean")
+    rows = frames.join(q, "video_id").select("question_id", "video_id", "frame_idx", "t", vectors.dot(F.col("emb"), F.col("q_emb")).alias("r"), F.transform("options", lambda o: vectors.dot(F.col("emb"), o)).alias("s"), "means")
+    rows = rows.withColumn("sc", F.zip_with("s", "means", lambda x, m: x - m)).drop("means")
     rows = rows.withColumn("v", vectors.variance(F.col("sc")))
     w = Window.partitionBy("question_id")
     z = lambda x: (F.col(x) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + add)
@@ -85,8 +91,7 @@ def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block:
     ``questions`` has question_id, video_id and options (arrays of equal size).
     """
     spark = questions.sparkSession
-    means = frames.groupBy("video_id").agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("emb").cast("array<double>")))).alias("mean"))
-    rows = frames.join(means, "video_id").select("video_id", "emb", "mean")
+    rows = frames.join(centroids(frames), "video_id").select("video_id", "emb", "mean")
     listed = questions.select("question_id", "video_id", "options").orderBy("question_id")
     parts = []
     held: list = []

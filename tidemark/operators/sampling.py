@@ -82,3 +82,8 @@ def round_robin(df: DataFrame, stratum: str, n: int, *order: str) -> DataFrame:
     """The first n rows, one of each stratum in turn, in the given order within a stratum."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
     return df.withColumn("_rn", rank).orderBy("_rn", stratum).limit(n).drop("_rn")
+
+
+def sized(df: DataFrame, sizes: DataFrame, key: str, size: str, most: float) -> DataFrame:
+    """``df`` with the ``size`` that ``sizes`` has for its key; rows without one, or of ``most`` or more, are left out."""
+    return df.join(sizes.select(key, size), key, "left").filter(F.col(size) < most)

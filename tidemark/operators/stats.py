@@ -12,7 +12,7 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def _corr(a: str, b: str) -> Column:
+def _correlation(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation; null where a side is constant."""
     return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
@@ -20,32 +20,63 @@ def _corr(a: str, b: str) -> Column:
 def spearman(df: DataFrame, a: str, b: str, by: list[str], out: str = "spearman") -> DataFrame:
     """Rank correlation of two columns within each group; null where one is constant."""
     ranked = df.withColumns({"_a": average_rank(a, *by), "_b": average_rank(b, *by)})
-    return ranked.groupBy(*by).agg(_corr("_a", "_b").alias(out))
+    return ranked.groupBy(*by).agg(_correlation("_a", "_b").alias(out))
+
+
+def _ranked(df: DataFrame, value: str) -> DataFrame:
+    """value and its average rank, one row per different value of a table, nulls left out.
+
+    Values are counted, put in ranges in order, and summed within each; a range's rows begin after those of the ranges
+    before, whose sums (one row a range) are all that one task sees.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).repartitionByRange(value)
+    counts = counts.withColumn("part", F.spark_partition_id())
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy(value)) - F.col("n")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("m"))
+    before = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
+    return counts.withColumn("inside", inside).join(F.broadcast(before), "part").select(value, (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, spearman over the whole table. Ranks need one order of each column; the tables are small."""
-    long = df.select(*columns).withColumn("_id", F.monotonically_increasing_id())
-    long = long.select("_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias("c", "x"))
-    ranked = long.select("_id", "c", average_rank("x", "c").alias("r"))
-    both = ranked.join(ranked.toDF("_id", "d", "q"), "_id")
-    return both.groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(_corr("r", "q").alias("spearman"))
+    """a, b, spearman over the whole table: ranks are looked up by value and correlated in wide rows, pair by pair.
+
+    A row takes part in a pair where both its values are there; ranks are those among all values of a column.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wide = rows
+    for c in columns:
+        ranks = _ranked(rows, c)
+        wide = wide.join(ranks.select(F.col(c).alias("_v"), F.col("rank").alias(f"{c}_rank")), wide[c] == F.col("_v"), "left").drop("_v")
+    pairs = [(a, b) for a in columns for b in columns]
+    both = lambda a, b, x: F.when(F.col(f"{a}_rank").isNotNull() & F.col(f"{b}_rank").isNotNull(), F.col(f"{x}_rank"))
+    one = wide.agg(*[_correlation(both(a, b, a), both(a, b, b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    told = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("spearman")) for i, (a, b) in enumerate(pairs)]
+    return one.select(F.inline(F.array(*told)))
+
+
+#: Shares of a Poisson(1) variable that are at most 0, 1, 2, ...
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
 
 
-def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, seed: int = 0) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, seed: int = 0, key: str | None = None) -> DataFrame:
     """by, mean, ci_lo, ci_hi: percentiles 2.5 and 97.5 of the means of resamples.
 
-    Each row gets a Poisson(1) weight per resample from a hash of the seed, the resample and the row, so weights are
-    summed where the rows lie and only the sums are shuffled. The rows' order within a group does not matter.
+    Each row gets a Poisson(1) weight per resample from a hash of the seed, its key and the resample, four of which
+    share a hash; weights are summed where the rows lie and only the sums are shuffled. ``key`` names a row, or
+    else all its columns do: rows that share them are drawn together. Rows without a value are left out.
     """
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
-    each = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "_k", "_row")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    sums = each.withColumn("_w", weight).groupBy(*by, "_k").agg(F.sum(F.col("_w") * F.col(value)).alias("s"), F.sum("_w").alias("n")).filter("n > 0")
+    named = F.col(key).cast("string") if key else F.xxhash64(*df.columns).cast("string")
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_key", named)
+    blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
+    h = F.md5(F.concat_ws("|", F.lit(seed), "_b", "_key"))
+    u = lambda i: F.conv(F.substring(F.col("_h"), 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = lambda x: sum(((x >= c).cast("int") for c in POISSON[1:]), (x >= POISSON[0]).cast("int"))
+    drawn = F.array(*[F.struct((F.col("_b") * 4 + i).alias("_k"), weight(u(i)).alias("_w")) for i in range(4)])
+    each = blocks.withColumn("_h", h).select(*by, value, F.inline(drawn)).filter(F.col("_k") < resamples)
+    sums = each.groupBy(*by, "_k").agg(F.sum(F.col("_w") * F.col(value)).alias("s"), F.sum("_w").alias("n")).filter("n > 0")
     ends = sums.groupBy(*by).agg(F.expr("percentile(s / n, 0.025)").alias("ci_lo"), F.expr("percentile(s / n, 0.975)").alias("ci_hi"))
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean")).join(ends, by)
+    means = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return means.join(ends, by) if by else means.crossJoin(ends)
 
 
 def signal_summary(df: DataFrame, group: str, variants: list[str], cut: float = 1.645) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.config import BoundaryConfig
 from tidemark.functions import options, vectors
 from tidemark.operators import encode, events, evidence, intervals, matching, sampling, signals, stats
 from tidemark.sources import files
+from tidemark.sources.shared import shared_folder
 
 DAY = 86400.0
 VISUAL = ("view", "click")
@@ -59,12 +60,12 @@ def frames(spark, sf_dir) -> DataFrame:
 
 
 def questions(spark, sf_dir) -> DataFrame:
-    """Every 25th vector asks, the four after it are the options: how the stand-in is made, not a sample of a table."""
+    """A stated query set against all frames: vectors whose id is divisible by 20 ask, the four after each are its options."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    asks = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("video_id"), F.col("embedding").alias("q_emb"))
-    opts = e.filter("vec_id % 25 BETWEEN 1 AND 4").select((F.col("vec_id") - F.col("vec_id") % 25).alias("question_id"), F.col("vec_id").alias("o"), F.col("embedding").alias("x"))
+    asks = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("video_id"), F.col("embedding").alias("q_emb"))
+    opts = e.filter("vec_id % 20 BETWEEN 1 AND 4").select((F.col("vec_id") - F.col("vec_id") % 20).alias("question_id"), F.col("vec_id").alias("o"), F.col("embedding").alias("x"))
     opts = opts.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda z: z["x"]).alias("options")).filter(F.size("options") == 4)
-    return asks.join(opts, "question_id").withColumn("answer_idx", (F.floor(F.col("question_id") / 25) % 4).cast("int"))
+    return asks.join(opts, "question_id").withColumn("answer_idx", (F.floor(F.col("question_id") / 20) % 4).cast("int"))
 
 
 def catalogue(spark, sf_dir) -> DataFrame:
@@ -78,7 +79,7 @@ _PEAKS = _SAMPLES + ", norms AS (SELECT *, avg(raw) OVER w AS m, stddev_pop(raw)
 _NEAR = """, pairs AS (SELECT p.video_id, p.modality, p.t, p.norm AS score, q.t AS qt, q.norm AS qs, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.t - q.t), q.t) AS rn FROM peaks p LEFT JOIN peaks q ON p.video_id = q.video_id AND p.modality <> q.modality),
 near AS (SELECT video_id, modality, t, score, qs, abs(t - qt) AS gap FROM pairs WHERE rn = 1)"""
 _FRAMES = "frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 2.0::DOUBLE AS t, vec_id, CAST(embedding AS DOUBLE[]) AS emb FROM embeddings)"
-_QUESTIONS = "questions AS (SELECT a.vec_id AS question_id, a.label AS video_id, CAST(a.embedding AS DOUBLE[]) AS q_emb, a.vec_id // 25 % 4 AS answer_idx FROM embeddings a WHERE vec_id % 25 = 0 AND EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id + 4)), opts AS (SELECT vec_id - vec_id % 25 AS question_id, vec_id % 25 - 1 AS o, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 25 BETWEEN 1 AND 4)"
+_QUESTIONS = "questions AS (SELECT a.vec_id AS question_id, a.label AS video_id, CAST(a.embedding AS DOUBLE[]) AS q_emb, a.vec_id // 20 % 4 AS answer_idx FROM embeddings a WHERE vec_id % 20 = 0 AND EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id + 4)), opts AS (SELECT vec_id - vec_id % 20 AS question_id, vec_id % 20 - 1 AS o, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 20 BETWEEN 1 AND 4)"
 
 
 def _dot(a: str, b: str) -> str:
@@ -390,12 +391,12 @@ def swapped_null(spark, sf_dir):
     return rows.select("question_id", six("real").alias("real"), F.round("z", 5).alias("z"), six("pct").alias("pct"))
 
 
-@query("signal_summary", f"""WITH {_NULL}, g AS (SELECT CAST(question_id // 25 % 3 AS VARCHAR) AS grp, z FROM nu), a AS (SELECT * FROM g UNION ALL SELECT 'All', z FROM g)
+@query("signal_summary", f"""WITH {_NULL}, g AS (SELECT CAST(question_id // 20 % 3 AS VARCHAR) AS grp, z FROM nu), a AS (SELECT * FROM g UNION ALL SELECT 'All', z FROM g)
 SELECT grp AS "group", 'z' AS variant, count(*) AS n, round(median(z), 5) AS median_z, round(avg((z > 1.645)::INT), 6) AS share FROM a GROUP BY grp""")
 def signal_summary(spark, sf_dir):
     """A12"""
     z = evidence.swapped_null(questions(spark, sf_dir), frames(spark, sf_dir).select("video_id", "emb"))
-    rows = stats.signal_summary(z.withColumn("g", (F.floor(F.col("question_id") / 25) % 3).cast("string")), "g", ["z"])
+    rows = stats.signal_summary(z.withColumn("g", (F.floor(F.col("question_id") / 20) % 3).cast("string")), "g", ["z"])
     return rows.select("group", "variant", "n", F.round("median_z", 5).alias("median_z"), six("share").alias("share"))
 
 
@@ -470,27 +471,27 @@ def selector_accuracy(spark, sf_dir):
     return rows.select("k", *[six(s).alias(s) for s in evidence.SELECTORS])
 
 
-@query("group_accuracy", f"WITH {_PICKED}, {_vote_sql('picked', 'question_id, k, selector')} SELECT question_id // 25 % 3 AS g, " + ", ".join(f"round(avg(correct::INT) FILTER (selector = '{s}'), 6) AS \"{s}\"" for s in evidence.SELECTORS) + " FROM voted WHERE k = 16 GROUP BY 1")
+@query("group_accuracy", f"WITH {_PICKED}, {_vote_sql('picked', 'question_id, k, selector')} SELECT question_id // 20 % 3 AS g, " + ", ".join(f"round(avg(correct::INT) FILTER (selector = '{s}'), 6) AS \"{s}\"" for s in evidence.SELECTORS) + " FROM voted WHERE k = 16 GROUP BY 1")
 def group_accuracy(spark, sf_dir):
     """A15"""
     picked = evidence.select_frames(_scores(spark, sf_dir), (16,))
     votes = evidence.vote(picked, _answers(spark, sf_dir), ["question_id", "selector"])
-    rows = votes.groupBy((F.floor(F.col("question_id") / 25) % 3).alias("g")).pivot("selector", evidence.SELECTORS).agg(F.avg(F.col("correct").cast("double")))
+    rows = votes.groupBy((F.floor(F.col("question_id") / 20) % 3).alias("g")).pivot("selector", evidence.SELECTORS).agg(F.avg(F.col("correct").cast("double")))
     return rows.select("g", *[six(s).alias(s) for s in evidence.SELECTORS])
 
 
-_U = "CAST(('0x' || substr(md5(concat_ws('|', 0, k, rn)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
-_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+_U = "CAST(('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-@query("bootstrap_ci", f"""WITH r AS (SELECT label, norm AS x, row_number() OVER (PARTITION BY label ORDER BY norm) AS rn FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS norm FROM embeddings)),
-w AS (SELECT label, k, x, {" + ".join(f"(u >= {c})::INT" for c in _CUTS)} AS w FROM (SELECT *, {_U} AS u FROM r, (SELECT unnest(range(200)) AS k))),
+@query("bootstrap_ci", f"""WITH r AS (SELECT label, vec_id, {_dot("CAST(embedding AS DOUBLE[])", "CAST(embedding AS DOUBLE[])")} AS x FROM embeddings),
+h AS (SELECT label, x, b, md5(concat_ws('|', 0, b, vec_id)) AS h FROM r, (SELECT unnest(range(500)) AS b)),
+w AS (SELECT label, b * 4 + i AS k, x, {" + ".join(f"(u >= {c})::INT" for c in stats.POISSON)} AS w FROM (SELECT *, {_U} AS u FROM h, (SELECT unnest(range(4)) AS i))),
 m AS (SELECT label, k, sum(w * x) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0)
 SELECT label, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM m JOIN (SELECT label, avg(x) AS mean FROM r GROUP BY 1) USING (label) GROUP BY label""")
 def bootstrap_ci(spark, sf_dir):
-    """A17"""
-    rows = read(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return stats.bootstrap(rows, "x", ["label"], 200).select("label", six("mean").alias("mean"), six("ci_lo").alias("ci_lo"), six("ci_hi").alias("ci_hi"))
+    """Of the squared lengths of all vectors, 2000 resamples."""
+    rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", vectors.dot(F.col("embedding"), F.col("embedding")).alias("x"))
+    return stats.bootstrap(rows, "x", ["label"], key="vec_id").select("label", six("mean").alias("mean"), six("ci_lo").alias("ci_lo"), six("ci_hi").alias("ci_hi"))
 
 
 @query("spearman_matrix", """WITH x AS (SELECT p_partkey AS id, unnest(['size', 'price', 'key']) AS c, unnest([p_size::DOUBLE, p_retailprice, p_partkey::DOUBLE]) AS x FROM part),
@@ -543,15 +544,38 @@ def option_crosstab(spark, sf_dir):
     return rows.select("task_type", *[six(F.col(f"`{t}`")).alias(t) for t in options.TYPES])
 
 
-@query("spread_by_task", f"""WITH {_QUESTIONS}, sp AS (SELECT a.question_id, avg(1 - {_dot('a.x', 'b.x')}) AS template, avg((1 - {_dot('a.x', 'b.x')}) * 2 + a.o) AS alone FROM opts a JOIN opts b ON a.question_id = b.question_id AND a.o < b.o GROUP BY 1)
+def _variants(spark, sf_dir) -> DataFrame:
+    """Questions with both kinds of option vectors (E10): alone, and, for the template, with the question's vector added."""
+    q = questions(spark, sf_dir)
+    plus = F.transform("options", lambda o: vectors.normalise(F.zip_with(o, F.col("q_emb"), lambda x, y: x + y)))
+    return q.withColumns({"alone": F.transform("options", lambda o: vectors.normalise(o)), "template": plus})
+
+
+_VARIANTS = f"""{_QUESTIONS}, plus AS (SELECT question_id, o, x, list_transform(list_zip(x, q_emb), lambda z: z[1] + z[2]) AS y FROM opts JOIN questions USING (question_id)),
+unit AS (SELECT question_id, o, list_transform(x, lambda v: v / sqrt({_dot("x", "x")})) AS alone, list_transform(y, lambda v: v / sqrt({_dot("y", "y")})) AS template FROM plus)"""
+
+
+@query("spread_by_task", f"""WITH {_VARIANTS}, sp AS (SELECT a.question_id, avg(1 - {_dot('a.template', 'b.template')}) AS template, avg(1 - {_dot('a.alone', 'b.alone')}) AS alone FROM unit a JOIN unit b ON a.question_id = b.question_id AND a.o < b.o GROUP BY 1)
 SELECT video_id AS task, count(*) AS n, round(avg(template), 6) AS template, round(avg(alone), 6) AS alone, round(avg(template) / avg(alone), 6) AS compression FROM sp JOIN questions USING (question_id) GROUP BY 1""")
 def spread_by_task(spark, sf_dir):
-    """A10; the second variant is a made-up function of the first."""
-    s = vectors.mean_pairwise_distance(F.col("options"))
-    rows = stats.spread_by_task(questions(spark, sf_dir).select(F.col("video_id").alias("task"), s.alias("a"), (s * 2 + 4 / 6).alias("b")), "task", "a", "b")
+    """A10: options in the template lie closer together than alone."""
+    spread = lambda c: vectors.mean_pairwise_distance(F.col(c))
+    rows = stats.spread_by_task(_variants(spark, sf_dir).select(F.col("video_id").alias("task"), spread("template").alias("a"), spread("alone").alias("b")), "task", "a", "b")
     return rows.select("task", "n", *[six(c).alias(c) for c in ("template", "alone", "compression")])
 
 
+@query("variant_votes", f"""WITH {_FRAMES}, {_VARIANTS}, raw AS (SELECT q.question_id, q.answer_idx, f.frame_idx, u.o, unnest(['alone', 'template']) AS variant, unnest([{_dot('f.emb', 'u.alone')}, {_dot('f.emb', 'u.template')}]) AS s FROM frames f JOIN questions q USING (video_id) JOIN unit u USING (question_id)),
+cent AS (SELECT *, s - avg(s) OVER (PARTITION BY question_id, variant, o) AS x FROM raw), fr AS (SELECT question_id, variant, answer_idx, frame_idx, list(x ORDER BY o) AS sc FROM cent GROUP BY ALL), {_vote_sql('fr', 'question_id, variant')}
+SELECT question_id, variant, predicted, correct, round(margin, 6) AS margin, n_frames FROM voted""")
+def variant_votes(spark, sf_dir):
+    """The vote of all frames under either kind of option vectors; a question's vectors of both go over the frames once."""
+    q = _variants(spark, sf_dir).select("question_id", "video_id", "q_emb", "answer_idx", F.concat("alone", "template").alias("options"))
+    scores = evidence.frame_scores(q, frames(spark, sf_dir))
+    kinds = F.array(*[F.struct(F.lit(k).alias("variant"), F.slice("sc", 4 * i + 1, 4).alias("sc")) for i, k in enumerate(("alone", "template"))])
+    each = scores.select("question_id", "frame_idx", F.inline(kinds))
+    return evidence.vote(each, q.select("question_id", "answer_idx"), ["question_id", "variant"]).withColumn("margin", six("margin"))
+
+
 # --- samples and splits ----------------------------------------------------------------------------------------------
 
 _H = "md5({} || ':' || CAST({} AS VARCHAR))"
@@ -692,3 +716,79 @@ def question_constants(spark, sf_dir):
     votes = evidence.vote(_scores(spark, sf_dir), _answers(spark, sf_dir), ["question_id"])
     odd = questions(spark, sf_dir).select("question_id", (vectors.odd_one_out(F.col("options")) == F.col("answer_idx")).alias("hit"))
     return votes.join(odd, "question_id").agg(F.count("*").alias("n"), six(F.avg(F.col("correct").cast("double"))).alias("whole_video_accuracy"), six(F.avg(F.col("hit").cast("double"))).alias("odd_is_answer"))
+
+
+def _asset_rows(spark, sf_dir) -> DataFrame:
+    """Annotations made from parts, in the columns of schemas.QUESTIONS."""
+    p = catalogue(spark, sf_dir)
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    key = F.col("id").cast("string")
+    return p.select(text("q", key).alias("question_id"), F.col("name").alias("videoID"), sampling.zero_pad(key).alias("video_id"), F.when(F.col("mb") > 25, "long").otherwise("short").alias("duration"), "domain", F.col("sub").alias("sub_category"), F.col("domain").alias("task_type"), text("What is ", F.col("name"), "?").alias("question"), F.array(text("A. ", key), text("B. ", F.col("name"))).alias("options"), F.lit("A").alias("answer"), text("https://v/", key).alias("url"))
+
+
+@query("annotations", "SELECT 'q' || p_partkey AS question_id, CASE WHEN length(p_partkey::VARCHAR) < 3 THEN lpad(p_partkey::VARCHAR, 3, '0') ELSE p_partkey::VARCHAR END AS video_id, CASE WHEN p_size > 25 THEN 'long' ELSE 'short' END AS duration, 'A. ' || p_partkey || '|B. ' || p_name AS options FROM part")
+def annotations(spark, sf_dir):
+    """Annotations written as Parquet and read by their schema."""
+    path = shared_folder(spark, "annotations")
+    _asset_rows(spark, sf_dir).write.parquet(path)
+    return files.read_annotations(spark, path).select("question_id", "video_id", "duration", F.array_join("options", "|").alias("options"))
+
+
+@query("selection", "SELECT p_partkey::VARCHAR AS video_id, CASE WHEN p_size > 25 THEN '/media/' ELSE '/root/x/' END || p_name || '.mp4' AS video_path, '/root/x/' || p_name || '.srt' AS subtitle_path FROM part")
+def selection(spark, sf_dir):
+    """A selection written as CSV and read with its relative paths resolved."""
+    path = shared_folder(spark, "selection")
+    rows = catalogue(spark, sf_dir).select(F.col("id").alias("video_id"), F.concat(F.when(F.col("mb") > 25, "/media/").otherwise(""), F.col("name"), F.lit(".mp4")).alias("video_path"), F.concat("name", F.lit(".srt")).alias("subtitle_path"))
+    files.write_report(rows, path)
+    return files.read_selection(spark, path, "/root/x", ("video_id", "video_path", "subtitle_path")).select("video_id", "video_path", "subtitle_path")
+
+
+@query("media_pairs", """WITH f AS (SELECT '/m/' || p_brand || '/' || p_name || '-' || p_partkey % 50 AS stem, p_partkey AS k, CASE p_size % 3 WHEN 0 THEN 'MP4' WHEN 1 THEN 'mkv' ELSE 'txt' END AS e FROM part),
+v AS (SELECT DISTINCT stem, stem || '.' || e AS p FROM f WHERE e <> 'txt'), t AS (SELECT stem, max(k % 2) AS srt FROM f WHERE k % 5 <> 0 GROUP BY stem),
+j AS (SELECT v.p AS video_path, stem || CASE WHEN srt = 1 THEN '.srt' ELSE '.vtt' END AS subtitle_path, regexp_extract(stem, '([^/]+)$', 1) AS raw FROM v JOIN t USING (stem)),
+n AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY video_path) AS n FROM j)
+SELECT CASE WHEN n > 1 THEN raw || '_' || n ELSE raw END AS video_id, video_path, subtitle_path FROM n""")
+def media_pairs(spark, sf_dir):
+    """S3: videos and subtitles of a listing, paired by folder and name."""
+    p = catalogue(spark, sf_dir)
+    stem = F.concat(F.lit("/m/"), F.col("sub"), F.lit("/"), F.col("name"), F.lit("-"), (F.col("id") % 50).cast("string"))
+    video = F.when(F.col("mb") % 3 == 0, ".MP4").when(F.col("mb") % 3 == 1, ".mkv").otherwise(".txt")
+    subtitle = F.when(F.col("id") % 5 == 0, ".doc").when(F.col("id") % 2 == 1, ".srt").otherwise(".vtt")
+    listing = p.select(F.explode(F.array(F.concat(stem, video), F.concat(stem, subtitle))).alias("path")).distinct()
+    return files.pair_media(listing)
+
+
+@query("vector_tables", f"WITH {_FRAMES} SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, t, round({_dot('emb', 'emb')}, 6) AS length FROM frames")
+def vector_tables(spark, sf_dir):
+    """Frame vectors written in order of video and time, and read by their schema."""
+    path = shared_folder(spark, "vectors")
+    rows = frames(spark, sf_dir).select(F.col("video_id").cast("string"), F.col("frame_idx").cast("long"), "t", F.col("emb").cast("array<float>"))
+    files.write_vectors(rows, path)
+    return files.read_vectors(spark, path).select("video_id", "frame_idx", "t", six(vectors.dot(F.col("emb"), F.col("emb"))).alias("length"))
+
+
+@query("report", _EVENTS + " SELECT video_id, modality, round(t, 6) AS t, gap IS NULL AS alone, round(gap, 6) AS gap FROM ev")
+def report(spark, sf_dir):
+    """The event table as CSV, where no other peak is an infinite distance."""
+    path = shared_folder(spark, "report")
+    files.write_report(_events(spark, sf_dir).select("video_id", "modality", "timestamp_seconds", "nearest_other_peak_seconds"), path, "modality")
+    rows = files.read_report(spark, path, "video_id long, timestamp_seconds double, nearest_other_peak_seconds double, modality string")
+    gap = F.col("nearest_other_peak_seconds")
+    return rows.select("video_id", "modality", six("timestamp_seconds").alias("t"), (gap == float("inf")).alias("alone"), F.when(gap < float("inf"), six(gap)).alias("gap"))
+
+
+@query("run_config", "SELECT CAST(count(*) AS BIGINT) AS n_events, CAST(min(user_id) AS BIGINT) AS first_user, 'zscore' AS normalization FROM events")
+def run_config(spark, sf_dir):
+    """Settings and figures of a run as one row of JSON."""
+    path = shared_folder(spark, "config")
+    told = read(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.min("user_id").alias("u")).first()
+    files.write_config(spark, {"n_events": told["n"], "first_user": told["u"], "normalization": BoundaryConfig().normalization}, path)
+    return spark.read.schema("n_events long, first_user long, normalization string").json(path)
+
+
+@query("sized_videos", "SELECT p_partkey AS id, s.mb FROM part LEFT JOIN (SELECT p_partkey AS k, p_retailprice AS mb FROM part WHERE p_size > 10) s ON p_partkey = k WHERE s.mb < 1200")
+def sized_videos(spark, sf_dir):
+    """Sizes of files mapped to videos; those without one, or too large, go."""
+    p = read(spark, sf_dir, "part")
+    sizes = p.filter("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("mb"))
+    return sampling.sized(p.select(F.col("p_partkey").alias("id")), sizes, "id", "mb", 1200).select("id", "mb")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,11 @@ def catalogue_media(spark: SparkSession, root: str, most: int | None = None) ->
 
     Endings are taken in any case, .srt before .vtt. Equal names get _2, _3, ... in order of path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return pair_media(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path"), most)
+
+
+def pair_media(files: DataFrame, most: int | None = None) -> DataFrame:
+    """The same of a listing: rows with the path of each file."""
     files = files.select("path", F.regexp_extract("path", r"^(.*)\.[^./]+$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
     videos = files.filter(F.col("ending").isin(VIDEO_ENDINGS)).select("stem", F.col("path").alias("video_path"))
     rank = F.array_position(F.array(*map(F.lit, SUBTITLE_ENDINGS)), F.col("ending"))
@@ -72,17 +78,26 @@ def parse_subtitles(files: DataFrame) -> DataFrame:
 
 
 def read_subtitles(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cues of the files that ``manifest`` (video_id, subtitle_path) names, one row of text per file."""
-    spark = manifest.sparkSession
-    paths = [r.subtitle_path for r in manifest.select("subtitle_path").distinct().toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], schemas.CUES)
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("content"))
+    """Cues of the files that ``manifest`` (video_id, subtitle_path) names, one row of text per file.
+
+    The deepest folder that holds them all, known from the first and the last path, is read and joined.
+    """
+    ends = manifest.agg(F.min("subtitle_path"), F.max("subtitle_path")).first()
+    if ends[0] is None:
+        return manifest.sparkSession.createDataFrame([], schemas.CUES)
+    root = os.path.commonprefix(list(ends)).rpartition("/")[0] or "/"
+    texts = read_texts(manifest.sparkSession, root)
     key = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    rows = manifest.join(texts, key(F.col("subtitle_path")) == key(F.col("_path"))).select("video_id", "content")
+    rows = manifest.join(texts, key(F.col("subtitle_path")) == key(F.col("path"))).select("video_id", "content")
     return parse_subtitles(rows.repartition(partitions, "video_id") if partitions else rows)
 
 
+def read_texts(spark: SparkSession, root: str) -> DataFrame:
+    """path and content of every subtitle file under ``root``; executors list and read, the driver sees no path."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{srt,SRT,Srt,vtt,VTT,Vtt}")
+    return files.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
 def manifest(selection: DataFrame, catalogue: DataFrame, require_all: bool = True) -> DataFrame:
     """The media pair of every selected asset (schemas.MANIFEST); missing ones are an error that names eight, or left out."""
     media = catalogue.select(F.col("video_id").alias("asset_id"), "video_path", "subtitle_path")
@@ -99,6 +114,10 @@ def write_vectors(df: DataFrame, path: str) -> None:
     df.sortWithinPartitions("video_id", "t").write.mode("overwrite").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, schema: str = schemas.FRAME_EMB) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_report(df: DataFrame, path: str, by: str | None = None) -> None:
     """A CSV report with a header, one folder per value of ``by``; infinity is written as inf."""
     for c, kind in df.dtypes:
