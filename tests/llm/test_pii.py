@@ -50,13 +50,31 @@ def brute(s):
     if re.fullmatch(pii.ADDRESS, s):
         v = list(map(int, s.split(".")))
         return ("address", ".".join(map(str, feistel(v, [256] * 4, "address")))) if max(v) <= 255 else (None, s)
+    digits = re.sub("[^0-9]", "", s)
     if re.fullmatch(pii.NUMBER, s):
-        new = by_class(s[:-1], "number")
-        plain = lambda x: re.sub("[^0-9]", "", x)
-        return "number", new + str((int(s[-1]) + luhn(plain(s[:-1])) - luhn(plain(new))) % 10)
+        if len(digits) == 9:
+            area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+            areas = [a for a in range(1, 900) if a != 666]
+            if area not in areas or not group or not serial:
+                return None, s
+            a, g, n = feistel([areas.index(area), group - 1, serial - 1], [898, 99, 9999], "ssn")
+            new = f"{areas[a]:03d}{g + 1:02d}{n + 1:04d}"
+        else:
+            if digits[0] not in "23456" or (luhn(digits[:-1]) + int(digits[-1])) % 10:
+                return None, s
+            values = feistel([int(digits[0]) - 2, *map(int, digits[1:-1])], [5] + [10] * (len(digits) - 2), "card")
+            new = "".join(map(str, [values[0] + 2, *values[1:]]))
+            new += str(-luhn(new) % 10)
+        return "number", put_back(s, new)
     code = re.match(r"\+\d{1,3}", s)
     code = code[0] if code else ""
-    return "phone", code + by_class(s[len(code) :], "phone")
+    own = [int(c) for c in s[len(code) :] if c.isdigit()]
+    return "phone", code + put_back(s[len(code) :], "".join(map(str, feistel(own, [10] * len(own), "phone"))))
+
+
+def put_back(s, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in s)
 
 
 def rewritten(text):
@@ -71,7 +89,7 @@ def rewritten(text):
     return (text if text is None else re.sub(pii.ANY, put, text)), counts
 
 
-TEXTS = [None, "", "nothing", "card 4111111111111111, again 4111111111111111! and 4111 1111 1111 1111", "bad 9807915762804490 7536784127813050 4845168114407329", "und.34@mail7.example.com A.B-c@x.org.", "+1 (017) 555-7713 and (017) 555-7713 555-123-4567", "1.2.3.4 999.1.1.1 255.255.255.255 1.2.3.4.5", "2024-02-29 2023-02-29 31/12/1999 12/31/1999 1.2.2003 99/99/2000 2199-12-31 1799-12-31", "token04dbebab9112345678901234 123-45-6789", "é" * 3000 + " 123456789 " + "a" * 20000, "@ x@ @y.z 1/2/3"]
+TEXTS = [None, "", "nothing", "card 4111111111111111, again 4111111111111111! and 4111 1111 1111 1111", "bad 9807915762804490 7536784127813050 4845168114407329", "und.34@mail7.example.com A.B-c@x.org.", "+1 (017) 555-7713 and (017) 555-7713 555-123-4567", "1.2.3.4 999.1.1.1 255.255.255.255 1.2.3.4.5", "2024-02-29 2023-02-29 31/12/1999 12/31/1999 1.2.2003 99/99/2000 2199-12-31 1799-12-31", "token04dbebab9112345678901234 123-45-6789 123 45 6789 000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000", "1700000000123 9780306406157 378282246310005 3782 822463 10005 6011-0009-9013-9424 4111111111111112", "é" * 3000 + " 123456789 " + "a" * 20000, "@ x@ @y.z 1/2/3"]
 
 
 def check(spark, rows):
@@ -98,5 +116,25 @@ def test_permutation():
     assert (luhn(brute("4111111111111111")[1][:-1]) + int(brute("4111111111111111")[1][-1])) % 10 == 0
 
 
+def test_forms_of_a_value_stay_linked(spark):
+    forms = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (743) 555-3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "123-45-6789", "123 45 6789", "2024-02-29", "29/02/2024", "02/29/2024", "29.2.2024"]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+    digits = [re.sub(r"^\+1|[^0-9]", "", t) for t in got]
+    assert len(set(digits[:3])) == len(set(digits[3:7])) == len(set(digits[7:9])) == 1
+    day = lambda t: {t[:10]} if "-" in t else {"-".join(reversed(re.split("[/.]", t))), "-".join(re.split("[/.]", t)[i] for i in (2, 0, 1))}
+    assert got[9] in set.intersection(*map(day, got[9:])) and not set(got) & set(forms)
+    assert [re.sub("[0-9]", "9", t) for t in got[:9]] == [re.sub("[0-9]", "9", t).replace("+9", "+9") for t in forms[:9]]
+
+
+def test_key_of_a_table(spark, tmp_path, capsys):
+    (tmp_path / "key").write_text("a very secret key")
+    df = spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string")
+    made = pii.pseudonymise(df, spark.read.text(f"file://{tmp_path}/key"))
+    assert made.first().text == pii.pseudonymise(df, "a very secret key").first().text != pii.pseudonymise(df, "another").first().text
+    made.explain(True)
+    assert "a very secret key" not in capsys.readouterr().out
+
+
 def test_empty_table(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
