@@ -1,6 +1,7 @@
 import html as entities
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import html
@@ -46,6 +47,40 @@ def test_classes_that_speak_of_others():
     assert html.main_text(page).split("\n\n") == ["Title", LONG.strip()]
 
 
+def test_ratios_choose(monkeypatch):
+    """Without article elements or telling names only the ratios know the article; flattened, they lose it."""
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(30))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><p>All rights</p></div></body>"
+    want = ["Title", LONG.strip(), "Short.", LONG.strip()]
+    assert html.main_text(page).split("\n\n") == want
+    monkeypatch.setattr(html, "fused", lambda blocks: np.ones(len(blocks)))
+    assert html.main_text(page).split("\n\n") != want
+
+
+def test_names_of_sections_stay_where_the_ratios_pass():
+    page = f'<body><div class="related-work"><ul><li><a href=x>More</a></li><li><a href=y>Still more</a></li></ul></div><article><h1>T</h1><p>{LONG}</p><section class="related-work"><h2>Related work</h2><p>{LONG}</p></section><div class="side-note"><p>{LONG}</p></div><section id="search-methods"><p>{LONG}</p></section><section class="discussion"><p>{LONG}</p></section></article></body>'
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), "Related work", *[LONG.strip()] * 4]
+
+
+@pytest.mark.parametrize(
+    "inner,text",
+    [
+        ('<p>a, b.<svg class="i"/> c</p><p>d</p>', "a, b. c\n\nd"),
+        ("<p>a <svg><title>x</title><path/></svg>b</p>", "a b"),
+        ("<p>a <svg>b</p><p>c</p>", "a b\n\nc"),
+        ("<p><a title=it's href=x>one</a> two</p><p>it's</p>", "one two\n\nit's"),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> be</p>", "let x=1 be"),
+        ("<p>a</p><noscript><p>b</p>", "a\n\nb"),
+        ("<p>a</p><noscript>no</noscript><p>b</p>", "a\n\nb"),
+        ("<p>&<b>lt;</b> &lt;b&gt;</p>", "&lt; <b>"),
+        ("<p title=\"x>y\" data-a='z>\"'>a<br class=x/>b</p>", "a b"),
+    ],
+)
+def test_markup(inner, text):
+    assert html.main_text(f"<html><body>{inner}</body></html>") == text
+    assert html.main_text(f"<html><body><nav><a href=x>Home</a></nav><article><p>{LONG}</p>{inner}</article></body></html>") == LONG.strip() + "\n\n" + text
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("plain", "plain"), ("<", "<"), ("<p", ""), ("<p>a<p>b", "a\n\nb"), ("<article></article>", ""), ("a < b", "a < b"), ("<p>&#x41;&bogus;</p>", "A&bogus;"), ("<script>x", ""), ("<!-- x", ""), ('<div title="a>b">x. y</div>', "x. y"), ("</p></div>x", "x")])
 def test_odd_pages(page, text):
     assert html.main_text(page) == text

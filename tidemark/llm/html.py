@@ -2,10 +2,10 @@
 
 A page is cut into text blocks, each with its root-to-leaf path of block elements. Per path the text length and the
 punctuation per block are taken; the blocks' values are smoothed in page order, fused, and held against a threshold.
-The blocks that pass name the element that holds the article (an article or main element, or else the deepest one
-around the strongest path), and the text is all of that element but for elements whose tag, role, class or id say
-that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Short paragraphs and headings
-inside the article thus stay whatever their own ratio.
+The blocks that pass choose the article: it is the element that holds the most text of passing blocks, less the text
+(above all that of links) of those that fail. Short paragraphs and headings inside it thus stay whatever their own
+ratio. Tags, roles, classes and ids only take away: elements that can hold no article text go with all in them, and
+elements whose name may also be that of a part of an article go where their ratios fail as well.
 
 Pages are independent: one pass over each, no shuffle.
 """
@@ -21,35 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shingles import bites
+
 #: Names of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object".split())
+#: Elements whose content is no text of the page; the first kind ends the page where they are not closed, the tag of the
+#: second is passed over then, and so it is where it closes itself.
+RAW = set("script style textarea title".split())
+SKIPPED = set("noscript template iframe svg object annotation annotation-xml".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+MATH = set("math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose semantics".split())
+IN_TEXT = INLINE | MATH | {"svg", "annotation", "annotation-xml"}
+#: Elements that hold text, but are no part of a page that could hold an article.
+LEAVES = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption address hgroup".split())
 DROPPED = set("nav footer aside form button select option menu dialog head datalist audio video canvas optgroup fieldset".split())
 ARTICLE = set("article main".split())
 NEVER_HINTED = set("html body article main".split())
 #: An opening tag of the first kind ends open elements of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words of classes and ids that name no part of an article.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|container|wrapper)|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alert|disclaimer|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widgets?|related|recommend\w*|share|sharing|social|comments?|commentlist|responses?|respond|reply|replies|discussion|disqus|footer|foot|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|form|search|toolbar|pagination|pager|copyright|legal|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|container|wrapper)|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|nav|navbar|navigation|menu|breadcrumbs?|sidebar|sharing|social|comments?|commentlist|disqus|footer|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|toolbar|pagination|pager|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Words that may: they count where the ratios fail as well.
+MAYBE = re.compile(r"(?:^|[\s_-])(?:banner|notices?|alert|disclaimer|side|widgets?|related|recommend\w*|share|responses?|respond|reply|replies|discussion|foot|form|search|legal|skip)(?:$|[\s_-])", re.I)
 #: Of a page's header, but not of an article's.
 HEAD_HINT = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 #: What a class says of its surroundings: "has-sidebar" is no sidebar.
 AROUND = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[-_][\w-]+", re.I)
-TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))""", re.I)
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+TAG = re.compile(rf"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[\s/]++|[^\s"'>/=][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?|["'=])*+)>""")
+NAMED = re.compile(rf"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*({_VALUE})|(?=[\s/>]|$))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，！？¿¡]")
 
 
 class _Page:
-    """Blocks of one page, in order: text, path, element and length of link text."""
+    """Blocks of one page, in order: text, path, element, length of link text, and whether it can be of no article."""
 
     def __init__(self, html: str):
-        self.parent, self.tag = [-1], [""]
-        self.blocks: list[tuple[str, str, int, int]] = []
+        self.parent, self.tag, self.maybe = [-1], [""], [False]
+        self.blocks: list[tuple[str, str, int, int, bool]] = []
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
         self.open: dict[str, int] = {}
         self.held: list[str] = []
@@ -81,30 +94,33 @@ class _Page:
             at, tag = m.end(), m[2].lower()
             if m[1]:
                 self.end(tag)
-            elif tag in RAW:
-                if tag not in INLINE:
+            elif tag in RAW or tag in SKIPPED:
+                if tag not in IN_TEXT:
                     self.flush()
+                if tag in SKIPPED and m[3].endswith("/"):
+                    continue
                 end = re.compile(f"</{tag}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                at = end.end() if end else at if tag in SKIPPED else n
             else:
                 self.start(tag, m[3])
         self.flush()
 
     def text(self, s: str) -> None:
-        if not self.stack[-1][2]:
-            self.held.append(s)
-            if self.in_link:
-                self.links += len(s)
+        # decoded here: a reference does not reach across a tag
+        s = unescape(s)
+        self.held.append(s)
+        if self.in_link:
+            self.links += len(s)
 
     def flush(self) -> None:
         if self.held:
-            s = " ".join(unescape("".join(self.held)).split())
+            s = " ".join("".join(self.held).split())
             if s:
-                self.blocks.append((s, "/".join(t for t, _, _ in self.stack), self.stack[-1][1], self.links))
+                self.blocks.append((s, "/".join(t for t, _, _ in self.stack), self.stack[-1][1], min(self.links, len(s)), self.stack[-1][2]))
             self.held, self.links = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
-        if tag in INLINE:
+        if tag in IN_TEXT:
             if tag == "br":
                 self.text(" ")
             elif tag == "a":
@@ -120,7 +136,7 @@ class _Page:
         if tag in VOID:
             return
         in_article = any(self.open.get(t) for t in ARTICLE)
-        dropped = self.stack[-1][2] or tag in DROPPED or (tag == "header" and not in_article)
+        dropped, maybe = self.stack[-1][2] or tag in DROPPED, tag == "header" and not in_article
         if attributes and not dropped and tag not in NEVER_HINTED:
             for name, value in NAMED.findall(attributes):
                 value = value.strip("\"'")
@@ -132,13 +148,15 @@ class _Page:
                 else:
                     value = AROUND.sub("", value)
                     dropped = dropped or bool(HINT.search(value)) or (not in_article and bool(HEAD_HINT.search(value)))
+                    maybe = maybe or bool(MAYBE.search(value))
         self.parent.append(self.stack[-1][1])
         self.tag.append(tag)
+        self.maybe.append(maybe)
         self.stack.append((tag, len(self.tag) - 1, dropped))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
-        if tag in INLINE:
+        if tag in IN_TEXT:
             if tag == "br":
                 self.text(" ")
             elif tag == "a" and self.in_link:
@@ -155,62 +173,55 @@ class _Page:
             if last == tag:
                 return
 
+    def sums(self, of_block: np.ndarray) -> list[float]:
+        """A value of the blocks added up for every element, with all in it."""
+        out = [0.0] * len(self.tag)
+        for block, x in zip(self.blocks, of_block.tolist(), strict=True):
+            out[block[2]] += x
+        for i in range(len(out) - 1, 0, -1):  # an element comes after its parent
+            out[self.parent[i]] += out[i]
+        return out
+
 
 def _smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
     return np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
 
 
-def fused(blocks: list[tuple[str, str, int, int]]) -> np.ndarray:
+def fused(blocks: list[tuple[str, str, int, int, bool]]) -> np.ndarray:
     """Each block's smoothed ratio of text to its path times that of punctuation."""
     length, marks, count = {}, {}, {}
-    for s, path, _, links in blocks:
-        length[path] = length.get(path, 0) + max(len(s) - links, 0)
+    for s, path, _, links, _ in blocks:
+        length[path] = length.get(path, 0) + len(s) - links
         marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(s))
         count[path] = count.get(path, 0) + 1
-    text = np.array([length[p] / count[p] for _, p, _, _ in blocks])
-    punctuation = np.array([marks[p] / count[p] for _, p, _, _ in blocks])
+    text = np.array([length[b[1]] / count[b[1]] for b in blocks])
+    punctuation = np.array([marks[b[1]] / count[b[1]] for b in blocks])
     return _smooth(text) * (1 + _smooth(punctuation))
 
 
+#: What a character that is no link takes off where its block fails; one of a link takes off 1.
+PLAIN = 0.25
+
+
 def main_text(html: str, sharpness: float = 0.5) -> str:
     """The article of one page; ``sharpness`` times the deviation of the fused ratios is the threshold."""
     page = _Page(html)
-    blocks = page.blocks
-    if not blocks:
+    if not page.blocks:
         return ""
-    value = fused(blocks)
+    value = fused(page.blocks)
     passed = value >= min(sharpness * value.std(), value.max())
-    around: list[list[int]] = []
-    for _, _, node, _ in blocks:
-        chain = []
-        while node >= 0:
-            chain.append(node)
-            node = page.parent[node]
-        around.append(chain[::-1])
-    # the text that passed, by the outermost article or main element around it
-    held: dict[int, int] = {}
-    for chain, (s, _, _, links), ok in zip(around, blocks, passed, strict=True):
-        top = next((x for x in chain if page.tag[x] in ARTICLE), None)
-        if ok and top is not None:
-            held[top] = held.get(top, 0) + max(len(s) - links, 0)
-    if held:
-        inside = {x for x in held if held[x] * 10 >= max(held.values())}
-        return "\n\n".join(b[0] for b, chain in zip(blocks, around, strict=True) if not inside.isdisjoint(chain))
-    # no such element: the deepest one around all blocks of the strongest path, and other paths that passed in it
-    total: dict[str, float] = {}
-    for (s, path, _, links), ok in zip(blocks, passed, strict=True):
-        if ok:
-            total[path] = total.get(path, 0) + max(len(s) - links, 0)
-    best = max(total, key=lambda p: (total[p], p))
-    chains = [c[: len(c) - (b[1].rsplit("/", 1)[-1] == "p")] for b, c, ok in zip(blocks, around, passed, strict=True) if ok and b[1] == best]
-    common = chains[0]
-    for c in chains[1:]:
-        k = 0
-        while k < min(len(c), len(common)) and c[k] == common[k]:
-            k += 1
-        common = common[:k]
-    return "\n\n".join(b[0] for b, chain in zip(blocks, around, strict=True) if common[-1] in chain)
+    size, links, open_ = (np.array(x) for x in zip(*((len(b[0]), b[3], not b[4]) for b in page.blocks), strict=True))
+    gain = page.sums(np.where(passed, size - links, -(links + PLAIN * (size - links))) * open_)
+    # the element of the largest gain, the innermost of equal ones
+    best = max((i for i, t in enumerate(page.tag) if t not in LEAVES), key=lambda i: (gain[i], i))
+    all_, good = page.sums(size * open_), page.sums(size * (passed & open_))
+    inside = [False] * len(page.tag)
+    for i, parent in enumerate(page.parent):
+        # an element that may be no part of an article goes where less than half of its text passed
+        gone = i > best and page.maybe[i] and 2 * good[i] < all_[i]
+        inside[i] = i == best or (parent >= 0 and inside[parent] and not gone)
+    return "\n\n".join(b[0] for b in page.blocks if inside[b[2]] and not b[4])
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -223,9 +234,11 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [main_text(h.as_py()) if h.is_valid else "" for h in part.column(2)]
+            at = 0
+            for pages in bites(batch.column(2), lambda h: len(h.as_py() or "")):
+                part = batch.slice(at, len(pages))
+                at += len(pages)
+                texts = [main_text(h.as_py()) if h.is_valid else "" for h in pages]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
