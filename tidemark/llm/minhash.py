@@ -80,6 +80,8 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     order and needs no other.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise ValueError(f"{doc_id} must be of a whole-number type, by which rows are put in order")
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = docs.agg(F.percentile_approx("at", [i / ranges for i in range(ranges)], 4 * ranges)).first()[0]

@@ -57,6 +57,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_edited(_read(spark, sf_dir, "documents"))
 
 
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 as a search for near copies: bands of signatures joined, candidates verified by Jaccard similarity."""
+    return minhash.near_classes(_read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(_read(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
     "op10_icws": op10_icws,
+    "minhash_classes": minhash_classes,
 }
 
 def _quoted(pattern: str) -> str:
