@@ -1,15 +1,19 @@
 """Change signals of a video: scores, smoothing, normalisation, peaks.
 
 Smoothing with repeated edges, prominence and greedy spacing are sequential within one series, so they are numpy
-helpers called once per series; everything else is built-in. Only scalars reach the helpers, never vectors.
+helpers that see one series at a time; everything else is built-in. Only scalars reach the helpers, never vectors.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.config import BoundaryConfig
 from tidemark.functions import vectors
@@ -92,20 +96,59 @@ def prominences(x: np.ndarray) -> dict[int, float]:
 def spaced(t: np.ndarray, strength: np.ndarray, gap: float, most: int | None = None) -> list[int]:
     """Indices kept by greedy choice: the strongest first (of equals the later), none nearer than ``gap`` to a kept one."""
     kept: list[int] = []
+    times: list[float] = []  # of the kept, in order: only the two beside a place can be too near
     for i in sorted(range(len(t)), key=lambda i: (-strength[i], -i)):
         if most is not None and len(kept) == most:
             break
-        if all(abs(t[i] - t[k]) >= gap for k in kept):
+        at = bisect(times, t[i])
+        if (at == 0 or t[i] - times[at - 1] >= gap) and (at == len(times) or times[at] - t[i] >= gap):
+            times.insert(at, t[i])
             kept.append(i)
     return sorted(kept)
 
 
+#: Rows of results that are put together before they leave a task.
+ROWS = 20_000
+
+
+def _each_series(df: DataFrame, key: list[str], order: str, one: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType) -> DataFrame:
+    """``one`` of every series: rows are dealt by key and come in order, and many series share a call of the task.
+
+    A series lies in one task, which holds one at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        made: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = pdf[key].apply(tuple, axis=1) if len(key) > 1 else pdf[key[0]]
+            values = codes.to_numpy()
+            starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            for a, b in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+                if held and values[a] != last:
+                    made.append(one(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)))
+                    held = []
+                held.append(pdf.iloc[a:b])
+                last = values[a]
+            if sum(map(len, made)) >= ROWS:
+                yield pd.concat(made, ignore_index=True)
+                made = []
+        if held:
+            made.append(one(pd.concat(held, ignore_index=True)))
+        if made:
+            yield pd.concat(made, ignore_index=True)
+
+    return df.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+
+
 def signals(scores: DataFrame, key: list[str], config: BoundaryConfig) -> DataFrame:
     """key, i, t, raw, smooth, norm, is_peak, prominence of every series of change scores (key, t, raw)."""
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in key)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable").reset_index(drop=True)
         t, raw = pdf["t"].to_numpy(), pdf["raw"].to_numpy(float)
         width = 1.0
         if len(t) > 1:
@@ -120,18 +163,14 @@ def signals(scores: DataFrame, key: list[str], config: BoundaryConfig) -> DataFr
         out = {i: p for i, p in prominences(norm).items() if p >= config.peak_prominence} if len(norm) >= 3 else {}
         at = np.array(sorted(out), int)
         kept = at[spaced(t[at], np.array([out[i] for i in at]), config.peak_min_spacing)] if len(at) else at
-        peak = np.zeros(len(t), bool)
+        peak, far = np.zeros(len(t), bool), np.full(len(t), None, object)
         peak[kept] = True
-        return pd.DataFrame({**{c: pdf[c] for c in key}, "i": np.arange(len(t), dtype=np.int32), "t": t, "raw": raw, "smooth": s, "norm": norm, "is_peak": peak, "prominence": [out.get(i) if peak[i] else None for i in range(len(t))]})
+        far[kept] = [out[i] for i in kept]
+        return pd.DataFrame({**{c: pdf[c] for c in key}, "i": np.arange(len(t), dtype=np.int32), "t": t, "raw": raw, "smooth": s, "norm": norm, "is_peak": peak, "prominence": far})
 
-    return scores.select(*key, "t", "raw").groupBy(*key).applyInPandas(one, f"{kinds}, i int, t double, raw double, smooth double, norm double, is_peak boolean, prominence double")
+    return _each_series(scores.select(*key, "t", "raw"), key, "t", one, f"{kinds}, i int, t double, raw double, smooth double, norm double, is_peak boolean, prominence double")
 
 
 def top_apart(df: DataFrame, key: list[str], t: str, score: str, n: int = 2, gap: float = 60.0) -> DataFrame:
     """The n rows of largest score of each key that lie at least ``gap`` apart, chosen greedily."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable").reset_index(drop=True)
-        return pdf.iloc[spaced(pdf[t].to_numpy(), pdf[score].to_numpy(), gap, n)]
-
-    return df.groupBy(*key).applyInPandas(one, df.schema)
+    return _each_series(df, key, t, lambda pdf: pdf.iloc[spaced(pdf[t].to_numpy(), pdf[score].to_numpy(), gap, n)], df.schema)
