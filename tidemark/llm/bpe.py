@@ -26,7 +26,7 @@ from tidemark.llm.shingles import bites
 #: Fixed value: the pattern by which the byte-level tokenizers cut a text into pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of remembered pre-tokens and ids a worker keeps (about), and pairs of its pair table; the rest is worked out anew.
-MEMORY, PAIRS = 24_000_000, 150_000
+MEMORY, PAIRS = 72_000_000, 300_000
 #: Characters of a text that are cut into pre-tokens at once, and of texts that make one batch of rows.
 STRETCH = 1 << 18
 
@@ -103,7 +103,11 @@ class Tokenizer:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *special.values()]) + 1
-        self.vocab = vocab
+        letters = {c: chr(b) for b, c in byte_letters().items()}
+        plain = lambda token: "".join(map(letters.__getitem__, token))
+        #: Tokens with one character for each of their bytes.
+        self.vocab = vocab = {plain(token): i for token, i in vocab.items()}
+        merges = [(plain(a), plain(b)) for a, b in merges]
         self.seams = Seams([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], size)
         self.length = [0] * size
         self.automaton = ahocorasick.Automaton()
@@ -117,12 +121,9 @@ class Tokenizer:
                 if (j := vocab.get(token[:end])) is not None:
                     self.shorter[i] = j
                     break
-        letters = byte_letters()
-        self.letters = {b: c for b, c in letters.items()}
-        of_letter = {c: b for b, c in letters.items()}
         raw = [b""] * size
         for token, i in vocab.items():
-            raw[i] = bytes(of_letter[c] for c in token)
+            raw[i] = token.encode("latin-1")
         for content, i in special.items():
             raw[i] = content.encode()
         self.blob = np.frombuffer(b"".join(raw), np.uint8)
@@ -137,35 +138,39 @@ class Tokenizer:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        s = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        s = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
         whole = self.vocab.get(s)
         return [whole] if whole is not None else self.backtrack(s)
 
     def backtrack(self, s: str) -> list[int]:
-        """Ids of a pre-token given in the vocabulary's letters."""
-        n, length, shorter, holds = len(s), self.length, self.shorter, self.seams.holds
+        """Ids of a pre-token given with one character a byte."""
+        n, length, shorter, holds, known = len(s), self.length, self.shorter, self.seams.holds, self.seams.known.get
         longest = [-1] * n
         for end, i in self.automaton.iter(s):
             longest[end - length[i] + 1] = i
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
             while token >= 0:
-                if not dead[at + length[token]] and (not out or holds(out[-1], token)):
-                    break
+                if not dead[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = known(last << 32 | token)
+                    if holds(last, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                last, token = token, longest[at] if at < n else -1
             else:
                 if not out:
                     raise ValueError(f"the vocabulary cannot spell {s!r}")
                 dead[at] = 1
-                last = out.pop()
+                out.pop()
                 at -= length[last]
-                token = shorter[last]
+                token, last = shorter[last], out[-1] if out else -1
         return out
 
     def _pack(self, piece: str) -> bytes:
