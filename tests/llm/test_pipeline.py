@@ -58,3 +58,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         assert out.columns == corpus_pipeline.COLUMNS and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
     assert secrets.KINDS
+
+
+def test_stages_take_nulls_repeated_rows_and_other_columns(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    source = "/root/testdata/sf0.001"
+    rng = random.Random(4)
+    words = [" ".join(rng.choice("the and of that with from over under river house green stone walk sing".split()) for _ in range(40)) for _ in range(4)]
+    rows = [(None, words[0], None, None, None), (1, words[1], "en", "s", 3), (1, words[1], "en", "s", 3), (1, words[2], "en", "s", 3), (2, None, "en", "s", 0), (3, "", None, "s", 0), (4, "é " * 200_000 + words[3], "en", None, 1)]
+    schema = spark.read.parquet(f"{source}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, schema).withColumns({"_text": F.lit(1), "node": F.lit("x"), "lang_pred": F.lit("y"), "_row": F.lit(2)})
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, source)
+        assert out.columns == corpus_pipeline.COLUMNS
+        sizes[name] = out.count()
+    # nothing can be told of null and empty texts; of the two equal rows one stays; the null and the empty text are equal
+    assert sizes == {"language ID": 5, "near-dedup": 5, "decontamination": 7, "secret scan": 7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, source).count() == 5

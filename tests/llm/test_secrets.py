@@ -74,3 +74,11 @@ def test_redact(spark):
             out, at = out + t[at:s] + "<SECRET>", e
         want.append((i, None if t is None else out + t[at:], x))
     assert got == sorted(want, key=repr)
+
+
+def test_many_spans_in_one_text(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "secret = abcdefgh é\n" * n)], "doc_id long, text string")
+    row = secrets.scan(df).first()
+    assert row.n_assign == n and row.spans.endswith(f"assign:{20 * (n - 1)}:{20 * n - 3}")
+    assert secrets.redact(df).first().text == "<SECRET> é\n" * n
