@@ -66,7 +66,9 @@ def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, s
     else all its columns do: rows that share them are drawn together. Rows without a value are left out.
     """
     named = F.col(key).cast("string") if key else F.xxhash64(*df.columns).cast("string")
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_key", named)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_key", named).select(*by, value, "_key")
+    # each narrow row becomes hundreds, so they are dealt evenly first
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
     blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
     h = F.md5(F.concat_ws("|", F.lit(seed), "_b", "_key"))
     u = lambda i: F.conv(F.substring(F.col("_h"), 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0
