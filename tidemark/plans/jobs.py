@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import BoundaryConfig
-from tidemark.operators import events, evidence, intervals, signals, stats
+from tidemark.operators import encode, events, evidence, intervals, signals, stats
 from tidemark.sources import files
+from tidemark.sources.shared import shared_folder
 
 
 def boundary_job(frames: DataFrame, texts: DataFrame, cues: DataFrame, durations: DataFrame, config: BoundaryConfig) -> dict[str, DataFrame]:
@@ -35,7 +37,7 @@ def boundary_job(frames: DataFrame, texts: DataFrame, cues: DataFrame, durations
 def write_boundary(tables: dict[str, DataFrame], config: BoundaryConfig, path: str) -> None:
     """Reports as CSV, events by video, and the settings."""
     for name, df in tables.items():
-        if name != "signal":
+        if name not in ("signal", "fresh"):
             files.write_report(df, f"{path}/{name}", "video_id" if name == "events" else None)
     files.write_config(tables["events"].sparkSession, asdict(config), f"{path}/run_config")
 
@@ -45,6 +47,66 @@ def text_windows(cues: DataFrame, durations: DataFrame, config: BoundaryConfig)
     return intervals.cue_windows(cues, config.subtitle_window, durations)
 
 
+def video_errors(videos: DataFrame, probes: DataFrame, cues: DataFrame, frames: DataFrame) -> DataFrame:
+    """video_id and error of the videos that a job must leave out; a video with several faults tells the first.
+
+    ``videos`` has video_id, ``probes`` video_id, n_frames, fps. Of the cues and frames only the ids are read.
+    """
+    has = lambda df, c: df.select("video_id").distinct().withColumn(c, F.lit(True))
+    probed = probes.groupBy("video_id").agg(F.first("n_frames").alias("n_frames"), F.first("fps").alias("fps"))
+    rows = videos.select("video_id").distinct().join(probed, "video_id", "left").join(has(frames, "framed"), "video_id", "left").join(has(cues, "cued"), "video_id", "left")
+    # coalesce keeps a null rate or count from counting as a sound one
+    sound = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    error = F.when(~sound("fps"), "no frame rate").when(~sound("n_frames"), "no frames in the file").when(F.col("framed").isNull(), "no frame vectors").when(F.col("cued").isNull(), "no cues")
+    return rows.select("video_id", error.alias("error")).filter("error IS NOT NULL")
+
+
+def window_vectors(windows: DataFrame, cache: DataFrame, make: Callable, model: str) -> tuple[DataFrame, DataFrame]:
+    """``windows`` (video_id, t, text) with emb, and the rows (key, emb) that the cache lacked.
+
+    Every text is encoded once, whatever number of windows hold it, and only if no vector of this model is cached.
+    """
+    spark = windows.sparkSession
+    keyed = windows.withColumn("key", encode.cache_key(F.col("text"), F.lit(model).alias("model")))
+    fresh = encode.missing(keyed.groupBy("key").agg(F.first("text").alias("text")), cache, "key")
+    # written, so that neither a second reader nor a lost executor encodes again
+    path = shared_folder(spark, "window-vectors")
+    encode.encode(fresh, "text", make).select("key", "emb").write.parquet(path)
+    made = spark.read.parquet(path)
+    known = cache.select("key", "emb").dropDuplicates(["key"]).unionByName(made)
+    return keyed.join(known, "key").select("video_id", "t", "text", "emb"), made
+
+
+def files_job(spark: SparkSession, root: str, probes: DataFrame, frames: DataFrame, cache: DataFrame, make: Callable, model: str, config: BoundaryConfig) -> dict[str, DataFrame]:
+    """The boundary job from a folder of videos and subtitles on: the tables of boundary_job, and those of media_job."""
+    path = shared_folder(spark, "media")
+    files.catalogue_media(spark, root, config.max_videos).write.parquet(path)
+    media = spark.read.parquet(path)
+    if media.isEmpty():
+        raise ValueError(f"no video with a subtitle under {root}")
+    return media_job(media, files.read_subtitles(media), probes, frames, cache, make, model, config)
+
+
+def media_job(media: DataFrame, cues: DataFrame, probes: DataFrame, frames: DataFrame, cache: DataFrame, make: Callable, model: str, config: BoundaryConfig) -> dict[str, DataFrame]:
+    """The boundary job over catalogued videos, whose window texts are encoded where ``cache`` (key, emb) lacks them.
+
+    A video that cannot be used is a row of ``errors`` (see video_errors) and of no other table; the others go on.
+    ``fresh`` holds the vectors to add to the cache. Without any video there is an error, without a usable one empty tables.
+    """
+    spark = media.sparkSession
+    if media.isEmpty():
+        raise ValueError("no videos")
+    path = shared_folder(spark, "cues")
+    cues.write.parquet(path)
+    cues = spark.read.parquet(path)
+    errors = video_errors(media, probes, cues, frames)
+    good = media.select("video_id").join(errors, "video_id", "left_anti").distinct()
+    durations = intervals.duration_of(probes.dropDuplicates(["video_id"]).join(good, "video_id", "left_semi")).select("video_id", "duration")
+    cues, frames = cues.join(good, "video_id", "left_semi"), frames.join(good, "video_id", "left_semi")
+    texts, fresh = window_vectors(text_windows(cues, durations, config), cache, make, model)
+    return boundary_job(frames, texts, cues, durations, config) | {"errors": errors, "fresh": fresh}
+
+
 def null_job(questions: DataFrame, frames: DataFrame, group: str, top: int = 16) -> dict[str, DataFrame]:
     """The video-swap null per question, and its summary by ``group`` (a column of ``questions``)."""
     z = evidence.swapped_null(questions, frames, top).join(questions.select("question_id", group), "question_id")

@@ -32,7 +32,8 @@ def read_selection(spark: SparkSession, path: str, root: str | None = None, need
 def catalogue_media(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
     """video_id, video_path, subtitle_path of every video under ``root`` that has a subtitle of its name beside it.
 
-    Endings are taken in any case, .srt before .vtt. Equal names get _2, _3, ... in order of path.
+    Endings are taken in any case, .srt before .vtt. Equal names get _2, _3, ... in order of path. Spark's readers list
+    no file of zero bytes, so a video whose subtitle is such a file counts as one without a subtitle.
     """
     return pair_media(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path"), most)
 
