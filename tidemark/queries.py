@@ -788,16 +788,16 @@ def run_config(spark, sf_dir):
 
 
 @query("job_errors", """WITH v AS (SELECT DISTINCT user_id AS k FROM events),
-probes AS (SELECT user_id AS k, count(*) AS n_frames, CASE WHEN user_id % 7 = 0 THEN 0 ELSE 24 END AS fps FROM events WHERE user_id % 5 <> 0 GROUP BY ALL),
-framed AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type IN ('view', 'click')), cued AS (SELECT DISTINCT user_id AS k FROM events WHERE value * 60 > 0 AND event_type = 'purchase')
+probes AS (SELECT user_id AS k, count(*) AS n_frames, CASE WHEN min(value) < 0.1 THEN 0 ELSE 24 END AS fps FROM events WHERE event_type <> 'error' GROUP BY ALL),
+framed AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type IN ('view', 'click') AND value > 100), cued AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'purchase' AND value > 100)
 SELECT CAST(v.k AS VARCHAR) AS video_id, CASE WHEN coalesce(p.fps, 0) <= 0 THEN 'no frame rate' WHEN f.k IS NULL THEN 'no frame vectors' ELSE 'no cues' END AS error
 FROM v LEFT JOIN probes p ON p.k = v.k LEFT JOIN framed f ON f.k = v.k LEFT JOIN cued c ON c.k = v.k WHERE coalesce(p.fps, 0) <= 0 OR f.k IS NULL OR c.k IS NULL""")
 def job_errors(spark, sf_dir):
-    """Which videos a job leaves out, and why: users are videos, their views and clicks frames, their purchases cues."""
+    """Which videos a job leaves out, and why: users are videos; their high views and clicks are frames, their high purchases cues."""
     e = read(spark, sf_dir, "events").withColumn("video_id", F.col("user_id").cast("string"))
-    probes = e.filter("user_id % 5 <> 0").groupBy("video_id", "user_id").agg(F.count("*").alias("n_frames")).withColumn("fps", F.when(F.col("user_id") % 7 == 0, 0.0).otherwise(24.0))
-    spoken = e.filter("value * 60 > 0 AND event_type = 'purchase'")
-    return jobs.video_errors(e, probes, spoken, e.filter(F.col("event_type").isin(*VISUAL)))
+    probes = e.filter("event_type <> 'error'").groupBy("video_id").agg(F.count("*").alias("n_frames"), F.when(F.min("value") < 0.1, 0.0).otherwise(24.0).alias("fps"))
+    high = e.filter("value > 100")
+    return jobs.video_errors(e, probes, high.filter("event_type = 'purchase'"), high.filter(F.col("event_type").isin(*VISUAL)))
 
 
 @query("sized_videos", "SELECT p_partkey AS id, s.mb FROM part LEFT JOIN (SELECT p_partkey AS k, p_retailprice AS mb FROM part WHERE p_size > 10) s ON p_partkey = k WHERE s.mb < 1200")
