@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, warc
+from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, simhash, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -81,6 +81,10 @@ def op10_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_classes(_read(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
     "op10_icws": op10_icws,
+    "op13_simhash": op13_simhash,
     "minhash_classes": minhash_classes,
 }
 
