@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, simhash, warc
+from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, simhash, trie, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -81,6 +81,10 @@ def op10_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_classes(_read(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(_read(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
     "op10_icws": op10_icws,
+    "op12_trie": op12_trie,
     "op13_simhash": op13_simhash,
     "minhash_classes": minhash_classes,
 }
@@ -165,7 +170,27 @@ SELECT doc_id, item_id, CAST(max(n_items) AS BIGINT) AS n_items, CAST(max(n) AS
 UNION ALL SELECT DISTINCT doc_id, item_id, n_items, len(b) FROM d JOIN b ON len(b) < {decontam.SHORT} AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ')"""
 
 
+def _op12_sql() -> str:
+    """Every prefix is spelled out as a list; the CRC is worked out bit by bit."""
+    step = "list_reduce(list_concat([xor(a, b)], range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: {step}), 4294967295)"
+    return f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, {crc} % 4 AS h, conv_id - conv_id % 20 AS base FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+s AS (SELECT k.conv_id, p AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND p <= taken UNION ALL SELECT k.conv_id, p - h + taken, role, text FROM k JOIN t USING (conv_id) WHERE p > h),
+q AS (SELECT k.conv_id, coalesce(list([role, text] ORDER BY d) FILTER (d IS NOT NULL), []) AS seq FROM k LEFT JOIN s USING (conv_id) GROUP BY k.conv_id),
+m AS (SELECT conv_id, len(seq) AS l, unnest(range(len(seq) + 1)) AS d, seq FROM q), o AS (SELECT conv_id, l, d, seq[1:d] AS key FROM m),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (l = d), '')) AS ends FROM o GROUP BY d, key),
+u AS (SELECT key[1:d - 1] AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.key[n.d][2], '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS own FROM n LEFT JOIN u ON u.key = n.key AND u.d = n.d),
+x AS (SELECT unnest(range(d + 1)) AS a, key, own, (n_children = 0)::INT AS leaf FROM w), y AS (SELECT a, key[1:a] AS key, sum(leaf) AS n_leaves, sum(own) AS saved FROM x GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN y ON y.key = w.key AND y.a = w.d LEFT JOIN w p ON p.d = w.d - 1 AND p.key = w.key[1:w.d - 1]"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_trie": _op12_sql(),
     "op8_decontam": _op8_sql(),
     "op4_warc": _OP4_SQL,
     "op5_chat": _op5_sql(),
