@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, pii, secrets, simhash, trie, warc
+from tidemark.llm import bpe, chat, decontam, html, icws, langid, minhash, negatives, pii, secrets, simhash, trie, warc
 from tidemark.llm.shared import shared_folder
 
 
@@ -81,6 +81,13 @@ def op10_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icws.near_classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one; every fiftieth row is an anchor."""
+    rows = _read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_decontam": op8_decontam,
     "op9_langid": op9_langid,
     "op10_icws": op10_icws,
+    "op11_negatives": op11_negatives,
     "op12_trie": op12_trie,
     "op13_simhash": op13_simhash,
     "minhash_classes": minhash_classes,
@@ -170,6 +178,16 @@ SELECT doc_id, item_id, CAST(max(n_items) AS BIGINT) AS n_items, CAST(max(n) AS
 UNION ALL SELECT DISTINCT doc_id, item_id, n_items, len(b) FROM d JOIN b ON len(b) < {decontam.SHORT} AND contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ')"""
 
 
+_OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS rn FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.rn <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def _op12_sql() -> str:
     """Every prefix is spelled out as a list; the CRC is worked out bit by bit."""
     step = "list_reduce(list_concat([xor(a, b)], range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
@@ -190,6 +208,7 @@ FROM w JOIN y ON y.key = w.key AND y.a = w.d LEFT JOIN w p ON p.d = w.d - 1 AND
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_negatives": _OP11_SQL,
     "op12_trie": _op12_sql(),
     "op8_decontam": _op8_sql(),
     "op4_warc": _OP4_SQL,
