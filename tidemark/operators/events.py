@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import context_text, coverage
-from tidemark.operators.matching import nearest
+from tidemark.operators.matching import closest
 
 MODALITIES = ("visual", "text")
 
@@ -15,19 +15,16 @@ def event_table(signal: DataFrame, cues: DataFrame | None = None, tolerance: flo
     """One row per peak of ``signal`` (video_id, modality, t, norm, is_peak): the columns of schemas.EVENTS.
 
     The other modality's score is that of the matched peak if it lies within the tolerance, else of its closest sample.
+    Closest peaks and samples of both modalities come from one pass over the samples.
     """
-    peaks = signal.filter("is_peak").select("video_id", "modality", "t", F.col("norm").alias("score"))
-    sides = []
-    for own, other in (MODALITIES, MODALITIES[::-1]):
-        mine = nearest(peaks.filter(F.col("modality") == own).select("video_id", "t", "score"), peaks.filter(F.col("modality") == other).select("video_id", "t", "score"), ["score"])
-        mine = mine.select("video_id", "t", "score", F.col("near_score").alias("peak_score"), F.col("distance").alias("gap"))
-        samples = signal.filter(F.col("modality") == other).select("video_id", "t", F.col("norm").alias("score"))
-        both = nearest(mine, samples, ["score"])
-        aligned = F.col("gap") <= tolerance
-        across = F.when(aligned, F.col("peak_score")).otherwise(F.col("near_score"))
-        scores = {"visual": F.col("score"), "text": across} if own == "visual" else {"visual": across, "text": F.col("score")}
-        sides.append(both.select("video_id", F.lit(own).alias("modality"), "t", scores["visual"].alias("visual_score"), scores["text"].alias("text_score"), F.col("gap").alias("nearest_other_peak_seconds"), F.when(aligned, "aligned").otherwise(f"{own}-only").alias("event_type")))
-    rows = sides[0].unionByName(sides[1])
+    kinds = {f"{kind}_{m}": (F.col("modality") == m) & is_ for m in MODALITIES for kind, is_ in (("peak", F.col("is_peak")), ("sample", F.lit(True)))}
+    rows = closest(signal.select("video_id", "modality", "t", "norm", "is_peak"), kinds, ["norm"]).filter("is_peak")
+    visual = F.col("modality") == "visual"
+    other = lambda kind, c: F.when(visual, F.col(f"{kind}_text.{c}")).otherwise(F.col(f"{kind}_visual.{c}"))
+    rows = rows.withColumns({"gap": F.coalesce(F.abs(F.col("t") - other("peak", "t")), F.lit(float("inf"))), "peak_norm": other("peak", "norm"), "sample_norm": other("sample", "norm")})
+    aligned = F.col("gap") <= tolerance
+    across = F.when(aligned, F.col("peak_norm")).otherwise(F.col("sample_norm"))
+    rows = rows.select("video_id", "modality", "t", F.when(visual, F.col("norm")).otherwise(across).alias("visual_score"), F.when(visual, across).otherwise(F.col("norm")).alias("text_score"), F.col("gap").alias("nearest_other_peak_seconds"), F.when(aligned, "aligned").otherwise(F.concat("modality", F.lit("-only"))).alias("event_type"))
     # texts come last, so that they do not travel through the joins
     rows = context_text(rows, cues, reach) if cues is not None else rows.withColumn("subtitle_text", F.lit(""))
     return rows.withColumnRenamed("t", "timestamp_seconds").select("video_id", "modality", "timestamp_seconds", "visual_score", "text_score", "nearest_other_peak_seconds", "event_type", "subtitle_text")

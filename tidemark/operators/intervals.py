@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.matching import SPAN
+
 
 def in_order(text: str, *order: str):
     """Texts of a group joined by spaces in the given order."""
@@ -30,26 +32,44 @@ def cue_windows(cues: DataFrame, width: float, durations: DataFrame | None = Non
 
 
 def context_text(points: DataFrame, cues: DataFrame, reach: float) -> DataFrame:
-    """``points`` (video_id, t) with ``subtitle_text``: cues that touch [t - reach, t + reach], in order, '' if none."""
-    width = 2 * reach
-    asked = points.select("video_id", "t").distinct()
-    near = asked.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("t") - reach) / width), F.floor((F.col("t") + reach) / width))))
-    spread = cues.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    met = near.join(spread, ["video_id", "bucket"]).filter((F.col("start") <= F.col("t") + reach) & (F.col("end") >= F.col("t") - reach))
-    met = met.groupBy("video_id", "t", "cue_idx", "start").agg(F.first("text").alias("text"))
+    """``points`` (video_id, t) with ``subtitle_text``: cues that touch [t - reach, t + reach], in order, '' if none.
+
+    Buckets come in widths that double from 2 * reach on. A cue lies in those of the first width that it fits in, two of
+    them at most; a point asks every width that its video has, two buckets of each. So a cue of a whole day costs as much as
+    one of a second, and the rows before the join are bounded by the cues, and by the points times the widths.
+    """
+    least = max(2 * reach, 1e-3)
+    begin, stop = F.least("start", "end"), F.greatest("start", "end")
+    level = F.greatest(F.ceil(F.log2((stop - begin) / least)), F.lit(0)).cast("int")  # null for a length of 0
+    width = least * F.pow(F.lit(2.0), F.col("level"))
+    placed = cues.select("video_id", "cue_idx", "start", "end", "text", F.coalesce(level, F.lit(0)).alias("level"))
+    placed = placed.withColumn("cue_first", F.floor(begin / width))
+    spread = placed.withColumn("bucket", F.explode(F.sequence("cue_first", F.floor(stop / width))))
+    asked = points.select("video_id", "t").distinct().join(placed.select("video_id", "level").distinct(), "video_id")
+    asked = asked.withColumn("point_first", F.floor((F.col("t") - reach) / width))
+    asked = asked.withColumn("bucket", F.explode(F.sequence("point_first", F.floor((F.col("t") + reach) / width))))
+    met = asked.join(spread, ["video_id", "level", "bucket"]).filter((F.col("start") <= F.col("t") + reach) & (F.col("end") >= F.col("t") - reach))
+    met = met.filter(F.col("bucket") == F.greatest("cue_first", "point_first"))  # the first bucket that both are in
     texts = met.groupBy("video_id", "t").agg(in_order("text", "start", "cue_idx").alias("subtitle_text"))
     return points.join(texts, ["video_id", "t"], "left").withColumn("subtitle_text", F.coalesce("subtitle_text", F.lit("")))
 
 
-def coverage(cues: DataFrame, durations: DataFrame) -> DataFrame:
-    """video_id and the share of its duration under any cue, touching cues merged, at most 1, 0 without cues."""
-    rows = cues.join(durations, "video_id").select("video_id", F.greatest("start", F.lit(0.0)).alias("s"), F.least("end", "duration").alias("e"), "cue_idx").filter("e > s")
-    order = Window.partitionBy("video_id").orderBy("s", "e", "cue_idx")
-    reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("fresh", F.when(reached.isNull() | (F.col("s") > reached), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = rows.groupBy("video_id", "island").agg((F.max("e") - F.min("s")).alias("length"))
-    total = islands.groupBy("video_id").agg(F.sum("length").alias("covered"))
+def coverage(cues: DataFrame, durations: DataFrame, span: float = SPAN) -> DataFrame:
+    """video_id and the share of its duration under any cue, at most 1, 0 without cues.
+
+    In order of start, a cue adds what of it lies beyond the furthest end before it. Cues are put in order by stretches of
+    ``span`` seconds; the furthest end of all earlier stretches comes in as one row, so a long video is spread over tasks.
+    """
+    rows = cues.join(durations, "video_id").select("video_id", F.greatest("start", F.lit(0.0)).alias("s"), F.least("end", "duration").alias("e")).filter("e > s")
+    rows = rows.withColumn("stretch", F.floor(F.col("s") / span))
+    before, onward = (Window.unboundedPreceding, -1), Window.partitionBy("video_id").orderBy("stretch")
+    ends = rows.groupBy("video_id", "stretch").agg(F.max("e").alias("e"))
+    ends = ends.select("video_id", "stretch", F.lit(0).alias("cue"), F.lit(None).cast("double").alias("s"), F.max("e").over(onward.rowsBetween(*before)).alias("e"))
+    both = rows.withColumn("cue", F.lit(1)).unionByName(ends)
+    order = Window.partitionBy("video_id", "stretch").orderBy("cue", "s", "e")
+    reached = F.max("e").over(order.rowsBetween(*before))
+    both = both.withColumn("adds", F.greatest(F.col("e") - F.greatest("s", reached), F.lit(0.0)))
+    total = both.filter("cue = 1").groupBy("video_id").agg(F.sum("adds").alias("covered"))
     share = F.when(F.col("duration") > 0, F.least(F.coalesce("covered", F.lit(0.0)) / F.col("duration"), F.lit(1.0))).otherwise(0.0)
     return durations.join(total, "video_id", "left").select("video_id", share.alias("coverage"))
 
