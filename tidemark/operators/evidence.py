@@ -42,16 +42,22 @@ def frame_scores(questions: DataFrame, frames: DataFrame, add: float = 1e-8) ->
 def select_frames(scores: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
     """question_id, k, selector, frame_idx, t, sc of the frames each selector picks; fewer frames than k: all.
 
-    Ranks are worked out once for all k; equal scores go to the earlier frame.
+    Ranks are worked out once for all k; equal scores go to the earlier frame. Of a score, no more than the largest k
+    frames of a question leave a task (Spark keeps so many before it shuffles); only the frames' places are counted
+    over whole questions.
     """
+    most = max(ks)
+    kept = ["frame_idx", "t", "sc"]
+    by_score = scores.select("question_id", *kept, F.explode(F.array(*[F.struct(F.lit(s).alias("selector"), F.round(c, 9).alias("x")) for s, c in zip(SELECTORS[1:], ("r", "v", "b"), strict=True)])).alias("_s")).select("question_id", *kept, "_s.*")
+    rank = F.row_number().over(Window.partitionBy("question_id", "selector").orderBy(F.desc("x"), "frame_idx"))
+    best = by_score.withColumn("rank", rank).filter(F.col("rank") <= most)
+    best = best.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("rank <= k").select("question_id", "k", "selector", *kept)
     w = Window.partitionBy("question_id")
-    place, n = F.row_number().over(w.orderBy("frame_idx")) - 1, F.count("*").over(w)
-    rank = lambda x: F.row_number().over(w.orderBy(F.desc(F.round(x, 9)), "frame_idx"))
-    rows = scores.select("question_id", "frame_idx", "t", "sc", place.alias("place"), n.alias("n"), rank("r").alias("Relevance"), rank("v").alias("Variance"), rank("b").alias("Blend"))
+    rows = scores.select("question_id", *kept, (F.row_number().over(w.orderBy("frame_idx")) - 1).alias("place"), F.count("*").over(w).alias("n"))
     rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("take", F.least("k", "n"))
     steps = F.transform(F.sequence(F.lit(0), F.col("take") - 1), lambda i: F.when(F.col("take") > 1, F.bround(i * (F.col("n") - 1) / (F.col("take") - 1)).cast("long")).otherwise(F.lit(0)))
-    hits = F.array(F.when(F.array_contains(steps, F.col("place").cast("long")), F.lit("Uniform")), *[F.when(F.col(s) <= F.col("take"), F.lit(s)) for s in SELECTORS[1:]])
-    return rows.select("question_id", "k", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("selector"), "frame_idx", "t", "sc")
+    even = rows.filter(F.array_contains(steps, F.col("place").cast("long"))).select("question_id", "k", F.lit(SELECTORS[0]).alias("selector"), *kept)
+    return best.unionByName(even)
 
 
 def vote(picked: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
@@ -82,54 +88,73 @@ def jaccard(picked: DataFrame, one: str, other: str, by: list[str]) -> DataFrame
     return sets.select(*by, (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard"))
 
 
-def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block: int = 256) -> DataFrame:
+#: Questions of a block, and frames of a deal, of the swapped null.
+BLOCK, DEAL = 256, 16_384
+
+
+def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block: int = BLOCK, options: str = "options") -> DataFrame:
     """question_id, z, pct, real: a question's top-k mean variance on its own video against that on every other one.
 
-    z is null with fewer than two other videos or none of its own. The question vectors are sent to all tasks in
-    blocks (a stated query set against all frames); a task multiplies blocks of frames with them and keeps, per
-    question and video, only its largest values, so no vector is shuffled and no pair of rows is made.
-    ``questions`` has question_id, video_id and options (arrays of equal size).
+    z is null with fewer than two other videos or none of its own. Questions are dealt to blocks of about ``block`` and
+    frames to deals; every deal meets every block in a task, which holds the block and multiplies runs of frames with
+    it. It keeps, per question and video, only its largest values, so no pair of rows is made, no vector reaches
+    the driver, and the plan is the same for any number of questions.
+    ``questions`` has question_id, video_id and ``options`` (arrays of equal size). An option that is null counts as a
+    row of no question.
     """
-    spark = questions.sparkSession
-    rows = frames.join(centroids(frames), "video_id").select("video_id", "emb", "mean")
-    listed = questions.select("question_id", "video_id", "options").orderBy("question_id")
-    parts = []
-    held: list = []
-    for row in [*listed.toLocalIterator(), None]:
-        if row is not None:
-            held.append(row)
-        if held and (row is None or len(held) == block):
-            ids, options = [r.question_id for r in held], np.array([r.options for r in held], float)
-            parts.append(_block_tops(rows, spark.sparkContext.broadcast((ids, options)), top, questions))
-            held = []
-    tops = parts[0]
-    for p in parts[1:]:
-        tops = tops.union(p)
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("values")), asc=False), 1, top)
-    per = tops.groupBy("question_id", "video_id").agg(best.alias("best")).select("question_id", "video_id", vectors.mean(F.col("best")).alias("x"))
+    per = null_values(questions.select("question_id", "video_id", F.col(options).alias("options")), frames, top, block)
     own = questions.select("question_id", F.col("video_id").alias("own"))
     per = per.join(own, "question_id").withColumn("mine", F.col("video_id") == F.col("own"))
-    real = F.max(F.when(F.col("mine"), F.col("x")))
-    other = F.when(~F.col("mine"), F.col("x"))
-    sums = per.groupBy("question_id").agg(real.alias("real"), F.avg(other).alias("m"), F.stddev_pop(other).alias("s"), F.count(other).alias("n"), F.collect_list(other).alias("all"))
+    real = per.filter("mine").groupBy("question_id").agg(F.max("x").alias("real"))
+    x = F.col("x")
+    sums = per.filter("NOT mine").join(real, "question_id", "left").groupBy("question_id").agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.count(x).alias("n"), F.count_if(x < F.col("real") - 1e-12).alias("below"))
+    rows = per.select("question_id").distinct().join(real, "question_id", "left").join(sums, "question_id", "left")
     z = F.when((F.col("n") >= 2) & F.col("real").isNotNull(), (F.col("real") - F.col("m")) / (F.col("s") + 1e-12))
-    below = F.size(F.filter("all", lambda x: x < F.col("real") - 1e-12)) / F.col("n")
-    return sums.select("question_id", "real", z.alias("z"), F.when(z.isNotNull(), below).alias("pct"))
+    return rows.select("question_id", "real", z.alias("z"), F.when(z.isNotNull(), F.col("below") / F.col("n")).alias("pct"))
 
 
-def _block_tops(rows: DataFrame, sent, top: int, questions: DataFrame) -> DataFrame:
-    """question_id, video_id and the largest option variances of each task's frames of a video."""
-    q, v = questions.schema["question_id"].dataType.simpleString(), rows.schema["video_id"].dataType.simpleString()
+def null_values(questions: DataFrame, frames: DataFrame, top: int, block: int) -> DataFrame:
+    """question_id, video_id, x: the mean of the ``top`` largest option variances of every question on every video."""
+    spark = questions.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-questions.count() // block))
+    deals = max(2 * partitions, -(-frames.count() // DEAL))
+    asks = questions.filter("options IS NOT NULL").select(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.lit(0).alias("side"), "question_id", F.col("options").cast("array<array<double>>").alias("options"))
+    # frames of a video lie in as many deals as it has many
+    rows = frames.select("video_id", F.col("emb").cast("array<double>").alias("emb")).join(centroids(frames), "video_id")
+    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("emb"), F.lit(deals)).cast("int").alias("deal"), F.lit(1).alias("side"), "video_id", F.zip_with("emb", "mean", lambda a, b: a - b).alias("centred"))
+    dealt = asks.unionByName(rows, allowMissingColumns=True).repartition(partitions, "block", "deal").sortWithinPartitions("block", "deal", "side", "video_id", "question_id")
+    q, v = (df.schema[c].dataType.simpleString() for df, c in ((questions, "question_id"), (frames, "video_id")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, options = sent.value
-        flat = options.reshape(-1, options.shape[2]).T
+        group, held = None, []
+        ids, flat = None, None
         for pdf in batches:
-            for video, g in pdf.groupby("video_id", sort=False):
-                centred = np.stack(g["emb"].to_list()).astype(float) - np.stack(g["mean"].to_list())
-                variance = (centred @ flat).reshape(len(g), len(ids), -1).var(2)
-                keep = min(top, len(g))
-                best = -np.sort(-variance, axis=0)[:keep].T
-                yield pd.DataFrame({"question_id": ids, "video_id": [video] * len(ids), "values": list(best)})
-
-    return rows.mapInPandas(run, f"question_id {q}, video_id {v}, values array<double>")
+            if not len(pdf):
+                continue
+            keys = pdf[["block", "deal", "side"]].to_numpy()
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *edge], [*edge, len(pdf)], strict=True):
+                part = pdf.iloc[a:b]
+                if (keys[a, 0], keys[a, 1]) != group:
+                    group, held, ids = (keys[a, 0], keys[a, 1]), [], None
+                if keys[a, 2] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    own = pd.concat(held)
+                    ids, held = own["question_id"].to_numpy(), []
+                    stacked = np.array([np.stack(o) for o in own["options"]])
+                    flat = stacked.reshape(-1, stacked.shape[2]).T
+                if ids is None:
+                    continue
+                for video, g in part.groupby("video_id", sort=False):
+                    products = np.stack(g["centred"].to_list()) @ flat
+                    variance = products.reshape(len(g), len(ids), -1).var(2)
+                    best = -np.sort(-variance, axis=0)[: min(top, len(g))].T
+                    yield pd.DataFrame({"question_id": ids, "video_id": [video] * len(ids), "values": list(best)})
+
+    tops = dealt.mapInPandas(run, f"question_id {q}, video_id {v}, values array<double>")
+    # as many short lists as deals at most
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("values")), asc=False), 1, top)
+    return tops.groupBy("question_id", "video_id").agg(best.alias("best")).select("question_id", "video_id", vectors.mean(F.col("best")).alias("x"))
