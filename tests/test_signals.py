@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.config import BoundaryConfig
@@ -86,3 +87,75 @@ def test_settings_are_checked():
     for bad in ({"frame_interval": 0.0}, {"smoothing": "x"}, {"normalization": "x"}):
         with pytest.raises(ValueError):
             BoundaryConfig(**bad)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 1000])
+def test_chunks_know_the_prominences_of_the_whole(size):
+    """Series cut anywhere, plateaus across seams included: shown runs and hidden peaks give what the whole series gives."""
+    rng = np.random.default_rng(size)
+    for n in (1, 2, 3, 10, 60, 300):
+        for top in (1, 2, 3, 6, 10_000):
+            x = rng.integers(0, top, n).astype(float)
+            if n == 300 and top == 6:
+                x = np.repeat(x[:30], 10)  # plateaus longer than a chunk
+            told = [signals.chunk_summary(x[a : a + size], a) for a in range(0, n, size)]
+            refs, peaks = signals.merged_summaries(pd.concat([t[0] for t in told], ignore_index=True))
+            left, right = dict(zip(refs["of"], refs["left"], strict=True)), dict(zip(refs["of"], refs["right"], strict=True))
+            got = dict(zip(peaks["i"], peaks["prominence"], strict=True))
+            for _, some in told:
+                for r in some.itertuples():
+                    low = min(r.left, left[r.of_left]) if r.of_left >= 0 else r.left
+                    high = min(r.right, right[r.of_right]) if r.of_right >= 0 else r.right
+                    if max(low, high) < r.value:
+                        got[r.i] = r.value - max(low, high)
+            assert got == pytest.approx(signals.prominences(x))
+
+
+def test_chunks_show_little():
+    x = np.random.default_rng(1).random(20_000)
+    items, _ = signals.chunk_summary(x, 0)
+    assert len(items) < 100
+
+
+@pytest.mark.parametrize("settings", [{}, {"smoothing": "moving_average", "normalization": "robust_percentile"}, {"smoothing": "none"}])
+def test_long_series_in_pieces(spark, settings):
+    """Chunks of 7, of 100 and whole series give the same signal."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for v, n in enumerate((230, 100, 8, 1)):
+        x = np.round(rng.random(n), 1) if v % 2 else rng.random(n)
+        t = np.cumsum(rng.integers(1, 4, n)).astype(float)
+        rows += [(v, "m", float(a), float(b)) for a, b in zip(t, x, strict=True)]
+    df = spark.createDataFrame(rows, "video_id int, modality string, t double, raw double").repartition(3)
+    config = BoundaryConfig(peak_prominence=0.3, peak_min_spacing=9.0, smoothing_seconds=7.0, **settings)
+    order = ["video_id", "i"]
+    whole = signals.signals(df, ["video_id", "modality"], config).orderBy(*order).toPandas()
+    assert whole["is_peak"].any()
+    for size in (7, 100):
+        got = signals.signals(df, ["video_id", "modality"], config, size).orderBy(*order).toPandas()[whole.columns]
+        pd.testing.assert_frame_equal(got, whole, rtol=1e-9, atol=1e-9)
+
+
+def test_apart_by_runs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(v), float(t), float(s)) for v in range(3) for t, s in zip(np.unique(rng.integers(0, 900, 200)), rng.integers(0, 30, 200), strict=False)]
+    df = spark.createDataFrame(rows, "k int, t double, s double").repartition(3)
+    for most in (None, 1, 4):
+        got = {(r.k, r.t) for r in signals.keep_apart(df, ["k"], "t", "s", 6.0, most).collect()}
+        want = set()
+        for v in range(3):
+            own = sorted(r for r in rows if r[0] == v)
+            t, s = np.array([r[1] for r in own]), np.array([r[2] for r in own])
+            want |= {(v, float(t[i])) for i in signals.spaced(t, s, 6.0, most)}
+        assert got == want
+
+
+def test_quantiles_by_sketch(spark):
+    """A sketch of accuracy 1000 gives a value whose rank is off by a thousandth at most; exact is the default."""
+    df = spark.range(20_000).selectExpr("0 AS k", "id AS i", "pow((id * 7919) % 20000, 1.5) AS value").repartition(5)
+    values = np.sort([r.value for r in df.collect()])
+    got = df.groupBy("k").agg(signals.quantile("value", 0.05).alias("exact"), signals.quantile("value", 0.05, 1000).alias("near")).first()
+    assert got.exact == pytest.approx(np.percentile(values, 5))
+    assert abs(np.searchsorted(values, got.near) / len(values) - 0.05) <= 0.001
+    a, b = (signals.robust_scale(df, ["k"], accuracy=x).orderBy("i").toPandas()["norm"].to_numpy() for x in (None, 1000))
+    assert np.abs(a - b).max() < 0.005
