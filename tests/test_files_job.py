@@ -27,9 +27,9 @@ def folder(tmp_path):
 
 def tables(spark, turn=1):
     emb = [[1.0, 0.0], [1.0, 0.0], [-1.0, 0.0], [-1.0, 0.0], [1.0, 0.0]]
-    rows = [(v, i, 12.0 * i, e) for v in ("good", "unrated", "unprobed", "silent") for i, e in enumerate(emb)]
+    rows = [(v, i, 12.0 * i, e) for v in ("good", "unrated", "unprobed", "silent", "hollow") for i, e in enumerate(emb)]
     frames = spark.createDataFrame(rows[::turn], "video_id string, frame_idx long, t double, emb array<float>")
-    probes = [("good", 1440, 24.0), ("unrated", 1440, None), ("unframed", 1440, 24.0), ("silent", 1440, 24.0), ("elsewhere", 1, 0.0)]
+    probes = [("good", 1440, 24.0), ("unrated", 1440, None), ("unframed", 1440, 24.0), ("silent", 1440, 24.0), ("hollow", 1440, 24.0), ("elsewhere", 1, 0.0)]
     return spark.createDataFrame(probes[::turn], "video_id string, n_frames long, fps double"), frames
 
 
@@ -44,7 +44,7 @@ def run(spark, folder, cache, make=encode.HashingEncoder, turn=1):
 
 def test_a_bad_video_is_a_row_and_not_a_failure(spark, folder):
     got = run(spark, folder, no_cache(spark))
-    assert {(r.video_id, r.error) for r in got["errors"].collect()} == {("unrated", "no frame rate"), ("unprobed", "no frame rate"), ("unframed", "no frame vectors"), ("silent", "no cues")}
+    assert {(r.video_id, r.error) for r in got["errors"].collect()} == {("unrated", "no frame rate"), ("unprobed", "no frame rate"), ("unframed", "no frame vectors"), ("silent", "no cues"), ("hollow", "no cues")}
     stats = got["video_statistics"].collect()
     assert [(r.video_id, r.duration_seconds) for r in stats] == [("good", 60.0)]
     assert stats[0].subtitle_coverage == pytest.approx(4 * 3 / 60)

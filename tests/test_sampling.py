@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -50,6 +51,18 @@ def test_split_and_caps(spark):
     assert sampling.first_per(df, "s", "id").count() == 2
 
 
+def test_samples_rank_no_whole_stratum(spark):
+    """Tasks keep as many rows of a stratum as are wanted before anything is shuffled, and the rows are those of a full sort."""
+    df = spark.range(5000).selectExpr("id % 3 AS s", "id % 7 AS c", "id")
+    for rows in (sampling.at_most(df, "s", "id", 25, 3), sampling.stratified(df, "s", "c", "id", 60, 3, 7), sampling.split(df, "s", "id", 100, 7), sampling.take_quota(df, df.groupBy("s").agg(F.lit(9).alias("quota")), "s", "id", 1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    key = lambda i: (hashlib.md5(f"3:{i}".encode()).hexdigest(), i)
+    assert {r.id for r in sampling.at_most(df, "s", "id", 25, 3).collect()} == {i for s in range(3) for i in sorted(range(s, 5000, 3), key=key)[:25]}
+    nulls = spark.createDataFrame([(None, 1), (None, 2), (1, None), (1, 3)], "s int, id int")
+    assert {(r.s, r.id, r.split) for r in sampling.split(nulls, "s", "id", 9, 1).collect()} == {(None, 1, "dev"), (None, 2, "dev"), (1, None, "dev"), (1, 3, "dev")}
+
+
 def test_options(spark):
     rows = [("A", ["A. Two", "B) after it", " C. red hat", "D. love"]), ("C", ["a b", "b a", "a  b", "B A"]), ("D", ["①②", "5 of them all are here now", "10", ""])]
     df = spark.createDataFrame(rows, "answer string, o array<string>").withColumn("o", options.strip_options(F.col("o")))

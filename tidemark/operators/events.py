@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import context_text, coverage
 from tidemark.operators.matching import closest
+from tidemark.operators.signals import quantile
 
 MODALITIES = ("visual", "text")
 
@@ -57,9 +58,12 @@ def video_stats(signal: DataFrame, cues: DataFrame, durations: DataFrame) -> Dat
     return rows.select("video_id", F.col("duration").alias("duration_seconds"), F.col("coverage").alias("subtitle_coverage"), "average_visual_change", F.coalesce("visual_peaks", F.lit(0)).alias("visual_peaks"), F.coalesce("text_peaks", F.lit(0)).alias("text_peaks"))
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """``stats`` with ``group``: whether coverage and visual change reach their medians over all videos."""
-    medians = stats.agg(F.expr("percentile(subtitle_coverage, 0.5)").alias("_c"), F.expr("percentile(average_visual_change, 0.5)").alias("_v"))
+def grouped(stats: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """``stats`` with ``group``: whether coverage and visual change reach their medians over all videos.
+
+    The medians are exact, or, for very many videos, from a sketch of the given accuracy (see ``signals.quantile``).
+    """
+    medians = stats.agg(quantile("subtitle_coverage", 0.5, accuracy).alias("_c"), quantile("average_visual_change", 0.5, accuracy).alias("_v"))
     level = lambda x, m: F.when(F.col(x) >= F.col(m), "high").otherwise("low")
     return stats.crossJoin(F.broadcast(medians)).withColumn("group", F.concat(level("subtitle_coverage", "_c"), F.lit(" speech / "), level("average_visual_change", "_v"), F.lit(" visual"))).drop("_c", "_v")
 

@@ -1,4 +1,9 @@
-"""Stratified samples, splits and caps. Order is by a hash of a seed and the id, so every choice can be repeated."""
+"""Stratified samples, splits and caps. Order is by a hash of a seed and the id, so every choice can be repeated.
+
+Where at most n rows of a stratum are wanted, a row's rank is held against that number itself: for numbers up to
+spark.sql.optimizer.windowGroupLimitThreshold (1000) Spark then keeps n rows of each stratum in every task before it shuffles,
+so no stratum is sorted as a whole.
+"""
 
 from __future__ import annotations
 
@@ -41,11 +46,17 @@ def allocate(strata: DataFrame, n: int, least: int = 0, key: str = "stratum") ->
     return rows.withColumn("quota", (F.lit(least) + F.col("_base") + (rank <= left - given).cast("long")).cast("long")).drop("_base", "_rest")
 
 
+def smallest(df: DataFrame, by: list[str], id_: str, n: int, seed: int, rank: str = "_rn") -> DataFrame:
+    """The first n rows of each group in seeded order, with their rank."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(seeded(id_, seed), id_))
+    return df.withColumn(rank, place).filter(F.col(rank) <= n)
+
+
 def take_quota(df: DataFrame, quotas: DataFrame, key: str, id_: str, seed: int) -> DataFrame:
     """``quota`` rows of each stratum, by the seeded order."""
-    rows = df.join(F.broadcast(quotas.select(key, "quota")), key)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(seeded(id_, seed), id_))
-    return rows.withColumn("_rn", rank).filter(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    rows = smallest(df, [key], id_, most, seed)
+    return rows.join(quotas.select(key, "quota"), key).filter(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
 
 
 def stratified(df: DataFrame, outer: str, inner: str, id_: str, n: int, least: int, seed: int) -> DataFrame:
@@ -61,27 +72,29 @@ def stratified(df: DataFrame, outer: str, inner: str, id_: str, n: int, least: i
     cells = cells.withColumns({"_base": F.when(F.col("_room") > 0, F.floor(F.col("_share") / F.greatest("_room", F.lit(1)))).otherwise(0), "_rest": F.when(F.col("_room") > 0, F.col("_share") % F.greatest("_room", F.lit(1))).otherwise(0)})
     more = F.row_number().over(w.orderBy(F.desc("_rest"), F.desc(F.col("size") - F.col("_first")), inner)) <= F.col("_left") - F.sum("_base").over(w)
     cells = cells.withColumn("take", F.col("_first") + F.col("_base") + more.cast("long")).select(outer, inner, "take")
-    rank = F.row_number().over(Window.partitionBy(outer, inner).orderBy(seeded(id_, seed), id_))
-    return df.join(F.broadcast(cells), [outer, inner]).withColumn("_rn", rank).filter(F.col("_rn") <= F.col("take")).drop("_rn", "take")
+    # no cell takes more than n; the cells may be many, so Spark chooses how they are joined
+    return smallest(df, [outer, inner], id_, n, seed).join(cells, [outer, inner]).filter(F.col("_rn") <= F.col("take")).drop("_rn", "take")
 
 
 def split(df: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:
-    """``df`` with ``split``: dev for the first n ids of each stratum in seeded order, test for the rest."""
-    ids = df.select(stratum, id_).distinct()
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(id_, seed), id_))
-    return df.join(ids.withColumn("split", F.when(rank <= n, "dev").otherwise("test")), [stratum, id_])
+    """``df`` with ``split``: dev for the first n ids of each stratum in seeded order, test for the rest.
+
+    Only the ids of dev are ranked; the others are those not among them.
+    """
+    dev = smallest(df.select(stratum, id_).distinct(), [stratum], id_, n, seed).select(F.col(stratum).alias("_s"), F.col(id_).alias("_i"), F.lit("dev").alias("split"))
+    rows = df.join(dev, F.col(stratum).eqNullSafe(F.col("_s")) & F.col(id_).eqNullSafe(F.col("_i")), "left").drop("_s", "_i")
+    return rows.withColumn("split", F.coalesce("split", F.lit("test")))
 
 
 def at_most(df: DataFrame, stratum: str, id_: str, n: int, seed: int) -> DataFrame:
     """At most n rows of each stratum, in seeded order."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(id_, seed), id_))
-    return df.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
+    return smallest(df, [stratum], id_, n, seed).drop("_rn")
 
 
 def round_robin(df: DataFrame, stratum: str, n: int, *order: str) -> DataFrame:
     """The first n rows, one of each stratum in turn, in the given order within a stratum."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    return df.withColumn("_rn", rank).orderBy("_rn", stratum).limit(n).drop("_rn")
+    return df.withColumn("_rn", rank).filter(F.col("_rn") <= n).orderBy("_rn", stratum).limit(n).drop("_rn")
 
 
 def sized(df: DataFrame, sizes: DataFrame, key: str, size: str, most: float) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.operators.encode import cache_key
+from tidemark.sources import listing
 
 #: File endings of videos and subtitles, the better subtitle first.
 VIDEO_ENDINGS = ["mp4", "mkv", "webm", "avi", "mov", "m4v"]
@@ -32,10 +32,10 @@ def read_selection(spark: SparkSession, path: str, root: str | None = None, need
 def catalogue_media(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
     """video_id, video_path, subtitle_path of every video under ``root`` that has a subtitle of its name beside it.
 
-    Endings are taken in any case, .srt before .vtt. Equal names get _2, _3, ... in order of path. Spark's readers list
-    no file of zero bytes, so a video whose subtitle is such a file counts as one without a subtitle.
+    Endings are taken in any case, .srt before .vtt. Equal names get _2, _3, ... in order of path. Files of zero bytes
+    count as any other. ``pair_media`` takes another listing, such as ``listing.spark_listing``.
     """
-    return pair_media(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path"), most)
+    return pair_media(listing.list_files(spark, root), most)
 
 
 def pair_media(files: DataFrame, most: int | None = None) -> DataFrame:
@@ -78,21 +78,33 @@ def parse_subtitles(files: DataFrame) -> DataFrame:
     return rows.select("video_id", idx.cast("long").alias("cue_idx"), "start", "end", "text")
 
 
-def read_subtitles(manifest: DataFrame, partitions: int | None = None) -> DataFrame:
+def read_subtitles(manifest: DataFrame, partitions: int | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Cues of the files that ``manifest`` (video_id, subtitle_path) names, one row of text per file.
 
-    The deepest folder that holds them all, known from the first and the last path, is read and joined.
+    Tasks open the named files and no others; a missing file has no cue. ``texts`` (path, content) takes the place of
+    that for stores that only Spark opens, see ``read_texts``.
     """
-    ends = manifest.agg(F.min("subtitle_path"), F.max("subtitle_path")).first()
-    if ends[0] is None:
-        return manifest.sparkSession.createDataFrame([], schemas.CUES)
-    root = os.path.commonprefix(list(ends)).rpartition("/")[0] or "/"
-    texts = read_texts(manifest.sparkSession, root)
+    if texts is None:
+        named = manifest.select("video_id", "subtitle_path")
+        named = named.repartition(partitions, "video_id") if partitions else named
+        rows = listing.contents(named, "subtitle_path").select("video_id", F.decode("content", "UTF-8").alias("content"))
+        return parse_subtitles(rows.filter("content IS NOT NULL"))
     key = lambda c: F.regexp_replace(c, "^file:/*", "/")
     rows = manifest.join(texts, key(F.col("subtitle_path")) == key(F.col("path"))).select("video_id", "content")
     return parse_subtitles(rows.repartition(partitions, "video_id") if partitions else rows)
 
 
+def media_keys(media: DataFrame, files: DataFrame, column: str, **settings) -> DataFrame:
+    """``media`` with ``cache_key`` of the file in ``column``: of its path, size, time and the settings.
+
+    ``files`` is a listing (path, size, modified_ns). A file changed or moved, or another setting, gives another key; a file
+    that is not listed has none.
+    """
+    told = [F.lit(v).alias(k) for k, v in sorted(settings.items())]
+    keys = files.select(F.col("path").alias(column), cache_key(F.col("modified_ns").alias("mtime"), F.col("path"), F.col("size"), *told).alias("cache_key"))
+    return media.join(keys, column, "left")
+
+
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """path and content of every subtitle file under ``root``; executors list and read, the driver sees no path."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{srt,SRT,Srt,vtt,VTT,Vtt}")
