@@ -65,7 +65,7 @@ def grouped(stats: DataFrame, accuracy: int | None = None) -> DataFrame:
     """
     medians = stats.agg(quantile("subtitle_coverage", 0.5, accuracy).alias("_c"), quantile("average_visual_change", 0.5, accuracy).alias("_v"))
     level = lambda x, m: F.when(F.col(x) >= F.col(m), "high").otherwise("low")
-    return stats.crossJoin(F.broadcast(medians)).withColumn("group", F.concat(level("subtitle_coverage", "_c"), F.lit(" speech / "), level("average_visual_change", "_v"), F.lit(" visual"))).drop("_c", "_v")
+    return stats.crossJoin(F.broadcast(medians)).withColumn("group", F.concat(level("subtitle_coverage", "_c"), F.lit(" speech / "), level("average_visual_change", "_v"), F.lit(" visual change"))).drop("_c", "_v")
 
 
 def group_alignment(events: DataFrame, stats: DataFrame, tolerance: float = 10.0) -> DataFrame:

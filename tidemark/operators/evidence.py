@@ -88,6 +88,36 @@ def jaccard(picked: DataFrame, one: str, other: str, by: list[str]) -> DataFrame
     return sets.select(*by, (F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).alias("jaccard"))
 
 
+#: Means of these are reported by selector and k, and intervals of the first three.
+METRICS = ["vote_acc", "margin", "votes_odd", "span_min", "n_segments"]
+
+
+def evaluate(questions: DataFrame, scores: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row per question, k and selector: the METRICS, and whole_video_acc and odd_is_answer of the question.
+
+    votes_odd says whether the vote went to the option that is least like the others. ``questions`` has question_id,
+    options and answer_idx, and is joined by Spark's choice; the vote of all frames is worked out once per question.
+    """
+    by = ["question_id", "k", "selector"]
+    answers = questions.select("question_id", "answer_idx")
+    odd = vectors.odd_one_out(F.col("options"))
+    once = vote(scores, answers, ["question_id"]).select("question_id", F.col("correct").cast("double").alias("whole_video_acc"))
+    once = once.join(questions.select("question_id", odd.alias("odd"), (odd == F.col("answer_idx")).cast("double").alias("odd_is_answer")), "question_id")
+    rows = vote(picked, answers, by).join(spread(picked, by), by).join(once, "question_id")
+    return rows.select(*by, F.col("correct").cast("double").alias("vote_acc"), "margin", (F.col("predicted") == F.col("odd")).cast("double").alias("votes_odd"), "odd_is_answer", "whole_video_acc", "span_min", "n_segments")
+
+
+def variant_nulls(questions: DataFrame, frames: DataFrame, variants: list[str], top: int = 16, block: int = 256) -> DataFrame:
+    """question_id, and z_<v> and pct_<v> of each variant, a column of option vectors; all go over the frames together."""
+    name = F.concat_ws("|", F.col("question_id").cast("string"), "variant")
+    each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("options")) for v in variants])
+    rows = questions.select("question_id", "video_id", F.inline(each)).withColumn("name", name)
+    z = swapped_null(rows.select(F.col("name").alias("question_id"), "video_id", "options"), frames, top, block)
+    told = rows.select("question_id", "variant", "name").join(z.withColumnRenamed("question_id", "name"), "name")
+    one = lambda c, v: F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}_{v}")
+    return told.groupBy("question_id").agg(*[one(c, v) for v in variants for c in ("z", "pct")])
+
+
 #: Questions of a block, and frames of a deal, of the swapped null.
 BLOCK, DEAL = 256, 16_384
 

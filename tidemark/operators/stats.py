@@ -81,6 +81,18 @@ def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, s
     return means.join(ends, by) if by else means.crossJoin(ends)
 
 
+def wide_means(df: DataFrame, by: str, across: str, values: list[str], metrics: list[str]) -> DataFrame:
+    """One row per value of ``by``, with the mean of each metric for each listed value of ``across`` in a column <value>_<metric>."""
+    mean = lambda v, m: F.avg(F.when(F.col(across) == v, F.col(m).cast("double"))).alias(f"{v}_{m}")
+    return df.groupBy(by).agg(*[mean(v, m) for v in values for m in metrics])
+
+
+def intervals(df: DataFrame, by: list[str], metrics: list[str], key: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """by, metric, mean, ci_lo, ci_hi: the bootstrap interval of every metric in every group, in one pass."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
+    return bootstrap(df.select(*by, key, F.inline(each)), "x", [*by, "metric"], resamples, seed, key)
+
+
 def signal_summary(df: DataFrame, group: str, variants: list[str], cut: float = 1.645) -> DataFrame:
     """Per group and over all: variant, n, median z, share of z above the cut. ``variants`` are columns of z."""
     long = df.select(group, F.explode(F.map_from_arrays(F.array(*map(F.lit, variants)), F.array(*[F.col(v).cast("double") for v in variants]))).alias("variant", "z"))

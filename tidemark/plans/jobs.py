@@ -107,21 +107,32 @@ def media_job(media: DataFrame, cues: DataFrame, probes: DataFrame, frames: Data
     return boundary_job(frames, texts, cues, durations, config) | {"errors": errors, "fresh": fresh}
 
 
-def null_job(questions: DataFrame, frames: DataFrame, group: str, top: int = 16) -> dict[str, DataFrame]:
-    """The video-swap null per question, and its summary by ``group`` (a column of ``questions``)."""
-    z = evidence.swapped_null(questions, frames, top).join(questions.select("question_id", group), "question_id")
-    return {"signal_z": z, "summary": stats.signal_summary(z, group, ["z"])}
+def null_job(questions: DataFrame, frames: DataFrame, group: str, top: int = 16, variants: tuple[str, ...] = ("options",)) -> dict[str, DataFrame]:
+    """The video-swap null per question and variant of its option vectors, and its summary by ``group`` (a column of ``questions``)."""
+    z = evidence.variant_nulls(questions, frames, list(variants), top).join(questions.select("question_id", group), "question_id")
+    return {"signal_z": z, "summary": stats.signal_summary(z, group, [f"z_{v}" for v in variants])}
 
 
-def selector_job(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> dict[str, DataFrame]:
-    """Selections, votes, spreads and overlaps of the four frame selectors."""
+def selector_job(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32), k: int = 16, task: str | None = None) -> dict[str, DataFrame]:
+    """Selections of the four frame selectors, their evaluation by question, and the tables of the report.
+
+    ``summary`` has the five metrics by k and selector, ``intervals`` the bootstrap intervals at ``k`` by selector (and,
+    with a column ``task`` of the questions, ``task_intervals`` by task), ``constants`` what does not hang on the selector.
+    """
     scores = evidence.frame_scores(questions, frames)
     picked = evidence.select_frames(scores, ks)
-    by = ["question_id", "k", "selector"]
-    votes = evidence.vote(picked, questions.select("question_id", "answer_idx"), by)
-    return {
+    path = shared_folder(questions.sparkSession, "selector-eval")
+    evidence.evaluate(questions, scores, picked).write.parquet(path)
+    rows = questions.sparkSession.read.parquet(path)
+    at_k = rows.filter(F.col("k") == k)
+    tables = {
         "picked": picked,
-        "selector_eval": votes.join(evidence.spread(picked, by), by),
-        "overlap": evidence.jaccard(picked.filter(F.col("k") == 16), "Relevance", "Variance", ["question_id"]).join(stats.spearman(scores, "r", "v", ["question_id"]), "question_id"),
-        "summary": votes.groupBy("k").pivot("selector", evidence.SELECTORS).agg(F.avg(F.col("correct").cast("double"))),
+        "selector_eval": rows,
+        "overlap": evidence.jaccard(picked.filter(F.col("k") == k), "Relevance", "Variance", ["question_id"]).join(stats.spearman(scores, "r", "v", ["question_id"]), "question_id"),
+        "summary": stats.wide_means(rows, "k", "selector", evidence.SELECTORS, evidence.METRICS),
+        "intervals": stats.intervals(at_k, ["selector"], evidence.METRICS[:3], "question_id"),
+        "constants": at_k.filter(F.col("selector") == evidence.SELECTORS[0]).agg(F.avg("whole_video_acc").alias("whole_video_acc"), F.avg("odd_is_answer").alias("odd_is_answer")),
     }
+    if task is not None:
+        tables["task_intervals"] = stats.intervals(at_k.join(questions.select("question_id", task), "question_id"), [task, "selector"], evidence.METRICS[:1], "question_id")
+    return tables

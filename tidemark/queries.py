@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import BoundaryConfig
-from tidemark.functions import options, vectors
+from tidemark.functions import lexicon, options, vectors
 from tidemark.operators import encode, events, evidence, intervals, matching, sampling, signals, stats
 from tidemark.plans import jobs
 from tidemark.sources import files
@@ -324,7 +324,7 @@ f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY video_id ORDER BY s, e,
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY s, e, cue_idx ROWS UNBOUNDED PRECEDING) AS island FROM f),
 h AS (SELECT video_id, island, max(e) - min(s) AS len FROM g GROUP BY ALL), cov AS (SELECT video_id, least(sum(len) / any_value(dur), 1) AS coverage, any_value(dur) AS dur FROM h JOIN d USING (video_id) GROUP BY video_id),
 sig AS (SELECT video_id, avg(raw) FILTER (modality = 'visual') AS av, count(*) FILTER (modality = 'visual' AND norm >= 1) AS vp, count(*) FILTER (modality = 'text' AND norm >= 1) AS tp FROM signal GROUP BY 1),
-st AS (SELECT video_id, dur, coverage, av, vp, tp, CASE WHEN coverage >= median(coverage) OVER () THEN 'high' ELSE 'low' END || ' speech / ' || CASE WHEN av >= median(av) OVER () THEN 'high' ELSE 'low' END || ' visual' AS grp FROM cov JOIN sig USING (video_id))"""
+st AS (SELECT video_id, dur, coverage, av, vp, tp, CASE WHEN coverage >= median(coverage) OVER () THEN 'high' ELSE 'low' END || ' speech / ' || CASE WHEN av >= median(av) OVER () THEN 'high' ELSE 'low' END || ' visual change' AS grp FROM cov JOIN sig USING (video_id))"""
 
 
 def _stats(spark, sf_dir) -> DataFrame:
@@ -481,6 +481,24 @@ def group_accuracy(spark, sf_dir):
     return rows.select("g", *[six(s).alias(s) for s in evidence.SELECTORS])
 
 
+_EVAL = f"""{_PICKED}, {_vote_sql('picked', 'question_id, k, selector')}, od AS (SELECT a.question_id, a.o, round(sum(1 - {_dot("a.x", "b.x")}), 9) AS d FROM opts a JOIN opts b ON a.question_id = b.question_id AND a.o <> b.o GROUP BY ALL),
+odd AS (SELECT question_id, o AS odd FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d DESC, o) AS rn FROM od) WHERE rn = 1),
+sp AS (SELECT question_id, k, selector, (max(t) - min(t)) / 60 AS span_min, count(DISTINCT floor(t / 60)) AS n_segments FROM picked GROUP BY ALL),
+ev AS (SELECT question_id, k, selector, correct::INT::DOUBLE AS vote_acc, margin, (predicted = odd)::INT::DOUBLE AS votes_odd, span_min, n_segments FROM voted JOIN sp USING (question_id, k, selector) JOIN odd USING (question_id))"""
+
+
+def _eval(spark, sf_dir) -> DataFrame:
+    q, scores = questions(spark, sf_dir), _scores(spark, sf_dir)
+    return evidence.evaluate(q, scores, evidence.select_frames(scores))
+
+
+@query("selector_report", f"WITH {_EVAL} SELECT k, " + ", ".join(f"round(avg({m}) FILTER (selector = '{s}'), 6) AS \"{s}_{m}\"" for s in evidence.SELECTORS for m in evidence.METRICS) + " FROM ev GROUP BY k")
+def selector_report(spark, sf_dir):
+    """Five metrics by k and selector."""
+    rows = stats.wide_means(_eval(spark, sf_dir), "k", "selector", evidence.SELECTORS, evidence.METRICS)
+    return rows.select("k", *[six(c).alias(c) for c in rows.columns if c != "k"])
+
+
 _U = "CAST(('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
@@ -495,6 +513,17 @@ def bootstrap_ci(spark, sf_dir):
     return stats.bootstrap(rows, "x", ["label"], key="vec_id").select("label", six("mean").alias("mean"), six("ci_lo").alias("ci_lo"), six("ci_hi").alias("ci_hi"))
 
 
+@query("selector_intervals", f"""WITH {_EVAL}, r AS (SELECT question_id, selector, unnest(['vote_acc', 'margin', 'votes_odd']) AS metric, unnest([vote_acc, margin, votes_odd]) AS x FROM ev WHERE k = 16),
+h AS (SELECT question_id, b, md5(concat_ws('|', 0, b, question_id)) AS h FROM (SELECT DISTINCT question_id FROM r), (SELECT unnest(range(500)) AS b)),
+w AS (SELECT question_id, b * 4 + i AS j, {" + ".join(f"(u >= {c})::INT" for c in stats.POISSON)} AS w FROM (SELECT *, {_U} AS u FROM h, (SELECT unnest(range(4)) AS i))),
+m AS (SELECT selector, metric, j, sum(w * x) / sum(w) AS m FROM w JOIN r USING (question_id) GROUP BY ALL HAVING sum(w) > 0)
+SELECT selector, metric, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM m JOIN (SELECT selector, metric, avg(x) AS mean FROM r GROUP BY ALL) USING (selector, metric) GROUP BY selector, metric""")
+def selector_intervals(spark, sf_dir):
+    """A17 over A14: intervals of three metrics by selector at k = 16."""
+    rows = stats.intervals(_eval(spark, sf_dir).filter("k = 16"), ["selector"], evidence.METRICS[:3], "question_id")
+    return rows.select("selector", "metric", *[six(c).alias(c) for c in ("mean", "ci_lo", "ci_hi")])
+
+
 @query("spearman_matrix", """WITH x AS (SELECT p_partkey AS id, unnest(['size', 'price', 'key']) AS c, unnest([p_size::DOUBLE, p_retailprice, p_partkey::DOUBLE]) AS x FROM part),
 r AS (SELECT id, c, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0::DOUBLE AS r FROM x)
 SELECT p.c AS a, q.c AS b, round(corr(p.r, q.r), 6) AS spearman FROM r p JOIN r q USING (id) GROUP BY ALL""")
@@ -514,21 +543,41 @@ def _option_rows(spark, sf_dir) -> DataFrame:
 _OPTS = """q AS (SELECT p_partkey AS question_id, p_type AS task_type, p_partkey % 4 AS answer_idx, [p_name, list_aggregate(list_reverse(string_split(p_name, ' ')), 'string_agg', ' '), CASE WHEN p_partkey % 3 = 0 THEN p_size || ' of them' ELSE p_name END, CASE WHEN p_partkey % 5 = 0 THEN 'after ' || p_name ELSE p_name END] AS options FROM part),
 bags AS (SELECT *, list_transform(options, lambda o: list_sort(regexp_extract_all(lower(o), '\\w+'))) AS bags FROM q),
 perm AS (SELECT *, len(bags[1]) > 1 AND bags[1] = bags[2] AND bags[1] = bags[3] AND bags[1] = bags[4] AS perm FROM bags),
-tags AS (SELECT question_id, task_type, answer_idx, options, perm, list_transform(options, lambda o: CASE WHEN regexp_matches(o, '^\\W*\\d[\\d,.]*\\b') AND len(string_split(o, ' ')) <= 5 THEN 'Numeric' WHEN perm OR regexp_matches(o, '(?i)\\b(after|before|first|last|next)\\b') THEN 'Temporal/order' WHEN len(list_intersect(regexp_extract_all(lower(o), '[a-z]+'), ['red','orange','yellow','green','blue','purple','pink','white','black','gray','grey','brown','golden','silver','beige'])) > 0 OR regexp_matches(lower(o), '\\b(ring|widget)\\b') THEN 'Concrete visual' ELSE 'Abstract' END) AS types FROM perm)"""
+tags AS (SELECT question_id, task_type, answer_idx, options, perm, list_transform(options, lambda o: CASE WHEN regexp_matches(o, '^\\W*\\d[\\d,.]*\\b') AND len(string_split(o, ' ')) <= 5 THEN 'Numeric' WHEN perm OR regexp_matches(o, '(?i)\\b(after|before|first|last|next)\\b') THEN 'Temporal/order' WHEN len(list_intersect(regexp_extract_all(lower(o), '[a-z]+'), ['red','orange','yellow','green','blue','purple','pink','white','black','gray','grey','brown','golden','silver','beige'])) > 0 OR regexp_matches(lower(o), '\\b(ring|widget|gear|anvil)\\b') THEN 'Concrete visual' ELSE 'Abstract' END) AS types FROM perm)"""
+
+
+#: Stands for a user's lexicon: two words of concrete categories, one with two of them, two nouns of which one is too short to
+#: count, and categories that are not concrete.
+LEXICON = [("ring", "fashion"), ("widget", "tool"), ("widget", "toy"), ("gear", "noun"), ("anvil", "noun"), ("of", "noun"), ("plate", "idea"), ("rod", "measure"), ("new", "time")]
+
+
+def _lexicon(spark) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(c).alias("category")) for w, c in LEXICON])))
+
+
+def _option_texts(spark, sf_dir) -> DataFrame:
+    return _option_rows(spark, sf_dir).select("question_id", F.posexplode("options").alias("o", "text"))
 
 
 def _tagged(spark, sf_dir) -> DataFrame:
-    """Options with their tags; a two-word lexicon stands for the user's."""
-    lexicon = spark.range(1).select(F.explode(F.array(F.lit("ring"), F.lit("widget"))).alias("word"))
+    """Options with their tags."""
     rows = _option_rows(spark, sf_dir).withColumn("perm", options.is_permutation(F.col("options")))
-    long = rows.select("question_id", F.posexplode("options").alias("o", "text"))
-    known = long.select("question_id", "o", F.explode(options.letters(F.col("text"))).alias("word")).join(F.broadcast(lexicon), "word", "left_semi").select("question_id", "o").distinct().withColumn("known", F.lit(True))
-    long = long.join(known, ["question_id", "o"], "left").join(rows.select("question_id", "perm"), "question_id")
-    long = long.withColumn("type", options.option_type(F.col("text"), F.col("perm"), F.coalesce("known", F.lit(False))))
+    long = lexicon.concrete(_option_texts(spark, sf_dir), ["question_id", "o"], "text", _lexicon(spark)).join(rows.select("question_id", "perm"), "question_id")
+    long = long.withColumn("type", options.option_type(F.col("text"), F.col("perm"), F.col("concrete")))
     types = long.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "type"))), lambda x: x["type"]).alias("types"))
     return rows.join(types, "question_id")
 
 
+_LEXICON = "lexicon AS (SELECT unnest([" + ", ".join(f"'{w}'" for w, _ in LEXICON) + "]) AS word, unnest([" + ", ".join(f"'{c}'" for _, c in LEXICON) + "]) AS category)"
+
+
+@query("lexicon_counts", f"""WITH {_OPTS}, {_LEXICON}, w AS (SELECT question_id, unnest(range(4)) AS o, unnest(options) AS text FROM q), x AS (SELECT question_id, o, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM w)
+SELECT question_id, CAST(o AS INTEGER) AS o, category, count(*) AS n FROM x JOIN lexicon USING (word) WHERE category <> 'noun' OR length(word) > 2 GROUP BY ALL""")
+def lexicon_counts(spark, sf_dir):
+    """Words of the options by category of the lexicon."""
+    return lexicon.lookup(_option_texts(spark, sf_dir), ["question_id", "o"], "text", _lexicon(spark))
+
+
 @query("option_tags", f"""WITH {_OPTS}, cnt AS (SELECT *, list_transform(['Numeric', 'Temporal/order', 'Concrete visual', 'Abstract'], lambda k: len(list_filter(types, lambda t: t = k))) AS counts FROM tags)
 SELECT question_id, array_to_string(types, '|') AS types, ['Numeric', 'Temporal/order', 'Concrete visual', 'Abstract'][list_position(counts, list_max(counts))] AS option_type, perm, round(list_avg(list_transform(options, lambda o: len(string_split(o, ' ')))), 6) AS n_words, CAST(answer_idx AS INTEGER) AS answer_idx, 'Question: ' || task_type || ' Answer: ' || options[1] AS prompt FROM cnt""")
 def option_tags(spark, sf_dir):
@@ -577,6 +626,17 @@ def variant_votes(spark, sf_dir):
     return evidence.vote(each, q.select("question_id", "answer_idx"), ["question_id", "variant"]).withColumn("margin", six("margin"))
 
 
+@query("variant_nulls", f"""WITH {_FRAMES}, {_VARIANTS}, sim AS (SELECT q.question_id, q.video_id AS own, f.video_id, f.frame_idx, u.o, unnest(['alone', 'template']) AS variant, unnest([{_dot('f.emb', 'u.alone')}, {_dot('f.emb', 'u.template')}]) AS s FROM frames f, questions q JOIN unit u USING (question_id)),
+ce AS (SELECT *, s - avg(s) OVER (PARTITION BY question_id, variant, video_id, o) AS sc FROM sim), va AS (SELECT question_id, variant, own, video_id, frame_idx, var_pop(sc) AS v FROM ce GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY question_id, variant, video_id ORDER BY v DESC) AS rn FROM va), tp AS (SELECT question_id, variant, own, video_id, avg(v) AS x FROM rk WHERE rn <= 16 GROUP BY ALL),
+re AS (SELECT question_id, variant, x AS real FROM tp WHERE own = video_id), nu AS (SELECT question_id, variant, (any_value(real) - avg(x)) / (stddev_pop(x) + 1e-12) AS z, avg((x < real - 1e-12)::INT) AS pct FROM tp JOIN re USING (question_id, variant) WHERE own <> video_id GROUP BY ALL)
+SELECT question_id, round(max(z) FILTER (variant = 'alone'), 5) AS z_alone, round(max(pct) FILTER (variant = 'alone'), 6) AS pct_alone, round(max(z) FILTER (variant = 'template'), 5) AS z_template, round(max(pct) FILTER (variant = 'template'), 6) AS pct_template FROM nu GROUP BY question_id""")
+def variant_nulls(spark, sf_dir):
+    """The null of both kinds of option vectors, in one pass over the frames."""
+    rows = evidence.variant_nulls(_variants(spark, sf_dir), frames(spark, sf_dir).select("video_id", "emb"), ["alone", "template"])
+    return rows.select("question_id", *[F.round(c, 5 if c[0] == "z" else 6).alias(c) for c in rows.columns[1:]])
+
+
 # --- samples and splits ----------------------------------------------------------------------------------------------
 
 _H = "md5({} || ':' || CAST({} AS VARCHAR))"
