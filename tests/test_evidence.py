@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evidence, stats
+from tidemark.plans import jobs
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,32 @@ def test_spearman_and_bootstrap(spark):
     constant = spark.createDataFrame([(0, 1, 2.0), (0, 1, 3.0)], "g int, x int, y double")
     assert stats.spearman(constant, "x", "y", ["g"]).first().spearman is None
     assert stats.signal_summary(df.select(F.col("g").cast("string").alias("g"), F.col("y").alias("z")), "g", ["z"]).filter("group = 'All'").first().n == 150
+
+
+def test_jobs_give_every_table_of_the_report(spark, data):
+    _, _, f, q = data
+    q = q.withColumn("task", F.col("video_id"))
+    tables = jobs.selector_job(q, f, (2, 4), 4, "task")
+    rows = tables["selector_eval"].collect()
+    assert len(rows) == 2 * 4 * q.count()
+    wide = {r.k: r for r in tables["summary"].collect()}
+    for k in (2, 4):
+        for s in evidence.SELECTORS:
+            own = [r for r in rows if r.k == k and r.selector == s]
+            for m in evidence.METRICS:
+                assert wide[k][f"{s}_{m}"] == pytest.approx(np.mean([r[m] for r in own]))
+    told = tables["intervals"].collect()
+    assert {(r.selector, r.metric) for r in told} == {(s, m) for s in evidence.SELECTORS for m in evidence.METRICS[:3]}
+    assert all(r.ci_lo <= r["mean"] + 1e-9 and r["mean"] <= r.ci_hi + 1e-9 for r in told)
+    assert {r.task for r in tables["task_intervals"].collect()} == {r.task for r in q.select("task").collect()}
+    assert tables["constants"].count() == 1
+
+
+def test_null_of_two_variants_is_that_of_each(spark, data):
+    _, _, f, q = data
+    q = q.withColumns({"one": F.col("options"), "two": F.transform("options", lambda o: F.reverse(o)), "g": F.lit("x")})
+    both = {r.question_id: r for r in evidence.variant_nulls(q, f, ["one", "two"], block=2).collect()}
+    for v in ("one", "two"):
+        for r in evidence.swapped_null(q, f, options=v).collect():
+            assert (both[r.question_id][f"z_{v}"], both[r.question_id][f"pct_{v}"]) == (pytest.approx(r.z), r.pct)
+    assert {(r.group, r.variant) for r in jobs.null_job(q, f, "g", variants=("one", "two"))["summary"].collect()} == {(g, v) for g in ("x", "All") for v in ("z_one", "z_two")}
