@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +97,57 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<p>a</p>", "t"), (2, "u", "", "t"), (2, "u", "", "t")], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in html.extract(df).collect()), key=repr) == sorted([(1, "u", "", 0), (None, None, "a", 1), (2, "u", "", 0), (2, "u", "", 0)], key=repr)
     assert html.extract(df.limit(0)).count() == 0
+
+
+NAMES = "promoters menu copyright social consent navigation comments-on-method sponsor-history newsletter footer".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_sections_of_an_article_are_not_judged_by_name(name):
+    page = f'<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{LONG}</p><section id="{name}"><h2>Second</h2><p>{LONG}</p><p>{LONG}</p></section></article></body>'
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip(), "Second", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "user-comments", "commentlist", "disqus_thread", "post x comments-area"])
+def test_what_readers_write_goes_wherever_it_stands(name):
+    page = f'<body><article><h1>T</h1><p>{LONG}</p><div class="{name}"><p>{LONG}</p><p>{LONG}</p></div></article></body>'
+    assert html.main_text(page).split("\n\n") == ["T", LONG.strip()]
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- a -- b -->", "<!-- <p>no</p> -->"])
+def test_comments_end_where_they_end(comment):
+    page = f"<article><p>{LONG}</p>{comment}<p>{LONG}</p><!-- x --></article>"
+    assert html.main_text(page) == "\n\n".join([LONG.strip()] * 2)
+
+
+def plain_ratios(blocks):
+    """The fused ratios by plain loops over the blocks' texts and whole paths."""
+    text, marks = [], []
+    for _, path, *_ in blocks:
+        own = [b for b in blocks if b[1] == path]
+        text.append(sum(len(b[0]) - b[3] for b in own) / len(own))
+        marks.append(sum(ch in ".,;:!?。，！？¿¡" for b in own for ch in b[0]) / len(own))
+    near = lambda x, i: sum(w * x[min(max(i + k, 0), len(x) - 1)] for k, w in zip(range(-2, 3), (0.1, 0.2, 0.4, 0.2, 0.1), strict=True))
+    return [near(text, i) * (1 + near(marks, i)) for i in range(len(blocks))]
+
+
+def test_ratios_against_plain_loops_and_their_weight(spark, monkeypatch):
+    """The ratios are those of plain loops; where links stand in the articles of the given pages, they take these out."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages[:80]:
+        blocks = html._Page(page).blocks
+        assert html.fused(blocks) == pytest.approx(plain_ratios(blocks))
+    links = '<div class="promo"><ul>' + "".join(f"<li><a href=/{i}>More {i}</a></li>" for i in range(6)) + "</ul></div>"
+    wide = [p for p in pages if len(brute(p)) > 300 and "</p>" in re.search(r"<article>(.*?)</article>", p, re.S)[1]]
+    made = [re.sub(r"(<article>.*?</p>)", lambda m: m[1] + links, p, count=1, flags=re.S) for p in wide]
+    assert len(made) > 100
+    right = sum(html.main_text(m) == brute(p) for m, p in zip(made, wide, strict=True))
+    monkeypatch.setattr(html, "fused", lambda blocks: np.ones(len(blocks)))
+    flat = sum(html.main_text(m) == brute(p) for m, p in zip(made, wide, strict=True))
+    assert (right, flat) == (len(made), 0)
+
+
+def test_deep_pages_with_many_blocks():
+    began = time.time()
+    html.main_text("<div>a" * 100_000)
+    assert time.time() - began < 20

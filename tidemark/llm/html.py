@@ -40,11 +40,13 @@ NEVER_HINTED = set("html body article main".split())
 #: An opening tag of the first kind ends open elements of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of classes and ids that name no part of an article.
+#: Words of classes and ids that name no part of an article; inside an article's element they count where the ratios fail.
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|block|container|wrapper)|advert\w*|adsense|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|nav|navbar|navigation|menu|breadcrumbs?|sidebar|sharing|social|comments?|commentlist|disqus|footer|masthead|subscribe|newsletter|signup|login|popup|modal|overlay|toolbar|pagination|pager|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Names of what readers write, wherever it stands: a whole class or id.
+COMMENTS = re.compile(r"(?:^|\s)(?:(?:user|reader|post|article)s?[_-]?)?comments?(?:[_-]?(?:list|area|section|thread|wrapper|container|box|form|body|item))?(?:$|\s)|(?:^|\s)disqus[\w-]*", re.I)
 #: Words that may: they count where the ratios fail as well.
 MAYBE = re.compile(r"(?:^|[\s_-])(?:banner|notices?|alert|disclaimer|side|widgets?|related|recommend\w*|share|responses?|respond|reply|replies|discussion|foot|form|search|legal|skip)(?:$|[\s_-])", re.I)
 #: Of a page's header, but not of an article's.
@@ -58,12 +60,16 @@ PUNCTUATION = re.compile(r"[.,;:!?。，！？¿¡]")
 
 
 class _Page:
-    """Blocks of one page, in order: text, path, element, length of link text, and whether it can be of no article."""
+    """Blocks of one page, in order: text, path, element, length of link text, and whether it can be of no article.
+
+    A path is a number, that of a tag below another path, so a page may be of any depth.
+    """
 
     def __init__(self, html: str):
         self.parent, self.tag, self.maybe = [-1], [""], [False]
-        self.blocks: list[tuple[str, str, int, int, bool]] = []
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+        self.paths: dict[tuple[int, str], int] = {}
         self.open: dict[str, int] = {}
         self.held: list[str] = []
         self.links, self.in_link = 0, 0
@@ -79,7 +85,7 @@ class _Page:
             if lt > at:
                 self.text(html[at:lt])
             if html.startswith("<!--", lt):
-                end = html.find("-->", lt + 4)
+                end = html.find("-->", lt + 2)  # "<!-->" is a whole comment
                 at = n if end < 0 else end + 3
                 continue
             m = TAG.match(html, lt)
@@ -116,7 +122,8 @@ class _Page:
         if self.held:
             s = " ".join("".join(self.held).split())
             if s:
-                self.blocks.append((s, "/".join(t for t, _, _ in self.stack), self.stack[-1][1], min(self.links, len(s)), self.stack[-1][2]))
+                _, element, dropped, path = self.stack[-1]
+                self.blocks.append((s, path, element, min(self.links, len(s)), dropped))
             self.held, self.links = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -147,12 +154,14 @@ class _Page:
                     dropped = dropped or value.lower() in ("", "hidden", "true")
                 else:
                     value = AROUND.sub("", value)
-                    dropped = dropped or bool(HINT.search(value)) or (not in_article and bool(HEAD_HINT.search(value)))
-                    maybe = maybe or bool(MAYBE.search(value))
+                    named = bool(HINT.search(value))
+                    dropped = dropped or bool(COMMENTS.search(value)) or (not in_article and (named or bool(HEAD_HINT.search(value))))
+                    maybe = maybe or named or bool(MAYBE.search(value))
         self.parent.append(self.stack[-1][1])
         self.tag.append(tag)
         self.maybe.append(maybe)
-        self.stack.append((tag, len(self.tag) - 1, dropped))
+        path = self.paths.setdefault((self.stack[-1][3], tag), len(self.paths) + 1)
+        self.stack.append((tag, len(self.tag) - 1, dropped, path))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
@@ -188,7 +197,7 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
 
 
-def fused(blocks: list[tuple[str, str, int, int, bool]]) -> np.ndarray:
+def fused(blocks: list[tuple[str, int, int, int, bool]]) -> np.ndarray:
     """Each block's smoothed ratio of text to its path times that of punctuation."""
     length, marks, count = {}, {}, {}
     for s, path, _, links, _ in blocks:
