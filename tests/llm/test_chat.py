@@ -88,3 +88,32 @@ def test_query_edges(spark, tmp_path):
     assert got[None].turns_sha256 == sha("\nt\n") and got[2].turns_sha256 == sha("user\nn\nuser\nm\n")
     text = "\\### Assistant: </turn> ok"
     assert got[-7].turns_sha256 == sha(f"user\n{text}\nassistant\n{text}\n") and got[-7].loss_sha256 == sha(text)
+
+
+RECORDS = [
+    ('{"messages":[{"role":"user","content":"a","name":"n"},{"role":"assistant","content":"b"}],"id":5}', "messages", [("user", "a"), ("assistant", "b")]),
+    ('{"id":"x1","conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}],"model":"m"}', "conversations", [("user", "a"), ("assistant", "b")]),
+    ('{"instruction":"do","output":"done"}', "instruction", [("system", "do"), ("assistant", "done")]),
+    ('{"instruction":"do","input":null,"output":"done","source":[1,{"a":2}]}', "instruction", [("system", "do"), ("user", ""), ("assistant", "done")]),
+    ('{"messages":[]}', "messages", []),
+    ('{"messages":[{"role":"user","content":"a"},{"role":"assistant"}]}', "messages", [("user", "a"), ("assistant", "")]),
+    ('{"prompt":"p","completion":"c","meta":{"messages":[1]}}', "prompt", [("user", "p"), ("assistant", "c")]),
+    ('{"prompt":"p, \\"completion\\":1"}', None, []),
+    ('{"messages":[{"text":"a"}]}', None, []),
+    ('{"messages":{"role":"user","content":"a"}}', None, []),
+    ('{"messages":[1,2]}', None, []),
+    ('{"outer":{"prompt":"p","completion":"c"}}', None, []),
+    ("[]", None, []),
+    ("{", None, []),
+    (None, None, []),
+]
+
+
+def test_optional_and_ignored_fields(spark):
+    df = spark.createDataFrame([(i, r[0], "x") for i, r in enumerate(RECORDS)], "id long, raw string, error string")
+    made = chat.canonical(df)
+    for r in made.collect():
+        _, layout, turns = RECORDS[r.id]
+        assert (r.id, r.layout, [(t.role, t.text) for t in r.turns]) == (r.id, layout, turns)
+    bad = {r.id: r.error for r in chat.errors(made).collect()}
+    assert bad == {i: {None: "no record", "{": "no JSON"}.get(raw, "unknown layout") for i, (raw, layout, _) in enumerate(RECORDS) if layout is None}

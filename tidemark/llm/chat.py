@@ -2,7 +2,8 @@
 
 A record's nested field paths are read from its skeleton: its JSON with the strings emptied and runs of equal items
 made one, which stays small however long the texts are. Their hash is looked up among declared mappings, each of which
-says where the turns lie; the record is then read by the mapping's own schema. Turns are written as
+says where the turns lie; a record of another hash goes to the first mapping whose paths it contains, so fields that a
+mapping does not name are ignored and optional ones may lack. The record is then read by the mapping's own schema. Turns are written as
 
     ### role: text </turn>
 
@@ -25,10 +26,11 @@ ROLE_ESCAPES = [*ESCAPES, (":", "\\c")]
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Layout -> an example, from which the fingerprint is made, and its mapping: either the path of each turn with its
-#: role, or the path of a list with the names of its role and text fields and other names of roles.
+#: role, or the path of a list with the names of its role and text fields and other names of roles. Paths in ``optional``
+#: need not be there; their turn is then left out.
 LAYOUTS: dict[str, dict] = {
     "prompt": {"example": '{"prompt":"","completion":""}', "fields": [("user", "$.prompt"), ("assistant", "$.completion")]},
-    "instruction": {"example": '{"instruction":"","input":"","output":""}', "fields": [("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")]},
+    "instruction": {"example": '{"instruction":"","input":"","output":""}', "fields": [("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")], "optional": ["$.input"]},
     "messages": {"example": '{"messages":[{"role":"","content":""}]}', "list": ("$.messages", "role", "content", {})},
     "conversations": {"example": '{"conversations":[{"from":"","value":""}]}', "list": ("$.conversations", "from", "value", {"human": "user", "gpt": "assistant"})},
 }
@@ -62,7 +64,10 @@ def _turns(raw: Column, mapping: dict) -> Column:
     if "fields" in mapping:
         names = [path.removeprefix("$.") for _, path in mapping["fields"]]
         read = F.from_json(raw, ", ".join(f"{quoted(n)} string" for n in dict.fromkeys(names)), _JSON)
-        return let(read, lambda v: F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(v[n], F.lit("")).alias("text")) for (role, _), n in zip(mapping["fields"], names, strict=True)]))
+        made = let(read, lambda v: F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(v[n], F.lit("")).alias("text"), F.lit(n).alias("name")) for (role, _), n in zip(mapping["fields"], names, strict=True)]))
+        if optional := [path.removeprefix("$.") for path in mapping.get("optional", [])]:
+            made = let(F.json_object_keys(skeleton(raw)), lambda keys: F.filter(made, lambda t: ~t["name"].isin(optional) | F.array_contains(keys, t["name"])))
+        return F.transform(made, lambda t: F.struct(t["role"], t["text"]))
     path, role, text, names = mapping["list"]
     path = path.removeprefix("$.")
     named = lambda r: F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[r], r) if names else r
@@ -70,20 +75,46 @@ def _turns(raw: Column, mapping: dict) -> Column:
     return F.transform(read[path], lambda x: F.struct(F.coalesce(named(x[role]), F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
 
 
+def _contains(bare: Column, mapping: dict) -> Column:
+    """Whether a record (its skeleton) has the paths of a mapping, but for the optional ones, whatever else it has.
+
+    Every item of a list must have the text field or that of the role, and some item both; an empty list is one without turns.
+    """
+    keys = F.coalesce(F.json_object_keys(bare), F.array().cast("array<string>"))
+    if "fields" in mapping:
+        need = [path.removeprefix("$.") for _, path in mapping["fields"] if path not in mapping.get("optional", [])]
+        return F.forall(F.array(*map(F.lit, need)), lambda n: F.array_contains(keys, n))
+    path, role, text, _ = mapping["list"]
+    items = F.from_json(F.get_json_object(bare, path), "array<map<string,string>>", {"mode": "PERMISSIVE"})
+    has = lambda x, n: F.coalesce(F.map_contains_key(x, n), F.lit(False))
+    sound = let(items, lambda xs: (F.size(xs) == 0) | (F.forall(xs, lambda x: has(x, role) | has(x, text)) & F.exists(xs, lambda x: has(x, role) & has(x, text))))
+    return F.array_contains(keys, path.removeprefix("$.")) & F.coalesce(sound, F.lit(False))
+
+
 def canonical(df: DataFrame, raw: str = "raw", layouts: dict[str, dict] | None = None) -> DataFrame:
     """``df`` with ``fingerprint``, ``layout`` and ``turns`` (array of role and text) of the JSON records in ``raw``.
 
-    A record that is null, no JSON or of an unknown layout keeps its row; layout is then null and turns empty
-    (layout_counts tells how many). Texts of any length are read. Missing roles and texts are empty strings. Columns with the names of the three are replaced.
+    A record whose fingerprint is that of a mapping is read by it, any other by the first declared mapping whose paths it
+    contains. A record that is null, no JSON or of an unknown layout keeps its row; layout is then null and turns empty
+    (``errors`` has these rows, layout_counts tells how many). Texts of any length are read. Missing roles and texts are empty strings. Columns with the names of the three are replaced.
     """
     layouts = layouts or LAYOUTS
     df = df.withColumn("fingerprint", fingerprint(F.col(raw)))
-    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    layout, bare = F.lit(None).cast("string"), skeleton(F.col(raw))
+    for name, mapping in reversed(layouts.items()):
+        layout = F.when(F.col("fingerprint").isNotNull() & _contains(bare, mapping), F.lit(name)).otherwise(layout)
+    for name, mapping in layouts.items():
+        layout = F.when(F.col("fingerprint") == fingerprint(F.lit(mapping["example"])), F.lit(name)).otherwise(layout)
+    df, turns = df.withColumn("layout", layout), F.array().cast(TURNS)
     for name, mapping in layouts.items():
-        same = F.col("fingerprint") == fingerprint(F.lit(mapping["example"]))
-        layout = F.when(same, F.lit(name)).otherwise(layout)
-        turns = F.when(same, F.coalesce(_turns(F.col(raw), mapping), F.array().cast(TURNS))).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns})
+        turns = F.when(F.col("layout") == name, F.coalesce(_turns(F.col(raw), mapping), F.array().cast(TURNS))).otherwise(turns)
+    return df.withColumn("turns", turns)
+
+
+def errors(made: DataFrame, raw: str = "raw") -> DataFrame:
+    """The records that ``canonical`` could not read, with ``error``: no record, no JSON, or an unknown layout."""
+    error = F.when(F.col(raw).isNull(), "no record").when(F.col("fingerprint").isNull(), "no JSON").otherwise("unknown layout")
+    return made.filter("layout IS NULL").withColumn("error", error).drop("layout", "turns")
 
 
 def layout_counts(made: DataFrame) -> DataFrame:
