@@ -12,7 +12,7 @@ def words(t):
     return [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
 
 
-def brute(docs, items, stretch=13, share=0.75):
+def brute(docs, items, stretch=13, share=0.75, shortest=decontam.LEAST):
     """Every text against every item at every shift, without seeds."""
     classes, number = {}, {}
     for i, t in items:
@@ -23,7 +23,7 @@ def brute(docs, items, stretch=13, share=0.75):
         w = code(words(t))
         for b, ids in classes.items():
             width = min(len(b), stretch)
-            if not width or len(w) < width:
+            if not width or len(b) < shortest or len(w) < width:
                 continue
             same = w[:, None] == code(b)[None]
             best = int(sum(same[x : len(w) - width + 1 + x, x : len(b) - width + 1 + x].astype(np.int16) for x in range(width)).max())
@@ -97,8 +97,27 @@ def test_every_pattern_of_exchanged_tokens(spark, rows):
 
 def test_short_items(spark):
     df = spark.createDataFrame([(1, "so: what is the capital of France?"), (2, "what is the capital"), (3, "Paris"), (4, ""), (5, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "What is the capital of France"), (2, "paris"), (3, ""), (4, None)], "item_id long, text string")
-    assert sorted(tuple(r) for r in decontam.overlaps(df, bench).collect()) == [(1, 1, 1, 6), (3, 2, 1, 1)]
+    bench = spark.createDataFrame([(1, "What is the capital of France"), (2, "paris"), (3, ""), (4, None), (5, "the capital"), (6, "is the CAPITAL of")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontam.overlaps(df, bench).collect()) == [(1, 1, 1, 6), (1, 6, 1, 4)]
+    assert sorted(tuple(r) for r in decontam.overlaps(df, bench, shortest=1).collect()) == [(1, 1, 1, 6), (1, 5, 1, 2), (1, 6, 1, 4), (2, 5, 1, 2), (3, 2, 1, 1)]
+
+
+def test_everyday_words_empty_no_corpus(spark):
+    """Items of a word or two are passed over, and told."""
+    df = spark.createDataFrame([(1, "yes, that is the one"), (2, "the other day it was"), (3, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes"), (2, "the"), (3, "is the one"), (4, ""), (5, "it was the other day")], "item_id long, text string")
+    assert decontam.decontaminate(df, bench).count() == 3
+    assert sorted(tuple(r) for r in decontam.passed_over(bench).collect()) == [(1, 1), (2, 1), (3, 3), (4, 0)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_a_passage_that_most_texts_share(spark, rows):
+    """One phrase of the benchmark in every text, and in several items: every pair is found, in either form of the join."""
+    phrase = " ".join(f"p{i}" for i in range(14))
+    docs = spark.range(600).selectExpr("id AS doc_id", f"concat('a', id, ' b ', '{phrase}', ' c', id % 7) AS text")
+    items = spark.createDataFrame([(i, f"x{i} {phrase} y{i}") for i in range(3)], "item_id long, text string")
+    got = decontam.overlaps(docs, items, broadcast_rows=rows)
+    assert got.count() == 1800 and got.select("n_tokens").distinct().count() == 1
 
 
 def test_long_text(spark):

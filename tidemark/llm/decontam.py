@@ -7,7 +7,9 @@ the whole item, if shorter) agrees in at least ``share`` of its places.
 
 The masks are chosen so that, with the given stretch and share, every pattern of exchanged tokens that still counts
 leaves some mask whole: nothing that the rule finds is lost (see ``recall``). Items of fewer than SHORT tokens have no
-room for them; these are looked up whole, by a hash of all their tokens.
+room for them; these are looked up whole, by a hash of all their tokens. Items of fewer than LEAST tokens ("yes", "the
+same") are everyday words, which say nothing about where a text is from: they are passed over, and ``passed_over`` names
+them.
 
 A benchmark whose seeds fit in every task is sent there, and the texts never move. A larger one is joined by seed, for
 which only positions and hashes are shuffled, and the texts that have a hit are then joined with their hits.
@@ -29,8 +31,8 @@ from tidemark.llm.shared import sent_if_small
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 3, 4, 5, 6), (0, 3, 4, 6, 8)]
 #: Places that several masks share, and those masks: looked up first, so that few positions are hashed under every mask.
 STEMS = [((0, 1), (0, 1, 2)), ((0, 3, 4), (3, 4))]
-#: Items of fewer tokens are looked up whole.
-SHORT = 9
+#: Items of fewer tokens are looked up whole, or, of fewer than LEAST, not at all.
+SHORT, LEAST = 9, 4
 _LEAST_SPAN = min(m[-1] + 1 for m in MASKS)
 _SPAN = max(m[-1] + 1 for m in MASKS)
 WORD = r"[^\p{L}\p{N}]+"
@@ -89,15 +91,15 @@ def _agreeing(w: Column, k: Column, near: Column, lead: Column, width: Column) -
     return _best(F.slice(w, k - left + 1, left + right), F.slice(near, lead - left + 1, left + right), width).cast("long")
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 200_000) -> DataFrame:
+def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", stretch: int = 13, share: float = 0.75, broadcast_rows: int = 200_000, shortest: int = LEAST) -> DataFrame:
     """One row per doc_id and overlapping benchmark text: doc_id, item_id, n_items, n_tokens.
 
     Benchmark items with the same tokens are one text, named by its smallest id (null only if none has one), with
     n_items copies. n_tokens is the number of agreeing places of the best stretch; items of fewer than SHORT tokens
-    must occur whole. Null texts are empty; texts and items without tokens have no row; repeated rows give one row;
+    must occur whole, those of fewer than ``shortest`` have no row (see ``passed_over``). Null texts are empty; texts and items without tokens have no row; repeated rows give one row;
     other columns are not read.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).filter(F.size("b") > 0)
+    items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("b")).filter(F.size("b") >= max(shortest, 1))
     items = items.groupBy("b").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
     long = items.filter(F.size("b") >= SHORT)
     # a few numbers: how many seeds there are, and which lengths short items have
@@ -110,6 +112,11 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return found
 
 
+def passed_over(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", shortest: int = LEAST) -> DataFrame:
+    """item_id and n_tokens of the benchmark items that are too short to be looked for."""
+    return benchmark.select(F.col(item_id).alias("item_id"), F.size(tokens(F.col(item_text))).alias("n_tokens")).filter(F.col("n_tokens") < shortest)
+
+
 def _passed(hits: DataFrame, agreeing: Column, width: Column, share: float) -> DataFrame:
     # the check comes after the sum: as a filter below it, it would move into the join and take the whole texts along
     found = hits.groupBy("doc_id", "item_id", "b_key", width.alias("width")).agg(F.max("n_items").alias("n_items"), F.max(agreeing).alias("n_tokens"))

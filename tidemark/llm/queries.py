@@ -135,7 +135,7 @@ e AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, kind ORDER BY
 p AS (SELECT rid, kind, kind_no, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM e WHERE {keep}),
 c AS (SELECT *, count(*) FILTER (kind = 'stop') OVER (PARTITION BY rid ORDER BY s, kind_no, e ROWS UNBOUNDED PRECEDING) AS scope, kind IN ('assign', 'hex', 'random') AS secret FROM p),
 r AS (SELECT rid, kind, kind_no, s, e FROM c WHERE kind_no BETWEEN 0 AND 2
-  UNION ALL SELECT rid, kind, kind_no, s, e FROM c w WHERE kind_no > 2 AND EXISTS (SELECT 1 FROM c o WHERE o.kind_no >= 0 AND o.rid = w.rid AND o.scope = w.scope AND o.secret <> w.secret AND abs(o.s - w.s) <= 400)),
+  UNION ALL SELECT rid, kind, kind_no, s, e FROM c w WHERE kind_no > 2 AND EXISTS (SELECT 1 FROM c o WHERE o.kind_no >= 0 AND o.rid = w.rid AND o.scope = w.scope AND o.secret <> w.secret AND abs(o.s - w.s) <= 400 AND (o.e <= w.s OR w.e <= o.s))),
 g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind_no > 2) AS n_linked,
   string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) FILTER (kind_no <= 2) AS base, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, kind_no, e) AS spans FROM r GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
@@ -168,7 +168,7 @@ def _op8_sql(stretch: int = 13, share: float = 0.75) -> str:
     words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents),
-b AS (SELECT b, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {words} AS b FROM benchmark) WHERE len(b) > 0 GROUP BY b),
+b AS (SELECT b, min(item_id) AS item_id, count(*) AS n_items FROM (SELECT item_id, {words} AS b FROM benchmark) WHERE len(b) >= {decontam.LEAST} GROUP BY b),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= {decontam.SHORT}),
 bp AS (SELECT item_id, n_items, b, unnest(range(1, len(b) - 1)) AS p FROM b WHERE len(b) >= {decontam.SHORT}),
 h AS (SELECT doc_id, item_id, n_items, w, b, k, p, least(len(b), {stretch}) AS width, least(p - 1, k - 1, {stretch}) AS l, least(len(w) - k + 1, len(b) - p + 1, {2 * stretch}) AS r FROM dp JOIN bp ON w[k] = b[p] AND w[k + 1] = b[p + 1] AND w[k + 2] = b[p + 2]),

@@ -6,7 +6,8 @@ identifier or an endpoint, in one scope and within reach of each other. A scope
 
 The parts of all texts become rows, scopes are numbered by a window over a text's parts, and an interval join on
 (text, scope, bucket of the place) with a check of the distance finds the companions. Only texts that hold a weak
-candidate take part, and spans of one pattern cannot overlap, so a bucket holds a bounded number of parts.
+candidate take part, rows that repeat a text are one from the start, and spans of one pattern cannot overlap, so a bucket
+holds a bounded number of parts. Parts that overlap are one credential seen twice, and no companions.
 """
 
 from __future__ import annotations
@@ -67,22 +68,22 @@ def suspect(text: Column) -> Column:
 
 
 def linked(df: DataFrame, key: list[str], text: str = "text", reach: int = 400) -> DataFrame:
-    """One row per key with ``_extra``: the weak spans that have a companion within reach in their scope.
+    """One row per key with ``_extra``: the weak spans that have a companion within reach in their scope, beside them.
 
     ``key`` must fix the text: rows that share it count as one.
     """
     texts = df.filter(suspect(F.col(text))).select(*key, F.col(text).alias("_t"))
     t = F.col("_t")
     stops = F.transform(found(t, BREAK), lambda m: F.struct(m["start"].alias("start"), F.lit(-1).alias("kind_no"), F.lit(STOP).alias("kind"), m["end"].alias("end")))
-    parts = texts.select(*key, F.explode(F.concat(stops, *base_spans(t).values(), *weak_spans(t).values())).alias("p")).select(*key, "p.*")
+    parts = texts.select(*key, F.explode(F.concat(stops, *base_spans(t).values(), *weak_spans(t).values())).alias("p")).select(*key, "p.*").distinct()  # repeated rows, within tasks first
     scoped = Window.partitionBy(*key).orderBy("start", "kind_no", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.withColumn("scope", F.count(F.when(F.col("kind") == STOP, 1)).over(scoped)).filter(F.col("kind") != STOP)
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[F.col("kind")]
     parts = parts.withColumn("role", role).withColumn("bucket", F.floor(F.col("start") / reach))
     weak = parts.filter(F.col("kind_no") >= KINDS.index("account"))
     # each part is offered to its own bucket and to those beside it
-    offered = parts.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("scope").alias("o_scope"), F.col("role").alias("o_role"), F.col("start").alias("o_start"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("o_bucket"))
-    meets = (F.col("scope") == F.col("o_scope")) & (F.col("bucket") == F.col("o_bucket")) & (F.col("role") != F.col("o_role")) & (F.abs(F.col("start") - F.col("o_start")) <= reach)
+    offered = parts.select(*[F.col(k).alias(f"o_{k}") for k in key], F.col("scope").alias("o_scope"), F.col("role").alias("o_role"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("o_bucket"))
+    meets = (F.col("scope") == F.col("o_scope")) & (F.col("bucket") == F.col("o_bucket")) & (F.col("role") != F.col("o_role")) & (F.abs(F.col("start") - F.col("o_start")) <= reach) & ((F.col("end") <= F.col("o_start")) | (F.col("o_end") <= F.col("start")))
     for k in key:
         meets = meets & F.col(k).eqNullSafe(F.col(f"o_{k}"))
     kept = weak.join(offered, meets, "left_semi")
@@ -124,6 +125,8 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "<SECRET>", reach: int = 400) -> DataFrame:
     """``df`` with every reported span of ``text`` replaced by ``mark``; no row is dropped, a null text stays null.
 
+    Repeated rows are each rewritten, texts may be of any length, an empty table gives an empty one.
+
     Texts without weak candidates are rewritten where they lie; only the others are joined with their linked spans.
     """
     t = F.col(text)
