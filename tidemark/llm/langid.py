@@ -2,10 +2,11 @@
 
 Each language has a codeword of bits. For every bit a binary classifier, the naive Bayes log odds of hashed letter
 n-grams between the languages whose bit is 1 and those whose bit is 0, scores a text. Decoding is loss-weighted: each
-language weighs the loss of a bit by how often the bit's classifier was right on training texts of that language, and
-the codeword of the least weighted loss is taken. Training counts n-grams by language over all training rows and turns
-the counts of a feature into its weights in Spark, so the driver gets a table of fixed size; the bits' accuracies come
-from a bounded sample of the training rows.
+language weighs the loss of a bit by the mean margin by which the bit's classifier tells training texts of that language,
+and the codeword of the least weighted loss is taken. (How often a bit is right would not do: on texts whose n-grams it has
+counted it nearly always is, and all bits would weigh the same.) Training counts n-grams by language over all training
+rows and turns the counts of a feature into its weights in Spark, so the driver gets a table of fixed size; the margins
+come from a bounded sample of the training rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ UNDETERMINED = "und"
 #: Languages up to which all distinct splits of them make the code; more get RANDOM_BITS random ones, of which the best
 #: of DRAWS codes is taken; two codewords must then differ in a quarter of the bits.
 EXHAUSTIVE, RANDOM_BITS, DRAWS = 5, 63, 40
-#: Training rows (about, chosen by a hash of the text) from which the bits' accuracies are taken.
+#: Training rows (about, chosen by a hash of the text) from which the bits' margins are taken.
 CALIBRATION = 20_000
 #: Languages whose counts a task holds at once.
 HELD = 64
@@ -227,19 +228,19 @@ def _odds(n: np.ndarray, base: np.ndarray, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def trusted(right: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Weights by language and bit from how many of a language's ``seen`` texts each bit got right; rows sum to 1.
+def trusted(margin: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weights by language and bit from each bit's summed margin over a language's ``seen`` texts; rows sum to 1.
 
-    A bit that is right no more often than a coin weighs next to nothing.
+    A bit that tends to be wrong weighs next to nothing.
     """
-    better = np.maximum(2 * (right + 1) / (seen[:, None] + 2) - 1, 1e-3)
-    return better / better.sum(1, keepdims=True)
+    mean = np.maximum(margin / np.maximum(seen, 1)[:, None], 1e-3)
+    return mean / mean.sum(1, keepdims=True)
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: int = CALIBRATION) -> Model:
     """A model of all rows that have a text and a language. No such row: a model that knows no language.
 
-    N-grams are counted over all rows; only the bits' accuracies come from about ``calibration`` of them.
+    N-grams are counted over all rows; only the bits' margins come from about ``calibration`` of them.
     """
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = written(_counts(rows), "ngrams")
@@ -257,21 +258,21 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", calibration: in
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right, seen = np.zeros(code.shape), np.zeros(len(languages))
+        margin, seen = np.zeros(code.shape), np.zeros(len(languages))
         for batch in batches:
             for part in bites(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda r: len(r[1])):
                 of = np.array([number[k] for k, _ in part])
                 scores, has = shared.value.scores([t for _, t in part])
                 np.add.at(seen, of[has], 1)
-                np.add.at(right, of[has], (np.sign(scores) == code[of])[has])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(code.size), -1 - np.arange(len(seen))), pa.int32()), pa.array(np.append(right.ravel(), seen))], names=["at", "n"])
+                np.add.at(margin, of[has], (scores * code[of])[has])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(code.size), -1 - np.arange(len(seen))), pa.int32()), pa.array(np.append(margin.ravel(), seen))], names=["at", "n"])
 
     sample = rows if share == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    right_, seen_ = np.zeros(code.size), np.zeros(len(languages))
+    margin_, seen_ = np.zeros(code.size), np.zeros(len(languages))
     for r in sample.mapInArrow(judge, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        table_of, at = (right_, r["at"]) if r["at"] >= 0 else (seen_, -1 - r["at"])
+        table_of, at = (margin_, r["at"]) if r["at"] >= 0 else (seen_, -1 - r["at"])
         table_of[at] = r["n"]
-    return replace(model, trust=trusted(right_.reshape(code.shape), seen_))
+    return replace(model, trust=trusted(margin_.reshape(code.shape), seen_))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
