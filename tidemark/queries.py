@@ -239,11 +239,15 @@ def moving_average(spark, sf_dir):
     return _series_signal(spark, sf_dir, smoothing="moving_average").select("video_id", "i", six("smooth").alias("smooth"))
 
 
-@query("prominent_peaks", f"""WITH {_SERIES}, x AS (SELECT video_id, i, t, n, CASE WHEN stddev_pop(raw) OVER p <= 1e-12 THEN 0 ELSE (raw - avg(raw) OVER p) / stddev_pop(raw) OVER p END AS v FROM series WINDOW p AS (PARTITION BY video_id)),
-r AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, v ORDER BY i) AS g FROM x), runs AS (SELECT video_id, v, min(i) AS a, max(i) AS b, any_value(n) AS n FROM r GROUP BY video_id, v, g),
+#: Local maxima of the values v of x (video_id, i, t, n, v), and the least values on either side up to the next higher one.
+_MAXIMA = """r AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, v ORDER BY i) AS g FROM x), runs AS (SELECT video_id, v, min(i) AS a, max(i) AS b, any_value(n) AS n FROM r GROUP BY video_id, v, g),
 m AS (SELECT c.video_id, c.v, (c.a + c.b) // 2 AS i FROM runs c JOIN x l ON l.video_id = c.video_id AND l.i = c.a - 1 AND l.v < c.v JOIN x h ON h.video_id = c.video_id AND h.i = c.b + 1 AND h.v < c.v WHERE c.n >= 3),
 s AS (SELECT m.*, coalesce((SELECT max(i) FROM x WHERE x.video_id = m.video_id AND x.i < m.i AND x.v > m.v), -1) AS lo, coalesce((SELECT min(i) FROM x WHERE x.video_id = m.video_id AND x.i > m.i AND x.v > m.v), 1000000000) AS hi FROM m),
-q AS (SELECT s.video_id, s.i, s.v, min(x.v) FILTER (x.i <= s.i) AS l, min(x.v) FILTER (x.i >= s.i) AS h FROM s JOIN x ON x.video_id = s.video_id AND x.i > s.lo AND x.i < s.hi GROUP BY ALL)
+q AS (SELECT s.video_id, s.i, s.v, min(x.v) FILTER (x.i <= s.i) AS l, min(x.v) FILTER (x.i >= s.i) AS h FROM s JOIN x ON x.video_id = s.video_id AND x.i > s.lo AND x.i < s.hi GROUP BY ALL)"""
+
+
+@query("prominent_peaks", f"""WITH {_SERIES}, x AS (SELECT video_id, i, t, n, CASE WHEN stddev_pop(raw) OVER p <= 1e-12 THEN 0 ELSE (raw - avg(raw) OVER p) / stddev_pop(raw) OVER p END AS v FROM series WINDOW p AS (PARTITION BY video_id)),
+{_MAXIMA}
 SELECT video_id, i, round(v - greatest(l, h), 6) AS prominence FROM q WHERE v - greatest(l, h) >= 0.5""")
 def prominent_peaks(spark, sf_dir):
     """Peaks before spacing."""
@@ -252,16 +256,27 @@ def prominent_peaks(spark, sf_dir):
     return rows.filter("is_peak").select("video_id", "i", six("prominence").alias("prominence"))
 
 
-@query("boundary_signal")
+@query("boundary_signal", f"""WITH RECURSIVE {_SERIES}, o AS (SELECT s.video_id, s.i, s.n, w, unnest(range(-CAST(floor(4 * w + 0.5) AS BIGINT), CAST(floor(4 * w + 0.5) AS BIGINT) + 1)) AS k FROM series s JOIN steps USING (video_id)),
+g AS (SELECT o.video_id, o.i, any_value(o.n) AS n, CASE WHEN any_value(o.n) < 3 THEN any_value(z.raw) FILTER (k = 0) ELSE sum(z.raw * exp(-0.5 * (k / w) * (k / w))) / sum(exp(-0.5 * (k / w) * (k / w))) END AS y FROM o JOIN series z ON z.video_id = o.video_id AND z.i = least(greatest(o.i + k, 0), o.n - 1) GROUP BY o.video_id, o.i),
+x AS (SELECT g.video_id, g.i, s.t, g.n, CASE WHEN stddev_pop(y) OVER p <= 1e-12 THEN 0 ELSE (y - avg(y) OVER p) / stddev_pop(y) OVER p END AS v FROM g JOIN series s ON s.video_id = g.video_id AND s.i = g.i WINDOW p AS (PARTITION BY g.video_id)),
+{_MAXIMA},
+c AS (SELECT q.video_id, x.t, row_number() OVER (PARTITION BY q.video_id ORDER BY q.v - greatest(l, h) DESC, q.i DESC) AS k FROM q JOIN x ON x.video_id = q.video_id AND x.i = q.i WHERE q.v - greatest(l, h) >= 0.5),
+kept AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS ts FROM x UNION ALL
+  SELECT c.video_id, c.k, CASE WHEN len(list_filter(ts, lambda y: abs(y - c.t) < {2 * DAY})) = 0 THEN list_append(ts, c.t) ELSE ts END FROM kept JOIN c ON c.video_id = kept.video_id AND c.k = kept.k + 1),
+chosen AS (SELECT video_id, arg_max(ts, k) AS ts FROM kept GROUP BY video_id)
+SELECT video_id, CAST(i AS INTEGER) AS i, round(t, 6) AS t, round(v, 6) AS norm, list_contains(ts, t) AS is_peak FROM x JOIN chosen USING (video_id)""")
 def boundary_signal(spark, sf_dir):
-    """The whole series job; the greedy choice has no plain SQL and is held against brute force in the tests."""
+    """The whole series job."""
     return _series_signal(spark, sf_dir).select("video_id", "i", six("t").alias("t"), six("norm").alias("norm"), "is_peak")
 
 
-@query("top_apart")
+@query("top_apart", f"""WITH {_SAMPLES}, one AS (SELECT video_id, id, t, raw FROM samples QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY raw DESC, t DESC) = 1),
+two AS (SELECT s.video_id, s.id, s.t, s.raw FROM samples s JOIN one o ON o.video_id = s.video_id AND abs(s.t - o.t) >= {2 * DAY} QUALIFY row_number() OVER (PARTITION BY s.video_id ORDER BY s.raw DESC, s.t DESC) = 1),
+three AS (SELECT s.video_id, s.id, s.t, s.raw FROM samples s JOIN one o ON o.video_id = s.video_id AND abs(s.t - o.t) >= {2 * DAY} JOIN two w ON w.video_id = s.video_id AND abs(s.t - w.t) >= {2 * DAY} QUALIFY row_number() OVER (PARTITION BY s.video_id ORDER BY s.raw DESC, s.t DESC) = 1)
+SELECT video_id, id, round(t, 6) AS t, raw FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)""")
 def top_apart(spark, sf_dir):
     """The three largest values of a series that lie two days apart."""
-    return signals.top_apart(samples(spark, sf_dir).select("video_id", "id", "t", "raw"), ["video_id"], "t", "raw", 3, 2 * DAY)
+    return signals.top_apart(samples(spark, sf_dir).select("video_id", "id", "t", "raw"), ["video_id"], "t", "raw", 3, 2 * DAY).withColumn("t", six("t"))
 
 
 # --- joins and events ------------------------------------------------------------------------------------------------
@@ -650,9 +665,20 @@ def allocation(spark, sf_dir):
     return sampling.allocate(catalogue(spark, sf_dir).groupBy(F.col("domain").alias("stratum")).agg(F.count("*").alias("size")), 60, 3)
 
 
-@query("stratified_sample")
+_QUOTA = """s AS (SELECT p_type AS domain, count(*) AS size FROM part GROUP BY 1), t AS (SELECT sum(size) - 3 * count(*) AS cap, 60 - 3 * count(*) AS lft FROM s),
+b AS (SELECT domain, size, (size - 3) * lft // cap AS base, (size - 3) * lft % cap AS rest, lft FROM s, t), r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, size DESC, domain) AS rn, lft - sum(base) OVER () AS more FROM b),
+quotas AS (SELECT domain, CAST(3 + base + (rn <= more)::INT AS BIGINT) AS quota FROM r)"""
+
+
+@query("stratified_sample", f"""WITH {_QUOTA}, cells AS (SELECT p_type AS domain, p_brand AS sub, count(*) AS size FROM part GROUP BY ALL),
+f AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY {_H.format("'7'", "sub")}, sub) <= quota)::BIGINT AS one FROM cells JOIN quotas USING (domain)),
+l AS (SELECT *, quota - sum(one) OVER (PARTITION BY domain) AS lft, sum(size - one) OVER (PARTITION BY domain) AS room FROM f),
+d AS (SELECT *, CASE WHEN room > 0 THEN (size - one) * lft // greatest(room, 1) ELSE 0 END AS base, CASE WHEN room > 0 THEN (size - one) * lft % greatest(room, 1) ELSE 0 END AS rest FROM l),
+takes AS (SELECT domain, sub, one + base + (row_number() OVER (PARTITION BY domain ORDER BY rest DESC, size - one DESC, sub) <= lft - sum(base) OVER (PARTITION BY domain))::BIGINT AS take FROM d),
+p AS (SELECT p_partkey AS id, p_type AS domain, p_brand AS sub, p_size AS mb, p_name AS name, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY {_H.format("'7'", "p_partkey")}, p_partkey) AS rn FROM part)
+SELECT id, domain, sub, mb, name FROM p JOIN takes USING (domain, sub) WHERE rn <= take""")
 def stratified_sample(spark, sf_dir):
-    """K2: its properties (quotas, cover, repeatability) are tested."""
+    """K2; its properties (quotas, cover, repeatability) are tested too."""
     return sampling.stratified(catalogue(spark, sf_dir), "domain", "sub", "id", 60, 3, 7)
 
 
@@ -720,11 +746,14 @@ def uncached_texts(spark, sf_dir):
     return encode.missing(rows, rows.filter("role = 'system'").distinct(), "conv_id").select("conv_id", "turn")
 
 
-@query("encoded_texts")
+@query("encoded_texts", """WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM conversations),
+h AS (SELECT conv_id, turn, ('0x' || substr(md5(w), 15, 2))::INT % 32 AS place, CASE WHEN substr(md5(w), 1, 1) >= '8' THEN 1 ELSE -1 END AS one FROM w),
+s AS (SELECT conv_id, turn, place, sum(one) AS x FROM h GROUP BY ALL)
+SELECT conv_id, turn, CAST(place AS INTEGER) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)), 5) AS x FROM s WHERE x <> 0""")
 def encoded_texts(spark, sf_dir):
-    """Texts encoded by the hashing stand-in; held against the encoder itself in the tests."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return encode.encode(rows, "text", encode.HashingEncoder).select("conv_id", "turn", "emb")
+    """Texts encoded by the hashing stand-in, the places of their vectors that are not 0."""
+    rows = encode.encode(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", encode.HashingEncoder)
+    return rows.select("conv_id", "turn", F.posexplode("emb").alias("place", "x")).filter("x <> 0").withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
