@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, shingles
 
@@ -74,6 +75,20 @@ def test_edited(spark, ranges):
     assert got == sorted(brute(rows), key=repr)
 
 
+@pytest.mark.parametrize("ranges", [4, 30])
+def test_rows_of_one_id_lie_in_many_ranges(spark, ranges):
+    """Null ids and an id that most rows have are dealt to several tasks, and the order stays that of id and text."""
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join(str(rng.choice(list("abcdefgh"))) * int(rng.integers(1, 4)) for _ in range(rng.integers(0, 12)))
+    rows = [(None, text()) for _ in range(150)] + [(5, text()) for _ in range(100)] + [(int(i), text()) for i in range(40)] + [(5, "the same")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    made = minhash.compare_edited(df, ranges=ranges)
+    assert sorted((tuple(r) for r in made.collect()), key=repr) == sorted(brute(rows), key=repr)
+    many = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat(md5(cast(id AS string)), ' a b c d e') AS text")
+    tasks = minhash.compare_edited(many).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 2500
+
+
 def test_small_tables(spark):
     df = spark.createDataFrame([(1, "only one row here it is")], "doc_id long, text string")
     assert [tuple(r) for r in minhash.compare_edited(df).collect()] == brute([(1, "only one row here it is")])

@@ -28,6 +28,8 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 _LOWEST = -(1 << 63)
+#: Bytes of a text by which the rows of one id are dealt to ranges.
+LEAD = 7
 
 
 def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,30 +78,48 @@ def compare_edited(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     empty, and two texts without words are alike (1).
 
     The texts are dealt to ranges of doc_id, whose bounds (at most ``ranges`` numbers, from approximate quantiles)
-    are all that the driver sees. Each range also gets the first row of the next one, so a task reads its rows in
-    order and needs no other.
+    are all that the driver sees. An id that fills several ranges, such as a null one, is dealt to as many by how its
+    texts begin (LEAD bytes; texts that agree in these stay together). Each range also gets the first row of the next one,
+    so a task reads its rows in order and needs no other.
     """
     spark = df.sparkSession
     if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
         raise ValueError(f"{doc_id} must be of a whole-number type, by which rows are put in order")
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lead = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, LEAD)), 2 * LEAD, "0"), 16, 10).cast("long")
+    docs = docs.withColumns({"lead": lead, "h": F.xxhash64("text")})
     bounds = docs.agg(F.percentile_approx("at", [i / ranges for i in range(ranges)], 4 * ranges)).first()[0]
-    cuts = np.unique(np.array(bounds or [], np.int64))
+    cuts, many = np.unique(np.array(bounds or [], np.int64), return_counts=True)
+    inner: dict[int, np.ndarray] = {}  # of ids that are the bound of several ranges, the bounds within
+    if (many > 1).any():
+        held = docs.filter(F.col("at").isin(cuts[many > 1].tolist())).groupBy("at").agg(F.percentile_approx("lead", [i / ranges for i in range(1, ranges)], 4 * ranges).alias("b"))
+        n_of = dict(zip(cuts.tolist(), many.tolist(), strict=True))
+        inner = {r["at"]: np.unique(np.array(r["b"], np.int64)[np.linspace(0, ranges - 2, n_of[r["at"]] - 1).round().astype(int)]) for r in held.collect()}
+    starts = np.append(0, np.cumsum([1 + len(inner.get(c, ())) for c in cuts.tolist()])).astype(np.int64)
+
+    def range_number(at: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(cuts, at, side="left")
+        out = starts[place]
+        for c, own in inner.items():
+            hot = at == c
+            out[hot] += np.searchsorted(own, lead[hot], side="right")
+        return out
 
     @F.pandas_udf("int")
-    def range_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(np.int64), side="left").astype(np.int32))
+    def range_of(at: pd.Series, lead: pd.Series) -> pd.Series:
+        return pd.Series(range_number(at.to_numpy(np.int64), lead.to_numpy(np.int64)).astype(np.int32))
 
-    firsts = sorted(tuple(r) for r in docs.select("at", range_of("at").alias("r")).groupBy("r").agg(F.min("at")).collect())
-    guest_of = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}  # [-1] is the last range
+    first = F.min_by(F.struct("at", "h"), F.struct("at", "text"))
+    firsts = sorted((r["r"], r["k"]["at"], r["k"]["h"]) for r in docs.withColumn("r", range_of("at", "lead")).groupBy("r").agg(first.alias("k")).collect())
+    guest_of = {(at, h): firsts[i - 1][0] for i, (_, at, h) in enumerate(firsts)}  # [-1] is the last range
 
     @F.pandas_udf("array<int>")
-    def places(at: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, at.to_numpy(np.int64), side="left")
-        return pd.Series([[2 * r, 2 * guest_of[a] + 1] if a in guest_of else [2 * r] for a, r in zip(at.tolist(), own.tolist(), strict=True)])
+    def places(at: pd.Series, lead: pd.Series, h: pd.Series) -> pd.Series:
+        own = range_number(at.to_numpy(np.int64), lead.to_numpy(np.int64)).tolist()
+        return pd.Series([[2 * r, 2 * guest_of[k] + 1] if k in guest_of else [2 * r] for k, r in zip(zip(at.tolist(), h.tolist(), strict=True), own, strict=True)])
 
-    dealt = docs.select("doc_id", "at", "text", F.explode(places("at")).alias("place"))
+    dealt = docs.select("doc_id", "at", "text", F.explode(places("at", "lead", "h")).alias("place"))
     dealt = dealt.select("doc_id", "at", "text", F.shiftright("place", 1).alias("range"), (F.col("place") % 2 == 1).alias("guest"))
     ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "guest", "at", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
