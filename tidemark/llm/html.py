@@ -237,7 +237,8 @@ def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     """page_id, url, ``text`` and n_chars (code points) of every page.
 
     Blocks have their character references decoded and white space (line-break elements too) made one space, and are
-    joined by two line feeds. A null or empty page gives an empty text. Repeated rows stay, other columns are not read.
+    joined by two line feeds. A null or empty page gives an empty text. Repeated rows stay, other columns are not read,
+    an empty table gives an empty one. A page may be of any length and depth: time and memory are linear in it.
     """
     rows = df.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), html)
 
