@@ -13,7 +13,7 @@ from tidemark.config import BoundaryConfig
 from tidemark.functions import lexicon, options, vectors
 from tidemark.operators import encode, events, evidence, intervals, matching, sampling, signals, stats
 from tidemark.plans import jobs
-from tidemark.sources import files
+from tidemark.sources import archives, files, listing
 from tidemark.sources.shared import shared_folder
 
 DAY = 86400.0
@@ -857,6 +857,16 @@ def vector_tables(spark, sf_dir):
     return files.read_vectors(spark, path).select("video_id", "frame_idx", "t", six(vectors.dot(F.col("emb"), F.col("emb"))).alias("length"))
 
 
+@query("archived_vectors", f"WITH {_FRAMES} SELECT CAST(video_id AS VARCHAR) AS video_id, frame_idx, t, round({_dot('emb', 'emb')}, 6) AS length FROM frames")
+def archived_vectors(spark, sf_dir):
+    """A numpy archive for each video, found again by listing their folder."""
+    root = shared_folder(spark, "archives")
+    archives.write_archives(frames(spark, sf_dir).select("video_id", "t", "emb"), root, "float32").write.format("noop").mode("overwrite").save()
+    there = listing.list_files(spark, root).filter("size > 0").select(F.regexp_extract("path", r"([^/]+)[.]npz$", 1).alias("video_id"), "path")
+    rows, _ = archives.read_archives(there)
+    return rows.select("video_id", "frame_idx", "t", six(vectors.dot(F.col("emb"), F.col("emb"))).alias("length"))
+
+
 @query("report", _EVENTS + " SELECT video_id, modality, round(t, 6) AS t, gap IS NULL AS alone, round(gap, 6) AS gap FROM ev")
 def report(spark, sf_dir):
     """The event table as CSV, where no other peak is an infinite distance."""
