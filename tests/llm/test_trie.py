@@ -89,3 +89,12 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert trie.prefix_trie(df).columns == COLUMNS
     assert trie.prefix_trie(df).count() == 0
+
+
+def test_only_turnless_conversations(spark):
+    """Without a base, a conversation no longer than what it takes from there has no turn; the root is then the only node."""
+    c = next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4 == 3)
+    rows = [(c, 0, "user", "a"), (c, 1, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = plain(trie.prefix_trie(df))
+    assert got == brute(rows) and len(got) == 1 and got[0][3:6] == (1, 0, 1)
