@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.sources.shared import written
 
 SELECTORS = ["Uniform", "Relevance", "Variance", "Blend"]
 
@@ -118,8 +119,8 @@ def variant_nulls(questions: DataFrame, frames: DataFrame, variants: list[str],
     return told.groupBy("question_id").agg(*[one(c, v) for v in variants for c in ("z", "pct")])
 
 
-#: Questions of a block, and frames of a deal, of the swapped null.
-BLOCK, DEAL = 256, 16_384
+#: Questions of a block of the swapped null.
+BLOCK = 256
 
 
 def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block: int = BLOCK, options: str = "options") -> DataFrame:
@@ -132,7 +133,8 @@ def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block:
     ``questions`` has question_id, video_id and ``options`` (arrays of equal size). An option that is null counts as a
     row of no question.
     """
-    per = null_values(questions.select("question_id", "video_id", F.col(options).alias("options")), frames, top, block)
+    # read three times below, so the products are made once and their means written
+    per = written(null_values(questions.select("question_id", "video_id", F.col(options).alias("options")), frames, top, block), "null")
     own = questions.select("question_id", F.col("video_id").alias("own"))
     per = per.join(own, "question_id").withColumn("mine", F.col("video_id") == F.col("own"))
     real = per.filter("mine").groupBy("question_id").agg(F.max("x").alias("real"))
@@ -148,7 +150,7 @@ def null_values(questions: DataFrame, frames: DataFrame, top: int, block: int) -
     spark = questions.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-questions.count() // block))
-    deals = max(2 * partitions, -(-frames.count() // DEAL))
+    deals = 2 * partitions  # frames stream past, so a deal may be of any size
     asks = questions.filter("options IS NOT NULL").select(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.lit(0).alias("side"), "question_id", F.col("options").cast("array<array<double>>").alias("options"))
     # frames of a video lie in as many deals as it has many
     rows = frames.select("video_id", F.col("emb").cast("array<double>").alias("emb")).join(centroids(frames), "video_id")

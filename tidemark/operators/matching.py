@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a video that one window sorts; what lies before and after is carried in as one row each.
-SPAN = 86_400.0
+#: Seconds of a video (some twelve days) that one window sorts; what lies before and after is carried in as one row each.
+SPAN = 1_000_000.0
 
 
 def closest(rows: DataFrame, kinds: dict[str, Column], carry: list[str], span: float = SPAN) -> DataFrame:
