@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -33,8 +35,44 @@ def test_shingles_are_those_of_the_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def plain_words(t):
+    """Letter by letter: a letter of a script without spaces is a word, others go on while marks, letters and digits follow."""
+    out, on = [], False
+    for c in (t or "").lower():
+        alone = any(low <= ord(c) <= high for low, high in shingles._SPACELESS) or ord(c) >= shingles._HAN
+        if unicodedata.category(c)[0] not in "LMN" and ord(c) < shingles._HAN:
+            on = False
+        elif alone or not on:
+            out.append(c)
+            on = not alone
+        else:
+            out[-1] += c
+    return out
+
+
+MARKED = ["\u201equoted\u201c \u2013 dash\u2014dash\u2026", "a\u00a0b\u3000c", "\u4e2d\u6587\uff0c\u6587\u672c\u3002", "abc\u4e2d12\u6587x", "\u3042\u30a2\u30fc\u0e01\u0e33", "e\u0301te\u0301 \u0928\u092e\u0938\u094d\u0924\u0947", "\U00020000\U0001f600\U00010400z", "\u4e2d", "\u00e9", "\u2014", "x\u4e2d", "\ud55c\uad6d\uc5b4 \u0440\u0443\u0441\u0441\u043a\u0438\u0439-\u044f\u0437\u044b\u043a", "\u4e2d \u6587 a"]
+
+
+def test_words_of_all_scripts():
+    rng = random.Random(3)
+    letters = list("".join(MARKED)) + list("ab1 .") * 3
+    for text in MARKED + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(600)]:
+        raw = text.lower().encode()
+        starts, ends = shingles._bounds(np.frombuffer(raw, np.uint8))
+        assert [raw[a:b].decode() for a, b in zip(starts, ends, strict=True)] == plain_words(text), text
+
+
+def test_copies_that_differ_in_marks_or_in_one_letter():
+    likeness = minhash.ShingleSets()
+    near = lambda a, b: likeness.alike(likeness.vector(a), likeness.vector(b))
+    text = [f"w{i}" for i in range(60)]
+    assert near(" ".join(text), " \u2013 ".join(text)) == near(" ".join(text), "\u00a0".join(text)) == 1.0
+    han = "".join(chr(0x4E00 + 7 * i % 5000) for i in range(342))
+    assert near(han, han[:170] + "\u9fa5" + han[171:]) > 0.9
+
+
 def test_long_text_in_parts(monkeypatch):
-    text = " ".join(f"w{i % 977}" for i in range(5000)) + " " + "q" * 3000 + " end"
+    text = " ".join(f"w{i % 977}" for i in range(5000)) + " " + "q" * 3000 + " end" + "".join(chr(0x4E00 + i % 3000) + "\u3002" * (i % 40 == 0) for i in range(4000))
     whole = shingles.shingle_hashes([text, "a b c d e f", text])
     monkeypatch.setattr(shingles, "BITE", 700)
     parts = shingles.shingle_hashes([text, "a b c d e f", text])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,8 +16,12 @@ CELLS = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-#: Letters and digits of ASCII, and all bytes of other characters, make words.
-_IS_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+_IS_WORD = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: Blocks of scripts that put no space between words, first and last code point: each of their letters is a word.
+_SPACELESS = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]
+#: Code points from here on are Han letters.
+_HAN = 0x20000
+_kinds: list[np.ndarray] = []
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -40,24 +45,65 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word: a polynomial over its bytes, taken from running sums."""
-    b = np.frombuffer(raw, np.uint8)
+def _kind(code: np.ndarray) -> np.ndarray:
+    """By code point: 0 parts words, 1 belongs to one, 2 is a word of its own."""
+    if not _kinds:
+        # a mark belongs to the letter it stands on
+        table = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(_HAN)] + [True], np.int8)
+        for low, high in _SPACELESS:
+            table[low : high + 1] *= 2
+        table[_HAN] = 2
+        _kinds.append(table)
+    return _kinds[0][np.minimum(code, _HAN)]
+
+
+def _bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes start and end."""
     inside = np.zeros(len(b) + 2, np.int8)
     inside[1:-1] = _IS_WORD[b]
+    lead = np.flatnonzero(b >= 0xC0)
+    alone = lead[:0]
+    if len(lead):
+        # code points from the bytes; what a shorter one lacks is shifted out
+        size = 2 + (b[lead] >= 0xE0) + (b[lead] >= 0xF0)
+        code = b[lead].astype(np.int64) & (0x7F >> size)
+        for k in range(1, 4):
+            code = np.where(k < size, code << 6 | b[np.minimum(lead + k, len(b) - 1)] & 0x3F, code)
+        kind = _kind(code)
+        for k in range(4):
+            at = lead[k < size] + k + 1
+            inside[at] = kind[k < size] > 0
+        alone, past = lead[kind == 2], (lead + size)[kind == 2]
     edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(alone):
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = edge == 1, edge == -1
+    starts[alone] = ends[past] = True
+    # a word that goes on before or after a letter of its own ends or starts there
+    ends[alone] |= inside[alone] > 0
+    starts[past] |= inside[past + 1] > 0
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word: a polynomial over its bytes, taken from running sums."""
+    b = np.frombuffer(raw, np.uint8)
+    starts, ends = _bounds(b)
     up, down = _power(max(len(b), BITE))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
+#: Where a long text may be cut: blanks, and the comma and full stop of texts without blanks.
+_BREAKS = [b" ", b"\n", "\u3001".encode(), "\u3002".encode(), "\uff0c".encode()]
+
+
 def _cut(raw: bytes) -> Iterator[bytes]:
     while len(raw) > BITE:
-        at = max(raw.rfind(b" ", 0, BITE), raw.rfind(b"\n", 0, BITE))
+        at = max(raw.rfind(x, 0, BITE) for x in _BREAKS)
         if at <= 0:
-            at = min((i for i in (raw.find(b" ", BITE), raw.find(b"\n", BITE)) if i > 0), default=len(raw))
+            at = min((i for i in (raw.find(x, BITE) for x in _BREAKS) if i > 0), default=len(raw))
         yield raw[:at]
         raw = raw[at:]
     yield raw
@@ -85,7 +131,8 @@ def _shingled(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def shingle_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' shingles, and where each text's begin (one more entry at the end).
 
-    Words are runs of letters and digits, in lower case. A text without words has no shingle; repeated shingles stay.
+    Words are runs of letters, their marks and digits, in lower case; a letter of a script without spaces is one by itself.
+    A text without words has no shingle; repeated shingles stay.
     """
     raws = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     words: list[np.ndarray] = []
