@@ -46,3 +46,31 @@ def test_one_bucket_against_all_pairs(spark, monkeypatch, op, size):
     want = test_neardup.brute(rows, how)
     assert len({c for _, c, _ in want}) == 27
     assert got == want
+
+
+@pytest.mark.parametrize("size", [7, 40])
+def test_texts_of_many_sizes_in_one_bucket(spark, monkeypatch, size):
+    monkeypatch.setattr(neardup, "GROUP", size)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(2000)]
+    # each is a beginning of the longest, and near those of up to a quarter more words
+    kept = [base[: int(2000 * 0.97**i)] for i in range(80)] + [base[: 40 + i] for i in range(0, 12, 3)]
+    kept += [[rng.choice(vocab) for _ in range(rng.randrange(20, 1500))] for _ in range(60)]
+    rows = list(enumerate(" ".join(words) for words in kept))
+    how = minhash.ShingleSets()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [(i, how.node(t, v), [7], float(len(v))) for i, t in rows for v in [how.vector(t)]]
+    keys = spark.createDataFrame(keys, "doc_id long, node binary, bands array<bigint>, size double")
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in neardup.classes(docs, keys, how).collect()), key=repr)
+    assert got == test_neardup.brute(rows, how)
+
+
+def test_levels_of_near_sizes(spark):
+    rng = random.Random(9)
+    for least in (0.5, 0.8, 0.999, 1.0):
+        sizes = [rng.uniform(0.5, 3e6) for _ in range(3000)]
+        df = spark.createDataFrame([(x, x * least, x * least * 0.7) for x in sizes], "a double, b double, c double")
+        rows = df.select(*[neardup.level(c, least).alias(c) for c in "abc"]).collect()
+        assert all(0 <= r.a - r.b <= 1 for r in rows)
+        assert any(r.a - r.c > 1 for r in rows) or least == 0.5

@@ -184,7 +184,7 @@ def band_keys(samples_: np.ndarray) -> np.ndarray:
 
 
 def keys(docs: DataFrame, how: WeightedShingles) -> DataFrame:
-    """doc_id, node and bands of every row; a text without shingles has no band."""
+    """doc_id, node, bands and size (the sum of its weights) of every row; a text without shingles has no band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +197,10 @@ def keys(docs: DataFrame, how: WeightedShingles) -> DataFrame:
                 if some:
                     for i, row in zip(some, band_keys(samples([(sets[i][0], sets[i][2]) for i in some])), strict=True):
                         bands[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([v[2].sum(dtype=np.float64) for v in sets], pa.float64())], names=["doc_id", "node", "bands", "size"])
                 at += len(part)
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())))
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())).add("size", "double"))
 
 
 def _by_row(df: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:

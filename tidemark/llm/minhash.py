@@ -194,10 +194,11 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64))
                 values, first = shingle_hashes(part)
-                nodes = [how.node(t or "", np.unique(values[a:b])) for t, a, b in zip(part, first[:-1], first[1:], strict=True)]
+                sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                nodes = [how.node(t or "", s) for t, s in zip(part, sets, strict=True)]
                 bands = [k if x else [] for k, x in zip(key.view(np.int64), some, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(map(len, sets), pa.float64())], names=["doc_id", "node", "bands", "size"])
                 at += len(part)
 
-    keys = docs.mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())))
+    keys = docs.mapInArrow(run, docs.select("doc_id").schema.add("node", "binary").add("bands", T.ArrayType(T.LongType())).add("size", "double"))
     return neardup.classes(docs, keys, how, least)

@@ -3,12 +3,14 @@
 Equal texts are one node from the start, so copies never meet in pairs. Nodes that share a band key form a bucket. Each
 node of a bucket is compared with the bucket's first and last node; all others are compared with each other in parts of
 bounded size, every two of which meet, unless they are of one component by then or a bound shows that they cannot be
-near. Verified links make a graph, whose components come from least labels with pointer jumping. All that grows stays
+near: the similarity of two texts is at most the share of their sizes, so a bucket falls into levels of size, and parts
+meet those of their own and the next level only. Verified links make a graph, whose components come from least labels with pointer jumping. All that grows stays
 in Spark; intermediate tables are written to the shared folder, which also cuts the lineage.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any, Protocol
 
@@ -150,30 +152,37 @@ def _within(rows: DataFrame, turn: int) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component, units) dealt to parts, and every two parts that are not of one component put together."""
-    of = rows.groupBy("bucket", "component").agg(F.sum("units").alias("m"))
+    """Rows (bucket, node, component, level, units) dealt to parts of one level, and every two parts of the same or the next level that are not of one component put together."""
+    of = rows.groupBy("bucket", "level", "component").agg(F.sum("units").alias("m"))
     # a large component has parts of its own, small ones share theirs
     whole = F.when(F.col("m") >= GROUP / 2, F.col("component"))
     of = of.withColumn("whole", whole).withColumn("shared", F.coalesce("whole", F.lit(b"")))
-    sizes = of.groupBy("bucket", "shared").agg(F.ceil(F.sum("m") / GROUP).alias("k"))
-    of = of.join(sizes, ["bucket", "shared"]).select("bucket", "component", "whole", "shared", "k")
-    part = F.xxhash64("shared", F.pmod(F.xxhash64("node"), F.col("k")))
-    dealt = written(rows.join(of, ["bucket", "component"]).select("bucket", "node", "component", "whole", part.alias("part")), "dealt")
-    parts = written(dealt.groupBy("bucket", "part").agg(F.first("whole").alias("whole")), "parts")
-    one, two = parts.toDF("bucket", "i", "whole_i"), parts.toDF("bucket", "j", "whole_j")
-    met = one.join(two, "bucket").filter("i <= j AND (whole_i IS NULL OR whole_j IS NULL OR whole_i <> whole_j)").select("bucket", "i", "j")
+    sizes = of.groupBy("bucket", "level", "shared").agg(F.ceil(F.sum("m") / GROUP).alias("k"))
+    of = of.join(sizes, ["bucket", "level", "shared"]).select("bucket", "level", "component", "whole", "shared", "k")
+    part = F.xxhash64("level", "shared", F.pmod(F.xxhash64("node"), F.col("k")))
+    dealt = written(rows.join(of, ["bucket", "level", "component"]).select("bucket", "level", "node", "component", "whole", part.alias("part")), "dealt")
+    parts = written(dealt.groupBy("bucket", "level", "part").agg(F.first("whole").alias("whole")), "parts")
+    one, two = parts.toDF("bucket", "level", "i", "whole_i"), parts.toDF("bucket", "level", "j", "whole_j")
+    two = two.withColumn("level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    met = one.join(two, ["bucket", "level"]).filter("i <= j AND (whole_i IS NULL OR whole_j IS NULL OR whole_i <> whole_j)").select("bucket", "i", "j")
     sides = met.select("bucket", "i", "j", F.col("i").alias("part"), F.lit(False).alias("second"))
     sides = sides.union(met.filter("i < j").select("bucket", "i", "j", F.col("j").alias("part"), F.lit(True).alias("second")))
     return dealt.join(sides, ["bucket", "part"]).select("bucket", "i", "j", "second", "node", "component")
 
 
+def level(size: str, least: float) -> Column:
+    """Levels of sizes such that two sizes whose share is ``least`` or more are at most one level apart."""
+    step = -math.log(min(max(least, 1e-3), 1 - 1e-6) * (1 - 1e-6))  # a little more, for rounding
+    return F.floor(F.log(F.greatest(F.col(size), F.lit(1e-9))) / F.lit(step))
+
+
 def _unsettled(inner: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, n, node, component, units) of the buckets whose nodes are of more than one component; equal buckets once."""
+    """Rows (bucket, n, node, component, level, units) of the buckets whose nodes are of more than one component; equal buckets once."""
     rows = inner.join(labels, "node")
     total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
     buckets = rows.groupBy("bucket").agg(F.sum("units").alias("n"), total.alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
     buckets = buckets.filter("low <> high").groupBy("n", "total", "low", "high").agg(F.min("bucket").alias("bucket"))
-    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component", "units"), "unsettled")
+    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component", "level", "units"), "unsettled")
 
 
 def _merged(labels: DataFrame, made: DataFrame) -> DataFrame:
@@ -186,12 +195,14 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
     """Verified links (a, b, near) between different nodes, and the component (node, component) of all that share a bucket.
 
     Of two nodes of a bucket that end in different components each was compared with the other, or could not be near.
-    ``docs`` has doc_id and text, ``keys`` doc_id, node and bands (an array of band keys).
+    ``docs`` has doc_id and text, ``keys`` doc_id, node and bands (an array of band keys), and, where the likeness is
+    at most the lesser size by the greater, size.
     """
     ids = F.struct(F.col("doc_id").isNull(), "doc_id")
-    nodes = keys.groupBy("node").agg(F.min_by("bands", ids).alias("bands"), F.min_by("doc_id", ids).alias("doc_id"))
-    spread = nodes.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
-    spread = spread.select("node", "doc_id", F.xxhash64("band", "key").alias("bucket"))
+    size = F.max("size") if "size" in keys.columns else F.lit(1.0)
+    nodes = keys.groupBy("node").agg(F.min_by("bands", ids).alias("bands"), F.min_by("doc_id", ids).alias("doc_id"), size.alias("size"))
+    spread = nodes.select("node", "doc_id", level("size", least).alias("level"), F.posexplode("bands").alias("band", "key"))
+    spread = spread.select("node", "doc_id", "level", F.xxhash64("band", "key").alias("bucket"))
     ends = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1")
     met = written(spread.join(ends, "bucket"), "buckets")
 
@@ -218,7 +229,7 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
 
     # the first and the last met all others; those between meet each other unless they are of one component
     sizes = texts.select("node", "units")
-    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node").join(sizes, "node"), "inner")
+    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node", "level").join(sizes, "node"), "inner")
     for turn in range(DEALS + 1):
         rows = _unsettled(inner, labels)
         largest = rows.agg(F.max("n")).first()[0]
@@ -228,7 +239,7 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
         found, labels = found.union(made.select("a", "b", "near")), _merged(labels, made)
         if largest <= GROUP:
             break
-        inner = rows.filter(F.col("n") > GROUP).select("bucket", "node", "units")  # the others are done
+        inner = rows.filter(F.col("n") > GROUP).select("bucket", "node", "level", "units")  # the others are done
     return found.groupBy("a", "b").agg(F.max("near").alias("near")), labels
 
 
