@@ -24,8 +24,8 @@ from tidemark.llm import neardup
 from tidemark.llm.shared import sent_if_small, written
 from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
-#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9992 at 0.8.
-BANDS, ROWS = 10, 3
+#: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8, 0.11 at 0.3, 0.0014 at 0.1.
+BANDS, ROWS = 14, 4
 #: Document frequencies are kept in DEPTH rows of 2 ** CELL_BITS cells, sent between tasks in pieces of CHUNK cells.
 CELL_BITS, DEPTH, CHUNK = 18, 3, 4096
 #: The share of documents below which shingles count as equally rare, and how much more such a shingle weighs than one
