@@ -124,3 +124,21 @@ def test_long_text(spark):
     item = " ".join(f"q{i}" for i in range(20))
     df = spark.createDataFrame([(1, "a b " * 200_000 + item + " c d" * 100_000)], "doc_id long, text string")
     assert [tuple(r) for r in decontam.overlaps(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 1, 13)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_a_long_text_that_repeats_a_passage(spark, rows):
+    """9,000 tokens, all of which are hits: they would not fit in memory if each took the whole text along."""
+    item = [f"i{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(item * 225)), (2, " ".join(item[:12])), (3, "z " * 505 + " ".join(item) + " y" * 40)], "doc_id long, text string")
+    got = decontam.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), broadcast_rows=rows)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7, 1, 13), (3, 7, 1, 13)]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_pieces_of_any_size_give_the_same_rows(spark, rows, monkeypatch):
+    docs, items = cases()
+    for size in (1, 7):
+        monkeypatch.setattr(decontam, "PIECE", size)
+        got = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(docs, items)

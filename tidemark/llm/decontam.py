@@ -11,8 +11,12 @@ room for them; these are looked up whole, by a hash of all their tokens. Items o
 same") are everyday words, which say nothing about where a text is from: they are passed over, and ``passed_over`` names
 them.
 
+Texts are cut into pieces of PIECE positions with the tokens about them, and a hit takes along only the tokens that it
+is compared by, so the hits that a task holds at once are those of a piece, however long a text is and however often it
+repeats a passage.
+
 A benchmark whose seeds fit in every task is sent there, and the texts never move. A larger one is joined by seed, for
-which only positions and hashes are shuffled, and the texts that have a hit are then joined with their hits.
+which only positions and hashes are shuffled, and the pieces that have a hit are then joined with their hits.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ STEMS = [((0, 1), (0, 1, 2)), ((0, 3, 4), (3, 4))]
 SHORT, LEAST = 9, 4
 _LEAST_SPAN = min(m[-1] + 1 for m in MASKS)
 _SPAN = max(m[-1] + 1 for m in MASKS)
+#: Positions of a piece of a text.
+PIECE = 512
 WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -77,6 +83,31 @@ def _positions(w: Column) -> Column:
     return F.sequence(F.lit(0), F.size(w) - _LEAST_SPAN)
 
 
+def _reach(stretch: int) -> int:
+    """Tokens of an item about a hit, the first of which lies at most ``stretch`` before it."""
+    return 2 * stretch + _SPAN
+
+
+def _pieces(docs: DataFrame, stretch: int) -> DataFrame:
+    """``docs`` with w a piece of the tokens; its ``n`` positions from ``first`` on are those that no other piece has."""
+    w = F.col("w")
+    cut = lambda i: F.struct(i.alias("piece"), F.least(i, F.lit(stretch)).alias("first"), F.least(F.size(w) - i, F.lit(PIECE)).alias("n"), F.slice(w, F.greatest(i - stretch, F.lit(0)) + 1, F.least(i, F.lit(stretch)) + PIECE + _reach(stretch)).alias("w"))
+    pieces = F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(PIECE)), cut)
+    return docs.select(*[c for c in docs.columns if c != "w"], F.inline(pieces))
+
+
+def _piece_positions(w: Column) -> Column:
+    """Positions of a piece that have room for a mask; none in a last piece that is shorter."""
+    last = F.least(F.col("first") + F.col("n") - 1, F.size(w) - _LEAST_SPAN)
+    return F.when(last >= F.col("first"), F.sequence("first", last))
+
+
+def _about(w: Column, k: Column, stretch: int) -> tuple[Column, Column]:
+    """The tokens that a hit at k is compared by, and its place among them."""
+    left = F.least(k, F.lit(stretch))
+    return F.slice(w, k - left + 1, left + _reach(stretch)), left
+
+
 def _best(a: Column, b: Column, width: Column) -> Column:
     """The most agreeing places in any stretch of ``width`` of two equally long token arrays; null if they are shorter."""
     same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
@@ -134,13 +165,15 @@ def _sent(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> Data
     placed = _placed(items)
     # what lies within reach of a hit, and where in it the hit begins
     start = F.greatest(F.col("p") - stretch, F.lit(0))
-    seeds = placed.select("item_id", "b_key", "n_items", F.size("b").alias("m"), F.slice("b", start + 1, F.lit(2 * stretch + _SPAN)).alias("near"), (F.col("p") - start).alias("lead"), F.explode(_seeds(F.col("b"), F.col("p"), F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
+    seeds = placed.select("item_id", "b_key", "n_items", F.size("b").alias("m"), F.slice("b", start + 1, F.lit(_reach(stretch))).alias("near"), (F.col("p") - start).alias("lead"), F.explode(_seeds(F.col("b"), F.col("p"), F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
     stems = placed.select("stem_hash").distinct()
 
-    places = docs.select("doc_id", "w", F.explode(_positions(F.col("w"))).alias("k"))
     w, k = F.col("w"), F.col("k")
+    places = _pieces(docs.select("doc_id", "w"), stretch).select("doc_id", "w", F.explode(_piece_positions(w)).alias("k"))
     likely = places.select("doc_id", "w", "k", F.posexplode(_stems(w, k)).alias("stem", "stem_hash")).join(F.broadcast(stems), "stem_hash", "left_semi")
     hits = likely.select("doc_id", "w", "k", F.explode(_seeds(w, k, F.col("stem"))).alias("seed")).join(F.broadcast(seeds), "seed")
+    near, place = _about(w, k, stretch)
+    hits = hits.select("doc_id", "item_id", "b_key", "n_items", "m", "near", "lead", near.alias("w"), place.alias("k"))
     width = F.least(F.col("m"), F.lit(stretch))
     return _passed(hits, _agreeing(w, k, F.col("near"), F.col("lead"), width), width, share)
 
@@ -151,16 +184,19 @@ def _dealt(docs: DataFrame, items: DataFrame, stretch: int, share: float) -> Dat
     seeds = placed.select("b_key", "p", F.explode(_seeds(F.col("b"), F.col("p"), F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
     w, k = F.col("w"), F.col("k")
     key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), w)))
-    named = docs.withColumn("key", key)
-    places = named.select("key", "w", F.explode(_positions(w)).alias("k"))
-    stemmed = places.select("key", "w", "k", F.explode(F.sequence(F.lit(0), F.lit(len(STEMS) - 1))).alias("stem"))
-    asked = stemmed.select("key", "k", F.explode(_seeds(w, k, F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
-    hits = asked.join(seeds, "seed").select("key", "b_key", "k", "p").distinct()
-    full = named.join(hits, "key").join(items.withColumn("b_key", F.xxhash64("b")), "b_key")
+    named = _pieces(docs.select("doc_id", key.alias("key"), "w"), stretch)
+    places = named.select("key", "piece", "w", F.explode(_piece_positions(w)).alias("k"))
+    stemmed = places.select("key", "piece", "w", "k", F.explode(F.sequence(F.lit(0), F.lit(len(STEMS) - 1))).alias("stem"))
+    asked = stemmed.select("key", "piece", "k", F.explode(_seeds(w, k, F.col("stem"))).alias("seed")).filter("seed IS NOT NULL")
+    hits = asked.join(seeds, "seed").select("key", "piece", "b_key", "k", "p").distinct()
+    tokens_about, place = _about(w, k, stretch)
+    cut = named.join(hits, ["key", "piece"]).select("doc_id", "b_key", "p", tokens_about.alias("w"), place.alias("k"))
+    full = cut.join(items.withColumn("b_key", F.xxhash64("b")), "b_key")
     start = F.greatest(F.col("p") - stretch, F.lit(0))
-    near, lead = F.slice("b", start + 1, F.lit(2 * stretch + _SPAN)), F.col("p") - start
-    width = F.least(F.size("b"), F.lit(stretch))
-    return _passed(full, _agreeing(w, k, near, lead, width), width, share)
+    near, lead = F.slice("b", start + 1, F.lit(_reach(stretch))), F.col("p") - start
+    full = full.select("doc_id", "item_id", "b_key", "n_items", F.size("b").alias("m"), near.alias("near"), lead.alias("lead"), "w", "k")
+    width = F.least(F.col("m"), F.lit(stretch))
+    return _passed(full, _agreeing(w, k, F.col("near"), F.col("lead"), width), width, share)
 
 
 def _whole(docs: DataFrame, items: DataFrame, lengths: list[int], send: bool) -> DataFrame:
@@ -169,9 +205,10 @@ def _whole(docs: DataFrame, items: DataFrame, lengths: list[int], send: bool) ->
     w, k = F.col("w"), F.col("k")
     asked = items.select("item_id", "n_items", "b", F.xxhash64(F.size("b"), "b").alias("seed"))
     places = docs.filter(F.size(w) > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size(w) - 1)).alias("k"))
-    hashed = places.select("doc_id", "w", "k", F.explode(F.array(*[run(w, k, n) for n in lengths])).alias("seed"))
+    # of the text, a row takes along no more than an item may have
+    hashed = places.select("doc_id", F.slice(w, k + 1, F.lit(max(lengths))).alias("w"), F.explode(F.array(*[run(w, k, n) for n in lengths])).alias("seed"))
     hits = hashed.join(F.broadcast(asked) if send else asked, "seed")
-    same = F.slice(w, k + 1, F.size("b")) == F.col("b")
+    same = F.slice(w, 1, F.size("b")) == F.col("b")
     found = hits.groupBy("doc_id", "item_id", "b", "n_items").agg(F.max(same).alias("same")).filter("same")
     return found.select("doc_id", "item_id", "n_items", F.size("b").cast("long").alias("n_tokens"))
 
