@@ -111,3 +111,41 @@ def test_null_of_two_variants_is_that_of_each(spark, data):
         for r in evidence.swapped_null(q, f, options=v).collect():
             assert (both[r.question_id][f"z_{v}"], both[r.question_id][f"pct_{v}"]) == (pytest.approx(r.z), r.pct)
     assert {(r.group, r.variant) for r in jobs.null_job(q, f, "g", variants=("one", "two"))["summary"].collect()} == {(g, v) for g in ("x", "All") for v in ("z_one", "z_two")}
+
+
+def _rows(df):
+    return sorted(tuple(round(x, 9) if isinstance(x, float) else [round(y, 9) + 0.0 for y in x] if isinstance(x, list) else x for x in r) for r in df.collect())
+
+
+@pytest.mark.parametrize("size", [(256, 131_072), (2, 7)])
+def test_tasks_give_what_the_rows_of_all_scores_give(spark, data, monkeypatch, size):
+    """Picks, whole votes and rank correlations, of blocks of questions and deals of frames, against frame_scores."""
+    _, _, f, q = data
+    scores = evidence.frame_scores(q, f).cache()
+    answers = q.select("question_id", "answer_idx")
+    want = [_rows(x) for x in (evidence.select_frames(scores, (4, 16)), evidence.vote(scores, answers, ["question_id"]), stats.spearman(scores, "r", "v", ["question_id"]), scores)]
+    monkeypatch.setattr(evidence, "QUESTIONS", size[0])
+    monkeypatch.setattr(evidence, "DEAL", size[1])
+    of_select = ["question_id", "k", "selector", "frame_idx", "t", "sc"]
+    got = [_rows(x) for x in (evidence.pick_frames(q, f, (4, 16)).select(of_select), evidence.whole_votes(q, f), evidence.rank_correlation(q, f), evidence.frame_scores(q, f))]
+    assert got == want
+    scores.unpersist()
+
+
+def test_no_pair_of_question_and_frame_is_a_row_before_the_tasks(spark, data):
+    """What meets in tasks is a row per question and per frame, of one block and deal each; the vectors are not joined in pairs."""
+    _, _, f, q = data
+    assert evidence._met(q, f).count() == q.count() + f.count()
+
+
+def test_equal_frames_are_picked_in_order(spark):
+    rng = np.random.default_rng(5)
+    x, e, o = rng.normal(size=(3, 8)), rng.normal(size=8), rng.normal(size=(4, 8))
+    f = spark.createDataFrame([("a", i, 2.0 * i, x[i % 3].tolist()) for i in range(333)] + [("b", i, 2.0 * i, x[0].tolist()) for i in range(77)], "video_id string, frame_idx int, t double, emb array<double>")
+    q = spark.createDataFrame([(v, v, e.tolist(), o.tolist(), 0) for v in "ab"], "question_id string, video_id string, q_emb array<double>, options array<array<double>>, answer_idx int")
+    got = {}
+    for r in evidence.pick_frames(q, f, (8,)).collect():
+        got.setdefault((r.question_id, r.selector), []).append(r.frame_idx)
+    best = int(np.argmax(x @ e))
+    assert sorted(got["a", "Relevance"]) == list(range(best, 24, 3))
+    assert all(sorted(got["b", s]) == list(range(8)) for s in evidence.SELECTORS[1:])

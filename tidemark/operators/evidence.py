@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.operators import stats
 from tidemark.sources.shared import written
 
 SELECTORS = ["Uniform", "Relevance", "Variance", "Blend"]
@@ -23,21 +27,254 @@ def centroids(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(vector_to_array(mean).alias("mean"))
 
 
+#: Questions of a block, and frames of a deal: a task holds one of each, and all its products are made by it.
+QUESTIONS, DEAL = 256, 131_072
+#: Products that a task holds at once.
+PRODUCTS = 1 << 21
+
+
+def _met(questions: DataFrame, frames: DataFrame) -> DataFrame:
+    """Rows of questions (side 0) and frames (side 1) by group: a deal of a video's frames with a block of its questions.
+
+    A question goes to every deal of its video, a frame to every block of the questions on its video, and no pair of
+    them is a row. Frames of a group are in order of their place in the video.
+    """
+    partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy("video_id")
+    placed = frames.select("video_id", "frame_idx", "t", "emb", (F.row_number().over(w.orderBy("frame_idx")) - 1).cast("long").alias("place"), F.count("*").over(w).alias("n"))
+    blocks = questions.groupBy("video_id").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("blocks"))
+    # the mean of an option's products is its product with the mean frame
+    sizes = centroids(frames).join(frames.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").join(blocks, "video_id")
+    group = lambda block, deal: F.concat_ws(":", block, deal, F.col("video_id").cast("string")).alias("group")
+    asks = questions.join(sizes, "video_id")
+    asks = asks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DEAL).cast("int"))))
+    means = F.transform("options", lambda o: vectors.dot(o, F.col("mean")))
+    answer = F.col("answer_idx").cast("int") if "answer_idx" in questions.columns else F.lit(None).cast("int")
+    told = F.col("told") if "told" in questions.columns else F.lit(None).cast("array<double>")
+    doubles = lambda c: F.col(c).cast("array<double>")
+    asks = asks.select(group(F.pmod(F.xxhash64("question_id"), "blocks"), F.col("deal")), F.lit(0).alias("side"), "video_id", "n", "question_id", F.concat(F.array(doubles("q_emb")), F.col("options").cast("array<array<double>>")).alias("asked"), means.alias("means"), answer.alias("answer"), told.alias("told"))
+    rows = placed.join(blocks, "video_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(group(F.col("block"), F.floor(F.col("place") / DEAL)), F.lit(1).alias("side"), "place", "frame_idx", "t", "emb")
+    return asks.unionByName(rows, allowMissingColumns=True).repartition(partitions, "group").sortWithinPartitions("group", "side", "place")
+
+
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length."""
+    if lists.null_count:
+        raise ValueError("a vector is null")
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The questions and the frames of each group."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column("group"))
+        begin = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if name != now and held:
+                yield _sides(held)
+                held = []
+            now = name
+            held.append(batch.slice(begin, end - begin))
+            begin = end
+    if held:
+        yield _sides(held)
+
+
+def _sides(held: list[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    first = int(pc.sum(pc.equal(table["side"], 0)).as_py() or 0)
+    return table.slice(0, first), table.slice(first)
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    """Rows of zeros after the last, so that all products are made by one kernel and equal vectors have equal ones."""
+    return np.pad(x, ((0, -len(x) % 64), (0, 0)))
+
+
+class Scored(NamedTuple):
+    """Some questions on a deal of frames: products [question, frame] and [question, option, frame]."""
+
+    asks: pa.Table
+    frames: pa.Table
+    r: np.ndarray
+    s: np.ndarray
+    sc: np.ndarray
+    v: np.ndarray
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[Scored]:
+    for asks, frames in _groups(batches):
+        if not len(asks) or not len(frames):
+            continue
+        n = len(frames)
+        emb = _padded(_matrix(frames["emb"])).T
+        width = len(asks["asked"][0])
+        step = max(1, PRODUCTS // (width * n))
+        for at in range(0, len(asks), step):
+            some = asks.slice(at, step).combine_chunks()
+            asked = np.array(some["asked"].to_pylist(), np.float64)
+            products = (_padded(asked.reshape(-1, asked.shape[2])) @ emb)[: len(some) * width, :n].reshape(len(some), width, n)
+            sc = products[:, 1:] - np.array(some["means"].to_pylist(), np.float64)[:, :, None]
+            yield Scored(some, frames, products[:, 0], products[:, 1:], sc, sc.var(1))
+
+
+def _blend(x: Scored, add: float) -> np.ndarray:
+    """Mean z-score of r and v, by the means and deviations over all frames of the question's video."""
+    told = x.asks["told"].to_pylist()
+    here = np.stack([x.r.mean(1), x.r.std(1), x.v.mean(1), x.v.std(1)], 1)
+    m = np.array([a if a is not None else b for a, b in zip(told, here, strict=True)], np.float64)
+    return ((x.r - m[:, :1]) / (m[:, 1:2] + add) + (x.v - m[:, 2:3]) / (m[:, 3:] + add)) / 2
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """One list per row."""
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], np.ascontiguousarray(x).reshape(-1))
+
+
+def _type(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
+def _told(questions: DataFrame, frames: DataFrame) -> DataFrame:
+    """``questions`` with means and deviations of r and v where a video has several deals, else null."""
+    long = frames.groupBy("video_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > DEAL).select("video_id")
+    some, their = (df.join(long, "video_id", "left_semi") for df in (questions, frames))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _scored(batches):
+            n = x.r.shape[1]
+            parts = {"n": np.full(len(x.r), float(n)), "r": x.r.sum(1), "rr": (x.r**2).sum(1), "v": x.v.sum(1), "vv": (x.v**2).sum(1)}
+            yield pa.RecordBatch.from_arrays([x.asks["question_id"].combine_chunks(), *map(pa.array, parts.values())], names=["question_id", *parts])
+
+    sums = _met(some, their).mapInArrow(run, f"question_id {_type(questions, 'question_id')}, n double, r double, rr double, v double, vv double")
+    sums = sums.groupBy("question_id").agg(*[F.sum(c).alias(c) for c in ("n", "r", "rr", "v", "vv")])
+    mean = lambda c: F.col(c) / F.col("n")
+    deviation = lambda c: F.sqrt(F.greatest(mean(c + c) - mean(c) * mean(c), F.lit(0.0)))
+    told = sums.select("question_id", F.array(mean("r"), deviation("r"), mean("v"), deviation("v")).alias("told"))
+    return questions.join(told, "question_id", "left")
+
+
 def frame_scores(questions: DataFrame, frames: DataFrame, add: float = 1e-8) -> DataFrame:
     """question_id, video_id, frame_idx, t, r, s, sc, v, b of every frame of a question's video.
 
     r is the frame's product with the question, s with each option, sc is s less its mean over the video's frames, v
-    the variance of sc across options, b the mean of the z-scores of r and v. Vectors stay on their row.
+    the variance of sc across options, b the mean of the z-scores of r and v. Products are made by blocks of questions
+    and deals of frames. Where few rows of a question are wanted, there are pick_frames, whole_votes and rank_correlation.
     """
-    # the mean of an option's products is its product with the mean frame, so the frames are read once more, not scored twice
-    q = questions.select("question_id", "video_id", "q_emb", "options").join(centroids(frames), "video_id")
-    q = q.withColumn("means", F.transform("options", lambda o: vectors.dot(o, F.col("mean")))).drop("mean")
-    rows = frames.join(q, "video_id").select("question_id", "video_id", "frame_idx", "t", vectors.dot(F.col("emb"), F.col("q_emb")).alias("r"), F.transform("options", lambda o: vectors.dot(F.col("emb"), o)).alias("s"), "means")
-    rows = rows.withColumn("sc", F.zip_with("s", "means", lambda x, m: x - m)).drop("means")
-    rows = rows.withColumn("v", vectors.variance(F.col("sc")))
-    w = Window.partitionBy("question_id")
-    z = lambda x: (F.col(x) - F.avg(x).over(w)) / (F.stddev_pop(x).over(w) + add)
-    return rows.withColumn("b", (z("r") + z("v")) / 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _scored(batches):
+            m, n = x.r.shape
+            asked, at = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
+            b = _blend(x, add)
+            last = lambda y: _lists(y.transpose(0, 2, 1).reshape(m * n, -1))
+            taken = [x.asks["question_id"].take(asked), x.asks["video_id"].take(asked), x.frames["frame_idx"].take(at), x.frames["t"].take(at)]
+            columns = [*(c.combine_chunks() for c in taken), pa.array(x.r.reshape(-1)), last(x.s), last(x.sc), pa.array(x.v.reshape(-1)), pa.array(b.reshape(-1))]
+            whole = pa.RecordBatch.from_arrays(columns, names=["question_id", "video_id", "frame_idx", "t", "r", "s", "sc", "v", "b"])
+            for i in range(0, m * n, 1 << 16):
+                yield whole.slice(i, 1 << 16)
+
+    schema = f"question_id {_type(questions, 'question_id')}, video_id {_type(questions, 'video_id')}, frame_idx {_type(frames, 'frame_idx')}, t {_type(frames, 't')}, r double, s array<double>, sc array<double>, v double, b double"
+    return _met(_told(questions, frames), frames).mapInArrow(run, schema)
+
+
+def pick_frames(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32), add: float = 1e-8) -> DataFrame:
+    """The rows of ``select_frames(frame_scores(questions, frames), ks)``, of which tasks give only those that may be picked."""
+    most = max(ks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _scored(batches):
+            n = x.r.shape[1]
+            place, total = x.frames["place"].to_numpy(), x.asks["n"][0].as_py()
+            steps = {k: np.unique(np.rint(np.arange(min(k, total)) * (total - 1) / max(min(k, total) - 1, 1)).astype(np.int64)) for k in ks}
+            asked, selector, k, score, at = [], [], [], [], []
+            for which, scores in enumerate((x.r, x.v, _blend(x, add)), 1):
+                rounded = np.round(scores, 9)
+                for i, row in enumerate(rounded):
+                    # equal scores go to the earlier frame: all above the least that is taken, then the first of its equals
+                    least = np.partition(row, n - most)[n - most] if n > most else -np.inf
+                    best = np.flatnonzero(~(row < least))
+                    best = best[np.lexsort((best, -row[best]))][:most]
+                    asked.append(np.full(len(best), i))
+                    selector.append(np.full(len(best), which))
+                    k.append(np.zeros(len(best), np.int64))
+                    score.append(row[best])
+                    at.append(best)
+            for size, taken in steps.items():
+                even = np.flatnonzero(np.isin(place, taken))
+                for i in range(len(x.r)):
+                    asked.append(np.full(len(even), i))
+                    selector.append(np.zeros(len(even), np.int64))
+                    k.append(np.full(len(even), size))
+                    score.append(np.zeros(len(even)))
+                    at.append(even)
+            asked, selector, k, score, at = map(np.concatenate, (asked, selector, k, score, at))
+            taken = [x.asks["question_id"].take(asked), x.frames["frame_idx"].take(at), x.frames["t"].take(at)]
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in taken), _lists(x.sc[asked, :, at]), pa.array(selector.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(score)], names=["question_id", "frame_idx", "t", "sc", "which", "k", "x"])
+
+    schema = f"question_id {_type(questions, 'question_id')}, frame_idx {_type(frames, 'frame_idx')}, t {_type(frames, 't')}, sc array<double>, which int, k int, x double"
+    rows = _met(_told(questions, frames), frames).mapInArrow(run, schema)
+    # read twice below
+    rows = written(rows.withColumn("selector", F.array(*map(F.lit, SELECTORS))[F.col("which")]), "picked")
+    kept = ["question_id", "k", "selector", "frame_idx", "t", "sc"]
+    rank = F.row_number().over(Window.partitionBy("question_id", "selector").orderBy(F.desc("x"), "frame_idx"))
+    best = rows.filter("which > 0").withColumn("rank", rank).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("rank <= k")
+    return best.select(*kept).unionByName(rows.filter("which = 0").select(*kept))
+
+
+def whole_votes(questions: DataFrame, frames: DataFrame) -> DataFrame:
+    """question_id, predicted, correct, margin, n_frames: the vote of all frames of a question's video (see ``vote``).
+
+    Votes are counted where the products are made; a row per question, option and deal of frames leaves a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _scored(batches):
+            m, options, n = x.sc.shape
+            voted = np.round(x.sc, 9).argmax(1)
+            votes = np.stack([(voted == o).sum(1) for o in range(options)], 1)
+            answer = x.asks["answer"].to_numpy()
+            right = x.sc[np.arange(m), answer]
+            others = np.where(np.arange(options)[None, :, None] == answer[:, None, None], -np.inf, x.sc).max(1)
+            margin = (right - others).sum(1)
+            ids = x.asks["question_id"].take(np.repeat(np.arange(m), options)).combine_chunks()
+            columns = [np.repeat(answer, options).astype(np.int32), np.tile(np.arange(options, dtype=np.int32), m), votes.reshape(-1), x.sc.sum(2).reshape(-1), np.repeat(margin, options), np.full(m * options, n)]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["question_id", "answer_idx", "option", "votes", "total", "margin", "n_frames"])
+
+    rows = _met(questions, frames).mapInArrow(run, f"question_id {_type(questions, 'question_id')}, answer_idx int, option int, votes long, total double, margin double, n_frames long")
+    sums = rows.groupBy("question_id", "answer_idx", "option").agg(F.sum("votes").alias("votes"), F.sum("total").alias("total"), (F.sum("margin") / F.sum("n_frames")).alias("margin"), F.sum("n_frames").alias("n_frames"))
+    return _decided(sums, ["question_id"])
+
+
+def rank_correlation(questions: DataFrame, frames: DataFrame) -> DataFrame:
+    """question_id, spearman of r and v over the frames of a question's video (see ``stats.spearman``).
+
+    A video of one deal is ranked where its products are made; the rows of a longer one are sorted by Spark.
+    """
+    long = frames.groupBy("video_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > DEAL).select("video_id")
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x)
+        edge = np.r_[0, np.flatnonzero(np.diff(x[order])) + 1, len(x)]
+        out = np.empty(len(x))
+        out[order] = np.repeat((edge[:-1] + edge[1:] + 1) / 2, np.diff(edge))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _scored(batches):
+            out = []
+            for a, b in zip(x.r, x.v, strict=True):
+                a, b = (y - y.mean() for y in (ranks(a), ranks(b)))
+                size = np.sqrt((a @ a) * (b @ b))
+                out.append(float(a @ b / size) if size > 0 else None)
+            yield pa.RecordBatch.from_arrays([x.asks["question_id"].combine_chunks(), pa.array(out, pa.float64())], names=["question_id", "spearman"])
+
+    one = _met(*(df.join(long, "video_id", "left_anti") for df in (questions, frames))).mapInArrow(run, f"question_id {_type(questions, 'question_id')}, spearman double")
+    rows = frame_scores(*(df.join(long, "video_id", "left_semi") for df in (questions, frames)))
+    return one.unionByName(stats.spearman(rows, "r", "v", ["question_id"]))
 
 
 def select_frames(scores: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
@@ -73,6 +310,11 @@ def vote(picked: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
     rows = rows.withColumns({"voted": best, "margin_one": F.element_at("sc", F.col("answer_idx") + 1) - F.array_max(others)})
     long = rows.select(*by, "answer_idx", "voted", "margin_one", F.posexplode("sc").alias("option", "x"))
     sums = long.groupBy(*by, "answer_idx", "option").agg(F.count_if(F.col("voted") == F.col("option")).alias("votes"), F.sum("x").alias("total"), F.avg("margin_one").alias("margin"), F.count("*").alias("n_frames"))
+    return _decided(sums, by)
+
+
+def _decided(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The option of most votes of each ``by``, from one row per option."""
     chosen = F.max_by("option", F.struct("votes", F.round("total", 9).alias("total"), (-F.col("option")).alias("o")))
     out = sums.groupBy(*by, "answer_idx").agg(chosen.alias("predicted"), F.first("margin").alias("margin"), F.first("n_frames").alias("n_frames"))
     return out.select(*by, "predicted", (F.col("predicted") == F.col("answer_idx")).alias("correct"), "margin", "n_frames")
@@ -93,16 +335,16 @@ def jaccard(picked: DataFrame, one: str, other: str, by: list[str]) -> DataFrame
 METRICS = ["vote_acc", "margin", "votes_odd", "span_min", "n_segments"]
 
 
-def evaluate(questions: DataFrame, scores: DataFrame, picked: DataFrame) -> DataFrame:
+def evaluate(questions: DataFrame, whole: DataFrame, picked: DataFrame) -> DataFrame:
     """One row per question, k and selector: the METRICS, and whole_video_acc and odd_is_answer of the question.
 
     votes_odd says whether the vote went to the option that is least like the others. ``questions`` has question_id,
-    options and answer_idx, and is joined by Spark's choice; the vote of all frames is worked out once per question.
+    options and answer_idx, and is joined by Spark's choice; ``whole`` is the vote of all frames (see whole_votes).
     """
     by = ["question_id", "k", "selector"]
     answers = questions.select("question_id", "answer_idx")
     odd = vectors.odd_one_out(F.col("options"))
-    once = vote(scores, answers, ["question_id"]).select("question_id", F.col("correct").cast("double").alias("whole_video_acc"))
+    once = whole.select("question_id", F.col("correct").cast("double").alias("whole_video_acc"))
     once = once.join(questions.select("question_id", odd.alias("odd"), (odd == F.col("answer_idx")).cast("double").alias("odd_is_answer")), "question_id")
     rows = vote(picked, answers, by).join(spread(picked, by), by).join(once, "question_id")
     return rows.select(*by, F.col("correct").cast("double").alias("vote_acc"), "margin", (F.col("predicted") == F.col("odd")).cast("double").alias("votes_odd"), "odd_is_answer", "whole_video_acc", "span_min", "n_segments")

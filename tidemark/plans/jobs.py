@@ -119,16 +119,15 @@ def selector_job(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] =
     ``summary`` has the five metrics by k and selector, ``intervals`` the bootstrap intervals at ``k`` by selector (and,
     with a column ``task`` of the questions, ``task_intervals`` by task), ``constants`` what does not hang on the selector.
     """
-    scores = evidence.frame_scores(questions, frames)
-    picked = evidence.select_frames(scores, ks)
+    picked = evidence.pick_frames(questions, frames, ks)
     path = shared_folder(questions.sparkSession, "selector-eval")
-    evidence.evaluate(questions, scores, picked).write.parquet(path)
+    evidence.evaluate(questions, evidence.whole_votes(questions, frames), picked).write.parquet(path)
     rows = questions.sparkSession.read.parquet(path)
     at_k = rows.filter(F.col("k") == k)
     tables = {
         "picked": picked,
         "selector_eval": rows,
-        "overlap": evidence.jaccard(picked.filter(F.col("k") == k), "Relevance", "Variance", ["question_id"]).join(stats.spearman(scores, "r", "v", ["question_id"]), "question_id"),
+        "overlap": evidence.jaccard(picked.filter(F.col("k") == k), "Relevance", "Variance", ["question_id"]).join(evidence.rank_correlation(questions, frames), "question_id"),
         "summary": stats.wide_means(rows, "k", "selector", evidence.SELECTORS, evidence.METRICS),
         "intervals": stats.intervals(at_k, ["selector"], evidence.METRICS[:3], "question_id"),
         "constants": at_k.filter(F.col("selector") == evidence.SELECTORS[0]).agg(F.avg("whole_video_acc").alias("whole_video_acc"), F.avg("odd_is_answer").alias("odd_is_answer")),

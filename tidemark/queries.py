@@ -378,8 +378,7 @@ def matched_strengths(spark, sf_dir):
 @query("frame_scores", f"WITH {_SCORES} SELECT question_id, frame_idx, round(r, 6) AS r, round(v, 6) AS v, round(b, 5) AS b, round(sc[1], 6) AS sc0 FROM scores")
 def frame_scores(spark, sf_dir):
     """E3, J10"""
-    rows = evidence.frame_scores(questions(spark, sf_dir), frames(spark, sf_dir))
-    return rows.select("question_id", "frame_idx", six("r").alias("r"), six("v").alias("v"), F.round("b", 5).alias("b"), six(F.col("sc")[0]).alias("sc0"))
+    return _scores(spark, sf_dir).select("question_id", "frame_idx", six("r").alias("r"), six("v").alias("v"), F.round("b", 5).alias("b"), six(F.col("sc")[0]).alias("sc0"))
 
 
 def _scores(spark, sf_dir) -> DataFrame:
@@ -389,8 +388,8 @@ def _scores(spark, sf_dir) -> DataFrame:
 @query("topk_mean", f"WITH {_SCORES}, k AS (SELECT question_id, v, row_number() OVER (PARTITION BY question_id ORDER BY v DESC) AS rn FROM scores) SELECT question_id, round(avg(v), 6) AS top FROM k WHERE rn <= 16 GROUP BY question_id")
 def topk_mean(spark, sf_dir):
     """K6: mean of the 16 largest variances."""
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("v")))
-    return _scores(spark, sf_dir).withColumn("rn", rank).filter("rn <= 16").groupBy("question_id").agg(six(F.avg("v")).alias("top"))
+    best = evidence.pick_frames(questions(spark, sf_dir), frames(spark, sf_dir), (16,)).filter("selector = 'Variance'")
+    return best.groupBy("question_id").agg(six(F.avg(vectors.variance(F.col("sc")))).alias("top"))
 
 
 _NULL = f"""{_FRAMES}, {_QUESTIONS},
@@ -416,8 +415,12 @@ def signal_summary(spark, sf_dir):
     return rows.select("group", "variant", "n", F.round("median_z", 5).alias("median_z"), six("share").alias("share"))
 
 
-def _picked(spark, sf_dir) -> DataFrame:
-    return evidence.select_frames(_scores(spark, sf_dir))
+def _picked(spark, sf_dir, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
+    return evidence.pick_frames(questions(spark, sf_dir), frames(spark, sf_dir), ks)
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    return evidence.whole_votes(questions(spark, sf_dir), frames(spark, sf_dir))
 
 
 @query("selected_frames", f"WITH {_PICKED} SELECT question_id, k, selector, frame_idx, t FROM picked")
@@ -439,7 +442,7 @@ def frame_votes(spark, sf_dir):
 @query("whole_video_votes", f"WITH {_SCORES}, {_vote_sql('scores', 'question_id')} SELECT question_id, predicted, correct, round(margin, 6) AS margin, n_frames FROM voted")
 def whole_video_votes(spark, sf_dir):
     """E6"""
-    return evidence.vote(_scores(spark, sf_dir), _answers(spark, sf_dir), ["question_id"]).withColumn("margin", six("margin"))
+    return _whole(spark, sf_dir).withColumn("margin", six("margin"))
 
 
 _ODD = f"""{_QUESTIONS}, od AS (SELECT a.question_id, a.o, round(sum(1 - {_dot("a.x", "b.x")}), 9) AS d FROM opts a JOIN opts b ON a.question_id = b.question_id AND a.o <> b.o GROUP BY ALL),
@@ -466,15 +469,14 @@ _JACCARD = f"{_PICKED}, ja AS (SELECT question_id, count(*) FILTER (n = 2)::DOUB
 sp AS (SELECT question_id, corr(a, b) AS s FROM rr GROUP BY question_id) SELECT question_id, round(j, 6) AS jaccard, round(s, 6) AS spearman FROM ja JOIN sp USING (question_id)""")
 def selector_overlap(spark, sf_dir):
     """E9, A13"""
-    s = _scores(spark, sf_dir)
-    j = evidence.jaccard(evidence.select_frames(s, (16,)), "Relevance", "Variance", ["question_id"])
-    return j.join(stats.spearman(s, "r", "v", ["question_id"]), "question_id").select("question_id", six("jaccard").alias("jaccard"), six("spearman").alias("spearman"))
+    j = evidence.jaccard(_picked(spark, sf_dir, (16,)), "Relevance", "Variance", ["question_id"])
+    return j.join(evidence.rank_correlation(questions(spark, sf_dir), frames(spark, sf_dir)), "question_id").select("question_id", six("jaccard").alias("jaccard"), six("spearman").alias("spearman"))
 
 
 @query("overlap_summary", f"WITH {_JACCARD} SELECT count(j) AS n, round(avg(j), 6) AS mean, round(stddev_samp(j), 6) AS std, round(min(j), 6) AS least, round(quantile_cont(j, 0.25), 6) AS q1, round(median(j), 6) AS median, round(quantile_cont(j, 0.75), 6) AS q3, round(max(j), 6) AS largest FROM ja")
 def overlap_summary(spark, sf_dir):
     """A16"""
-    j = evidence.jaccard(evidence.select_frames(_scores(spark, sf_dir), (16,)), "Relevance", "Variance", ["question_id"])
+    j = evidence.jaccard(_picked(spark, sf_dir, (16,)), "Relevance", "Variance", ["question_id"])
     rows = stats.describe(j, "jaccard")
     return rows.select("n", *[six(c).alias(c) for c in rows.columns if c != "n"])
 
@@ -490,7 +492,7 @@ def selector_accuracy(spark, sf_dir):
 @query("group_accuracy", f"WITH {_PICKED}, {_vote_sql('picked', 'question_id, k, selector')} SELECT question_id // 20 % 3 AS g, " + ", ".join(f"round(avg(correct::INT) FILTER (selector = '{s}'), 6) AS \"{s}\"" for s in evidence.SELECTORS) + " FROM voted WHERE k = 16 GROUP BY 1")
 def group_accuracy(spark, sf_dir):
     """A15"""
-    picked = evidence.select_frames(_scores(spark, sf_dir), (16,))
+    picked = _picked(spark, sf_dir, (16,))
     votes = evidence.vote(picked, _answers(spark, sf_dir), ["question_id", "selector"])
     rows = votes.groupBy((F.floor(F.col("question_id") / 20) % 3).alias("g")).pivot("selector", evidence.SELECTORS).agg(F.avg(F.col("correct").cast("double")))
     return rows.select("g", *[six(s).alias(s) for s in evidence.SELECTORS])
@@ -503,8 +505,7 @@ ev AS (SELECT question_id, k, selector, correct::INT::DOUBLE AS vote_acc, margin
 
 
 def _eval(spark, sf_dir) -> DataFrame:
-    q, scores = questions(spark, sf_dir), _scores(spark, sf_dir)
-    return evidence.evaluate(q, scores, evidence.select_frames(scores))
+    return evidence.evaluate(questions(spark, sf_dir), _whole(spark, sf_dir), _picked(spark, sf_dir))
 
 
 @query("selector_report", f"WITH {_EVAL} SELECT k, " + ", ".join(f"round(avg({m}) FILTER (selector = '{s}'), 6) AS \"{s}_{m}\"" for s in evidence.SELECTORS for m in evidence.METRICS) + " FROM ev GROUP BY k")
@@ -634,11 +635,9 @@ cent AS (SELECT *, s - avg(s) OVER (PARTITION BY question_id, variant, o) AS x F
 SELECT question_id, variant, predicted, correct, round(margin, 6) AS margin, n_frames FROM voted""")
 def variant_votes(spark, sf_dir):
     """The vote of all frames under either kind of option vectors; a question's vectors of both go over the frames once."""
-    q = _variants(spark, sf_dir).select("question_id", "video_id", "q_emb", "answer_idx", F.concat("alone", "template").alias("options"))
-    scores = evidence.frame_scores(q, frames(spark, sf_dir))
-    kinds = F.array(*[F.struct(F.lit(k).alias("variant"), F.slice("sc", 4 * i + 1, 4).alias("sc")) for i, k in enumerate(("alone", "template"))])
-    each = scores.select("question_id", "frame_idx", F.inline(kinds))
-    return evidence.vote(each, q.select("question_id", "answer_idx"), ["question_id", "variant"]).withColumn("margin", six("margin"))
+    kinds = F.array(*[F.struct(F.struct(F.col("question_id").alias("question_id"), F.lit(k).alias("variant")).alias("question_id"), F.col(k).alias("options")) for k in ("alone", "template")])
+    q = _variants(spark, sf_dir).select("video_id", "q_emb", "answer_idx", F.inline(kinds))
+    return evidence.whole_votes(q, frames(spark, sf_dir)).select("question_id.*", "predicted", "correct", six("margin").alias("margin"), "n_frames")
 
 
 @query("variant_nulls", f"""WITH {_FRAMES}, {_VARIANTS}, sim AS (SELECT q.question_id, q.video_id AS own, f.video_id, f.frame_idx, u.o, unnest(['alone', 'template']) AS variant, unnest([{_dot('f.emb', 'u.alone')}, {_dot('f.emb', 'u.template')}]) AS s FROM frames f, questions q JOIN unit u USING (question_id)),
@@ -803,7 +802,7 @@ def embedded_questions(spark, sf_dir):
 @query("question_constants", f"WITH {_SCORES}, {_vote_sql('scores', 'question_id')}, od AS (SELECT a.question_id, a.o, round(sum(1 - {_dot('a.x', 'b.x')}), 9) AS d FROM opts a JOIN opts b ON a.question_id = b.question_id AND a.o <> b.o GROUP BY ALL), odd AS (SELECT question_id, o AS odd FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d DESC, o) AS rn FROM od) WHERE rn = 1) SELECT count(*) AS n, round(avg(correct::INT), 6) AS whole_video_accuracy, round(avg((odd = answer_idx)::INT), 6) AS odd_is_answer FROM voted JOIN odd USING (question_id) JOIN questions USING (question_id)")
 def question_constants(spark, sf_dir):
     """Accuracy of the vote of all frames, and how often the odd option is the answer."""
-    votes = evidence.vote(_scores(spark, sf_dir), _answers(spark, sf_dir), ["question_id"])
+    votes = _whole(spark, sf_dir)
     odd = questions(spark, sf_dir).select("question_id", (vectors.odd_one_out(F.col("options")) == F.col("answer_idx")).alias("hit"))
     return votes.join(odd, "question_id").agg(F.count("*").alias("n"), six(F.avg(F.col("correct").cast("double"))).alias("whole_video_accuracy"), six(F.avg(F.col("hit").cast("double"))).alias("odd_is_answer"))
 
