@@ -149,3 +149,12 @@ def test_equal_frames_are_picked_in_order(spark):
     best = int(np.argmax(x @ e))
     assert sorted(got["a", "Relevance"]) == list(range(best, 24, 3))
     assert all(sorted(got["b", s]) == list(range(8)) for s in evidence.SELECTORS[1:])
+
+
+def test_null_of_long_videos_in_parts(spark, data, monkeypatch):
+    """A video in several deals, each with the video's mean, deals without frames, and a run of few products."""
+    _, _, f, q = data
+    want = {r.question_id: (pytest.approx(r.z), pytest.approx(r.pct), pytest.approx(r.real)) for r in evidence.swapped_null(q, f).collect()}
+    monkeypatch.setattr(evidence, "DEAL", 6)
+    monkeypatch.setattr(evidence, "DEALS", 40)
+    assert {r.question_id: (r.z, r.pct, r.real) for r in evidence.swapped_null(q, f, block=2).collect()} == want

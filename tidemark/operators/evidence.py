@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -65,20 +64,26 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
-    """The questions and the frames of each group."""
-    held: list[pa.RecordBatch] = []
-    now = None
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Pieces of batches in which a column has one value, and that value."""
     for batch in batches:
-        runs = pc.run_end_encode(batch.column("group"))
+        runs = pc.run_end_encode(batch.column(by))
         begin = 0
         for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
-            if name != now and held:
-                yield _sides(held)
-                held = []
-            now = name
-            held.append(batch.slice(begin, end - begin))
+            yield name, batch.slice(begin, end - begin)
             begin = end
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """The questions and the frames of each group."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for name, part in _runs(batches, "group"):
+        if name != now and held:
+            yield _sides(held)
+            held = []
+        now = name
+        held.append(part)
     if held:
         yield _sides(held)
 
@@ -350,28 +355,30 @@ def evaluate(questions: DataFrame, whole: DataFrame, picked: DataFrame) -> DataF
     return rows.select(*by, F.col("correct").cast("double").alias("vote_acc"), "margin", (F.col("predicted") == F.col("odd")).cast("double").alias("votes_odd"), "odd_is_answer", "whole_video_acc", "span_min", "n_segments")
 
 
-def variant_nulls(questions: DataFrame, frames: DataFrame, variants: list[str], top: int = 16, block: int = 256) -> DataFrame:
+def variant_nulls(questions: DataFrame, frames: DataFrame, variants: list[str], top: int = 16, block: int | None = None) -> DataFrame:
     """question_id, and z_<v> and pct_<v> of each variant, a column of option vectors; all go over the frames together."""
     name = F.concat_ws("|", F.col("question_id").cast("string"), "variant")
     each = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("options")) for v in variants])
     rows = questions.select("question_id", "video_id", F.inline(each)).withColumn("name", name)
-    z = swapped_null(rows.select(F.col("name").alias("question_id"), "video_id", "options"), frames, top, block)
+    z = swapped_null(rows.select(F.col("name").alias("question_id"), "video_id", "options"), frames, top, block or BLOCK)
     told = rows.select("question_id", "variant", "name").join(z.withColumnRenamed("question_id", "name"), "name")
     one = lambda c, v: F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}_{v}")
     return told.groupBy("question_id").agg(*[one(c, v) for v in variants for c in ("z", "pct")])
 
 
-#: Questions of a block of the swapped null.
-BLOCK = 256
+#: Questions of a block of the swapped null: every frame goes to every block, so larger ones shuffle less.
+BLOCK = 2048
+#: Frames of a deal of the swapped null, and its least deals.
+FRAMES, DEALS = 32_768, 16
 
 
 def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block: int = BLOCK, options: str = "options") -> DataFrame:
     """question_id, z, pct, real: a question's top-k mean variance on its own video against that on every other one.
 
     z is null with fewer than two other videos or none of its own. Questions are dealt to blocks of about ``block`` and
-    frames to deals; every deal meets every block in a task, which holds the block and multiplies runs of frames with
-    it. It keeps, per question and video, only its largest values, so no pair of rows is made, no vector reaches
-    the driver, and the plan is the same for any number of questions.
+    frames to deals, a video to one of them if it is not long; every deal meets every block in a task, which holds the
+    block and multiplies runs of frames with it. It keeps, per question and video, only its largest values, so no pair of
+    rows is made, no vector reaches the driver, and the plan is the same for any number of questions.
     ``questions`` has question_id, video_id and ``options`` (arrays of equal size). An option that is null counts as a
     row of no question.
     """
@@ -389,46 +396,59 @@ def swapped_null(questions: DataFrame, frames: DataFrame, top: int = 16, block:
 
 def null_values(questions: DataFrame, frames: DataFrame, top: int, block: int) -> DataFrame:
     """question_id, video_id, x: the mean of the ``top`` largest option variances of every question on every video."""
-    spark = questions.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-questions.count() // block))
-    deals = 2 * partitions  # frames stream past, so a deal may be of any size
-    asks = questions.filter("options IS NOT NULL").select(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), F.lit(0).alias("side"), "question_id", F.col("options").cast("array<array<double>>").alias("options"))
-    # frames of a video lie in as many deals as it has many
-    rows = frames.select("video_id", F.col("emb").cast("array<double>").alias("emb")).join(centroids(frames), "video_id")
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("emb"), F.lit(deals)).cast("int").alias("deal"), F.lit(1).alias("side"), "video_id", F.zip_with("emb", "mean", lambda a, b: a - b).alias("centred"))
-    dealt = asks.unionByName(rows, allowMissingColumns=True).repartition(partitions, "block", "deal").sortWithinPartitions("block", "deal", "side", "video_id", "question_id")
-    q, v = (df.schema[c].dataType.simpleString() for df, c in ((questions, "question_id"), (frames, "video_id")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = None, []
-        ids, flat = None, None
-        for pdf in batches:
-            if not len(pdf):
+    deals = max(DEALS, -(-frames.count() // FRAMES))
+    group = lambda block, deal: F.concat_ws(":", block, deal).alias("group")
+    asks = questions.filter("options IS NOT NULL").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    asks = asks.select(group(F.pmod(F.xxhash64("question_id"), F.lit(blocks)), F.col("deal")), F.lit(0).alias("side"), F.lit("").alias("run"), F.lit(0).alias("kind"), "question_id", F.col("options").cast("array<array<double>>").alias("options"))
+    # vectors travel as they are; a video's mean comes before its frames, in each of the deals that a long one has
+    means = centroids(frames).join(frames.groupBy("video_id").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("parts")), "video_id")
+    parted = frames.select("video_id", "emb").join(means.select("video_id", "parts"), "video_id").select("video_id", F.pmod(F.xxhash64("emb"), "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "emb")
+    first = means.select("video_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "mean")
+    rows = parted.unionByName(first, allowMissingColumns=True).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(group(F.col("block"), F.pmod(F.xxhash64("video_id", "part"), F.lit(deals))), F.lit(1).alias("side"), F.concat_ws(":", "part", F.col("video_id").cast("string")).alias("run"), "kind", "video_id", "mean", "emb")
+    dealt = asks.unionByName(rows, allowMissingColumns=True).repartition(partitions, "group").sortWithinPartitions("group", "side", "run", "kind")
+    dealt = dealt.withColumn("run", F.concat_ws(":", "group", "side", "run"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = group = ids = flat = shift = best = video = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if best is not None and best.shape[1]:
+                yield pa.RecordBatch.from_arrays([ids, video.take(pa.array(np.zeros(len(ids), np.int64))), _lists(best)], names=["question_id", "video_id", "values"])
+
+        for name, part in _runs(batches, "run"):
+            if name != now:
+                yield from told()
+                now, best = name, None
+            if part.column("side")[0].as_py() == 0:
+                if held and held[0].column("group")[0] != part.column("group")[0]:
+                    held = []  # a group without frames
+                held.append(part)
+                continue
+            if held:
+                own, held = pa.Table.from_batches(held), []
+                group, ids = own["group"][0], own["question_id"].combine_chunks()
+                options = np.array(own["options"].to_pylist(), np.float64)
+                flat = options.reshape(-1, options.shape[2]).T
+            if part.column("group")[0] != group:
+                continue  # a group without questions
+            if best is None:
+                best, shift, video = np.empty((len(ids), 0)), np.array(part.column("mean")[0].as_py(), np.float64), part.column("video_id").slice(0, 1)
+                part = part.slice(1)
+            if not len(part):
                 continue
-            keys = pdf[["block", "deal", "side"]].to_numpy()
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for a, b in zip([0, *edge], [*edge, len(pdf)], strict=True):
-                part = pdf.iloc[a:b]
-                if (keys[a, 0], keys[a, 1]) != group:
-                    group, held, ids = (keys[a, 0], keys[a, 1]), [], None
-                if keys[a, 2] == 0:
-                    held.append(part)
-                    continue
-                if held:
-                    own = pd.concat(held)
-                    ids, held = own["question_id"].to_numpy(), []
-                    stacked = np.array([np.stack(o) for o in own["options"]])
-                    flat = stacked.reshape(-1, stacked.shape[2]).T
-                if ids is None:
-                    continue
-                for video, g in part.groupby("video_id", sort=False):
-                    products = np.stack(g["centred"].to_list()) @ flat
-                    variance = products.reshape(len(g), len(ids), -1).var(2)
-                    best = -np.sort(-variance, axis=0)[: min(top, len(g))].T
-                    yield pd.DataFrame({"question_id": ids, "video_id": [video] * len(ids), "values": list(best)})
-
-    tops = dealt.mapInPandas(run, f"question_id {q}, video_id {v}, values array<double>")
-    # as many short lists as deals at most
+            emb = _matrix(pa.chunked_array([part.column("emb")])) - shift
+            for at in range(0, len(emb), max(1, PRODUCTS // flat.shape[1])):
+                products = emb[at : at + max(1, PRODUCTS // flat.shape[1])] @ flat
+                best = np.concatenate([best, products.reshape(len(products), len(ids), -1).var(2).T], 1)
+                if best.shape[1] > top:
+                    best = np.partition(best, best.shape[1] - top, 1)[:, -top:]
+        yield from told()
+
+    tops = dealt.mapInArrow(run, f"question_id {_type(questions, 'question_id')}, video_id {_type(frames, 'video_id')}, values array<double>")
+    # as many short lists as a long video has parts
     best = F.slice(F.sort_array(F.flatten(F.collect_list("values")), asc=False), 1, top)
     return tops.groupBy("question_id", "video_id").agg(best.alias("best")).select("question_id", "video_id", vectors.mean(F.col("best")).alias("x"))
