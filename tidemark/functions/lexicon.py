@@ -17,9 +17,11 @@ def lookup(texts: DataFrame, key: list[str], text: str, lexicon: DataFrame) -> D
     """``key`` and category with ``n``, how many words of the text are in that category, repeats included.
 
     A word counts in each of its categories, once however often the lexicon lists it there. The lexicon is an input of
-    any size, so Spark chooses how it is joined; different words are counted within a text before that.
+    any size, so Spark chooses how it is joined; different words are counted within a text before that. Texts
+    are dealt by key first, so a task counts the words of its share of them, however few files they come from.
     """
-    words = texts.select(*key, F.explode(options.letters(F.col(text))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("_n"))
+    dealt = texts.select(*key, text).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    words = dealt.select(*key, F.explode(options.letters(F.col(text))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("_n"))
     known = lexicon.filter("word IS NOT NULL AND category IS NOT NULL").select(F.lower("word").alias("word"), "category").distinct()
     met = words.join(known, "word").filter((F.col("category") != NOUN) | (F.length("word") > 2))
     return met.groupBy(*key, "category").agg(F.sum("_n").alias("n"))
