@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,32 @@ def test_null_of_long_videos_in_parts(spark, data, monkeypatch):
     monkeypatch.setattr(evidence, "DEAL", 6)
     monkeypatch.setattr(evidence, "DEALS", 40)
     assert {r.question_id: (r.z, r.pct, r.real) for r in evidence.swapped_null(q, f, block=2).collect()} == want
+
+
+def test_a_key_is_drawn_once_for_all_its_groups(spark, monkeypatch):
+    """Weights are those of the hash of seed, block and key, drawn once a key and task, whatever the groups, gaps and sizes of runs."""
+    rng = np.random.default_rng(3)
+    rows = [(g, m, i, None if rng.random() < 0.1 else float(rng.normal())) for i in range(30) for g in ("a", "b", None) for m in range(4)] + [("a", 0, None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, m int, id int, x double")
+
+    def weight(block, i, key):
+        u = int(hashlib.md5("|".join(["7", str(block), *([] if key is None else [str(key)])]).encode()).hexdigest()[8 * i : 8 * i + 8], 16) / 4294967296
+        return sum(u >= c for c in stats.POISSON)
+
+    want = {}
+    for g, m in {(r[0], r[1]) for r in rows if r[0]}:
+        own = [(k, x) for a, b, k, x in rows if (a, b) == (g, m) and x is not None]
+        means = []
+        for j in range(90):
+            w = [weight(j // 4, j % 4, k) for k, _ in own]
+            if sum(w):
+                means.append(sum(a * x for a, (_, x) in zip(w, own, strict=True)) / sum(w))
+        want[g, m] = (pytest.approx(np.mean([x for _, x in own])), pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+    for size in ((1024, 1024), (3, 7)):
+        monkeypatch.setattr(stats, "GROUPS", size[0])
+        monkeypatch.setattr(stats, "DRAWN", size[1])
+        got = stats.bootstrap(df, "x", ["g", "m"], 90, 7, "id")
+        assert {(r.g, r.m): (r["mean"], r.ci_lo, r.ci_hi) for r in got.collect()} == want
+    # no row is made per key and resample
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString() and not stats.bootstrap(df.filter("false"), "x", ["g"]).collect()
+    assert stats.bootstrap(df.filter("false"), "x", []).first()["mean"] is None

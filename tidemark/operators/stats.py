@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +63,64 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
 
 
+#: Groups whose sums a task holds at once, and rows whose weights are drawn at once.
+GROUPS, DRAWN = 1024, 1024
+
+
+def _weights(keys: list[str | None], resamples: int, seed: int) -> np.ndarray:
+    """Weights [key, resample] from Poisson(1), after a first column of ones: four share the md5 of seed, their number and the key."""
+    hashes = b"".join(hashlib.md5("|".join([str(seed), str(b), *([] if k is None else [k])]).encode()).digest() for k in keys for b in range((resamples + 3) // 4))
+    drawn = np.frombuffer(hashes, ">u4").astype(np.uint32).reshape(len(keys), -1)[:, :resamples]
+    out = np.ones((len(keys), resamples + 1))
+    # a share of 2^32 is exact in double precision
+    out[:, 1:] = sum((drawn >= np.uint32(np.ceil(c * 2.0**32)) for c in POISSON), np.zeros(drawn.shape, np.uint8))
+    return out
+
+
 def bootstrap(df: DataFrame, value: str, by: list[str], resamples: int = 2000, seed: int = 0, key: str | None = None) -> DataFrame:
     """by, mean, ci_lo, ci_hi: percentiles 2.5 and 97.5 of the means of resamples.
 
     Each row gets a Poisson(1) weight per resample from a hash of the seed, its key and the resample, four of which
-    share a hash; weights are summed where the rows lie and only the sums are shuffled. ``key`` names a row, or
-    else all its columns do: rows that share them are drawn together. Rows without a value are left out.
+    share a hash; a key's weights are drawn once for all its rows, and only their sums leave a task. ``key`` names a
+    row, or else all its columns do: rows that share them are drawn together. Rows without a value or a group are left
+    out.
     """
     named = F.col(key).cast("string") if key else F.xxhash64(*df.columns).cast("string")
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_key", named).select(*by, value, "_key")
-    # each narrow row becomes hundreds, so they are dealt evenly first
-    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
-    blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
-    h = F.md5(F.concat_ws("|", F.lit(seed), "_b", "_key"))
-    u = lambda i: F.conv(F.substring(F.col("_h"), 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = lambda x: sum(((x >= c).cast("int") for c in POISSON[1:]), (x >= POISSON[0]).cast("int"))
-    drawn = F.array(*[F.struct((F.col("_b") * 4 + i).alias("_k"), weight(u(i)).alias("_w")) for i in range(4)])
-    each = blocks.withColumn("_h", h).select(*by, value, F.inline(drawn)).filter(F.col("_k") < resamples)
-    sums = each.groupBy(*by, "_k").agg(F.sum(F.col("_w") * F.col(value)).alias("s"), F.sum("_w").alias("n")).filter("n > 0")
-    ends = sums.groupBy(*by).agg(F.expr("percentile(s / n, 0.025)").alias("ci_lo"), F.expr("percentile(s / n, 0.975)").alias("ci_hi"))
-    means = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
-    return means.join(ends, by) if by else means.crossJoin(ends)
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    rows = df.filter(F.col(value).isNotNull()).dropna(subset=by).select(named.alias("_key"), group.alias("_by"), F.to_json(group).alias("_g"), F.col(value).cast("double").alias("_x"))
+    # each narrow row is drawn hundreds of times, so they are dealt evenly first
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key").sortWithinPartitions("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[pa.Array, np.ndarray]] = {}
+
+        def told() -> pa.RecordBatch:
+            groups, sums = zip(*held.values(), strict=True)
+            held.clear()
+            ends = np.arange(len(sums) + 1, dtype=np.int32) * (resamples + 1)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(groups), *(pa.ListArray.from_arrays(ends, np.concatenate([x[i] for x in sums])) for i in (0, 1))], names=["_by", "s", "n"])
+
+        for whole in batches:
+            for at in range(0, len(whole), DRAWN):
+                part = whole.slice(at, DRAWN)
+                keys, groups = (part.column(c).dictionary_encode() for c in ("_key", "_g"))
+                drawn = _weights([*keys.dictionary.to_pylist(), *([None] if keys.null_count else [])], resamples, seed)
+                place, code = keys.indices.fill_null(len(keys.dictionary)).to_numpy(), groups.indices.to_numpy()
+                x = part.column("_x").to_numpy()
+                for i, g in enumerate(groups.dictionary.to_pylist()):
+                    of = np.flatnonzero(code == i)
+                    w = drawn[place[of]]
+                    first, sums = held.get(g) or (part.column("_by").slice(of[0], 1), 0.0)
+                    held[g] = first, sums + np.stack([x[of] @ w, w.sum(0)])
+                    if len(held) >= GROUPS:
+                        yield told()
+        if held:
+            yield told()
+
+    told = dealt.mapInArrow(run, f"_by {rows.schema['_by'].dataType.simpleString()}, s array<double>, n array<double>")
+    sums = told.select("_by.*", F.posexplode(F.arrays_zip("s", "n")).alias("_k", "_z")).groupBy(*by, "_k").agg(F.sum("_z.s").alias("s"), F.sum("_z.n").alias("n")).filter("n > 0")
+    end = lambda p: F.expr(f"percentile(CASE WHEN _k > 0 THEN s / n END, {p})")
+    return sums.groupBy(*by).agg(F.max(F.expr("CASE WHEN _k = 0 THEN s / n END")).alias("mean"), end(0.025).alias("ci_lo"), end(0.975).alias("ci_hi"))
 
 
 def wide_means(df: DataFrame, by: str, across: str, values: list[str], metrics: list[str]) -> DataFrame:
