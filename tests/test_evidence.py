@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,26 @@ def test_a_key_is_drawn_once_for_all_its_groups(spark, monkeypatch):
     # no row is made per key and resample
     assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString() and not stats.bootstrap(df.filter("false"), "x", ["g"]).collect()
     assert stats.bootstrap(df.filter("false"), "x", []).first()["mean"] is None
+
+
+def test_products_are_made_in_tiles_of_one_shape(spark, monkeypatch):
+    """Frames over several tiles, many of them equal: each is there once, and equal frames have equal ranks and votes."""
+    rng = np.random.default_rng(6)
+    x, e, o = rng.normal(size=(5, 8)), rng.normal(size=(3, 8)), rng.normal(size=(3, 4, 8))
+    f = spark.createDataFrame([("a", i, 2.0 * i, x[i * i % 5].tolist()) for i in range(333)], "video_id string, frame_idx int, t double, emb array<double>")
+    q = spark.createDataFrame([(i, "a", e[i].tolist(), o[i].tolist(), i) for i in range(3)], "question_id int, video_id string, q_emb array<double>, options array<array<double>>, answer_idx int")
+    scores = evidence.frame_scores(q, f).collect()
+    monkeypatch.setattr(evidence, "TILE", 1 << 12)
+    of = evidence.Asked(pa.table({"i": range(3)}), pa.table({"i": range(333)}), np.pad(x[np.arange(333) ** 2 % 5], ((0, 64), (0, 0))), np.concatenate([e[:, None], o], 1), np.zeros((3, 4)))
+    assert [(at, p.shape) for at, p in of.tiles()] == [(at, (3, 5, min(64, 333 - at))) for at in range(0, 333, 64)]
+    frames = x[np.arange(333) ** 2 % 5]
+    rank = lambda v: np.array([(np.sum(v < y) + 1 + np.sum(v <= y)) / 2 for y in v])
+    votes, ranks = ({r.question_id: r for r in df.collect()} for df in (evidence.whole_votes(q, f), evidence.rank_correlation(q, f)))
+    for i in range(3):
+        r, sc, v, _ = scored(frames, e[i], o[i])
+        assert votes[i].predicted == np.bincount(sc.argmax(1), minlength=4).argmax() and votes[i].n_frames == 333
+        assert votes[i].margin == pytest.approx(np.mean(sc[:, i] - np.delete(sc, i, 1).max(1)), abs=1e-9)
+        assert ranks[i].spearman == pytest.approx(np.corrcoef(rank(np.round(r, 9)), rank(np.round(v, 9)))[0, 1], abs=1e-9)
+    some = evidence.frame_scores(q, f, columns=("question_id", "frame_idx", "b"))
+    assert some.columns == ["question_id", "frame_idx", "b"]
+    assert {(r.question_id, r.frame_idx): r.b for r in some.collect()} == {(r.question_id, r.frame_idx): pytest.approx(r.b) for r in scores}

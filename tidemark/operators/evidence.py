@@ -28,8 +28,8 @@ def centroids(frames: DataFrame) -> DataFrame:
 
 #: Questions of a block, and frames of a deal: a task holds one of each, and all its products are made by it.
 QUESTIONS, DEAL = 256, 131_072
-#: Products that a task holds at once.
-PRODUCTS = 1 << 21
+#: Products that a task holds at once, and those of one tile: of a block of questions with some frames, in the cache of a core.
+PRODUCTS, TILE = 1 << 21, 1 << 17
 
 
 def _met(questions: DataFrame, frames: DataFrame) -> DataFrame:
@@ -94,36 +94,85 @@ def _sides(held: list[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
     return table.slice(0, first), table.slice(first)
 
 
-def _padded(x: np.ndarray) -> np.ndarray:
+def _padded(x: np.ndarray, more: int) -> np.ndarray:
     """Rows of zeros after the last, so that all products are made by one kernel and equal vectors have equal ones."""
-    return np.pad(x, ((0, -len(x) % 64), (0, 0)))
+    return np.pad(x, ((0, more), (0, 0)))
 
 
-class Scored(NamedTuple):
-    """Some questions on a deal of frames: products [question, frame] and [question, option, frame]."""
+class Asked(NamedTuple):
+    """Some questions on a deal of frames, whose vectors are ``emb``; ``asked`` [question, 1 + option, component]."""
 
     asks: pa.Table
     frames: pa.Table
-    r: np.ndarray
-    s: np.ndarray
-    sc: np.ndarray
-    v: np.ndarray
+    emb: np.ndarray
+    asked: np.ndarray
+    means: np.ndarray
+
+    def tiles(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The first frame of each tile, and its products [question, 1 + option, frame]."""
+        n, (m, width, size) = len(self.frames), self.asked.shape
+        flat = _padded(self.asked.reshape(-1, size), -m * width % 64)
+        step = min(max(64, TILE // len(flat) // 64 * 64), n + -n % 64)
+        # all tiles have one shape; ``emb`` goes on with zeros
+        for at in range(0, n, step):
+            yield at, (flat @ self.emb[at : at + step].T)[: m * width, : n - at].reshape(m, width, -1)
+
+    def sc(self, asked: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """[i, option]: sc of the question asked[i] on the frame at[i]."""
+        out = np.empty((len(asked), self.asked.shape[1] - 1))
+        for i in range(0, len(out), 4096):
+            q = asked[i : i + 4096]
+            out[i : i + 4096] = np.einsum("iod,id->io", self.asked[q, 1:], self.emb[at[i : i + 4096]]) - self.means[q]
+        return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[Scored]:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[Asked]:
     for asks, frames in _groups(batches):
         if not len(asks) or not len(frames):
             continue
-        n = len(frames)
-        emb = _padded(_matrix(frames["emb"])).T
+        emb = _padded(_matrix(frames["emb"]), max(64, TILE // 64))
         width = len(asks["asked"][0])
-        step = max(1, PRODUCTS // (width * n))
+        # at least as many as fill the 64 rows of a kernel
+        step = max(1, 64 // width, PRODUCTS // (width * len(frames)))
         for at in range(0, len(asks), step):
             some = asks.slice(at, step).combine_chunks()
-            asked = np.array(some["asked"].to_pylist(), np.float64)
-            products = (_padded(asked.reshape(-1, asked.shape[2])) @ emb)[: len(some) * width, :n].reshape(len(some), width, n)
-            sc = products[:, 1:] - np.array(some["means"].to_pylist(), np.float64)[:, :, None]
-            yield Scored(some, frames, products[:, 0], products[:, 1:], sc, sc.var(1))
+            yield Asked(some, frames, emb, np.array(some["asked"].to_pylist(), np.float64), np.array(some["means"].to_pylist(), np.float64))
+
+
+class Scored(NamedTuple):
+    """Some questions on a deal of frames: r and v [question, frame]."""
+
+    of: Asked
+    r: np.ndarray
+    v: np.ndarray
+
+    @property
+    def asks(self) -> pa.Table:
+        return self.of.asks
+
+    @property
+    def frames(self) -> pa.Table:
+        return self.of.frames
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Over the second axis, which is short."""
+    out = x[:, 0].copy()
+    for i in range(1, x.shape[1]):
+        out += x[:, i]
+    return out
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[Scored]:
+    for x in _asked(batches):
+        r, v = np.empty((2, len(x.asks), len(x.frames)))
+        for at, products in x.tiles():
+            end, options = at + products.shape[2], products.shape[1] - 1
+            r[:, at:end] = products[:, 0]
+            sc = products[:, 1:] - x.means[:, :, None]
+            sc -= (_sum(sc) / options)[:, None]
+            v[:, at:end] = _sum(np.square(sc, out=sc)) / options
+        yield Scored(x, r, v)
 
 
 def _blend(x: Scored, add: float) -> np.ndarray:
@@ -162,28 +211,39 @@ def _told(questions: DataFrame, frames: DataFrame) -> DataFrame:
     return questions.join(told, "question_id", "left")
 
 
-def frame_scores(questions: DataFrame, frames: DataFrame, add: float = 1e-8) -> DataFrame:
-    """question_id, video_id, frame_idx, t, r, s, sc, v, b of every frame of a question's video.
+def frame_scores(questions: DataFrame, frames: DataFrame, add: float = 1e-8, columns: tuple[str, ...] = ("question_id", "video_id", "frame_idx", "t", "r", "s", "sc", "v", "b")) -> DataFrame:
+    """question_id, video_id, frame_idx, t, r, s, sc, v, b of every frame of a question's video, or those ``columns`` of them.
 
     r is the frame's product with the question, s with each option, sc is s less its mean over the video's frames, v
     the variance of sc across options, b the mean of the z-scores of r and v. Products are made by blocks of questions
-    and deals of frames. Where few rows of a question are wanted, there are pick_frames, whole_votes and rank_correlation.
+    and deals of frames, and only the columns named leave a task. Where few rows of a question are wanted, there are
+    pick_frames, whole_votes and rank_correlation.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _scored(batches):
-            m, n = x.r.shape
-            asked, at = np.repeat(np.arange(m), n), np.tile(np.arange(n), m)
             b = _blend(x, add)
-            last = lambda y: _lists(y.transpose(0, 2, 1).reshape(m * n, -1))
-            taken = [x.asks["question_id"].take(asked), x.asks["video_id"].take(asked), x.frames["frame_idx"].take(at), x.frames["t"].take(at)]
-            columns = [*(c.combine_chunks() for c in taken), pa.array(x.r.reshape(-1)), last(x.s), last(x.sc), pa.array(x.v.reshape(-1)), pa.array(b.reshape(-1))]
-            whole = pa.RecordBatch.from_arrays(columns, names=["question_id", "video_id", "frame_idx", "t", "r", "s", "sc", "v", "b"])
-            for i in range(0, m * n, 1 << 16):
-                yield whole.slice(i, 1 << 16)
-
-    schema = f"question_id {_type(questions, 'question_id')}, video_id {_type(questions, 'video_id')}, frame_idx {_type(frames, 'frame_idx')}, t {_type(frames, 't')}, r double, s array<double>, sc array<double>, v double, b double"
-    return _met(_told(questions, frames), frames).mapInArrow(run, schema)
+            for at, products in x.of.tiles():
+                m, n, s = len(products), products.shape[2], products[:, 1:]
+                end = at + n
+                asked, place = np.repeat(np.arange(m), n), np.tile(np.arange(at, end), m)
+                last = lambda y: _lists(y.transpose(0, 2, 1).reshape(m * n, -1))  # noqa: E731, B023
+                flat = lambda y: pa.array(y[:, at:end].reshape(-1))  # noqa: E731, B023
+                made = {
+                    **{c: lambda c=c: x.asks[c].take(asked).combine_chunks() for c in ("question_id", "video_id")},  # noqa: B023
+                    **{c: lambda c=c: x.frames[c].take(place).combine_chunks() for c in ("frame_idx", "t")},  # noqa: B023
+                    "r": lambda: flat(x.r),  # noqa: B023
+                    "s": lambda: last(s),  # noqa: B023
+                    "sc": lambda: last(s - x.of.means[:, :, None]),  # noqa: B023
+                    "v": lambda: flat(x.v),  # noqa: B023
+                    "b": lambda: flat(b),  # noqa: B023
+                }
+                whole = pa.RecordBatch.from_arrays([made[c]() for c in columns], names=list(columns))
+                for i in range(0, m * n, 1 << 16):
+                    yield whole.slice(i, 1 << 16)
+
+    types = {"question_id": _type(questions, "question_id"), "video_id": _type(questions, "video_id"), "frame_idx": _type(frames, "frame_idx"), "t": _type(frames, "t"), "s": "array<double>", "sc": "array<double>"}
+    return _met(_told(questions, frames), frames).mapInArrow(run, ", ".join(f"{c} {types.get(c, 'double')}" for c in columns))
 
 
 def pick_frames(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32), add: float = 1e-8) -> DataFrame:
@@ -218,7 +278,7 @@ def pick_frames(questions: DataFrame, frames: DataFrame, ks: tuple[int, ...] = (
                     at.append(even)
             asked, selector, k, score, at = map(np.concatenate, (asked, selector, k, score, at))
             taken = [x.asks["question_id"].take(asked), x.frames["frame_idx"].take(at), x.frames["t"].take(at)]
-            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in taken), _lists(x.sc[asked, :, at]), pa.array(selector.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(score)], names=["question_id", "frame_idx", "t", "sc", "which", "k", "x"])
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in taken), _lists(x.of.sc(asked, at)), pa.array(selector.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(score)], names=["question_id", "frame_idx", "t", "sc", "which", "k", "x"])
 
     schema = f"question_id {_type(questions, 'question_id')}, frame_idx {_type(frames, 'frame_idx')}, t {_type(frames, 't')}, sc array<double>, which int, k int, x double"
     rows = _met(_told(questions, frames), frames).mapInArrow(run, schema)
@@ -237,16 +297,25 @@ def whole_votes(questions: DataFrame, frames: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _scored(batches):
-            m, options, n = x.sc.shape
-            voted = np.round(x.sc, 9).argmax(1)
-            votes = np.stack([(voted == o).sum(1) for o in range(options)], 1)
+        for x in _asked(batches):
+            m, options, n = len(x.asks), x.means.shape[1], len(x.frames)
             answer = x.asks["answer"].to_numpy()
-            right = x.sc[np.arange(m), answer]
-            others = np.where(np.arange(options)[None, :, None] == answer[:, None, None], -np.inf, x.sc).max(1)
-            margin = (right - others).sum(1)
+            votes, total, margin = np.zeros((m, options), np.int64), np.zeros((m, options)), np.zeros(m)
+            for _, products in x.tiles():
+                sc = products[:, 1:] - x.means[:, :, None]
+                rounded = np.round(sc, 9)
+                voted, best = np.zeros(rounded[:, 0].shape, np.int32), rounded[:, 0]
+                for o in range(1, options):
+                    # the first of equals; what is no number is the largest
+                    more = ~((rounded[:, o] <= best) | (best != best))
+                    voted, best = np.where(more, o, voted), np.where(more, rounded[:, o], best)
+                votes += np.stack([(voted == o).sum(1) for o in range(options)], 1)
+                total += sc.sum(2)
+                margin += sc[np.arange(m), answer].sum(1)
+                sc[np.arange(m), answer] = -np.inf
+                margin -= sc.max(1).sum(1)
             ids = x.asks["question_id"].take(np.repeat(np.arange(m), options)).combine_chunks()
-            columns = [np.repeat(answer, options).astype(np.int32), np.tile(np.arange(options, dtype=np.int32), m), votes.reshape(-1), x.sc.sum(2).reshape(-1), np.repeat(margin, options), np.full(m * options, n)]
+            columns = [np.repeat(answer, options).astype(np.int32), np.tile(np.arange(options, dtype=np.int32), m), votes.reshape(-1), total.reshape(-1), np.repeat(margin, options), np.full(m * options, n)]
             yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["question_id", "answer_idx", "option", "votes", "total", "margin", "n_frames"])
 
     rows = _met(questions, frames).mapInArrow(run, f"question_id {_type(questions, 'question_id')}, answer_idx int, option int, votes long, total double, margin double, n_frames long")

@@ -378,11 +378,8 @@ def matched_strengths(spark, sf_dir):
 @query("frame_scores", f"WITH {_SCORES} SELECT question_id, frame_idx, round(r, 6) AS r, round(v, 6) AS v, round(b, 5) AS b, round(sc[1], 6) AS sc0 FROM scores")
 def frame_scores(spark, sf_dir):
     """E3, J10"""
-    return _scores(spark, sf_dir).select("question_id", "frame_idx", six("r").alias("r"), six("v").alias("v"), F.round("b", 5).alias("b"), six(F.col("sc")[0]).alias("sc0"))
-
-
-def _scores(spark, sf_dir) -> DataFrame:
-    return evidence.frame_scores(questions(spark, sf_dir), frames(spark, sf_dir))
+    scores = evidence.frame_scores(questions(spark, sf_dir), frames(spark, sf_dir), columns=("question_id", "frame_idx", "r", "v", "b", "sc"))
+    return scores.select("question_id", "frame_idx", six("r").alias("r"), six("v").alias("v"), F.round("b", 5).alias("b"), six(F.col("sc")[0]).alias("sc0"))
 
 
 @query("topk_mean", f"WITH {_SCORES}, k AS (SELECT question_id, v, row_number() OVER (PARTITION BY question_id ORDER BY v DESC) AS rn FROM scores) SELECT question_id, round(avg(v), 6) AS top FROM k WHERE rn <= 16 GROUP BY question_id")
