@@ -213,3 +213,9 @@ def test_products_are_made_in_tiles_of_one_shape(spark, monkeypatch):
     some = evidence.frame_scores(q, f, columns=("question_id", "frame_idx", "b"))
     assert some.columns == ["question_id", "frame_idx", "b"]
     assert {(r.question_id, r.frame_idx): r.b for r in some.collect()} == {(r.question_id, r.frame_idx): pytest.approx(r.b) for r in scores}
+
+
+def test_frames_travel_once_for_a_thousand_questions(spark):
+    f = spark.range(300).selectExpr("'a' AS video_id", "int(id) AS frame_idx", "double(id) AS t", "array(double(id), 1.0D) AS emb")
+    q = spark.range(1000).selectExpr("id AS question_id", "'a' AS video_id", "array(1.0D, double(id)) AS q_emb", "array(array(1.0D, 2.0D), array(2.0D, 1.0D)) AS options", "0 AS answer_idx")
+    assert evidence._met(q, f).count() == 1300

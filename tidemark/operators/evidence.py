@@ -26,8 +26,9 @@ def centroids(frames: DataFrame) -> DataFrame:
     return frames.groupBy("video_id").agg(vector_to_array(mean).alias("mean"))
 
 
-#: Questions of a block, and frames of a deal: a task holds one of each, and all its products are made by it.
-QUESTIONS, DEAL = 256, 131_072
+#: Questions of a block, and frames of a deal: a task holds one of each, and all its products are made by it. Frames are
+#: handed to Python once a block, which takes longer than the products of a small one.
+QUESTIONS, DEAL = 1024, 131_072
 #: Products that a task holds at once, and those of one tile: of a block of questions with some frames, in the cache of a core.
 PRODUCTS, TILE = 1 << 21, 1 << 17
 
