@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,17 @@ def test_query(spark, sf_dir):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_a_worker_forgets_what_it_met_when_its_task_ends(spark):
+    """Workers go on with other steps, so only the vocabulary stays."""
+    path = bpe.default_path()
+
+    def held(batches):
+        for _ in batches:
+            t = bpe.tokenizer(path)
+            yield pa.RecordBatch.from_arrays([pa.array([len(t.packed) + len(t.packed.older) + len(t.seams.known)])], names=["n"])
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "concat('strange', id, 'ness wordiness', id) AS text")
+    assert bpe.tokenize(texts).agg({"n_tokens": "min"}).first()[0] > 2
+    assert [r.n for r in spark.range(0, 1, 1, 1).mapInArrow(held, "n long").collect()] == [0]

@@ -74,3 +74,19 @@ def test_levels_of_near_sizes(spark):
         rows = df.select(*[neardup.level(c, least).alias(c) for c in "abc"]).collect()
         assert all(0 <= r.a - r.b <= 1 for r in rows)
         assert any(r.a - r.c > 1 for r in rows) or least == 0.5
+
+
+def test_small_tables_are_few_files_however_many_partitions(spark):
+    """A chain of 300 nodes in 30 partitions: the labels of a step are one file."""
+    put = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held = {k: spark.conf.get(k) for k in put}
+    edges = spark.range(299).selectExpr("id AS a", "id + 1 AS b")
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        made = neardup.components(edges)
+        assert len(made.inputFiles()) == 1
+        assert {tuple(r) for r in made.collect()} == {(i, 0) for i in range(300)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

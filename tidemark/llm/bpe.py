@@ -136,6 +136,11 @@ class Tokenizer:
         self.packed = _Memory(self._pack)
         self.said = [str(i) for i in range(size)]
 
+    def forget(self) -> None:
+        """Lets go of the pre-tokens and pairs met so far."""
+        self.packed = _Memory(self._pack)
+        self.seams.known.clear()
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
         s = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
@@ -273,5 +278,6 @@ def tokenize(df: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id",
                 rows = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(len(keep))] + [pa.array(v, _ARROW[c]) for c, v in made.items()], names=keep + outputs)
+        t.forget()  # the worker may go on with other steps
 
     return df.select(*keep, df[text].alias("_text")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import neardup
-from tidemark.llm.shared import sent_if_small, written
+from tidemark.llm.shared import sent_if_small
 from tidemark.llm.shingles import CELLS, bites, mix, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9994 at 0.8, 0.11 at 0.3, 0.0014 at 0.1.
@@ -223,8 +223,9 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
 
     Rows are told apart by id and text, so different texts that share an id, or have none, each stay.
     """
-    rows = written(_by_row(df, doc_id, text, least).select("doc_id", "class_id"), "rows")
-    gone = sent_if_small(rows.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    n = df.count()
+    rows = neardup.filed(_by_row(df, doc_id, text, least).select("doc_id", "class_id"), "rows", n)
+    gone = sent_if_small(neardup.few(rows.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), n), "gone")
     kept = df.withColumn("_row", neardup.row_key(df[doc_id], df[text]))
     kept = kept.join(gone, kept["_row"] == gone["_gone"], "left_anti")
     if rows.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count():

@@ -96,6 +96,22 @@ class _Held:
         self.nodes.append((node, name, vector))
 
 
+#: Rows of ids that a partition of an intermediate table has, about, where there are as many.
+ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, at most ``rows`` rows of ids, in no more partitions than they fill.
+
+    On a local file system Hadoop starts a process for each file that an executor writes, and a step writes a table or two.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS)))
+
+
+def filed(df: DataFrame, name: str, rows: int) -> DataFrame:
+    return written(few(df, rows), name)
+
+
 def _compared(rows: DataFrame, texts: DataFrame, how: Likeness, least: float) -> DataFrame:
     """Rows (bucket, i, j, second, node, component): all pairs within part i (i = j), or of part i with j (``second``).
 
@@ -160,8 +176,9 @@ def _across(rows: DataFrame) -> DataFrame:
     sizes = of.groupBy("bucket", "level", "shared").agg(F.ceil(F.sum("m") / GROUP).alias("k"))
     of = of.join(sizes, ["bucket", "level", "shared"]).select("bucket", "level", "component", "whole", "shared", "k")
     part = F.xxhash64("level", "shared", F.pmod(F.xxhash64("node"), F.col("k")))
-    dealt = written(rows.join(of, ["bucket", "level", "component"]).select("bucket", "level", "node", "component", "whole", part.alias("part")), "dealt")
-    parts = written(dealt.groupBy("bucket", "level", "part").agg(F.first("whole").alias("whole")), "parts")
+    n = rows.count()
+    dealt = filed(rows.join(of, ["bucket", "level", "component"]).select("bucket", "level", "node", "component", "whole", part.alias("part")), "dealt", n)
+    parts = filed(dealt.groupBy("bucket", "level", "part").agg(F.first("whole").alias("whole")), "parts", n)
     one, two = parts.toDF("bucket", "level", "i", "whole_i"), parts.toDF("bucket", "level", "j", "whole_j")
     two = two.withColumn("level", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
     met = one.join(two, ["bucket", "level"]).filter("i <= j AND (whole_i IS NULL OR whole_j IS NULL OR whole_i <> whole_j)").select("bucket", "i", "j")
@@ -182,13 +199,13 @@ def _unsettled(inner: DataFrame, labels: DataFrame) -> DataFrame:
     total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
     buckets = rows.groupBy("bucket").agg(F.sum("units").alias("n"), total.alias("total"), F.min("component").alias("low"), F.max("component").alias("high"))
     buckets = buckets.filter("low <> high").groupBy("n", "total", "low", "high").agg(F.min("bucket").alias("bucket"))
-    return written(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component", "level", "units"), "unsettled")
+    return filed(rows.join(buckets.select("bucket", "n"), "bucket").select("bucket", "n", "node", "component", "level", "units"), "unsettled", inner.count())
 
 
 def _merged(labels: DataFrame, made: DataFrame) -> DataFrame:
     """Labels (node, component) after the links of ``made``."""
-    merged = components(made.select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))).toDF("component", "into")
-    return written(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+    merged = components(made.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), made.count()).toDF("component", "into")
+    return filed(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels", labels.count())
 
 
 def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tuple[DataFrame, DataFrame]:
@@ -204,7 +221,7 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
     spread = nodes.select("node", "doc_id", level("size", least).alias("level"), F.posexplode("bands").alias("band", "key"))
     spread = spread.select("node", "doc_id", "level", F.xxhash64("band", "key").alias("bucket"))
     ends = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1")
-    met = written(spread.join(ends, "bucket"), "buckets")
+    met = filed(spread.join(ends, "bucket"), "buckets", keys.agg(F.sum(F.size("bands"))).first()[0] or 0)
 
     # the texts of all nodes that meet any other
     asked = met.select("doc_id", "node").distinct()
@@ -224,12 +241,13 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
 
     # every node with the first and the last of its bucket
     found = written(_compared(_ends(met), texts, how, least).select("a", "b", "near"), "links")
-    labels = met.select("node").distinct().join(components(found), "node", "left")
-    labels = written(labels.select("node", F.coalesce("component", "node").alias("component")), "labels")
+    n = met.count()
+    labels = met.select("node").distinct().join(components(found, found.count()), "node", "left")
+    labels = filed(labels.select("node", F.coalesce("component", "node").alias("component")), "labels", n)
 
     # the first and the last met all others; those between meet each other unless they are of one component
     sizes = texts.select("node", "units")
-    inner = written(met.filter("node <> first AND node <> last").select("bucket", "node", "level").join(sizes, "node"), "inner")
+    inner = filed(met.filter("node <> first AND node <> last").select("bucket", "node", "level").join(sizes, "node"), "inner", n)
     for turn in range(DEALS + 1):
         rows = _unsettled(inner, labels)
         largest = rows.agg(F.max("n")).first()[0]
@@ -243,14 +261,16 @@ def links(docs: DataFrame, keys: DataFrame, how: Likeness, least: float) -> tupl
     return found.groupBy("a", "b").agg(F.max("near").alias("near")), labels
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of the edges (a, b): the least node that can be reached.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, component) of all nodes of the edges (a, b): the least node that can be reached. ``rows``: how many edges, at most, if that is known.
 
     Each step takes the least label among neighbours, then the label of that label, so long paths halve.
     """
     pairs = edges.filter("a <> b").select("a", "b")
-    e = written(pairs.union(pairs.select("b", "a")).toDF("u", "v").distinct(), "edges")
-    labels = written(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    e = pairs.union(pairs.select("b", "a")).toDF("u", "v").distinct()
+    e = written(e, "edges") if rows is None else filed(e, "edges", 2 * rows)
+    rows = e.count()
+    labels = filed(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", rows)
     state = None
     while True:
         now = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
@@ -260,7 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = e.join(labels, e["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
         near = labels.join(near, labels["node"] == near["u"]).select("node", F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        labels = written(near.join(jump, near["label"] == jump["at"]).select("node", F.least("label", "next").alias("label")), "labels")
+        labels = filed(near.join(jump, near["label"] == jump["at"]).select("node", F.least("label", "next").alias("label")), "labels", rows)
 
 
 def classes(docs: DataFrame, keys: DataFrame, how: Likeness, least: float = 0.8) -> DataFrame:
@@ -272,7 +292,7 @@ def classes(docs: DataFrame, keys: DataFrame, how: Likeness, least: float = 0.8)
     """
     keys = written(keys, "keys")
     linked, labels = links(docs, keys, how, least)
-    linked = written(linked, "links")
+    linked = filed(linked, "links", linked.count())
     each = linked.select(F.col("a").alias("node")).union(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     inside = labels.join(each, "node", "left")
     nodes = keys.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
