@@ -31,4 +31,5 @@ def concrete(texts: DataFrame, key: list[str], text: str, lexicon: DataFrame, ca
     """``texts`` with ``concrete``: a word of one of the categories (by default CONCRETE), or a noun of more than two letters."""
     counts: Column = F.col("category").isin([*(CONCRETE if categories is None else categories), NOUN])
     hit = lookup(texts, key, text, lexicon).filter(counts).select(*key).distinct().withColumn("concrete", F.lit(True))
-    return texts.join(hit, key, "left").withColumn("concrete", F.coalesce("concrete", F.lit(False)))
+    # as many rows as texts, though Spark takes them for few by the size of the files: sent to every task they would fill it
+    return texts.join(hit.hint("merge"), key, "left").withColumn("concrete", F.coalesce("concrete", F.lit(False)))

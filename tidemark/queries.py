@@ -572,13 +572,20 @@ def _option_texts(spark, sf_dir) -> DataFrame:
     return _option_rows(spark, sf_dir).select("question_id", F.posexplode("options").alias("o", "text"))
 
 
+def _option_types(spark, sf_dir) -> DataFrame:
+    """question_id, task_type, o, type: a row per option, which takes along what its tag depends on."""
+    rows = _option_rows(spark, sf_dir).withColumn("perm", options.is_permutation(F.col("options")))
+    long = rows.select("question_id", "task_type", "perm", F.posexplode("options").alias("o", "text"))
+    long = lexicon.concrete(long, ["question_id", "o"], "text", _lexicon(spark))
+    return long.select("question_id", "task_type", "o", options.option_type(F.col("text"), F.col("perm"), F.col("concrete")).alias("type"))
+
+
 def _tagged(spark, sf_dir) -> DataFrame:
     """Options with their tags."""
     rows = _option_rows(spark, sf_dir).withColumn("perm", options.is_permutation(F.col("options")))
-    long = lexicon.concrete(_option_texts(spark, sf_dir), ["question_id", "o"], "text", _lexicon(spark)).join(rows.select("question_id", "perm"), "question_id")
-    long = long.withColumn("type", options.option_type(F.col("text"), F.col("perm"), F.col("concrete")))
+    long = _option_types(spark, sf_dir)
     types = long.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "type"))), lambda x: x["type"]).alias("types"))
-    return rows.join(types, "question_id")
+    return rows.join(types.hint("merge"), "question_id")
 
 
 _LEXICON = "lexicon AS (SELECT unnest([" + ", ".join(f"'{w}'" for w, _ in LEXICON) + "]) AS word, unnest([" + ", ".join(f"'{c}'" for _, c in LEXICON) + "]) AS category)"
@@ -603,7 +610,7 @@ def option_tags(spark, sf_dir):
 SELECT task_type, """ + ", ".join(f"round(count(*) FILTER (t = '{t}')::DOUBLE / count(*), 6) AS \"{t}\"" for t in options.TYPES) + " FROM x GROUP BY task_type")
 def option_crosstab(spark, sf_dir):
     """A11"""
-    rows = stats.crosstab_shares(_tagged(spark, sf_dir).select("task_type", F.explode("types").alias("type")), "task_type", "type", options.TYPES)
+    rows = stats.crosstab_shares(_option_types(spark, sf_dir), "task_type", "type", options.TYPES)
     return rows.select("task_type", *[six(F.col(f"`{t}`")).alias(t) for t in options.TYPES])
 
 
